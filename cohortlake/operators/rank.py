@@ -55,7 +55,7 @@ def _bucket_count(spark, buckets: int | None) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def value_ranks(
+def value_positions(
     long: DataFrame,
     group_cols: list[str],
     value: str = "_v",
@@ -63,15 +63,18 @@ def value_ranks(
     rows_per_bucket: int = 1_000_000,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Bucketed prefix-sum rank over a long table.
+    """Sorted positions of every distinct value, computed without a global sort.
 
     ``long`` has one row per observation with ``group_cols`` and a non-NULL
     double ``value``. Returns one row per distinct ``(group_cols, value)``
-    with ``_pr``.
+    with ``_c`` (rows with that value), ``_below`` (rows of the group with a
+    smaller value) and ``_n`` (rows of the group).
     """
     spark = long.sparkSession
     nb_max = _bucket_count(spark, buckets)
     g = list(group_cols)
+    if not g:
+        raise ValueError("value_positions needs at least one group column (use a constant one)")
     v = F.col(value)
 
     counts = long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -127,8 +130,62 @@ def value_ranks(
     with_off = bucketed.join(F.broadcast(offsets) if small else offsets, g + ["_bk"])
     local = Window.partitionBy(*g, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_off") + F.coalesce(F.sum("_c").over(local), F.lit(0))
-    rank_m1 = below.cast("double") + (F.col("_c") - 1).cast("double") / 2.0
-    return with_off.select(*g, value, _pr_from_parts(rank_m1, F.col("_n")).alias("_pr"))
+    return with_off.select(*g, value, "_c", below.alias("_below"), "_n")
+
+
+def value_ranks(
+    long: DataFrame,
+    group_cols: list[str],
+    value: str = "_v",
+    buckets: int | None = None,
+    rows_per_bucket: int = 1_000_000,
+) -> DataFrame:
+    """Average-rank percentile per distinct ``(group_cols, value)`` as ``_pr``."""
+    pos = value_positions(long, group_cols, value, buckets=buckets, rows_per_bucket=rows_per_bucket)
+    rank_m1 = F.col("_below").cast("double") + (F.col("_c") - 1).cast("double") / 2.0
+    return pos.select(*group_cols, value, _pr_from_parts(rank_m1, F.col("_n")).alias("_pr"))
+
+
+def exact_percentiles(
+    df: DataFrame,
+    value: str,
+    percentiles: dict[str, float],
+    group_by: list[str] | tuple[str, ...] = (),
+    buckets: int | None = None,
+    rows_per_bucket: int = 1_000_000,
+) -> DataFrame:
+    """Exact interpolated percentiles (``PERCENTILE_CONT``) per group.
+
+    Built on :func:`value_positions`, then one grouped aggregation: the
+    values at sorted positions ``floor(h)`` and ``floor(h) + 1`` with
+    ``h = p * (n - 1)`` are the smallest values whose cumulative count passes
+    those positions. No group's values are ever held by one task (unlike
+    ``percentile``/``median``, which buffer a whole group). NULLs are ignored.
+    """
+    g = list(group_by)
+    # A constant group column stands in for "no grouping" (one group).
+    keys = g or [F.lit(0).alias("_g0")]
+    long = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull())
+    pos = value_positions(long, g or ["_g0"], "_v", buckets=buckets, rows_per_bucket=rows_per_bucket)
+    cum = F.col("_below") + F.col("_c")
+    aggs = []
+    for name, p in percentiles.items():
+        h = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
+        k = F.floor(h)
+        k1 = F.least(k + 1, F.col("_n") - 1)
+        aggs += [
+            F.min(F.when(cum > k, F.col("_v"))).alias(f"_lo_{name}"),
+            F.min(F.when(cum > k1, F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(h - k).alias(f"_d_{name}"),
+        ]
+    out = pos.groupBy(*(g or ["_g0"])).agg(*aggs)
+    return out.select(
+        *g,
+        *[
+            (F.col(f"_lo_{n}") + F.col(f"_d_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
+            for n in percentiles
+        ],
+    )
 
 
 def percentile_ranks(
