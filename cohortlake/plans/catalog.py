@@ -132,7 +132,7 @@ def q_trending(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     # Import the modules that register further queries.
-    from cohortlake.plans import catalog_maint, catalog_more, catalog_state  # noqa: F401
+    from cohortlake.plans import catalog_ingest, catalog_maint, catalog_more, catalog_state  # noqa: F401
 
     return dict(QUERIES)
 
