@@ -35,29 +35,42 @@ def _p(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Highest committed state version, or None for an empty store."""
+def _commits(spark: SparkSession, root: str, before_batch: int | None) -> DataFrame | None:
     try:
         log = spark.read.schema(COMMIT_SCHEMA).parquet(_p(root, "_commits"))
     except Exception:  # noqa: BLE001 - no commit log yet
         return None
+    return log if before_batch is None else log.where(F.col("batch") < F.lit(int(before_batch)))
+
+
+def current_version(spark: SparkSession, root: str, before_batch: int | None = None) -> int | None:
+    """Highest committed state version (of batches before ``before_batch``),
+    or None for an empty store."""
+    log = _commits(spark, root, before_batch)
+    if log is None:
+        return None
     row = log.agg(F.max("version").alias("v")).head()
     return None if row is None or row["v"] is None else int(row["v"])
 
 
-def read_state(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    v = current_version(spark, root)
+def read_state(
+    spark: SparkSession, root: str, schema: T.StructType, before_batch: int | None = None
+) -> DataFrame:
+    """The committed state (as left by the batches before ``before_batch``)."""
+    v = current_version(spark, root, before_batch)
     if v is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(_p(root, "state", f"version={v}"))
 
 
-def read_appended(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """All committed batches of an append-only table (snapshots, runs)."""
-    v = current_version(spark, root)
-    if v is None:
+def read_appended(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, before_batch: int | None = None
+) -> DataFrame:
+    """All committed batches (before ``before_batch``) of an append-only table."""
+    log = _commits(spark, root, before_batch)
+    if log is None or current_version(spark, root, before_batch) is None:
         return spark.createDataFrame([], schema)
-    committed = spark.read.schema(COMMIT_SCHEMA).parquet(_p(root, "_commits")).select("batch").distinct()
+    committed = log.select("batch").distinct()
     try:
         data = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(
             _p(root, table)

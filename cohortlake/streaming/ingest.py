@@ -39,8 +39,10 @@ def process_batch(
     if as_of_row is None or as_of_row["t"] is None:
         return None
     as_of = as_of_row["t"]
-    state = store.read_state(spark, root, ENTITY_SCHEMA)
-    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA)
+    # Read what the earlier batches committed (never this batch's own output,
+    # which a replay is about to rewrite).
+    state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id)
+    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch_id)
     batch = conform(good, ENTITY_SCHEMA, ENTITY_DEFAULTS).drop("scraped_at", "updated_in_db_at", *[
         c for c in ENTITY_SCHEMA.fieldNames() if c not in st.CRAWL_COLUMNS and c != "id"
     ])
