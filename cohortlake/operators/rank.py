@@ -11,8 +11,8 @@ Two physical forms with identical results:
   task, so with 9 cells at most 9 tasks do the work. Fine for small tables.
 * ``bucketed`` - the scale form. Values are melted to ``(key, cell, metric,
   v)``, collapsed to distinct ``(cell, metric, v)`` counts (a hot value such
-  as momentum 0 becomes one row), cut into value-range buckets from frozen
-  approximate quantiles, and ranked with a prefix sum: per-bucket totals give
+  as momentum 0 becomes one row), cut into value-range buckets with
+  deterministic bounds, and ranked with a prefix sum: per-bucket totals give
   offsets (a tiny table), a window inside ``(cell, metric, bucket)`` gives the
   local running count. Work spreads over cells x metrics x buckets tasks.
 """
@@ -27,11 +27,6 @@ from cohortlake.session import ensure_checkpoint_dir
 # Fixed value: the floor of the rank denominator.
 MIN_DENOMINATOR = 1e-9
 
-# Tables with at most this many rows are broadcast; both tables it applies to
-# have one row per (cell, metric) or per (cell, metric, bucket).
-BROADCAST_MAX_ROWS = 200_000
-
-
 def _pr_from_parts(rank_minus_one: Column, n_nonnull: Column) -> Column:
     pr = rank_minus_one / F.greatest(n_nonnull.cast("double") - F.lit(1.0), F.lit(MIN_DENOMINATOR))
     return F.least(F.greatest(pr, F.lit(0.0)), F.lit(1.0))
@@ -49,19 +44,37 @@ def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] |
     return df.withColumn(out, F.when(v.isNull(), F.lit(0.0)).otherwise(pr))
 
 
+def freeze(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a DataFrame that several branches consume.
+
+    Writes it once to the reliable checkpoint folder (shared storage on a
+    cluster, so lost executors do not lose it) and reads it back; without
+    this, every branch re-runs the whole upstream plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _bucket_count(spark, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def _log_scale(x: Column) -> Column:
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def _from_log_scale(y: Column) -> Column:
+    return F.signum(y) * F.expm1(F.abs(y))
+
+
 def value_positions(
     long: DataFrame,
     group_cols: list[str],
     value: str = "_v",
     buckets: int | None = None,
     rows_per_bucket: int = 1_000_000,
-    accuracy: int = 10_000,
 ) -> DataFrame:
     """Sorted positions of every distinct value, computed without a global sort.
 
@@ -69,55 +82,53 @@ def value_positions(
     double ``value``. Returns one row per distinct ``(group_cols, value)``
     with ``_c`` (rows with that value), ``_below`` (rows of the group with a
     smaller value) and ``_n`` (rows of the group).
+
+    Buckets: a group with ``d`` distinct values gets ``min(buckets,
+    ceil(d / rows_per_bucket))`` value ranges whose bounds are spaced evenly
+    on a signed log scale between the group's min and max. The bounds come
+    from exact aggregates, so every evaluation (and every task retry) sees
+    the same bounds; a value's bucket is the number of bounds below it, which
+    is monotone in the value whatever the bounds are, so equal values share a
+    bucket and the prefix sums are exact.
     """
-    spark = long.sparkSession
-    nb_max = _bucket_count(spark, buckets)
+    nb_max = _bucket_count(long.sparkSession, buckets)
     g = list(group_cols)
     if not g:
         raise ValueError("value_positions needs at least one group column (use a constant one)")
     v = F.col(value)
 
-    counts = long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    # The distinct-value table feeds the bounds, the bucket totals and the
+    # local prefix sums: materialise it once.
+    counts = freeze(long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c")))
 
     if nb_max > 1:
-        fractions = [i / nb_max for i in range(1, nb_max)]
-        raw = counts.groupBy(*g).agg(
-            F.count(F.lit(1)).alias("_d"),
-            F.percentile_approx(value, fractions, accuracy).alias("_all"),
+        stats = counts.groupBy(*g).agg(
+            F.count(F.lit(1)).alias("_d"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
         )
-        # Buckets per group grow with its number of distinct values, so small
-        # cells get one bucket and no bounds.
         nb = F.least(F.lit(nb_max), F.ceil(F.col("_d") / F.lit(float(rows_per_bucket)))).cast("int")
-        picked = F.when(
-            nb > 1,
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), nb - 1),
-                    lambda i: F.element_at(F.col("_all"), (i * F.lit(nb_max) / nb).cast("int")),
-                )
-            ),
-        ).otherwise(F.array().cast("array<double>"))
-        bounds = raw.select(*g, picked.alias("_bounds"))
-        # Bounds must be identical everywhere they are used: approximate
-        # quantiles can differ between two evaluations, so freeze them in the
-        # reliable checkpoint folder (a few doubles per group).
-        ensure_checkpoint_dir(spark)
-        bounds = bounds.checkpoint(eager=True)
-        n_groups = bounds.count()
-        bounds_side = F.broadcast(bounds) if n_groups <= BROADCAST_MAX_ROWS else bounds
-        bucketed = counts.join(bounds_side, g, "left").select(
+        tlo, thi = _log_scale(F.col("_lo")), _log_scale(F.col("_hi"))
+        spaced = F.transform(
+            F.sequence(F.lit(1), nb - 1),
+            lambda i: _from_log_scale(tlo + i.cast("double") * (thi - tlo) / nb.cast("double")),
+        )
+        bounds = stats.select(
+            *g,
+            F.when((nb > 1) & (F.col("_hi") > F.col("_lo")), F.array_distinct(spaced))
+            .otherwise(F.array().cast("array<double>"))
+            .alias("_bounds"),
+        )
+        # One row per group; AQE broadcasts it when its runtime size is small.
+        bucketed = counts.join(bounds, g, "left").select(
             *g,
             value,
             "_c",
             F.coalesce(F.size(F.filter(F.col("_bounds"), lambda b: b < v)), F.lit(0)).alias("_bk"),
         )
-        max_offsets = n_groups * nb_max
     else:
         bucketed = counts.withColumn("_bk", F.lit(0))
-        max_offsets = None
 
     totals = bucketed.groupBy(*g, "_bk").agg(F.sum("_c").alias("_bc"))
-    by_group = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
+    by_group = Window.partitionBy(*g)
     offsets = totals.select(
         *g,
         "_bk",
@@ -126,8 +137,8 @@ def value_positions(
         ).alias("_off"),
         F.sum("_bc").over(by_group).alias("_n"),
     )
-    small = max_offsets is not None and max_offsets <= BROADCAST_MAX_ROWS
-    with_off = bucketed.join(F.broadcast(offsets) if small else offsets, g + ["_bk"])
+    # offsets has one row per (group, bucket): small, AQE broadcasts it.
+    with_off = bucketed.join(offsets, g + ["_bk"])
     local = Window.partitionBy(*g, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_off") + F.coalesce(F.sum("_c").over(local), F.lit(0))
     return with_off.select(*g, value, "_c", below.alias("_below"), "_n")
@@ -212,6 +223,8 @@ def percentile_ranks(
         raise ValueError(f"unknown rank method {method!r}")
 
     names = list(metrics)
+    # The input is read twice (melt, final join): materialise it once.
+    df = freeze(df)
     # Melt the metrics so all ranks share one pass. ``+ 0.0`` turns -0.0 into
     # 0.0 so both zeros are one value.
     stacked = F.explode(
