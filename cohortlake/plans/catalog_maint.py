@@ -138,3 +138,9 @@ def q_export_csv(spark, sf_dir):
     path = _scratch(spark, "scores") + ".csv"
     export(scored(spark, sf_dir).select(*EXPORT_COLS), path)
     return spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
+
+
+@register("purge_all", maint_sql("SELECT id, potential_score FROM store WHERE false"))
+def q_purge_all(spark, sf_dir):
+    survivors, _ = mt.purge(store(spark, sf_dir), _snaps(spark, sf_dir), mt.purge_predicate(), all_data=True)
+    return survivors.select("id", "potential_score")

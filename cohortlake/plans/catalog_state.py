@@ -201,3 +201,34 @@ def q_append(spark, sf_dir):
 )
 def q_thin(spark, sf_dir):
     return st.thin_snapshots(_snaps(spark, sf_dir), SNAP_TTL_H)
+
+
+@register(
+    "run_record",
+    state_sql(
+        f"""SELECT '{RUN_ID}' AS run_id, {O.E_ASOF} AS started_at, {O.E_ASOF} + INTERVAL 1 HOUR AS finished_at,
+  CAST(count(*) AS INTEGER) AS repos_found, CAST(count(*) FILTER (WHERE snapshot_due) AS INTEGER) AS snapshots_taken,
+  'completed' AS status
+FROM gated"""
+    ),
+)
+def q_run_record(spark, sf_dir):
+    """A run is recorded twice (start: running, end: completed); the latest
+    record per run id wins on read."""
+    from cohortlake.functions.features import ts_lit
+
+    _, _, gated = _apply(spark, sf_dir)
+    end = st.run_counters(gated, RUN_ID, ENTITY_AS_OF, "2001-08-02 01:00:00")
+    start = end.select(
+        *[
+            F.lit(None).cast("timestamp").alias(c) if c == "finished_at"
+            else F.lit("running").alias(c) if c == "status"
+            else F.lit(0).alias(c) if c.startswith(("repos_", "snapshots_", "errors_"))
+            else F.col(c)
+            for c in end.columns
+        ]
+    )
+    runs = start.unionByName(end.withColumn("finished_at", ts_lit("2001-08-02 01:00:00")))
+    return st.latest_runs(runs).select(
+        "run_id", "started_at", "finished_at", "repos_found", "snapshots_taken", "status"
+    )
