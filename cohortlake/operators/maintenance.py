@@ -91,18 +91,18 @@ def purge_preview(
     """Dry-run counts as one row: entities to delete, snapshots of those
     entities (cascade) and orphan snapshots.
 
-    One aggregation over the state, one over the snapshots left-joined to a
-    per-key match flag; the three counts are combined as scalar subqueries.
+    Snapshots are first counted per key (partial aggregation, so a key with
+    a huge history is one row), then one full outer join with the per-entity
+    match flag and one global aggregate give all three counts: each input is
+    read once.
     """
     hit = F.lit(True) if all_data else matches(pred)
-    flags = state.select(F.col(key).alias(snap_key), hit.alias("_hit"))
-    snap_counts = snaps.join(flags, snap_key, "left").agg(
-        F.count_if(F.col("_hit") | F.lit(all_data)).alias("cascaded_snapshots"),
-        F.count_if(F.col("_hit").isNull()).alias("orphan_snapshots"),
-    )
-    repo_counts = state.agg(F.count_if(hit).alias("repos_to_delete"))
-    return repo_counts.select(
-        "repos_to_delete",
-        snap_counts.select("cascaded_snapshots").scalar().alias("cascaded_snapshots"),
-        snap_counts.select("orphan_snapshots").scalar().alias("orphan_snapshots"),
+    flags = state.select(F.col(key).alias(snap_key), hit.alias("_hit"), F.lit(True).alias("_entity"))
+    per_key = snaps.groupBy(snap_key).agg(F.count(F.lit(1)).alias("_n"))
+    joined = flags.join(per_key, snap_key, "full_outer")
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    return joined.agg(
+        F.count_if(F.col("_entity") & F.col("_hit")).alias("repos_to_delete"),
+        F.sum(F.when(F.col("_entity") & F.col("_hit"), n).otherwise(0)).cast("long").alias("cascaded_snapshots"),
+        F.sum(F.when(F.col("_entity").isNull(), n).otherwise(0)).cast("long").alias("orphan_snapshots"),
     )

@@ -250,7 +250,8 @@ def minmax_norm(df: DataFrame, value: str, out: str) -> DataFrame:
     aggregation on every partition, one value each), evaluated once and used
     as constants: no unpartitioned window, no single-task sort, no join.
     """
-    lo = df.agg(F.min(value)).scalar()
-    hi = df.agg(F.max(value)).scalar()
+    # One subquery (reused for both fields) computes both bounds.
+    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     expr = (F.col(value) - lo) / F.greatest(hi - lo, F.lit(MIN_DENOMINATOR))
     return df.withColumn(out, expr)

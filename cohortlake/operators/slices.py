@@ -30,9 +30,13 @@ def slice_counts(
 ) -> DataFrame:
     d = F.to_date(F.col(date_col))
     dates = df.select(d.alias("_d"))
-    s = F.lit(start).cast("date") if start else dates.agg(F.min("_d")).scalar()
-    e = F.lit(end).cast("date") if end else dates.agg(F.max("_d")).scalar()
-    total = dates.agg(F.count(F.lit(1))).scalar()
+    # One global aggregate (reused wherever its fields appear).
+    stats = dates.agg(
+        F.struct(F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ).scalar()
+    s = F.lit(start).cast("date") if start else stats["lo"]
+    e = F.lit(end).cast("date") if end else stats["hi"]
+    total = stats["n"]
     days = F.datediff(e, s)
     n = F.greatest(F.lit(2), F.floor(total / F.lit(float(cap) * SAFETY)).cast("long"))
     one_slice = (total <= F.lit(cap)) | (days <= 0)
@@ -43,7 +47,7 @@ def slice_counts(
         .groupBy(F.floor(F.datediff(F.col("_d"), s) / chunk).cast("int").alias("slice_id"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
-    slices = dates.agg(F.count(F.lit(1)).alias("_one")).select(
+    slices = dates.agg(F.lit(1).alias("_one")).select(
         F.posexplode(F.sequence(s, e, F.make_dt_interval(chunk))).alias("slice_id", "slice_start")
     )
     out = slices.join(counted, "slice_id", "left").select(

@@ -211,8 +211,13 @@ def apply_batch(
     (default ``as_of``) is the clock of the snapshot gate and the time
     stamped on new snapshots.
     """
+    from cohortlake.operators.rank import freeze
+
     snap_time = snapshot_as_of or as_of
-    classified = classify_refresh(state, batch, as_of, refresh_ttl_hours, force, key)
+    # The classified batch feeds the snapshot gate and the merge; it is
+    # batch-sized, so materialise it once instead of re-running the batch's
+    # parsing and the classification join for each consumer.
+    classified = freeze(classify_refresh(state, batch, as_of, refresh_ttl_hours, force, key))
     gated = snapshot_due(classified, snaps, snap_time, snapshot_ttl_hours, key)
     merged = _merge(state, classified, as_of, key, keep_old_when_null).drop("refresh_class", "_in_state")
     new_snaps = make_snapshots(gated.where(F.col("snapshot_due")), snap_time, key)

@@ -143,16 +143,24 @@ def flatten_pages(raw: DataFrame, body: str = "body") -> DataFrame:
 def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row: pages, nodes, valid nodes, malformed nodes.
 
-    Two distributed aggregates (pages, nodes) combined as scalar subqueries.
+    Nodes are validated inside each page's array (no explode), so the pages
+    are read once and one global aggregate gives all four counts.
     """
-    nodes = parse_pages(raw, body).agg(
-        F.count(F.lit(1)).alias("nodes_total"), F.count_if(node_valid()).alias("nodes_valid")
+    nodes = F.coalesce(F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"], F.array().cast("array<string>"))
+    per_page = raw.select(nodes.alias("_nodes")).select(
+        F.size("_nodes").alias("_k"),
+        F.aggregate(
+            "_nodes",
+            F.lit(0),
+            lambda acc, x: acc
+            + F.when(node_valid(F.from_json(x, NODE_SCHEMA), F.from_json(x, "map<string,string>")), 1).otherwise(0),
+        ).alias("_ok"),
     )
-    return raw.agg(F.count(F.lit(1)).alias("pages")).select(
-        "pages",
-        nodes.select("nodes_total").scalar().alias("nodes_total"),
-        nodes.select("nodes_valid").scalar().alias("nodes_valid"),
-        nodes.select(F.col("nodes_total") - F.col("nodes_valid")).scalar().alias("nodes_malformed"),
+    return per_page.agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.sum("_k").cast("long").alias("nodes_total"),
+        F.sum("_ok").cast("long").alias("nodes_valid"),
+        (F.sum("_k") - F.sum("_ok")).cast("long").alias("nodes_malformed"),
     )
 
 
