@@ -64,17 +64,22 @@ def _explicit_null(m: Column, key: str) -> Column:
     return F.map_contains_key(m, F.lit(key)) & m[key].isNull()
 
 
+def _null_member(name: str) -> str:
+    """Regex for a top-level ``"name": null`` member of a JSON object text."""
+    return r'^\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*"' + name + r'"\s*:\s*null'
+
+
 def node_valid(n: str | Column = "n", m: str | Column = RAW) -> Column:
     """True when a parsed node is well-formed (see the fixed rules above)."""
     nc = F.col(n) if isinstance(n, str) else n
     mc = F.col(m) if isinstance(m, str) else m
     checks = [mc[k].isNotNull() for k in REQUIRED_KEYS]
     checks += [~_explicit_null(mc, k) for k in NOT_NULL_IF_PRESENT]
+    # Inside a present object, an explicit null member (absent -> default 0
+    # or []) is found on the object's raw JSON text, without a second parse.
     for k in COUNTER_KEYS:
-        inner = F.from_json(mc[k], "map<string,string>")
-        checks.append(~(mc[k].isNotNull() & _explicit_null(inner, "totalCount")))
-    topics = F.from_json(mc["repositoryTopics"], "map<string,string>")
-    checks.append(~(mc["repositoryTopics"].isNotNull() & _explicit_null(topics, "nodes")))
+        checks.append(~F.coalesce(mc[k].rlike(_null_member("totalCount")), F.lit(False)))
+    checks.append(~F.coalesce(mc["repositoryTopics"].rlike(_null_member("nodes")), F.lit(False)))
     # A value of the wrong type parses to NULL although the raw value is set.
     checks += [~(mc[k].isNotNull() & nc[k].isNull()) for k in TYPED_SCALARS]
     checks += [~(nc[k].isNotNull() & F.try_to_timestamp(nc[k]).isNull()) for k in TIME_KEYS]
@@ -82,14 +87,23 @@ def node_valid(n: str | Column = "n", m: str | Column = RAW) -> Column:
 
 
 def parse_pages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One row per node: ``raw_node`` text, typed ``n``, raw-value map ``m``."""
+    """One row per node: ``raw_node`` text, typed ``n``, raw-value map ``m``.
+
+    Each node is parsed inside its page's array, before the explode, so the
+    parse runs once per node; the columns read later are plain struct
+    accesses on the generator's output (a parse placed after the explode
+    would be inlined into every field that reads it).
+    """
     pages = raw.select(F.from_json(F.col(body), PAGE_SCHEMA).alias("_p"))
-    nodes = pages.select(F.explode("_p.data.search.nodes").alias("raw_node"))
-    return nodes.select(
-        "raw_node",
-        F.from_json("raw_node", NODE_SCHEMA).alias("n"),
-        F.from_json("raw_node", "map<string,string>").alias(RAW),
+    parsed = F.transform(
+        "_p.data.search.nodes",
+        lambda x: F.struct(
+            x.alias("raw_node"),
+            F.from_json(x, NODE_SCHEMA).alias("n"),
+            F.from_json(x, "map<string,string>").alias(RAW),
+        ),
     )
+    return pages.select(F.explode(parsed).alias("_e")).select("_e.raw_node", "_e.n", f"_e.{RAW}")
 
 
 def flat_columns(n: str = "n") -> list[Column]:
