@@ -95,15 +95,20 @@ def parse_pages(raw: DataFrame, body: str = "body") -> DataFrame:
     would be inlined into every field that reads it).
     """
     pages = raw.select(F.from_json(F.col(body), PAGE_SCHEMA).alias("_p"))
-    parsed = F.transform(
-        "_p.data.search.nodes",
+    parsed = _parsed_nodes(F.col("_p.data.search.nodes"))
+    return pages.select(F.explode(parsed).alias("_e")).select("_e.raw_node", "_e.n", f"_e.{RAW}")
+
+
+def _parsed_nodes(nodes: Column) -> Column:
+    """Array of ``struct(raw_node, n, m)``: each node parsed once."""
+    return F.transform(
+        nodes,
         lambda x: F.struct(
             x.alias("raw_node"),
             F.from_json(x, NODE_SCHEMA).alias("n"),
             F.from_json(x, "map<string,string>").alias(RAW),
         ),
     )
-    return pages.select(F.explode(parsed).alias("_e")).select("_e.raw_node", "_e.n", f"_e.{RAW}")
 
 
 def flat_columns(n: str = "n") -> list[Column]:
@@ -157,17 +162,17 @@ def flatten_pages(raw: DataFrame, body: str = "body") -> DataFrame:
 def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row: pages, nodes, valid nodes, malformed nodes.
 
-    Nodes are validated inside each page's array (no explode), so the pages
-    are read once and one global aggregate gives all four counts.
+    Nodes are parsed once and validated inside each page's array (no
+    explode), so the pages are read once and one global aggregate gives all
+    four counts.
     """
     nodes = F.coalesce(F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"], F.array().cast("array<string>"))
     per_page = raw.select(nodes.alias("_nodes")).select(
         F.size("_nodes").alias("_k"),
         F.aggregate(
-            "_nodes",
+            _parsed_nodes(F.col("_nodes")),
             F.lit(0),
-            lambda acc, x: acc
-            + F.when(node_valid(F.from_json(x, NODE_SCHEMA), F.from_json(x, "map<string,string>")), 1).otherwise(0),
+            lambda acc, e: acc + F.when(node_valid(e["n"], e[RAW]), 1).otherwise(0),
         ).alias("_ok"),
     )
     return per_page.agg(
