@@ -42,13 +42,19 @@ def age_hours(ts: str | Column, as_of: str | datetime) -> Column:
 
 
 def dedupe_batch(batch: DataFrame, key: str = "id", order_by: str | None = None) -> DataFrame:
-    """One row per key; with ``order_by`` the row with the largest value wins.
+    """One row per key; with ``order_by`` the row with the largest value wins
+    (then the largest remaining columns, so the choice never depends on task
+    order and a recomputed partition picks the same row).
 
     A ``groupBy`` with a max over a struct: partial aggregation runs before
     the shuffle, so a key repeated many times costs one row per partition.
     """
     if order_by is None:
-        return batch.dropDuplicates([key])
+        others = [c for c in batch.columns if c != key]
+        packed = F.max(F.struct(*[F.col(c) for c in others])).alias("_w")
+        return batch.groupBy(key).agg(packed).select(key, *[F.col(f"_w.{c}").alias(c) for c in others]).select(
+            *batch.columns
+        )
     others = [c for c in batch.columns if c not in (key, order_by)]
     packed = F.max(F.struct(F.col(order_by), *[F.col(c) for c in others])).alias("_w")
     return batch.groupBy(key).agg(packed).select(key, *[F.col(f"_w.{c}").alias(c) for c in [order_by] + others]).select(
