@@ -10,11 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlake.operators import scoring
 from cohortlake.operators.momentum import attach_momentum, momentum_7d, trending
-from cohortlake.operators.rank import minmax_norm, percentile_ranks
 from cohortlake.plans import oracle as O
 from cohortlake.session import configure
 from cohortlake.sources.fixtures import ENTITY_AS_OF, SNAPSHOT_AS_OF, repos_view, snapshots_view

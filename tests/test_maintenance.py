@@ -1,6 +1,4 @@
-from datetime import datetime, timedelta
-
-from pyspark.sql import functions as F
+from datetime import timedelta
 
 from cohortlake.operators import maintenance as mt
 from helpers import AS_OF, entities, repo

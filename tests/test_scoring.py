@@ -1,7 +1,5 @@
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from cohortlake.operators.scoring import score_entities
 from helpers import AS_OF, entities, no_snapshots, repo
 
