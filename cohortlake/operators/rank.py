@@ -55,10 +55,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Default ceiling of value buckets per group. A value's bucket costs one
+# comparison per bound, and 128 buckets per (cell, metric) already gives
+# thousands of independent prefix-sum partitions.
+MAX_BUCKETS = 128
+
+
 def _bucket_count(spark, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
 def _log_scale(x: Column) -> Column:
