@@ -142,3 +142,35 @@ FROM sl LEFT JOIN cnt ON cnt.slice_id = sl.slice_id"""
 def q_slices(spark, sf_dir):
     orders = driver_table(spark, sf_dir, "orders", ["o_orderdate"])
     return slice_counts(orders, "o_orderdate", cap=1000)
+
+
+STREAM_COLS = [
+    "id", "stars", "forks", "open_issues", "closed_issues", "topics", "created_at", "updated_at", "scraped_at",
+    "updated_in_db_at",
+]
+
+
+@register(
+    "stream_ingest",
+    O.with_ctes(
+        """valid AS (SELECT * FROM repos_v WHERE NOT is_archived),
+batch_as_of AS (SELECT max(scraped_at) AS t FROM valid)""",
+        body="""SELECT CAST(id AS VARCHAR) AS id, stars, forks, open_issues, closed_issues,
+  coalesce(topics, []::VARCHAR[]) AS topics, created_at, scraped_at AS updated_at,
+  (SELECT t FROM batch_as_of) AS scraped_at, (SELECT t FROM batch_as_of) AS updated_in_db_at
+FROM valid""",
+    ),
+)
+def q_stream_ingest(spark, sf_dir):
+    """Structured Streaming ingest (M1) end to end: land the pages as JSON
+    lines, run the stream to completion, read the committed state."""
+    from cohortlake.schemas import ENTITY_SCHEMA
+    from cohortlake.session import scratch_dir
+    from cohortlake.sources.store import read_state
+    from cohortlake.streaming.ingest import start_ingest
+
+    base = scratch_dir(spark, "stream")
+    landed_pages(spark, sf_dir).select("body").write.mode("overwrite").text(f"{base}/landing")
+    query = start_ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return read_state(spark, f"{base}/store", ENTITY_SCHEMA).select(*STREAM_COLS)

@@ -6,8 +6,6 @@ snapshots of entities without one are orphans) and the full snapshot view.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +14,7 @@ from cohortlake.operators.scoring import write_scores
 from cohortlake.plans import oracle as O
 from cohortlake.plans.catalog import _repos, _snaps, register, scored
 from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, conform
-from cohortlake.session import ensure_checkpoint_dir
+from cohortlake.session import scratch_dir
 from cohortlake.sources.export import export
 from cohortlake.sources.fixtures import ENTITY_AS_OF
 
@@ -106,7 +104,7 @@ def q_writeback(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_dir(spark, name)
 
 
 EXPORT_COLS = ["id", "full_name", "topics", "potential_score", "HG_score"]

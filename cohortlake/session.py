@@ -78,3 +78,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="cohortlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the reliable checkpoint folder (shared storage on
+    a cluster) for intermediate files such as exports or landed pages."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"

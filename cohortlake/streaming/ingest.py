@@ -66,10 +66,12 @@ def start_ingest(
     checkpoint_location: str,
     available_now: bool = False,
     processing_time: str | None = None,
+    one_page_per_file: bool = False,
     **kwargs,
 ) -> StreamingQuery:
-    """Start the stream: one landed file = one page (whole-text read)."""
-    pages = spark.readStream.format("text").option("wholetext", True).load(landing_dir)
+    """Start the stream over ``landing_dir``: JSON lines (one page per
+    line, many pages per file) or, with ``one_page_per_file``, whole files."""
+    pages = spark.readStream.format("text").option("wholetext", bool(one_page_per_file)).load(landing_dir)
     writer = pages.writeStream.foreachBatch(
         lambda df, batch_id: process_batch(spark, df, batch_id, root, **kwargs)
     ).option("checkpointLocation", checkpoint_location)

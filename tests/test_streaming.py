@@ -18,7 +18,7 @@ def test_stream_ingest_and_replay(spark, tmp_dir):
     root = os.path.join(tmp_dir, "store")
     write_page(os.path.join(landing, "p1.json"),
                [node(id="R_1"), node(id="R_2", stargazerCount=20), node(owner=None)])
-    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True)
+    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True, one_page_per_file=True)
     q.awaitTermination(300)
     state = store.read_state(spark, root, ENTITY_SCHEMA)
     assert sorted(r["id"] for r in state.collect()) == ["R_1", "R_2"]
@@ -33,7 +33,7 @@ def test_stream_ingest_and_replay(spark, tmp_dir):
 
     # A second landed page: R_2 changes, R_3 is new; R_1/R_2 are fresh (same day).
     write_page(os.path.join(landing, "p2.json"), [node(id="R_2", stargazerCount=25), node(id="R_3")])
-    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True)
+    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True, one_page_per_file=True)
     q.awaitTermination(300)
     state = {r["id"]: r for r in store.read_state(spark, root, ENTITY_SCHEMA).collect()}
     assert sorted(state) == ["R_1", "R_2", "R_3"] and state["R_2"]["stars"] == 25
