@@ -308,22 +308,31 @@ def thin_snapshots(
     schema = snaps.schema
 
     def fold(batches):
-        last_key = None
-        last_kept = None
+        import numpy as np
+
+        carry_key, carry_kept = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             keys = pdf[key].to_numpy()
             times = pd.to_datetime(pdf[ts]).astype("datetime64[us]").astype("int64").to_numpy()
-            keep = [False] * len(pdf)
-            for i in range(len(pdf)):
-                k, t = keys[i], times[i]
-                if k != last_key or last_kept is None:
-                    last_key, last_kept = k, t
-                    keep[i] = True
-                elif t - last_kept >= ttl_us:
-                    last_kept = t
-                    keep[i] = True
+            keep = np.zeros(len(pdf), dtype=bool)
+            # Segments of equal keys (rows arrive sorted by key, then time).
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            ends = np.r_[starts[1:], len(pdf)]
+            for s, e in zip(starts, ends):
+                seg = times[s:e]
+                if keys[s] == carry_key and carry_kept is not None:
+                    i = int(np.searchsorted(seg, carry_kept + ttl_us, "left"))
+                else:
+                    i = 0
+                last = carry_kept if keys[s] == carry_key else None
+                # Jump from kept row to kept row: one binary search each.
+                while i < len(seg):
+                    keep[s + i] = True
+                    last = seg[i]
+                    i = int(np.searchsorted(seg, last + ttl_us, "left"))
+                carry_key, carry_kept = keys[s], last
             yield pdf[keep]
 
     ordered = snaps.repartition(key).sortWithinPartitions(key, ts)

@@ -105,3 +105,27 @@ def test_dedupe_batch_latest_wins(spark):
                                "id string, t int, v string")
     got = {r["id"]: r["v"] for r in st.dedupe_batch(df, "id", "t").collect()}
     assert got == {"a": "new", "b": "x"}
+
+
+def test_thin_snapshots_across_arrow_batches(spark):
+    import random
+
+    rnd = random.Random(5)
+    t0 = datetime(2026, 1, 1)
+    rows, expect = [], []
+    for k in ("a", "b", "c"):
+        t, last = t0, None
+        for _ in range(200):
+            t = t + timedelta(minutes=rnd.randint(1, 300))
+            rows.append((k, t, 1, 1, 1))
+            if last is None or t - last >= timedelta(hours=6):
+                expect.append((k, t))
+                last = t
+    snaps = spark.createDataFrame(rows, "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r["repo_id"], r["snapshot_at"]) for r in st.thin_snapshots(snaps.repartition(3), 6).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == sorted(expect)
