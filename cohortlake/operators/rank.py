@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.session import ensure_checkpoint_dir
+from cohortlake.session import scratch_dir
 
 # Fixed value: the floor of the rank denominator.
 MIN_DENOMINATOR = 1e-9
@@ -47,14 +47,22 @@ def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] |
 def freeze(df: DataFrame) -> DataFrame:
     """Cut the lineage of a DataFrame that several branches consume.
 
-    Writes it once to the reliable checkpoint folder (shared storage on a
-    cluster, so lost executors do not lose it) and reads it back; without
-    this, every branch re-runs the whole upstream plan.
+    Writes it once as a Parquet table in a scratch folder under the
+    reliable checkpoint folder (shared storage on a cluster, so lost
+    executors do not lose it) and reads it back. Without this, every branch
+    re-runs the whole upstream plan. (``Dataset.checkpoint`` would compute
+    the plan twice - once to count, once to write - and store rows rather
+    than columns.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_dir(spark, "frozen")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
+# Largest input the "auto" rank method still ranks with window functions.
+WINDOW_MAX_ROWS = 2_000_000
+
 # Default ceiling of value buckets per group. A value's bucket costs one
 # comparison per bound, and 128 buckets per (cell, metric) already gives
 # thousands of independent prefix-sum partitions.
@@ -213,13 +221,22 @@ def percentile_ranks(
     method: str = "bucketed",
     buckets: int | None = None,
     rows_per_bucket: int = 1_000_000,
+    window_max_rows: int = WINDOW_MAX_ROWS,
 ) -> DataFrame:
     """Add one percentile-rank column per metric (``{out_col: value_col}``).
 
     ``key`` must be unique per row for the bucketed form (it joins the ranks
-    back). ``method`` is ``"bucketed"`` or ``"window"``.
+    back). ``method`` is ``"bucketed"``, ``"window"`` or ``"auto"``: the input
+    is checkpointed once and counted from the checkpoint; up to
+    ``window_max_rows`` rows the window form is used (every cell fits one
+    task comfortably), above it the bucketed form.
     """
     parts = list(partition_by)
+    frozen = False
+    if method == "auto":
+        df = freeze(df)
+        frozen = True
+        method = "window" if df.count() <= window_max_rows else "bucketed"
     if method == "window":
         out = df
         for name, col in metrics.items():
@@ -230,7 +247,8 @@ def percentile_ranks(
 
     names = list(metrics)
     # The input is read twice (melt, final join): materialise it once.
-    df = freeze(df)
+    if not frozen:
+        df = freeze(df)
     # Melt the metrics so all ranks share one pass. ``+ 0.0`` turns -0.0 into
     # 0.0 so both zeros are one value.
     stacked = F.explode(

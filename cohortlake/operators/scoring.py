@@ -89,7 +89,7 @@ def weighted_score(weights: tuple[tuple[str, float], ...]) -> F.Column:
 def add_scores(
     featured: DataFrame,
     partition_by: tuple[str, ...] = COHORT,
-    method: str = "bucketed",
+    method: str = "auto",
     key: str = "id",
     buckets: int | None = None,
     rows_per_bucket: int = 1_000_000,
@@ -113,7 +113,7 @@ def score_entities(
     snapshots: DataFrame,
     as_of: str | datetime,
     momentum_as_of: str | datetime | None = None,
-    method: str = "bucketed",
+    method: str = "auto",
     key: str = "id",
     buckets: int | None = None,
     rows_per_bucket: int = 1_000_000,

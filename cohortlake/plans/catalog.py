@@ -45,7 +45,7 @@ def _snaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots_view(spark, sf_dir)
 
 
-def scored(spark: SparkSession, sf_dir: str, method: str = "bucketed") -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, method: str = "auto") -> DataFrame:
     """The scored entity table (flagship run) over the fixture views."""
     return scoring.score_entities(
         _repos(spark, sf_dir), _snaps(spark, sf_dir), ENTITY_AS_OF, momentum_as_of=SNAPSHOT_AS_OF, method=method
@@ -71,6 +71,12 @@ def q_score_all_window(spark, sf_dir):
     return scored(spark, sf_dir, method="window").select(*SCORE_OUT)
 
 
+@register("score_all_bucketed", O.scored_sql(f"SELECT {', '.join(SCORE_OUT)} FROM scored"))
+def q_score_all_bucketed(spark, sf_dir):
+    """The scale form forced, whatever the input size."""
+    return scored(spark, sf_dir, method="bucketed").select(*SCORE_OUT)
+
+
 @register(
     "momentum_7d",
     O.scored_sql("SELECT repo_id, momentum_7d FROM mom"),
