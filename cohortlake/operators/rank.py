@@ -60,6 +60,9 @@ def freeze(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Upper bound for broadcasting the per-group bounds / offsets tables.
+BROADCAST_MAX_BYTES = 64 << 20
+
 # Largest input the "auto" rank method still ranks with window functions.
 WINDOW_MAX_ROWS = 2_000_000
 
@@ -115,10 +118,19 @@ def value_positions(
     # local prefix sums: materialise it once.
     counts = freeze(long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c")))
 
+    stats = counts.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_d"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    )
+    # The per-group tables (bounds, offsets) are joined on the group keys,
+    # which are few: they must be broadcast, or a sort-merge join would send
+    # each group's values to one task. Their size is proven by counting the
+    # groups (cheap: ``counts`` is materialised); above the bound there are
+    # many groups and a shuffle join spreads well.
+    n_groups = stats.count()
+    bounds_small = n_groups * (8 * nb_max + 64) <= BROADCAST_MAX_BYTES
+    offsets_small = n_groups * nb_max * 64 <= BROADCAST_MAX_BYTES
+
     if nb_max > 1:
-        stats = counts.groupBy(*g).agg(
-            F.count(F.lit(1)).alias("_d"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-        )
         nb = F.least(F.lit(nb_max), F.ceil(F.col("_d") / F.lit(float(rows_per_bucket)))).cast("int")
         tlo, thi = _log_scale(F.col("_lo")), _log_scale(F.col("_hi"))
         spaced = F.transform(
@@ -131,8 +143,7 @@ def value_positions(
             .otherwise(F.array().cast("array<double>"))
             .alias("_bounds"),
         )
-        # One row per group; AQE broadcasts it when its runtime size is small.
-        bucketed = counts.join(bounds, g, "left").select(
+        bucketed = counts.join(F.broadcast(bounds) if bounds_small else bounds, g, "left").select(
             *g,
             value,
             "_c",
@@ -151,8 +162,7 @@ def value_positions(
         ).alias("_off"),
         F.sum("_bc").over(by_group).alias("_n"),
     )
-    # offsets has one row per (group, bucket): small, AQE broadcasts it.
-    with_off = bucketed.join(offsets, g + ["_bk"])
+    with_off = bucketed.join(F.broadcast(offsets) if offsets_small else offsets, g + ["_bk"])
     local = Window.partitionBy(*g, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_off") + F.coalesce(F.sum("_c").over(local), F.lit(0))
     return with_off.select(*g, value, "_c", below.alias("_below"), "_n")
