@@ -33,14 +33,20 @@ def _pr_from_parts(rank_minus_one: Column, n_nonnull: Column) -> Column:
 
 
 def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] | tuple[str, ...], out: str) -> DataFrame:
-    """Window form: adds ``out`` to ``df``."""
+    """Window form: adds ``out`` to ``df``.
+
+    One window spec per metric (one exchange and one sort): ``rank()``, the
+    number of tied peers (RANGE frame on the current value) and the cell's
+    non-NULL count (whole frame) all come from the same ordered partition.
+    NULLs sit in their own partition so they take no rank positions.
+    """
     v = F.col(value)
     cell = [F.col(c) for c in partition_by]
-    by_order = Window.partitionBy(*cell, v.isNull()).orderBy(v)
-    by_value = Window.partitionBy(*cell, v)
-    by_cell = Window.partitionBy(*cell) if cell else Window.partitionBy(F.lit(0))
-    rank_m1 = (F.rank().over(by_order) - 1).cast("double") + (F.count(F.lit(1)).over(by_value) - 1).cast("double") / 2.0
-    pr = _pr_from_parts(rank_m1, F.count(v).over(by_cell))
+    spec = Window.partitionBy(*cell, v.isNull()).orderBy(v)
+    peers = spec.rangeBetween(Window.currentRow, Window.currentRow)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rank_m1 = (F.rank().over(spec) - 1).cast("double") + (F.count(F.lit(1)).over(peers) - 1).cast("double") / 2.0
+    pr = _pr_from_parts(rank_m1, F.count(v).over(whole))
     return df.withColumn(out, F.when(v.isNull(), F.lit(0.0)).otherwise(pr))
 
 
