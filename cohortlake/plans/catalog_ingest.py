@@ -43,7 +43,8 @@ def q_flatten(spark, sf_dir):
 @register(
     "quarantine_counts",
     O.with_ctes(
-        body="""SELECT count(DISTINCT floor(id / 100)) AS pages, count(*) AS nodes_total,
+        body="""SELECT count(DISTINCT floor(id / 100)) AS pages, CAST(0 AS BIGINT) AS pages_unparsed,
+  count(*) AS nodes_total,
   count(*) FILTER (WHERE NOT is_archived) AS nodes_valid, count(*) FILTER (WHERE is_archived) AS nodes_malformed
 FROM repos_v"""
     ),

@@ -144,6 +144,13 @@ def flat_columns(n: str = "n") -> list[Column]:
     ]
 
 
+def unparsed_pages(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Pages whose body is not a search-result document (bad JSON or no
+    node list): they would vanish in the explode, so they are split off."""
+    nodes = F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"]
+    return raw.where(nodes.isNull()).select(F.col(body).alias("raw_node"))
+
+
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good flat rows, malformed raw nodes)``; both are lazy and one pass
     each, so the caller can count the bad ones without collecting them."""
@@ -160,14 +167,18 @@ def flatten_pages(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One row: pages, nodes, valid nodes, malformed nodes.
+    """One row: pages, unparseable pages, nodes, valid nodes, malformed nodes.
 
     Nodes are parsed once and validated inside each page's array (no
     explode), so the pages are read once and one global aggregate gives all
-    four counts.
+    the counts.
     """
-    nodes = F.coalesce(F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"], F.array().cast("array<string>"))
-    per_page = raw.select(nodes.alias("_nodes")).select(
+    parsed_nodes = F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"]
+    per_page = raw.select(
+        parsed_nodes.isNull().alias("_bad_page"),
+        F.coalesce(parsed_nodes, F.array().cast("array<string>")).alias("_nodes"),
+    ).select(
+        "_bad_page",
         F.size("_nodes").alias("_k"),
         F.aggregate(
             _parsed_nodes(F.col("_nodes")),
@@ -177,6 +188,7 @@ def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
     )
     return per_page.agg(
         F.count(F.lit(1)).alias("pages"),
+        F.count_if("_bad_page").alias("pages_unparsed"),
         F.sum("_k").cast("long").alias("nodes_total"),
         F.sum("_ok").cast("long").alias("nodes_valid"),
         (F.sum("_k") - F.sum("_ok")).cast("long").alias("nodes_malformed"),

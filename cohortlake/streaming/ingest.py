@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cohortlake.operators import state as st
 from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA, conform
 from cohortlake.sources import store
-from cohortlake.sources.pages import parse_pages, split_valid
+from cohortlake.sources.pages import parse_pages, split_valid, unparsed_pages
 
 PAGE_TEXT = "value"
 
@@ -34,6 +34,8 @@ def process_batch(
 ) -> int | None:
     """Apply one batch of raw pages (column ``value``) to the store."""
     good, bad = split_valid(parse_pages(pages, PAGE_TEXT))
+    # Errors of the run: malformed nodes plus pages that did not parse at all.
+    bad = bad.unionByName(unparsed_pages(pages, PAGE_TEXT))
     good = st.dedupe_batch(good, "id", "updated_at")
     as_of_row = good.agg(F.max("updated_at").alias("t")).head()
     if as_of_row is None or as_of_row["t"] is None:

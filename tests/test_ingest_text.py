@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.text import README_PATTERNS, decode_base64_text, text_feature_columns, total_count
 from cohortlake.operators.slices import slice_counts
-from cohortlake.sources.pages import flatten_pages, parse_pages, quarantine_counts, split_valid
+from cohortlake.sources.pages import flatten_pages, parse_pages, quarantine_counts, split_valid, unparsed_pages
 
 
 def node(**kw):
@@ -48,11 +48,12 @@ def test_malformed_split_and_counts(spark):
     good = [node(id=f"R_{i}") for i in range(3)]
     bad = [node(id="ABSENT"), node(owner=None), node(stargazerCount=None), node(issues={"totalCount": None}),
            node(repositoryTopics=None), node(stargazerCount="many"), node(createdAt="yesterday")]
-    df = pages_df(spark, good + bad[:3], bad[3:])
+    df = pages_df(spark, good + bad[:3], bad[3:]).union(spark.createDataFrame([("{not json",)], "body string"))
     ok, malformed = split_valid(parse_pages(df))
     assert ok.count() == 3 and malformed.count() == len(bad)
+    assert unparsed_pages(df).count() == 1
     q = quarantine_counts(df).collect()[0]
-    assert (q["pages"], q["nodes_total"], q["nodes_valid"], q["nodes_malformed"]) == (2, 10, 3, 7)
+    assert (q["pages"], q["pages_unparsed"], q["nodes_total"], q["nodes_valid"], q["nodes_malformed"]) == (3, 1, 10, 3, 7)
 
 
 def test_readme_features(spark):

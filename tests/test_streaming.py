@@ -18,12 +18,14 @@ def test_stream_ingest_and_replay(spark, tmp_dir):
     root = os.path.join(tmp_dir, "store")
     write_page(os.path.join(landing, "p1.json"),
                [node(id="R_1"), node(id="R_2", stargazerCount=20), node(owner=None)])
+    with open(os.path.join(landing, "p0.json"), "w") as f:
+        f.write("{truncated")
     q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True, one_page_per_file=True)
     q.awaitTermination(300)
     state = store.read_state(spark, root, ENTITY_SCHEMA)
     assert sorted(r["id"] for r in state.collect()) == ["R_1", "R_2"]
     runs = store.read_appended(spark, root, "runs", RUN_SCHEMA).collect()
-    assert len(runs) == 1 and runs[0]["repos_new"] == 2 and runs[0]["errors_count"] == 1
+    assert len(runs) == 1 and runs[0]["repos_new"] == 2 and runs[0]["errors_count"] == 2
     assert store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA).count() == 2
 
     # Replaying batch 0 rewrites the same folders: nothing is duplicated.
