@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.session import scratch_dir
+from cohortlake.session import freeze
 
 # Fixed value: the floor of the rank denominator.
 MIN_DENOMINATOR = 1e-9
@@ -50,22 +50,6 @@ def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] |
     return df.withColumn(out, F.when(v.isNull(), F.lit(0.0)).otherwise(pr))
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a DataFrame that several branches consume.
-
-    Writes it once as a Parquet table in a scratch folder under the
-    reliable checkpoint folder (shared storage on a cluster, so lost
-    executors do not lose it) and reads it back. Without this, every branch
-    re-runs the whole upstream plan. (``Dataset.checkpoint`` would compute
-    the plan twice - once to count, once to write - and store rows rather
-    than columns.)
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, "frozen")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # Upper bound for broadcasting the per-group bounds / offsets tables.
 BROADCAST_MAX_BYTES = 64 << 20
 

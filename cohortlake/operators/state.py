@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.functions.features import ts_lit
+from cohortlake.session import freeze
 
 # Refresh classes and default TTLs (hours).
 NEW, REFRESH, SKIP = "NEW", "REFRESH", "SKIP"
@@ -217,8 +218,6 @@ def apply_batch(
     (default ``as_of``) is the clock of the snapshot gate and the time
     stamped on new snapshots.
     """
-    from cohortlake.operators.rank import freeze
-
     snap_time = snapshot_as_of or as_of
     # The classified batch feeds the snapshot gate and the merge; it is
     # batch-sized, so materialise it once instead of re-running the batch's
