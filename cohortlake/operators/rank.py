@@ -54,7 +54,7 @@ def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] |
 BROADCAST_MAX_BYTES = 64 << 20
 
 # Largest input the "auto" rank method still ranks with window functions.
-WINDOW_MAX_ROWS = 2_000_000
+WINDOW_MAX_ROWS = 500_000
 
 # Default ceiling of value buckets per group. A value's bucket costs one
 # comparison per bound, and 128 buckets per (cell, metric) already gives
