@@ -182,18 +182,22 @@ def upsert_state(
     as_of: str | datetime,
     key: str = "id",
     keep_old_when_null: bool = False,
+    order_by: str | None = None,
 ) -> DataFrame:
-    """Insert-or-replace every batch row by key; adds ``is_new``."""
-    classified = batch.withColumn("refresh_class", F.lit(REFRESH))
+    """Insert-or-replace every batch row by key; adds ``is_new``. A key
+    repeated in the batch is applied once (latest ``order_by`` wins)."""
+    classified = dedupe_batch(batch, key, order_by).withColumn("refresh_class", F.lit(REFRESH))
     merged = _merge(state, classified, as_of, key, keep_old_when_null)
     return merged.withColumn(
         "is_new", F.when(F.col("refresh_class").isNotNull(), F.col("_in_state").isNull())
     ).drop("refresh_class", "_in_state")
 
 
-def light_update(state: DataFrame, batch: DataFrame, as_of: str | datetime, key: str = "id") -> DataFrame:
+def light_update(
+    state: DataFrame, batch: DataFrame, as_of: str | datetime, key: str = "id", order_by: str | None = None
+) -> DataFrame:
     """Update only the volatile columns of matched keys; unknown keys are ignored."""
-    classified = batch.withColumn("refresh_class", F.lit(SKIP))
+    classified = dedupe_batch(batch, key, order_by).withColumn("refresh_class", F.lit(SKIP))
     merged = _merge(state, classified, as_of, key, keep_old_when_null=False)
     return merged.where(F.col("_in_state").isNotNull()).drop("refresh_class", "_in_state")
 
@@ -209,6 +213,7 @@ def apply_batch(
     key: str = "id",
     keep_old_when_null: bool = False,
     snapshot_as_of: str | datetime | None = None,
+    order_by: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Whole batch step: classify -> upsert/light update -> snapshots.
 
@@ -222,6 +227,7 @@ def apply_batch(
     # The classified batch feeds the snapshot gate and the merge; it is
     # batch-sized, so materialise it once instead of re-running the batch's
     # parsing and the classification join for each consumer.
+    batch = dedupe_batch(batch, key, order_by)
     classified = freeze(classify_refresh(state, batch, as_of, refresh_ttl_hours, force, key))
     gated = snapshot_due(classified, snaps, snap_time, snapshot_ttl_hours, key)
     merged = _merge(state, classified, as_of, key, keep_old_when_null).drop("refresh_class", "_in_state")

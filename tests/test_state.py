@@ -129,3 +129,14 @@ def test_thin_snapshots_across_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == sorted(expect)
+
+
+def test_repeated_key_in_batch_is_applied_once(spark):
+    state = entities(spark, [repo(1, stars=1)])
+    batch = entities(spark, [repo(1, stars=5, updated_at=datetime(2026, 2, 1)),
+                             repo(1, stars=9, updated_at=datetime(2026, 2, 2)), repo(2)]).drop("scraped_at", "updated_in_db_at")
+    up = {r["id"]: r for r in st.upsert_state(state, batch, AS_OF, order_by="updated_at").collect()}
+    assert len(up) == 2 and up["R_1"]["stars"] == 9
+    new_state, snaps, gated = st.apply_batch(state, no_snapshots(spark), batch, AS_OF, order_by="updated_at")
+    assert new_state.count() == 2 and gated.count() == 2
+    assert {r["id"]: r["stars"] for r in new_state.collect()}["R_1"] == 9
