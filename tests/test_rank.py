@@ -63,3 +63,12 @@ def test_minmax(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 6.0)], "id long, v double")
     out = {r["id"]: r["n"] for r in minmax_norm(df, "v", "n").collect()}
     assert out == {1: 0.0, 2: 0.5, 3: 1.0}
+
+
+def test_exact_percentile_edges(spark):
+    df = spark.createDataFrame(
+        [("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 7.0)], "g string, v double"
+    )
+    got = {r["g"]: r for r in exact_percentiles(df, "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0, "p25": 0.25}, ["g"]).collect()}
+    assert (got["a"]["p0"], got["a"]["p50"], got["a"]["p100"], got["a"]["p25"]) == (1.0, 2.0, 3.0, 1.5)
+    assert (got["b"]["p0"], got["b"]["p50"], got["b"]["p100"]) == (7.0, 7.0, 7.0)
