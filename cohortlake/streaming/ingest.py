@@ -36,7 +36,6 @@ def process_batch(
     good, bad = split_valid(parse_pages(pages, PAGE_TEXT))
     # Errors of the run: malformed nodes plus pages that did not parse at all.
     bad = bad.unionByName(unparsed_pages(pages, PAGE_TEXT))
-    good = st.dedupe_batch(good, "id", "updated_at")
     as_of_row = good.agg(F.max("updated_at").alias("t")).head()
     if as_of_row is None or as_of_row["t"] is None:
         return None
@@ -48,8 +47,9 @@ def process_batch(
     batch = conform(good, ENTITY_SCHEMA, ENTITY_DEFAULTS).drop("scraped_at", "updated_in_db_at", *[
         c for c in ENTITY_SCHEMA.fieldNames() if c not in st.CRAWL_COLUMNS and c != "id"
     ])
+    # apply_batch keeps one row per key (the latest updated_at wins).
     new_state, new_snaps, gated = st.apply_batch(
-        state, snaps, batch, as_of, refresh_ttl_hours, snapshot_ttl_hours, force
+        state, snaps, batch, as_of, refresh_ttl_hours, snapshot_ttl_hours, force, order_by="updated_at"
     )
     run = st.run_counters(gated, f"batch-{batch_id:012d}", as_of, as_of, errors=bad)
     return store.write_batch(
