@@ -221,7 +221,7 @@ def percentile_ranks(
     method: str = "bucketed",
     buckets: int | None = None,
     rows_per_bucket: int = 1_000_000,
-    window_max_rows: int = WINDOW_MAX_ROWS,
+    window_max_rows: int | None = None,
 ) -> DataFrame:
     """Add one percentile-rank column per metric (``{out_col: value_col}``).
 
@@ -236,7 +236,8 @@ def percentile_ranks(
     if method == "auto":
         df = freeze(df)
         frozen = True
-        method = "window" if df.count() <= window_max_rows else "bucketed"
+        limit = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
+        method = "window" if df.count() <= limit else "bucketed"
     if method == "window":
         out = df
         for name, col in metrics.items():

@@ -72,3 +72,17 @@ def test_exact_percentile_edges(spark):
     got = {r["g"]: r for r in exact_percentiles(df, "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0, "p25": 0.25}, ["g"]).collect()}
     assert (got["a"]["p0"], got["a"]["p50"], got["a"]["p100"], got["a"]["p25"]) == (1.0, 2.0, 3.0, 1.5)
     assert (got["b"]["p0"], got["b"]["p50"], got["b"]["p100"]) == (7.0, 7.0, 7.0)
+
+
+def test_auto_switches_to_bucketed_with_same_result(spark, monkeypatch):
+    import cohortlake.operators.rank as rank
+
+    df = _data(spark, 600, 9)
+    metrics = {"pr_v": "v", "pr_w": "w"}
+    small = {r["id"]: (r["pr_v"], r["pr_w"]) for r in percentile_ranks(df, metrics, ["cell"], method="auto").collect()}
+    monkeypatch.setattr(rank, "WINDOW_MAX_ROWS", 10)
+    calls = []
+    real = rank.value_ranks
+    monkeypatch.setattr(rank, "value_ranks", lambda *a, **k: calls.append(1) or real(*a, **k))
+    big = {r["id"]: (r["pr_v"], r["pr_w"]) for r in percentile_ranks(df, metrics, ["cell"], method="auto").collect()}
+    assert calls and small == big
