@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import setup
+from cohortlake.llm.minhash import without_duplicates
 from cohortlake.llm.quality import quality
 
 
@@ -14,3 +15,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     setup(spark)
     judged, names = quality(docs)
     return judged.where(F.col(names["kept"])).select(*docs.columns)
+
+
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, columns as given."""
+    setup(spark)
+    return without_duplicates(docs)
