@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.common import table
 from cohortlake.llm.minhash import near_duplicates
+from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_members", "kept")
 
 
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents")).select(

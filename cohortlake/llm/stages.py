@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.common import setup
 from cohortlake.llm.minhash import without_duplicates
+from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality
 
 
@@ -21,3 +22,9 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each near-duplicate class, columns as given."""
     setup(spark)
     return without_duplicates(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 1024 ids, with their digests."""
+    setup(spark)
+    return pack(docs, with_ids=False).drop("ids")
