@@ -14,6 +14,7 @@ from cohortlake.llm.common import table
 from cohortlake.llm.minhash import near_duplicates
 from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
+from cohortlake.llm.toxicity import CUT, held_out, learn, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id"))
+    scored, _ = score(docs, learn(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence"
+    )
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents")).select(

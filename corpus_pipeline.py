@@ -13,6 +13,9 @@ from cohortlake.llm.common import freeze, table
 
 STAGES = [
     ("quality", stages.quality_stage),
+    ("toxicity", stages.toxicity_stage),
+    ("minhash", stages.minhash_stage),
+    ("packing", stages.packing_stage),
 ]
 
 #: No stage is SQL (EM, kNN, hashing, tokens); tests/llm compares with brute force.
