@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from cohortlake.session import configure, freeze
 
-__all__ = ["append_columns", "connected_components", "fresh", "freeze", "map_arrow", "setup", "table", "union_all"]
+__all__ = ["append_columns", "arrow_rows", "connected_components", "fresh", "freeze", "map_arrow", "setup", "table", "union_all"]
 
 #: Rows of an Arrow batch; texts are long, so a batch stays at a few MB.
 ARROW_ROWS = 1000
@@ -65,6 +66,18 @@ def append_columns(
     return map_arrow(df, each, schema), names
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows in an Arrow batch, for jobs that run within; for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:

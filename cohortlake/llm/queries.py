@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import table
+from cohortlake.llm.embedding import linked_vectors
 from cohortlake.llm.minhash import near_duplicates
 from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
@@ -32,6 +33,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_members", "kept")
 
 
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 SHARDS, SHARD_SEED = 24, 20240
 
 
