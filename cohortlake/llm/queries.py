@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlake.llm.chat import digests, format_conversations, text_parts
 from cohortlake.llm.common import table
 from cohortlake.llm.embedding import linked_vectors
 from cohortlake.llm.minhash import near_duplicates
@@ -38,6 +39,17 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: A conversation whose texts hold the usual control strings.
+HARD_CONVERSATION, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(HARD_CONVERSATION, 0, "user", HARD_TEXT), (HARD_CONVERSATION, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(text_parts(rows.unionByName(hard))))
+
+
 SHARDS, SHARD_SEED = 24, 20240
 
 
