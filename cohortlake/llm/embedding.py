@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm.common import arrow_rows, connected_components, freeze
+from cohortlake.llm.text import least_reached
 
 THRESHOLD = 0.98
 #: Leading principal directions of the grid, vectors of a block, and the join's smallest intervals.
@@ -174,18 +175,6 @@ def ego_join(a, b, epsilon: float, threshold: float, leaf: int = LEAF) -> tuple[
     return np.concatenate([r for r, _ in found] or [np.zeros(0, int)]), np.concatenate([c for _, c in found] or [np.zeros(0, int)])
 
 
-def _least_reached(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """For each of n nodes, the least node that edges (r, c) reach."""
-    least = np.arange(n)
-    while True:
-        before = least.copy()
-        np.minimum.at(least, r, least[c])
-        np.minimum.at(least, c, least[r])
-        least = least[least]
-        if (least == before).all():
-            return least
-
-
 def _joined(epsilon: float, threshold: float):
     """Rows (node, weight of its links, a node of its component) from pairs of blocks."""
 
@@ -209,7 +198,7 @@ def _joined(epsilon: float, threshold: float):
                     ids, sizes, c = np.concatenate((a[0], b[0])), np.concatenate((a[3], b[3])), c + len(a[0])
                 links = np.bincount(r, sizes[c], len(ids)) + np.bincount(c, sizes[r], len(ids))
                 hit = np.flatnonzero(links)
-                root = _least_reached(len(ids), r, c)
+                root = least_reached(len(ids), r, c)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["node", "links", "root"])
 
     return run

@@ -11,12 +11,14 @@ equal to their similarity.
 
 Plan: one Arrow pass over the texts gives digests and band keys (a narrow table
 in the shared folder). Equal texts collapse to one representative by a hash
-aggregate. Representatives that share a band key are compared with leaders of
-that bucket, by exact similarity of their shingle bags, round by round: a member
-is compared with a leader only while they are in different components, and a
-bucket is done when every member outside its largest component has been a
-leader. So no link between components is lost, and a group of n copies costs
-about n comparisons instead of n * n. Components come from large-star/small-star.
+aggregate. Every bucket of representatives with the same band key has a leader,
+the one that shares buckets with most others, and its members are compared with
+it by exact similarity of their shingle bags: a group of n near copies costs
+about n comparisons, not n * n. What this leaves in different components is
+compared as well, so no link is lost: pair by pair in buckets of bounded size, and
+in larger groups by blocks, where those outside the largest component meet all
+others and each pair of blocks gives a spanning set of its links. Components come
+from large-star/small-star.
 """
 
 from __future__ import annotations
@@ -25,19 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from cohortlake.llm.common import append_columns, connected_components, freeze, fresh, map_arrow
-from cohortlake.llm.text import SLICE_BYTES, Texts, mix64, slices, window_hashes
+from cohortlake.llm.common import append_columns, arrow_rows, connected_components, freeze, fresh, map_arrow
+from cohortlake.llm.text import SLICE_BYTES, Texts, least_reached, mix64, slices, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands x rows coordinates. A pair at 0.8 shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
-#: A bucket has one leader in the first round, and so many times more in each further one.
-MORE_LEADERS = 4
+#: Buckets up to this size are compared pair by pair, larger ones in blocks of so many rows.
+SMALL_BUCKET, BLOCK_ROWS = 48, 256
+#: Members of a leader that one task compares in a run, and block pairs of an Arrow batch.
+STAR_ROWS, PAIR_ROWS = 2000, 16
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -161,91 +166,192 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def _bags(docs: DataFrame) -> DataFrame:
-    """(node, n_shingles, bag): the sorted 64-bit shingle hashes of a text, with repeats."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bag", T.BinaryType())])
+    """(node, bag): a text's shingles as sorted 64-bit hashes.
+
+    The i-th repeat of a shingle has a hash of its own, so that the bag is a set and
+    its Jaccard similarity is the weighted one.
+    """
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("bag", T.BinaryType())])
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, t in slices(batch.column(1)):
             hashes, owner = shingles(t)
+            run = np.arange(len(hashes))
+            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))[: len(run)]
+            repeat = (run - np.maximum.accumulate(np.where(new, run, 0))).astype(np.uint64)
+            hashes = mix64(hashes + repeat * _SEED)
+            hashes = hashes[np.lexsort((hashes, owner))]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=t.n)))) * 8
             bags = pa.LargeBinaryArray.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(hashes.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), pa.array(np.diff(offsets) // 8), bags.cast(pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), bags.cast(pa.binary())], names=schema.names)
 
     return map_arrow(docs.select("node", "text"), each, schema)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays with repeats: sum of least counts by sum of largest counts."""
-    both = np.concatenate((a, b))
-    side = np.concatenate((np.zeros(len(a), bool), np.ones(len(b), bool)))
-    order = np.lexsort((side, both))
-    both, side = both[order], side[order]
-    start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    in_b = np.add.reduceat(side.astype(np.int64), start)
-    in_a = np.diff(np.concatenate((start, [len(both)]))) - in_b
-    low = int(np.minimum(in_a, in_b).sum())
-    return low / (len(both) - low)
-
-
-def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags are at least ``threshold`` similar."""
-    a = bags.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bag").alias("bag_a"))
-    b = bags.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bag").alias("bag_b"))
-    size = bags.select("node", "n_shingles")
-    # sizes alone decide most pairs; only the rest carry bags
-    near = pairs.join(size.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), "a").join(
-        size.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb")), "b"
-    )
-    near = near.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-    both = near.join(a.drop("na"), "a").join(b.drop("nb"), "b")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def similar(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the bags that lie on end in ``many`` reach the threshold with the bag ``one``."""
+    at = np.searchsorted(one, many)
+    at[at == len(one)] = 0
+    hits = np.concatenate(([0], np.cumsum(one[at] == many)))
+    ends = np.cumsum(sizes)
+    both = hits[ends] - hits[ends - sizes]
+    return both >= threshold * (len(one) + sizes - both) - 1e-9
+
+
+_EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        left, right = batch.column("bag_a"), batch.column("bag_b")
-        read = lambda column, i: np.frombuffer(column[i].as_buffer(), np.uint64)
-        keep = [weighted_jaccard(read(left, i), read(right, i)) >= threshold for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    return map_arrow(both.select("a", "b", "bag_a", "bag_b"), each, schema)
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of bags: all hashes on end, and the bags' sizes."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), sizes
+
+
+def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bags are at least ``threshold`` similar.
+
+    Bags of a travel to their leaders b; a partition streams a leader's bag, then
+    those of its members, so a leader of any size needs one bag and one batch of
+    memory. A leader with many members has several runs, by a salt.
+    """
+    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("runs"))
+    member = pairs.join(runs, "b").join(bags.withColumnRenamed("node", "a"), "a")
+    member = member.select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a", "bag")
+    leader = runs.join(bags.withColumnRenamed("node", "b"), "b")
+    leader = leader.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), "bag")
+    rows = member.unionByName(leader).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag: dict[int, list] = {}
+        for batch in batches:
+            b, a = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+            found_a, found_b = [], []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                lead = [k for k in range(i, j) if not a[k].is_valid] if a.null_count else []
+                if lead:  # of rows with the same id, each text counts
+                    if b[i] not in bag or bag[b[i]][0] is not None:
+                        bag = {b[i]: [None, []]}
+                    bag[b[i]][1] += [np.frombuffer(batch.column(3)[k].as_py(), np.uint64) for k in lead]
+                keep = pa.array([k for k in range(i, j) if k not in set(lead)], pa.int64())
+                if not len(keep):
+                    continue
+                bag[b[i]][0] = True
+                many, sizes = _read(batch.column(3).take(keep))
+                ids = a.take(keep).to_numpy(zero_copy_only=False)
+                hit = np.zeros(len(ids), bool)
+                for one in bag[b[i]][1]:
+                    hit |= similar(one, many, sizes, threshold)
+                found_a += ids[hit].tolist()
+                found_b += [int(b[i])] * int(hit.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(each, _EDGE)
+
+
+def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Spanning links (a, b) between components of each group; members: (node, n, grp, component).
+
+    A block is up to BLOCK_ROWS members of a group, either of its largest component
+    or not; blocks of the latter kind meet all blocks of the group.
+    """
+    per = members.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.ceil(F.sum("n") / (4 * BLOCK_ROWS)).cast("int").alias("parts"))
+    rows = members.join(main, "grp").withColumn("stray", F.col("component") != F.col("top.component")).join(bags, "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).repartition("grp", "part").sortWithinPartitions("grp", "part", "stray", "node")
+    rows = rows.select("grp", "part", "stray", "node", "component", "bag")
+    schema = "block long, grp long, stray boolean, nodes binary, components binary, sizes binary, bags binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, key, held = TaskContext.get().partitionId() << 40, None, []
+
+        def block() -> pa.RecordBatch:
+            data = [np.array(x, np.int64).tobytes() for x in ([h[0] for h in held], [h[1] for h in held], [len(h[2]) // 8 for h in held])]
+            values = [number, key[0], key[2], *data, b"".join(h[2] for h in held)]
+            types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["block", "grp", "stray", "nodes", "components", "sizes", "bags"])
+
+        for batch in batches:
+            for *now, node, component, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (now != key or len(held) == BLOCK_ROWS):
+                    yield block()
+                    number, held = number + 1, []
+                key = now
+                held.append((node, component, bag))
+        if held:
+            yield block()
+
+    blocks = freeze(rows.mapInArrow(cut, schema))
+    a = blocks.where("stray").select(F.col("block").alias("a_block"), "grp")
+    b = blocks.select(F.col("block").alias("b_block"), "grp", F.col("stray").alias("both"))
+    pairs = freeze(a.join(b, "grp").where("NOT both OR a_block <= b_block").select("a_block", "b_block"))
+    side = lambda x: blocks.select(*(F.col(k).alias(f"{x}_{k}") for k in ("block", "nodes", "components", "sizes", "bags")))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (nodes, comps, sizes, bags_a), (others, comps_b, sizes_b, bags_b) = (
+                    [np.frombuffer(row[f"{x}_{k}"], np.uint64 if k == "bags" else np.int64) for k in ("nodes", "components", "sizes", "bags")] for x in "ab"
+                )
+                ends, r, c = np.cumsum(sizes), [], []
+                owner = np.repeat(np.arange(len(others)), sizes_b)
+                for i in range(len(nodes)):
+                    near = (comps_b != comps[i]) & (np.minimum(sizes[i], sizes_b) >= threshold * np.maximum(sizes[i], sizes_b))
+                    if near.any():
+                        to = np.flatnonzero(near)
+                        hit = to[similar(bags_a[ends[i] - sizes[i] : ends[i]], bags_b[near[owner]], sizes_b[to], threshold)]
+                        r += [i] * len(hit)
+                        c += hit.tolist()
+                every = np.concatenate((nodes, others))
+                root = least_reached(len(every), np.array(r, int), np.array(c, int) + len(nodes))
+                span = np.flatnonzero(root != np.arange(len(every)))
+                yield pa.RecordBatch.from_arrays([pa.array(every[span]), pa.array(every[root[span]])], names=["a", "b"])
+
+    with arrow_rows(members.sparkSession, PAIR_ROWS):
+        return freeze(pairs.join(side("a"), "a_block").join(side("b"), "b_block").mapInArrow(join, _EDGE))
 
 
 def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Component edges (a, b) among nodes: equal texts, equal ids, and similar texts found by banding.
+    """Edges (a, b) that connect every class of nodes: equal texts, equal ids, similar texts that share a band.
 
     ``docs`` has node and text, ``sig`` is the table of ``signatures``.
     """
     same = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep"))
     exact = sig.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     reps = sig.join(same.select(F.col("rep").alias("node"), "digest"), ["node", "digest"], "left_semi")
-    entries = reps.select("node", F.explode("bands").alias("key")).distinct()
-    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    entries = freeze(entries.join(shared, "key"))
-    nodes = freeze(entries.select("node").distinct())  # a table of known size: broadcast if small
-    bags = freeze(_bags(docs.join(nodes, "node", "left_semi")))
-
-    links, tried, n_leaders = freeze(exact), None, 1
-    while True:
-        comps = connected_components(links)
-        placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if tried is not None:
-            placed = placed.join(tried, ["key", "node"], "left")
-        else:
-            placed = placed.withColumn("tried", F.lit(None).cast("boolean"))
-        placed = freeze(placed)
-        # the members of a bucket by component: only buckets with two components are open
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = placed.join(largest.select("key", F.col("top.component").alias("main")), "key")
-        waiting = open_.where("component <> main AND tried IS NULL")
-        order = Window.partitionBy("key").orderBy("node")
-        leaders = freeze(waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_leaders).select("key", F.col("node").alias("leader"), F.col("component").alias("own")))
-        if leaders.isEmpty():
-            return links
-        pairs = open_.join(leaders, "key").where("component <> own").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        links = freeze(links.unionByName(_similar(pairs, bags, threshold)))
-        done = leaders.select("key", F.col("leader").alias("node"), F.lit(True).alias("tried"))
-        tried = freeze(done if tried is None else tried.unionByName(done))
-        n_leaders *= MORE_LEADERS
+    entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"))
+    entries = freeze(entries.join(shared.where("lo < hi").select("key", "size"), "key"))
+    nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))  # a table of known size: broadcast if small
+    bags = freeze(_bags(docs.join(nodes.select("node"), "node", "left_semi")))
+
+    def fits(a: str, b: str) -> Column:  # sizes alone rule most pairs out
+        return F.least(a, b) >= threshold * F.greatest(a, b)
+
+    # every member with the member that shares buckets with most others
+    best = F.max(F.struct("degree", -F.col("node"), "n"))
+    leaders = entries.join(nodes, "node").groupBy("key").agg(best.alias("top")).select("key", (-F.col("top.col2")).alias("b"), F.col("top.n").alias("nb"))
+    pairs = entries.join(leaders, "key").where((F.col("node") != F.col("b")) & fits("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
+    links = freeze(exact.unionByName(_similar_pairs(freeze(pairs), bags, threshold)))
+
+    # the rest: pairs of different components, by pairs in small buckets and by blocks in large groups
+    comps = connected_components(links)
+    placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    placed = freeze(placed.join(open_, "key"))
+    small = placed.where(F.col("size") <= SMALL_BUCKET)
+    left = small.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")))
+    right = small.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")))
+    both = left.join(right, "key").where((F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits("n_a", "n_b"))
+    pairs = freeze(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    links = links.unionByName(freeze(_similar_pairs(pairs, bags, threshold)))
+
+    large = freeze(placed.where(F.col("size") > SMALL_BUCKET))
+    if not large.isEmpty():
+        groups = connected_components(large.join(large.groupBy("key").agg(F.min("node").alias("first")), "key"), "node", "first")
+        members = large.select("node", "n", "component").distinct().join(groups.withColumnRenamed("component", "grp"), "node")
+        links = links.unionByName(_block_links(freeze(members), bags, threshold))
+    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -133,3 +133,15 @@ def window_hashes(hashes: np.ndarray, docs: np.ndarray, size: int, salt: int = 0
         total = (total + hashes[j : j + n]) * _BASE
     at = np.flatnonzero(docs[:n] == docs[size - 1 :])
     return at, mix64(total[at] + np.uint64(size + 1000 * salt))
+
+
+def least_reached(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the least node that edges (r, c) reach."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, r, least[c])
+        np.minimum.at(least, c, least[r])
+        least = least[least]
+        if (least == before).all():
+            return least
