@@ -4,10 +4,12 @@ A text is put into a canonical form: small letters, no copyright lines, runs of
 anything but letters and digits as one space, and equivalent spellings alike. The
 MD5 of the whole canonical text is hash-joined to the digests of known licences,
 made by the same expression. The lines of a text are looked up in the same way
-among known notices, so that a document which merely states its licence is seen.
+among known notices, so that a document which only states its licence is seen.
 
-DataFrame functions over each row; no text is shuffled. The known texts are the
-caller's list and their digests are broadcast under a size check.
+Scale: DataFrame functions only. One pass over the texts leaves their digests, a
+narrow table; texts and lines longer than any known text need none. Only digests
+that equal a known one are shuffled. The known texts are the caller's list, so
+their number is known before they are broadcast.
 """
 
 from __future__ import annotations
@@ -18,35 +20,74 @@ from pyspark.sql import functions as F
 from cohortlake.llm.common import freeze
 from cohortlake.llm.licenses_known import NOTICES, TEXTS
 
-#: Known digests beyond this number are joined without a broadcast.
+#: Known texts beyond this number are joined without a broadcast.
 BROADCAST_ROWS = 100_000
 
-#: (pattern, replacement) in order, on lower-case text; the same in Java's and RE2's syntax.
+#: Patterns on lower-case text and what replaces them, in order; for Java's and RE2's regular expressions.
 COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
 PUNCTUATION = (r"[^\p{L}\p{N}]+", " ")
-#: Spellings that licence texts use for one another; both sides of a comparison get the same one.
+#: Spellings that stand for one another; both sides of a comparison get the same one.
 SPELLINGS = [
-    (r"\b(sub|non) ?(licen|commercial|infring)", r"$1$2"),
+    (r"\b(sub|non) (licen|commercial|infring)", "$1$2"),
     (r"licenc", "licens"),
-    (r"([a-z])is(e|ed|er|es|ing|ation|ations)\b", r"$1iz$2"),
+    (r"([a-z])is(e|ed|er|es|ing|ation|ations)\b", "$1iz$2"),
+    (r"\b(fav|col|hon)our", "$1or"),
     (r"\bcopyright (owner|proprietor)", "copyright holder"),
     (r"\backnowledgement", "acknowledgment"),
-    (r"\b(whilst|per cent|fulfil|favour|colour|honour|programme|analogue|https)\b", "x"),
+    (r"\b(program|analog)(me|ue)\b", "$1"),
+    (r"\bwhilst\b", "while"),
+    (r"\bper cent\b", "percent"),
+    (r"\bfulfil\b", "fulfill"),
+    (r"\bhttps\b", "http"),
 ]
-_SAME = {"while": "whilst", "percent": "per cent", "fulfill": "fulfil", "favor": "favour", "color": "colour", "honor": "honour", "program": "programme", "analog": "analogue", "http": "https"}
-SPELLINGS[-1:] = [(rf"\b({a}|{b})\b", a) for a, b in _SAME.items()]
+
+
+def plain(text: Column) -> Column:
+    """Small letters without copyright lines and punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), *COPYRIGHT_LINE), *PUNCTUATION))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; empty for a text without letters and digits, null for null."""
-    out = F.lower(text)
-    for pattern, to in (COPYRIGHT_LINE, PUNCTUATION, *SPELLINGS):
+    out = plain(text)
+    for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return out
+
+
+def digest(text: Column, longest: int) -> Column:
+    """MD5 of the canonical form; null if that is empty, or sure to be longer than ``longest``.
 
+    A spelling's replacement is at least half as long as what it replaces.
+    """
+    short = plain(text)
+    return F.when((short != "") & (F.length(short) <= 2 * longest), F.md5(canonical(text)))
 
-def known_digests(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame:
-    """(digest, license_id): the canonical digest of every known text; of equal ones the least id."""
+
+def _known(spark: SparkSession, texts: dict[str, list[str]]) -> tuple[DataFrame, int]:
+    """(digest, license_id) of the known texts (of equal ones the least id), and the longest's length."""
     rows = [(name, text) for name, own in texts.items() for text in own]
     table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = freeze(table.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("license_id").alias("license_id")))
+    return (F.broadcast(known) if len(rows) <= BROADCAST_ROWS else known), max((2 * len(text) for _, text in rows), default=0)
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """(doc_id, license_id, notices) of every row.
+
+    license_id is the licence that the whole text is, else null; notices are the
+    identifiers of the notices among its lines, sorted, joined by commas. Null and
+    empty texts match nothing. Repeated rows and null ids are rows of their own; an
+    empty table gives an empty result; other columns are not looked at.
+    """
+    spark = docs.sparkSession
+    licences, longest = _known(spark, {k: [v] for k, v in texts.items()})
+    lines, longest_line = _known(spark, notices)
+    body = F.col(text)
+    own = F.filter(F.transform(F.split(body, "\n"), lambda line: digest(line, longest_line)), lambda d: d.isNotNull())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(body, longest).alias("whole"), F.array_distinct(own).alias("lines"))
+    rows = freeze(rows.withColumn("row", F.monotonically_increasing_id()))
+    named = rows.select("row", F.explode("lines").alias("digest")).join(lines, "digest")
+    named = named.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))  # at most the known identifiers
+    out = rows.join(licences, F.col("whole") == F.col("digest"), "left").join(named, "row", "left")
+    return out.select("doc_id", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cohortlake.llm.chat import digests, format_conversations, text_parts
 from cohortlake.llm.common import table
 from cohortlake.llm.embedding import linked_vectors
+from cohortlake.llm.licenses import COPYRIGHT_LINE, PUNCTUATION, SPELLINGS, scan
+from cohortlake.llm.licenses_known import NOTICES, TEXTS
 from cohortlake.llm.minhash import near_duplicates
 from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
@@ -50,6 +52,38 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(text_parts(rows.unionByName(hard))))
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"lower({text})"
+    for i, (pattern, to) in enumerate([COPYRIGHT_LINE, PUNCTUATION, *SPELLINGS]):
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+        out = f"trim({out})" if i == 1 else out
+    return out
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in rows)
+
+
+ORACLES["op5_license_scan"] = f"""
+WITH texts(license_id, text) AS (VALUES {_values(list(TEXTS.items()))}),
+notes(license_id, text) AS (VALUES {_values([(k, t) for k, own in NOTICES.items() for t in own])}),
+known AS (SELECT {_canonical_sql("text")} AS form, min(license_id) AS license_id FROM texts GROUP BY 1),
+noted AS (SELECT {_canonical_sql("text")} AS form, min(license_id) AS license_id FROM notes GROUP BY 1),
+rows AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM rows),
+named AS (
+  SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT row, {_canonical_sql("line")} AS form FROM lines WHERE line ILIKE '%licen%') JOIN noted USING (form) GROUP BY row
+)
+SELECT doc_id, known.license_id, coalesce(notices, '') AS notices
+FROM rows LEFT JOIN known ON {_canonical_sql("text")} = known.form LEFT JOIN named USING (row)"""
+
+
 SHARDS, SHARD_SEED = 24, 20240
 
 
