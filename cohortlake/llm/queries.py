@@ -18,6 +18,7 @@ from cohortlake.llm.licenses_known import NOTICES, TEXTS
 from cohortlake.llm.minhash import near_duplicates
 from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
+from cohortlake.llm.sampling import sample_encodings
 from cohortlake.llm.sharding import stratified_shards
 from cohortlake.llm.toxicity import CUT, held_out, learn, score
 from cohortlake.llm.urlrules import PATTERN_RULES, SITE_RULES, judge_urls
@@ -52,6 +53,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(text_parts(rows.unionByName(hard))))
 
 
+@query
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_encodings(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
