@@ -24,7 +24,8 @@ from cohortlake.llm.licenses_known import NOTICES, TEXTS
 BROADCAST_ROWS = 100_000
 
 #: Patterns on lower-case text and what replaces them, in order; for Java's and RE2's regular expressions.
-COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
+#: A copyright line says whose and since when: licence texts have lines that begin with "copyright holder" or "(c) you".
+COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n(©]*(copyright[ \t:]*(\(c\)|[©0-9<\[{])|\(c\)[ \t]*([0-9]|copyright)|©|all rights reserved)[^\n]*$", " ")
 PUNCTUATION = (r"[^\p{L}\p{N}]+", " ")
 #: Spellings that stand for one another; both sides of a comparison get the same one.
 SPELLINGS = [
