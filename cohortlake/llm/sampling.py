@@ -36,7 +36,7 @@ SAMPLES, ALPHA, SEED = 2, 0.5, 7
 #: Piece probabilities fall with the rank r of a merge as 1 / (r + ZIPF_SHIFT); a byte's is that of a last rank.
 ZIPF_SHIFT = 10.0
 #: Characters walked side by side.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 5 << 19
 _SPACE = 0x2581
 #: Characters that end a word if no piece joins them with others.
 _BREAKS = "\t\n\r"
@@ -164,7 +164,7 @@ class Lattice:
         points = points[np.repeat(starts[first] - (end - size), size) + np.arange(int(size.sum()))]
         left = np.repeat(end, size) - np.arange(len(points))
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
-        rank = np.empty(len(points) + 1, np.int64)
+        rank = np.empty(len(points) + 1, np.int32)
         rank[order] = np.arange(len(points))
         self.word_at = rank[(end - size)[word]]
         self._edges(pieces, points, left, rank, np.append(np.flatnonzero(np.diff(left[order], prepend=0)), len(points)), alpha)
@@ -172,7 +172,7 @@ class Lattice:
     def _edges(self, pieces: Pieces, points: np.ndarray, left: np.ndarray, rank: np.ndarray, cuts: np.ndarray, alpha: float) -> None:
         """``left``: distance from the word's end; ``cuts``: where it changes among ranked positions."""
         n = len(points)
-        hashed, at = Hashed(points), np.arange(n)
+        hashed, at = Hashed(points), np.arange(n, dtype=np.int32)
         found = []  # (positions, pieces) by length
         for length in range(1, pieces.longest + 1):
             at = at[left[at] >= length]
@@ -180,19 +180,19 @@ class Lattice:
                 break
             hashes = hashed.spans(at, at + length)
             hit, ids = pieces.find(hashes)
-            froms, ids = at[hit], ids.astype(np.int64)
+            froms = at[hit]
             if length == 1:  # characters without a piece of their own: their bytes
                 lone = np.ones(n, bool)
                 lone[froms] = False
                 lone = np.flatnonzero(lone)
-                froms, ids = np.concatenate((froms, lone)), np.concatenate((ids, -points[lone].astype(np.int64) - 1))
+                froms, ids = np.concatenate((froms, lone)), np.concatenate((ids, -points[lone].astype(np.int32) - 1))
             found.append((froms, ids))
             at = at[pieces.begins[(hashes >> np.uint64(43)).astype(np.int64)]]
         count = np.zeros(n, np.int64)
         for froms, _ in found:
             count[rank[froms]] += 1
         self.first = np.concatenate(([0], np.cumsum(count)))
-        self.piece, self.to, self.size = (np.empty(self.first[-1], np.int64) for _ in range(3))
+        self.piece, self.to, self.size = (np.empty(self.first[-1], t) for t in (np.int32, np.int32, np.uint8))
         fill = self.first[:-1].copy()
         for length in range(len(found), 0, -1):
             froms, ids = found[length - 1]
@@ -200,17 +200,20 @@ class Lattice:
             fill[rank[froms]] += 1
             self.piece[edge], self.size[edge] = ids, length
             self.to[edge] = np.where(left[froms] == length, -1, rank[froms + length])
-        log = np.where(self.piece >= 0, pieces.log[np.maximum(self.piece, 0)], pieces.byte_log * _utf8_size(-self.piece - 1)) * alpha
+        log = (pieces.log * alpha)[self.piece.clip(0)]
+        lone = np.flatnonzero(self.piece < 0)
+        log[lone] = pieces.byte_log * alpha * _utf8_size(-self.piece[lone] - 1)
         # backward sums, position by position from the words' ends; all words at once
         rest = np.zeros(n + 1)  # the last is the ends'
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             a, b = self.first[i], self.first[j]
             rest[i:j] = np.logaddexp.reduceat(log[a:b] + rest[self.to[a:b]], self.first[i:j] - a)
-        self.start = np.repeat(np.arange(n), count)
+        self.start = np.repeat(np.arange(n, dtype=np.int32), count)
         self.given = np.minimum(log + rest[self.to] - rest[self.start], 0.0)
         total = np.concatenate(([0.0], np.cumsum(np.exp(self.given))))
         self.upto = total[1:] - total[self.first[self.start]]
         self.upto[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+        self.first = self.first.astype(np.int32)
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge at each position that a random number falls on."""
@@ -232,7 +235,7 @@ class Lattice:
             count[on] += 1
             at = self.to[edge]
             on, at = on[at >= 0], at[at >= 0]
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         before = np.cumsum(count) - count
         for i, (on, edge) in enumerate(steps):
             out[before[on] + i] = edge
@@ -314,7 +317,7 @@ class Search:
         after = np.zeros(self.n, np.int64)  # the position after it
         draw = _unit(self.seeds(2000 + sample, np.arange(self.n), np.zeros(self.n, np.int64)))
         noise = _unit(self.seeds(3000 + sample, np.arange(self.n), np.zeros(self.n, np.int64)))
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         for d in range(self.n):
             if not self.heaps[d]:
                 parts.append(none)
@@ -342,7 +345,7 @@ class Search:
         tail = np.bincount(doc, count, self.n).astype(np.int64)
         head = np.array([len(p) for p in parts], np.int64)
         bounds = np.concatenate(([0], np.cumsum(head + tail)))
-        out = np.empty(bounds[-1], np.int64)
+        out = np.empty(bounds[-1], np.int32)
         here = np.repeat(bounds[:-1], head) + np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head)
         out[here] = np.concatenate(parts) if parts else none
         there = np.repeat(bounds[:-1] + head, tail) + np.arange(int(tail.sum())) - np.repeat(np.cumsum(tail) - tail, tail)
@@ -400,7 +403,7 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.
     return raw[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
-SAMPLED = "doc_id long, sample int, ids array<int>, log_prob double, log_inclusion double, perturbed double"
+SAMPLED = "doc_id long, sample int, ids binary, log_prob double, log_inclusion double, perturbed double"
 
 
 def _sample(path: str, k: int, alpha: float, seed: int):
@@ -413,7 +416,7 @@ def _sample(path: str, k: int, alpha: float, seed: int):
         for j, inclusion in enumerate(search.log_inclusion()):
             there = np.isfinite(search.values[j])
             ids, bounds = edge_ids(pieces, lattice, *search.paths[j])
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            lists = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             columns = [pa.array(own, pa.int64()), pa.array(np.full(len(own), j + 1, np.int32)), lists, pa.array(search.logs[j]), pa.array(inclusion), pa.array(search.values[j])]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(there))
 
@@ -439,8 +442,9 @@ def sample_encodings(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, se
 
     ``path`` is a SentencePiece model, readable on every executor. Samples come in
     the order of their perturbed log probabilities, from 1 on; a text with fewer
-    segmentations gives them all, with an inclusion of 1 (log 0). Null and empty
-    texts have one segmentation without ids. Repeated rows give the same samples,
+    segmentations gives them all, with an inclusion of 1 (log 0). ``ids`` is
+    little-endian unsigned 32-bit. Null and empty texts have one segmentation
+    without ids. Repeated rows give the same samples,
     as do equal texts with equal ids; rows with a null id are seeded by their text.
     An empty table gives an empty result; other columns are not looked at.
     """
@@ -462,8 +466,9 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
         pieces = Pieces.of(model)
         for batch in batches:
             column = batch.column(at)
-            size = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
-            raw, bounds = decode_ids(pieces, column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size))))
+            flat = np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), "<u4")
+            size = np.array([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in column], np.int64)
+            raw, bounds = decode_ids(pieces, flat, np.concatenate(([0], np.cumsum(size))))
             texts = [raw[a:b].tobytes().decode(errors="replace") if x.is_valid else None for x, a, b in zip(column, bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
