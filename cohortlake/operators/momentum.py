@@ -1,8 +1,9 @@
 """Snapshot-history operators: latest / earliest-in-window values and momentum.
 
-Both ends of the window come out of one ``groupBy`` per key (max / min of a
-``(time, value)`` struct), so there is one shuffle, partial aggregation on the
-map side and no self-join or correlated subquery.
+Both ends of the window come out of one ``groupBy`` per key (``max_by`` /
+``min_by`` of the value by time), so there is one shuffle, a hash aggregate with
+map-side combine and no self-join or correlated subquery. ``(key, time)`` is the
+key of a snapshot history, so there are no ties to break.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def snapshot_ends(
     lo = ts_lit(as_of) - F.make_dt_interval(F.lit(days))
     inside = F.col(ts) >= lo
     return snaps.groupBy(key).agg(
-        F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).getField("v").alias("cur_value"),
-        F.min(F.when(inside, F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))).getField("v").alias("old_value"),
+        F.max_by(value, ts).alias("cur_value"),
+        F.min_by(value, F.when(inside, F.col(ts))).alias("old_value"),
         F.max(F.when(inside, F.lit(True))).isNotNull().alias("has_window"),
     )
 

@@ -7,18 +7,22 @@ the cell's non-NULL values; NULL values get 0 and the result is clamped to
 
 Two physical forms with identical results:
 
-* ``window`` - three window functions. Every row of a cell goes through one
-  task, so with 9 cells at most 9 tasks do the work. Fine for small tables.
-* ``bucketed`` - the scale form. Values are melted to ``(key, cell, metric,
-  v)``, collapsed to distinct ``(cell, metric, v)`` counts (a hot value such
-  as momentum 0 becomes one row), cut into value-range buckets with
-  deterministic bounds, and ranked with a prefix sum: per-bucket totals give
-  offsets (a tiny table), a window inside ``(cell, metric, bucket)`` gives the
-  local running count. Work spreads over cells x metrics x buckets tasks.
+* ``ranged`` - the default. Values are melted to ``(row, cell, metric, v)`` and
+  collapsed to distinct ``(cell, metric, v)`` counts. That table is dealt out in
+  value order by a range exchange and written with its partition numbers;
+  partition totals (a row per group and partition) give offsets, and a window
+  inside each partition the running count. Nothing depends on the shape of the
+  distribution, and no partition is larger than its share of distinct values.
+  Ranks go back to the rows by value: the few values that very many rows hold are
+  broadcast, the others meet by shuffle.
+* ``window`` - three window functions, only when named. Every row of a cell goes
+  through one task, so with 9 cells at most 9 tasks do the work.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ from cohortlake.session import freeze
 # Fixed value: the floor of the rank denominator.
 MIN_DENOMINATOR = 1e-9
 
+
 def _pr_from_parts(rank_minus_one: Column, n_nonnull: Column) -> Column:
     pr = rank_minus_one / F.greatest(n_nonnull.cast("double") - F.lit(1.0), F.lit(MIN_DENOMINATOR))
     return F.least(F.greatest(pr, F.lit(0.0)), F.lit(1.0))
@@ -50,38 +55,15 @@ def percentile_rank_window(df: DataFrame, value: str, partition_by: list[str] |
     return df.withColumn(out, F.when(v.isNull(), F.lit(0.0)).otherwise(pr))
 
 
-# Upper bound for broadcasting the per-group bounds / offsets tables.
-BROADCAST_MAX_BYTES = 64 << 20
-
-# Largest input the "auto" rank method still ranks with window functions.
-WINDOW_MAX_ROWS = 500_000
-
-# Default ceiling of value buckets per group. A value's bucket costs one
-# comparison per bound, and 128 buckets per (cell, metric) already gives
-# thousands of independent prefix-sum partitions.
-MAX_BUCKETS = 128
-
-
-def _bucket_count(spark, buckets: int | None) -> int:
-    if buckets:
-        return max(1, int(buckets))
-    return max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
-def _log_scale(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
-
-
-def _from_log_scale(y: Column) -> Column:
-    return F.signum(y) * F.expm1(F.abs(y))
+# A value that more rows hold than this is joined back by broadcast. There are
+# at most rows / HOT_VALUE_ROWS of them, so their table is small at any size;
+# beyond BROADCAST_MAX_ROWS of them they are joined like all others.
+HOT_VALUE_ROWS = 100_000
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def value_positions(
-    long: DataFrame,
-    group_cols: list[str],
-    value: str = "_v",
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
+    long: DataFrame, group_cols: list[str], value: str = "_v", partitions: int | None = None
 ) -> DataFrame:
     """Sorted positions of every distinct value, computed without a global sort.
 
@@ -90,85 +72,59 @@ def value_positions(
     with ``_c`` (rows with that value), ``_below`` (rows of the group with a
     smaller value) and ``_n`` (rows of the group).
 
-    Buckets: a group with ``d`` distinct values gets ``min(buckets,
-    ceil(d / rows_per_bucket))`` value ranges whose bounds are spaced evenly
-    on a signed log scale between the group's min and max. The bounds come
-    from exact aggregates, so every evaluation (and every task retry) sees
-    the same bounds; a value's bucket is the number of bounds below it, which
-    is monotone in the value whatever the bounds are, so equal values share a
-    bucket and the prefix sums are exact.
+    ``partitions`` (default: the session's shuffle partitions) is the number of
+    value ranges over all groups. The ranges come from Spark's sampling; the
+    placed table is written once, so later reads and retries see the same ones.
     """
-    nb_max = _bucket_count(long.sparkSession, buckets)
     g = list(group_cols)
     if not g:
         raise ValueError("value_positions needs at least one group column (use a constant one)")
-    v = F.col(value)
-
-    # The distinct-value table feeds the bounds, the bucket totals and the
-    # local prefix sums: materialise it once.
+    n = partitions or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written first: the range exchange reads its input twice (sample, deal).
     counts = freeze(long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c")))
+    placed = freeze(counts.repartitionByRange(n, *g, value).withColumn("_part", F.spark_partition_id()))
 
-    stats = counts.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_d"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    # The per-group tables (bounds, offsets) are joined on the group keys,
-    # which are few: they must be broadcast, or a sort-merge join would send
-    # each group's values to one task. Their size is proven by counting the
-    # groups (cheap: ``counts`` is materialised); above the bound there are
-    # many groups and a shuffle join spreads well.
-    n_groups = stats.count()
-    bounds_small = n_groups * (8 * nb_max + 64) <= BROADCAST_MAX_BYTES
-    offsets_small = n_groups * nb_max * 64 <= BROADCAST_MAX_BYTES
-
-    if nb_max > 1:
-        nb = F.least(F.lit(nb_max), F.ceil(F.col("_d") / F.lit(float(rows_per_bucket)))).cast("int")
-        tlo, thi = _log_scale(F.col("_lo")), _log_scale(F.col("_hi"))
-        spaced = F.transform(
-            F.sequence(F.lit(1), nb - 1),
-            lambda i: _from_log_scale(tlo + i.cast("double") * (thi - tlo) / nb.cast("double")),
-        )
-        bounds = stats.select(
-            *g,
-            F.when((nb > 1) & (F.col("_hi") > F.col("_lo")), F.array_distinct(spaced))
-            .otherwise(F.array().cast("array<double>"))
-            .alias("_bounds"),
-        )
-        bucketed = counts.join(F.broadcast(bounds) if bounds_small else bounds, g, "left").select(
-            *g,
-            value,
-            "_c",
-            F.coalesce(F.size(F.filter(F.col("_bounds"), lambda b: b < v)), F.lit(0)).alias("_bk"),
-        )
-    else:
-        bucketed = counts.withColumn("_bk", F.lit(0))
-
-    totals = bucketed.groupBy(*g, "_bk").agg(F.sum("_c").alias("_bc"))
+    totals = placed.groupBy(*g, "_part").agg(F.sum("_c").alias("_pc"))
     by_group = Window.partitionBy(*g)
+    earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *g,
-        "_bk",
-        F.coalesce(
-            F.sum("_bc").over(by_group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-        F.sum("_bc").over(by_group).alias("_n"),
+        *g, "_part", F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_off"), F.sum("_pc").over(by_group).alias("_n")
     )
-    with_off = bucketed.join(F.broadcast(offsets) if offsets_small else offsets, g + ["_bk"])
-    local = Window.partitionBy(*g, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("_off") + F.coalesce(F.sum("_c").over(local), F.lit(0))
-    return with_off.select(*g, value, "_c", below.alias("_below"), "_n")
+    local = Window.partitionBy(*g, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("_in", F.coalesce(F.sum("_c").over(local), F.lit(0)))
+    # group columns may be NULL (an entity without a tier): null-safe join
+    right = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in [*g, "_part"]], "_off", "_n")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*g, "_part"]])
+    return inside.join(right, same).select(*g, value, "_c", (F.col("_off") + F.col("_in")).alias("_below"), "_n")
 
 
 def value_ranks(
     long: DataFrame,
     group_cols: list[str],
     value: str = "_v",
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Average-rank percentile per distinct ``(group_cols, value)`` as ``_pr``."""
-    pos = value_positions(long, group_cols, value, buckets=buckets, rows_per_bucket=rows_per_bucket)
+    """Average-rank percentile per distinct ``(group_cols, value)`` as ``_pr``, with its rows ``_c``."""
+    pos = value_positions(long, group_cols, value, partitions)
     rank_m1 = F.col("_below").cast("double") + (F.col("_c") - 1).cast("double") / 2.0
-    return pos.select(*group_cols, value, _pr_from_parts(rank_m1, F.col("_n")).alias("_pr"))
+    return pos.select(*group_cols, value, "_c", _pr_from_parts(rank_m1, F.col("_n")).alias("_pr"))
+
+
+def join_on_values(rows: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
+    """Inner null-safe join of rows with their values' ``_pr``, without a hot value's rows in one task."""
+    ranks = freeze(ranks)
+    hot = ranks.where(F.col("_c") > HOT_VALUE_ROWS)
+    n_hot = hot.count()
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], "_pr")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+        return left.join(F.broadcast(right) if how != "plain" else right, same, "left_anti" if how == "anti" else "inner")
+
+    if not 0 < n_hot <= BROADCAST_MAX_ROWS:
+        return meet(rows, ranks, "plain").select(*rows.columns, "_pr")
+    cold = meet(meet(rows, hot, "anti"), ranks.where(F.col("_c") <= HOT_VALUE_ROWS), "plain")
+    return meet(rows, hot, "hot").select(*rows.columns, "_pr").unionByName(cold.select(*rows.columns, "_pr"))
 
 
 def exact_percentiles(
@@ -176,8 +132,7 @@ def exact_percentiles(
     value: str,
     percentiles: dict[str, float],
     group_by: list[str] | tuple[str, ...] = (),
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles (``PERCENTILE_CONT``) per group.
 
@@ -191,7 +146,7 @@ def exact_percentiles(
     # A constant group column stands in for "no grouping" (one group).
     keys = g or [F.lit(0).alias("_g0")]
     long = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull())
-    pos = value_positions(long, g or ["_g0"], "_v", buckets=buckets, rows_per_bucket=rows_per_bucket)
+    pos = value_positions(long, g or ["_g0"], "_v", partitions)
     cum = F.col("_below") + F.col("_c")
     aggs = []
     for name, p in percentiles.items():
@@ -217,54 +172,41 @@ def percentile_ranks(
     df: DataFrame,
     metrics: dict[str, str],
     partition_by: list[str] | tuple[str, ...],
-    key: str = "id",
-    method: str = "bucketed",
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
-    window_max_rows: int | None = None,
+    method: str = "ranged",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add one percentile-rank column per metric (``{out_col: value_col}``).
 
-    ``key`` must be unique per row for the bucketed form (it joins the ranks
-    back). ``method`` is ``"bucketed"``, ``"window"`` or ``"auto"``: the input
-    is checkpointed once and counted from the checkpoint; up to
-    ``window_max_rows`` rows the window form is used (every cell fits one
-    task comfortably), above it the bucketed form.
+    ``method`` is ``"ranged"`` or ``"window"``; both give every row the same
+    ranks, rows that repeat a key and rows without one included.
     """
     parts = list(partition_by)
-    frozen = False
-    if method == "auto":
-        df = freeze(df)
-        frozen = True
-        limit = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
-        method = "window" if df.count() <= limit else "bucketed"
     if method == "window":
         out = df
         for name, col in metrics.items():
             out = percentile_rank_window(out, col, parts, name)
         return out
-    if method != "bucketed":
+    if method != "ranged":
         raise ValueError(f"unknown rank method {method!r}")
 
     names = list(metrics)
-    # The input is read twice (melt, final join): materialise it once.
-    if not frozen:
-        df = freeze(df)
+    # The input is read twice (melt, final join): written once, with row numbers
+    # that stay what they are when it is read again.
+    df = freeze(df.withColumn("_row", F.monotonically_increasing_id()))
     # Melt the metrics so all ranks share one pass. ``+ 0.0`` turns -0.0 into
     # 0.0 so both zeros are one value.
     stacked = F.explode(
         F.array(*[F.struct(F.lit(n).alias("_metric"), F.col(c).cast("double").alias("_v")) for n, c in metrics.items()])
     ).alias("_s")
     long = (
-        df.select(key, *parts, stacked)
-        .select(key, *parts, F.col("_s._metric").alias("_metric"), (F.col("_s._v") + F.lit(0.0)).alias("_v"))
+        df.select("_row", *parts, stacked)
+        .select("_row", *parts, F.col("_s._metric").alias("_metric"), (F.col("_s._v") + F.lit(0.0)).alias("_v"))
         .where(F.col("_v").isNotNull())
     )
     g = parts + ["_metric"]
-    ranks = value_ranks(long, g, "_v", buckets=buckets, rows_per_bucket=rows_per_bucket)
-    per_row = long.join(ranks, g + ["_v"]).select(key, "_metric", "_pr")
-    wide = per_row.groupBy(key).pivot("_metric", names).agg(F.max("_pr"))
-    out = df.join(wide, key, "left")
+    per_row = join_on_values(long, value_ranks(long, g, "_v", partitions), [*g, "_v"])
+    wide = per_row.groupBy("_row").pivot("_metric", names).agg(F.max("_pr"))
+    out = df.join(wide, "_row", "left").drop("_row")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
 
 

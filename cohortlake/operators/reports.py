@@ -8,6 +8,8 @@ Ties are broken by ``id`` so results are deterministic.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def maturity_summary(scored: DataFrame) -> DataFrame:
         )
         .orderBy(tier_order("maturity_tier"))
         .select(unknown("maturity_tier").alias("tier"), "repo_count", "avg_score", "avg_hg_score",
-                "avg_velocity", "avg_stars")
+                "avg_velocity", "avg_stars", tier_order("maturity_tier").alias("tier_order"))
     )
 
 
@@ -153,9 +155,25 @@ def hidden_gems(scored: DataFrame, min_count: int = 3, **kw) -> DataFrame:
     return counts.join(medians, keys, "left").select(*keys, "median_score", "repo_count")
 
 
-def hidden_gems_pivot(gems: DataFrame) -> DataFrame:
-    """Languages as rows, months as columns, median score as values."""
-    return gems.groupBy("primary_language").pivot("created_month").agg(F.first("median_score"))
+# An Emerging entity is younger than 180 days, so its creation month is one of
+# the last seven, or the as-of month itself; later ones are dated ahead.
+EMERGING_MONTHS = 7
+
+
+def months_until(as_of: str | datetime, back: int) -> list[str]:
+    """``yyyy-MM`` of the as-of month and the ``back`` months before it, oldest first."""
+    day = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    last = day.year * 12 + day.month - 1
+    return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(last - back, last + 1)]
+
+
+def hidden_gems_pivot(gems: DataFrame, months: list[str]) -> DataFrame:
+    """Languages as rows, the given months as columns, median score as values.
+
+    The months are an argument, so no job has to find them; ``months_until``
+    gives all that the cohort can have.
+    """
+    return gems.groupBy("primary_language").pivot("created_month", months).agg(F.max("median_score"))
 
 
 def cohort_histogram(scored: DataFrame, width: float = 5.0, score: str = "potential_score") -> DataFrame:
@@ -181,8 +199,8 @@ def breakout_points(scored: DataFrame) -> DataFrame:
     """Points of the stars-vs-momentum scatter."""
     return scored.where(
         (F.col("stars") > 0) & F.col("momentum_7d").isNotNull() & F.col("star_velocity").isNotNull()
-    ).select("id", "full_name", "stars", "momentum_7d", "star_velocity", "age_tier", "maturity_tier",
-             "potential_score", "forks")
+    ).select("id", "full_name", "stars", F.log10("stars").alias("log10_stars"), "momentum_7d", "star_velocity",
+             "age_tier", "maturity_tier", "potential_score", "forks")
 
 
 def top_per_group(df: DataFrame, group_col: str, order_cols: list[F.Column], n: int) -> DataFrame:

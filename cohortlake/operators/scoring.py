@@ -1,8 +1,10 @@
 """Feature columns, cohort tiers, percentile ranks and the two 0-100 scores.
 
-``score_entities`` is the whole scoring run as one lazy plan:
-snapshots -> momentum (one aggregation) -> LEFT join onto entities -> feature
-projection -> cohort ranks -> score projection. Nothing is collected.
+``score_entities`` is the whole scoring run: snapshots -> momentum (one
+aggregation) -> LEFT join onto entities -> feature projection -> cohort ranks ->
+score projection. With the default rank method the featured table, the distinct
+values and their ranks are written to the shared folder while the run is built
+(a few counts reach the driver); the result reads them lazily.
 """
 
 from __future__ import annotations
@@ -89,16 +91,11 @@ def weighted_score(weights: tuple[tuple[str, float], ...]) -> F.Column:
 def add_scores(
     featured: DataFrame,
     partition_by: tuple[str, ...] = COHORT,
-    method: str = "auto",
-    key: str = "id",
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
+    method: str = "ranged",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Cohort ranks of the five features, then the two scores and activity score."""
-    ranked = percentile_ranks(
-        featured, RANKED_FEATURES, list(partition_by), key=key, method=method,
-        buckets=buckets, rows_per_bucket=rows_per_bucket,
-    )
+    ranked = percentile_ranks(featured, RANKED_FEATURES, list(partition_by), method, partitions)
     return ranked.withColumns(
         {
             "potential_score": weighted_score(POTENTIAL_WEIGHTS),
@@ -113,10 +110,9 @@ def score_entities(
     snapshots: DataFrame,
     as_of: str | datetime,
     momentum_as_of: str | datetime | None = None,
-    method: str = "auto",
+    method: str = "ranged",
     key: str = "id",
-    buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The full scoring run. Returns every entity column plus features, ranks
     and scores (entities keep their stored momentum when they have no
@@ -124,7 +120,7 @@ def score_entities(
     m = momentum_7d(snapshots, momentum_as_of or as_of)
     df = attach_momentum(entities, m, id_col=key)
     df = add_features(df, as_of)
-    return add_scores(df, method=method, key=key, buckets=buckets, rows_per_bucket=rows_per_bucket)
+    return add_scores(df, method=method, partitions=partitions)
 
 
 def write_scores(

@@ -2,11 +2,13 @@
 
 import pytest
 
+from cohortlake.plans import catalog
+
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

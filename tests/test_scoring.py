@@ -4,13 +4,13 @@ from cohortlake.operators.scoring import score_entities
 from helpers import AS_OF, entities, no_snapshots, repo
 
 
-def score(spark, rows, method="bucketed"):
+def score(spark, rows, method="ranged"):
     return {r["id"]: r for r in score_entities(entities(spark, rows), no_snapshots(spark), AS_OF, method=method).collect()}
 
 
 def test_scores_in_range_and_not_null(spark):
-    rows = [repo(i, stars=100 * (i + 1), forks=10 * (i + 1), contributors_count=i + 1) for i in range(5)]
-    for method in ("bucketed", "window"):
+    rows = [repo(i, stars=37 * 2**i, forks=9 + 4 * i, contributors_count=2 * i + 1) for i in range(5)]
+    for method in ("ranged", "window"):
         out = score(spark, rows, method)
         assert len(out) == 5
         for r in out.values():
@@ -20,19 +20,17 @@ def test_scores_in_range_and_not_null(spark):
 
 
 def test_higher_fork_ratio_higher_hidden_gem(spark):
-    rows = [repo(1, stars=500, forks=400), repo(2, stars=500, forks=5)]
+    rows = [repo(1, stars=240, forks=190), repo(2, stars=240, forks=2)]
     out = score(spark, rows)
-    assert out["R_1"]["HG_score"] > out["R_2"]["HG_score"]
+    assert out["e-1"]["HG_score"] > out["e-2"]["HG_score"]
 
 
 def test_better_community_higher_hidden_gem(spark):
-    # (id, contributors, closed, open): weakest to strongest community
-    ladder = [(1, 1, 5, 1), (2, 5, 20, 30), (3, 15, 50, 50), (4, 40, 100, 30), (5, 100, 500, 10)]
-    rows = [repo(i, stars=500, forks=50, contributors_count=c, closed_issues=cl, open_issues=op)
-            for i, c, cl, op in ladder]
+    # contributors and closed issues grow, open ones shrink: weakest to strongest community
+    rows = [repo(i, contributors_count=3**i, closed_issues=7 * i * i, open_issues=60 - 11 * i) for i in range(1, 6)]
     out = score(spark, rows)
     assert all(r["HG_score"] is not None for r in out.values())
-    assert out["R_5"]["HG_score"] > out["R_1"]["HG_score"]
+    assert out["e-5"]["HG_score"] > out["e-1"]["HG_score"]
 
 
 def test_zero_stars_and_zero_issues(spark):
@@ -52,11 +50,11 @@ def test_tier_and_decay_boundaries(spark):
     rows.append(repo(21, created_at=AS_OF + timedelta(days=3)))
     df = score_entities(entities(spark, rows), no_snapshots(spark), AS_OF)
     out = {r["id"]: r for r in df.select("id", "age_tier", "maturity_tier", "days_since_creation", "recency_decay").collect()}
-    assert [out[f"R_{i}"]["age_tier"] for i in range(6)] == ["Emerging", "Emerging", "Emerging", "Growing", "Growing", "Established"]
-    assert [out[f"R_{j}"]["maturity_tier"] for j in range(10, 14)] == ["Seed", "Traction", "Traction", "Scale"]
-    assert out["R_0"]["recency_decay"] == 1.0 and out["R_1"]["recency_decay"] < 0.37
-    assert out["R_20"]["days_since_creation"] == 1.0 and out["R_20"]["maturity_tier"] == "Scale"
-    assert out["R_21"]["days_since_creation"] == 1.0
+    assert [out[f"e-{i}"]["age_tier"] for i in range(6)] == ["Emerging", "Emerging", "Emerging", "Growing", "Growing", "Established"]
+    assert [out[f"e-{j}"]["maturity_tier"] for j in range(10, 14)] == ["Seed", "Traction", "Traction", "Scale"]
+    assert out["e-0"]["recency_decay"] == 1.0 and out["e-1"]["recency_decay"] < 0.37
+    assert out["e-20"]["days_since_creation"] == 1.0 and out["e-20"]["maturity_tier"] == "Scale"
+    assert out["e-21"]["days_since_creation"] == 1.0
 
 
 def test_momentum_from_snapshots(spark):
@@ -78,8 +76,8 @@ def test_momentum_from_snapshots(spark):
 
 def test_stored_momentum_kept_without_snapshots(spark):
     rows = [repo(1, momentum_7d=0.5), repo(2)]
-    snaps = spark.createDataFrame([("R_2", datetime(2026, 2, 1), 1, 0, 0)],
+    snaps = spark.createDataFrame([("e-2", datetime(2026, 2, 1), 1, 0, 0)],
                                   "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int")
     df = score_entities(entities(spark, rows), snaps, AS_OF).select("id", "momentum_7d")
     out = {r["id"]: r["momentum_7d"] for r in df.collect()}
-    assert out == {"R_1": 0.5, "R_2": 0.0}
+    assert out == {"e-1": 0.5, "e-2": 0.0}
