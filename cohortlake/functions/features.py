@@ -6,7 +6,7 @@ they evaluate in a single codegen stage with no shuffle.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,9 +26,11 @@ README_CHECK_WEIGHT = 0.2
 
 
 def ts_lit(value: str | datetime | Column) -> Column:
-    """A timestamp literal (strings are read in the session zone, UTC)."""
+    """A timestamp literal. Strings and naive datetimes are UTC wherever the driver runs."""
     if isinstance(value, Column):
         return value
+    if isinstance(value, datetime):
+        value = value.astimezone(timezone.utc).replace(tzinfo=None).isoformat(sep=" ") if value.tzinfo else value.isoformat(sep=" ")
     return F.lit(value).cast("timestamp")
 
 

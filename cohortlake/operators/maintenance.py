@@ -10,10 +10,12 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.features import ts_lit
+from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.sources import store
 
 
 def purge_predicate(
@@ -80,6 +82,47 @@ def purge(
     return survivors, surviving_snapshots(snaps, survivors, key)
 
 
+def purge_counts(state: DataFrame, snaps: DataFrame, runs: DataFrame, purged: tuple[DataFrame, ...]) -> DataFrame:
+    """What a purge deleted, as one row: entities, snapshots and run records before, deleted and left."""
+    sizes = [df.agg(F.count(F.lit(1)).alias("n")).scalar() for df in (state, snaps, runs, *purged)]
+    names = ("entities", "snapshots", "runs")
+    row = state.sparkSession.range(1)
+    return row.select(
+        *[sizes[i].alias(f"{n}_before") for i, n in enumerate(names)],
+        *[(sizes[i] - sizes[i + 3]).alias(f"{n}_deleted") for i, n in enumerate(names)],
+        *[sizes[i + 3].alias(f"{n}_left") for i, n in enumerate(names)],
+    )
+
+
+def purge_tables(
+    state: DataFrame, snaps: DataFrame, runs: DataFrame, pred: Column | None, all_data: bool = False, key: str = "id"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`purge` of all three tables; run records go with ``all_data`` only."""
+    survivors, kept = purge(state, snaps, pred, all_data, key)
+    return survivors, kept, runs.where(F.lit(False)) if all_data else runs
+
+
+def purge_store(
+    spark: SparkSession, root: str, batch: int, pred: Column | None = None, all_data: bool = False
+) -> tuple[int, int]:
+    """Purge the stored tables and commit the result as ``batch``: (deleted entities, deleted snapshots).
+
+    The surviving rows become the commit's own, and its base hides those of
+    earlier batches; their files stay until they are cleaned up. No active filter
+    deletes nothing and commits nothing.
+    """
+    last = store.last_commit(spark, root, before_batch=batch)
+    if last is None or (pred is None and not all_data):
+        return 0, 0
+    state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch)
+    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch)
+    runs = store.read_appended(spark, root, "runs", RUN_SCHEMA, before_batch=batch)
+    left = purge_tables(state, snaps, runs, pred, all_data)
+    counts = purge_counts(state, snaps, runs, left).head()
+    store.write_batch(spark, root, batch, left[0], {"snapshots": left[1], "runs": left[2]}, last.as_of, base=batch)
+    return counts["entities_deleted"], counts["snapshots_deleted"]
+
+
 def purge_preview(
     state: DataFrame,
     snaps: DataFrame,
@@ -94,15 +137,19 @@ def purge_preview(
     Snapshots are first counted per key (partial aggregation, so a key with
     a huge history is one row), then one full outer join with the per-entity
     match flag and one global aggregate give all three counts: each input is
-    read once.
+    read once. With ``all_data`` every snapshot goes, so all count as cascaded.
     """
     hit = F.lit(True) if all_data else matches(pred)
     flags = state.select(F.col(key).alias(snap_key), hit.alias("_hit"), F.lit(True).alias("_entity"))
     per_key = snaps.groupBy(snap_key).agg(F.count(F.lit(1)).alias("_n"))
     joined = flags.join(per_key, snap_key, "full_outer")
     n = F.coalesce(F.col("_n"), F.lit(0))
+
+    def total(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("long")
+
     return joined.agg(
         F.count_if(F.col("_entity") & F.col("_hit")).alias("repos_to_delete"),
-        F.sum(F.when(F.col("_entity") & F.col("_hit"), n).otherwise(0)).cast("long").alias("cascaded_snapshots"),
-        F.sum(F.when(F.col("_entity").isNull(), n).otherwise(0)).cast("long").alias("orphan_snapshots"),
+        total(F.lit(True) if all_data else F.col("_entity") & F.col("_hit")).alias("cascaded_snapshots"),
+        total(F.col("_entity").isNull()).alias("orphan_snapshots"),
     )

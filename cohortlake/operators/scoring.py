@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions import features as fx
 from cohortlake.operators.momentum import attach_momentum, momentum_7d
 from cohortlake.operators.rank import percentile_ranks
+from cohortlake.schemas import ENTITY_SCHEMA, SNAPSHOT_SCHEMA, conform
+from cohortlake.sources import store
 
 COHORT = ("age_tier", "maturity_tier")
 
@@ -145,3 +147,14 @@ def write_scores(
         cols["updated_in_db_at"] = F.when(hit, fx.ts_lit(as_of)).otherwise(old)
     out = joined.withColumns(cols)
     return out.drop(*[f"_new_{c}" for c in SCORE_COLUMNS], "_hit")
+
+
+def score_store(spark: SparkSession, root: str, batch: int, as_of: str | datetime, **kw) -> int:
+    """Score the stored entities from the stored history and commit the scores as ``batch``."""
+    last = store.last_commit(spark, root, before_batch=batch)
+    state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch)
+    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch)
+    scored = score_entities(state, snaps, as_of, **kw)
+    new_state = conform(write_scores(state, scored, as_of), ENTITY_SCHEMA)
+    at = last.as_of if last is not None else datetime(1970, 1, 1)
+    return store.write_batch(spark, root, batch, new_state, {}, at)

@@ -14,7 +14,6 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlake.functions.features import ts_lit
 from cohortlake.session import freeze
@@ -108,6 +107,26 @@ def snapshot_due(
     return joined.withColumn("snapshot_due", due)
 
 
+def recently_due(
+    classified: DataFrame,
+    snaps: DataFrame,
+    as_of: str | datetime,
+    ttl_hours: float = SNAPSHOT_TTL_HOURS,
+    key: str = "id",
+    snap_key: str = "repo_id",
+) -> DataFrame:
+    """Adds ``snapshot_due`` as :func:`snapshot_due` does, from recent history only.
+
+    A key is due unless it has a snapshot younger than the TTL, so older
+    snapshots are filtered out before anything is grouped or joined (a
+    date-pruned ``snaps`` need not even read them).
+    """
+    young = snaps.where(age_hours("snapshot_at", as_of) < F.lit(float(ttl_hours)))
+    young = young.select(F.col(snap_key).alias(key)).distinct().withColumn("_young", F.lit(True))
+    due = F.col("refresh_class").isin(NEW, REFRESH) | F.col("_young").isNull()
+    return classified.join(young, key, "left").withColumn("snapshot_due", due).drop("_young")
+
+
 def make_snapshots(batch: DataFrame, as_of: str | datetime, key: str = "id") -> DataFrame:
     """Snapshot rows ``(repo_id, snapshot_at, stars, forks, open_issues)``."""
     return batch.select(
@@ -125,14 +144,18 @@ def _merge(
     as_of: str | datetime,
     key: str,
     keep_old_when_null: bool,
+    only_if: dict[str, str] | None = None,
 ) -> DataFrame:
     """One full outer join applies both kinds of change.
 
     Rows of the batch classed NEW/REFRESH replace the crawl columns (first
     seen time kept, last update set); SKIP rows change only the volatile
     columns. Columns the batch does not carry (scores, tiers) keep the
-    state's value. State rows without a batch row are unchanged.
+    state's value. State rows without a batch row are unchanged. ``only_if``
+    names, for some columns, a boolean batch column without which they keep the
+    state's value too.
     """
+    only_if = only_if or {}
     batch_cols = [c for c in classified.columns if c not in (key, "refresh_class")]
     b = classified.select(
         F.col(key), F.col("refresh_class").alias("_cls"), *[F.col(c).alias(f"_b_{c}") for c in batch_cols]
@@ -146,7 +169,7 @@ def _merge(
 
     out_cols = list(state.columns)
     for c in batch_cols:
-        if c not in out_cols and c not in ("scraped_at", "updated_in_db_at"):
+        if c not in out_cols and c not in ("scraped_at", "updated_in_db_at", *only_if.values()):
             out_cols.append(c)
 
     exprs = []
@@ -166,7 +189,8 @@ def _merge(
             if keep_old_when_null:
                 new = F.coalesce(new, old)
             writes_light = c in VOLATILE_COLUMNS
-            expr = F.when(enrich, new)
+            has = F.col(f"_b_{only_if[c]}") if c in only_if else F.lit(True)
+            expr = F.when(enrich & F.coalesce(has, F.lit(False)), new)
             if writes_light:
                 expr = expr.when(light, new)
             exprs.append(expr.otherwise(old).alias(c))
@@ -214,6 +238,7 @@ def apply_batch(
     keep_old_when_null: bool = False,
     snapshot_as_of: str | datetime | None = None,
     order_by: str | None = None,
+    only_if: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Whole batch step: classify -> upsert/light update -> snapshots.
 
@@ -221,7 +246,8 @@ def apply_batch(
     carries ``refresh_class`` and ``snapshot_due`` per batch row, which
     :func:`run_counters` turns into the run record. ``snapshot_as_of``
     (default ``as_of``) is the clock of the snapshot gate and the time
-    stamped on new snapshots.
+    stamped on new snapshots. The gate looks at snapshots younger than its TTL
+    only. ``only_if``: see :func:`_merge`.
     """
     snap_time = snapshot_as_of or as_of
     # The classified batch feeds the snapshot gate and the merge; it is
@@ -229,8 +255,8 @@ def apply_batch(
     # parsing and the classification join for each consumer.
     batch = dedupe_batch(batch, key, order_by)
     classified = freeze(classify_refresh(state, batch, as_of, refresh_ttl_hours, force, key))
-    gated = snapshot_due(classified, snaps, snap_time, snapshot_ttl_hours, key)
-    merged = _merge(state, classified, as_of, key, keep_old_when_null).drop("refresh_class", "_in_state")
+    gated = recently_due(classified, snaps, snap_time, snapshot_ttl_hours, key)
+    merged = _merge(state, classified, as_of, key, keep_old_when_null, only_if).drop("refresh_class", "_in_state")
     new_snaps = make_snapshots(gated.where(F.col("snapshot_due")), snap_time, key)
     return merged, new_snaps, gated
 
@@ -273,6 +299,14 @@ def run_counters(
     )
 
 
+def started_run(run: DataFrame) -> DataFrame:
+    """The record that a run writes when it starts: running, nothing counted yet."""
+    counters = [c for c in run.columns if c.startswith(("repos_", "snapshots_", "errors_"))]
+    return run.withColumns(
+        {c: F.lit(0) for c in counters} | {"finished_at": F.lit(None).cast("timestamp"), "status": F.lit("running")}
+    )
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Run records are appended (start, then end); the last one per run wins."""
     order = F.coalesce(F.col("finished_at"), F.col("started_at"))
@@ -282,17 +316,6 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- history thinning
 
 
-THIN_SCHEMA = T.StructType(
-    [
-        T.StructField("repo_id", T.LongType()),
-        T.StructField("snapshot_at", T.TimestampType()),
-        T.StructField("stars", T.IntegerType()),
-        T.StructField("forks", T.IntegerType()),
-        T.StructField("open_issues", T.IntegerType()),
-    ]
-)
-
-
 def thin_snapshots(
     snaps: DataFrame,
     ttl_hours: float = SNAPSHOT_TTL_HOURS,

@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 def keyed_running_totals(
     df: DataFrame,
     key: str,
-    order_col: str,
+    order_col: str | list[str],
     sums: dict[str, Column],
     bucket: Column | None = None,
 ) -> DataFrame:
     """Adds one running-total column per entry of ``sums`` (``name -> value``
     expression), per ``key`` in ``order_col`` order (rows frame, current row
-    included). ``bucket`` must be monotone in ``order_col`` (default: the
-    hour of the timestamp)."""
-    b = bucket if bucket is not None else F.date_trunc("hour", F.col(order_col))
+    included; further order columns break ties). ``bucket`` must be monotone in the
+    first of ``order_col`` (default: the hour of the timestamp)."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    b = bucket if bucket is not None else F.date_trunc("hour", F.col(order[0]))
     parts = df.select("*", b.alias("_bucket"), *[e.alias(f"_val_{n}") for n, e in sums.items()])
-    local_w = Window.partitionBy(key, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local_w = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.select(
         *df.columns, "_bucket", *[F.sum(f"_val_{n}").over(local_w).alias(f"_loc_{n}") for n in sums]
     )

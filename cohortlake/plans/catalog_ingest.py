@@ -6,35 +6,43 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.text import DOCUMENT_PATTERNS, decode_base64_text, text_feature_columns, total_count
 from cohortlake.operators.slices import slice_counts
+from cohortlake.operators.state import latest_runs
 from cohortlake.plans import oracle as O
 from cohortlake.plans.catalog import _repos, register
+from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.session import freeze, scratch_dir
 from cohortlake.sources import pages as P
-from cohortlake.sources.landed import readme_bodies, release_responses
+from cohortlake.sources.landed import RELEASES, readme_bodies, release_responses
+from cohortlake.sources.landed import enrichment as landed_enrichment
+from cohortlake.sources.landed import latest_release as latest_release_of
+from cohortlake.sources.store import read_appended, read_state
 from cohortlake.sources.tables import driver_table
+from cohortlake.streaming.ingest import start_ingest
 
 
 def landed_pages(spark, sf_dir):
-    # Archived entities lose their id key: they are the malformed nodes.
+    # Archived entities are the malformed nodes, in several ways.
     repos = _repos(spark, sf_dir)
     return P.land_pages(P.entity_nodes(repos, malformed=F.col("is_archived")))
 
 
 FLAT_COLS = [
-    "id", "name", "full_name", "owner_login", "owner_type", "url", "primary_language", "topics", "is_archived",
-    "is_fork", "stars", "forks", "watchers", "open_issues", "closed_issues", "created_at", "updated_at",
-    "disk_usage_kb",
+    "id", "name", "full_name", "owner_login", "owner_type", "description", "url", "homepage_url", "primary_language",
+    "topics", "license_spdx", "is_archived", "is_fork", "is_template", "stars", "forks", "watchers", "open_issues",
+    "closed_issues", "created_at", "updated_at", "pushed_at", "disk_usage_kb",
 ]
+FLAT_SQL = """CAST(id AS VARCHAR) AS id, name, full_name, name AS owner_login, 'Organization' AS owner_type,
+  concat_ws(' ', name, primary_language) AS description, url,
+  CASE WHEN is_fork THEN url || '/home' END AS homepage_url, primary_language,
+  coalesce(topics, []::VARCHAR[]) AS topics, CASE WHEN readme_has_demo_gif THEN 'MIT' END AS license_spdx,
+  is_archived, is_fork, stars > 100 AS is_template, stars, forks, coalesce(contributors_count, 0) AS watchers,
+  open_issues, closed_issues, created_at, scraped_at AS updated_at, scraped_at AS pushed_at,
+  readme_length_chars AS disk_usage_kb"""
 
 
 @register(
     "flatten_pages",
-    O.with_ctes(
-        body="""SELECT CAST(id AS VARCHAR) AS id, name, full_name, name AS owner_login, 'Organization' AS owner_type,
-  url, primary_language, coalesce(topics, []::VARCHAR[]) AS topics, is_archived, is_fork, stars, forks,
-  coalesce(contributors_count, 0) AS watchers, open_issues, closed_issues, created_at, scraped_at AS updated_at,
-  readme_length_chars AS disk_usage_kb
-FROM repos_v WHERE NOT is_archived"""
-    ),
+    O.with_ctes(body=f"SELECT {FLAT_SQL} FROM repos_v WHERE NOT is_archived"),
 )
 def q_flatten(spark, sf_dir):
     return P.flatten_pages(landed_pages(spark, sf_dir)).select(*FLAT_COLS)
@@ -68,8 +76,7 @@ def q_text_features(spark, sf_dir):
 
 @register(
     "decode_bodies",
-    "SELECT doc_id AS id, CAST(length(text) + 1 AS INTEGER) AS decoded_chars, "
-    "ends_with(text || chr(65533), chr(65533)) AS has_replacement, "
+    "SELECT doc_id AS id, CAST(length(text) + 1 AS INTEGER) AS decoded_chars, md5(text || chr(65533)) AS decoded_md5, "
     "contains(lower(text), 'license') AS readme_has_demo_gif FROM documents",
 )
 def q_decode(spark, sf_dir):
@@ -78,7 +85,7 @@ def q_decode(spark, sf_dir):
     return bodies.select(
         "id",
         feats["readme_length_chars"].alias("decoded_chars"),
-        F.col("text").endswith("�").alias("has_replacement"),
+        F.md5("text").alias("decoded_md5"),
         feats["readme_has_demo_gif"].alias("readme_has_demo_gif"),
     )
 
@@ -97,8 +104,7 @@ RELEASE_CTES = """per_cust AS (
 )
 def q_link_counts(spark, sf_dir):
     resp = release_responses(spark, sf_dir)
-    items = F.from_json("body", "array<struct<tag_name:string,published_at:string>>")
-    return resp.select("id", total_count("link", items).alias("releases_count"))
+    return resp.select("id", total_count("link", F.from_json("body", RELEASES)).alias("releases_count"))
 
 
 @register(
@@ -111,13 +117,8 @@ def q_link_counts(spark, sf_dir):
 )
 def q_latest_release(spark, sf_dir):
     resp = release_responses(spark, sf_dir)
-    items = F.from_json("body", "array<struct<tag_name:string,published_at:string>>")
-    first = F.when(F.size(items) > 0, F.element_at(items, 1))
-    return resp.select(
-        "id",
-        first["tag_name"].alias("latest_release_tag"),
-        F.try_to_timestamp(first["published_at"]).alias("latest_release_at"),
-    )
+    tag, at = latest_release_of(F.from_json("body", RELEASES))
+    return resp.select("id", tag.alias("latest_release_tag"), at.alias("latest_release_at"))
 
 
 SLICE_SQL = """WITH st AS (
@@ -145,33 +146,84 @@ def q_slices(spark, sf_dir):
     return slice_counts(orders, "o_orderdate", cap=1000)
 
 
-STREAM_COLS = [
-    "id", "stars", "forks", "open_issues", "closed_issues", "topics", "created_at", "updated_at", "scraped_at",
-    "updated_in_db_at",
-]
+# Three landed batches: every entity (the archived ones malformed), a refresh of
+# the forks with raised counters and landed responses, and a batch without a
+# single well-formed node.
+STREAM_CTES = f"""valid AS (SELECT * FROM repos_v WHERE NOT is_archived),
+{RELEASE_CTES},
+streamed AS (
+  SELECT v.*, is_fork AS again, CASE WHEN is_fork THEN d.n_chars + 1 END AS body_chars,
+         CASE WHEN is_fork THEN p.n END AS releases, CASE WHEN is_fork AND p.n > 0 THEN 'v' || p.latest_key END AS tag
+  FROM valid v LEFT JOIN (SELECT doc_id, length(text) AS n_chars FROM documents) d ON d.doc_id = v.id
+  LEFT JOIN per_cust p ON p.id = v.id
+)"""
+
+
+def run_stream(spark, sf_dir) -> str:
+    """Land the three batches one after the other, each run to completion; the store's folder."""
+    base = scratch_dir(spark, "stream")
+    repos = freeze(_repos(spark, sf_dir))
+    again = repos.where(F.col("is_fork")).withColumns({c: F.col(c) + 1 for c in ("stars", "forks")})
+    bodies, releases = readme_bodies(spark, sf_dir), release_responses(spark, sf_dir)
+    responses = lambda _: landed_enrichment(bodies, None, releases, DOCUMENT_PATTERNS)
+    batches = [
+        (P.entity_nodes(repos, malformed=F.col("is_archived")), None),
+        (P.entity_nodes(again, malformed=F.col("is_archived")), responses),
+        (P.entity_nodes(repos, malformed=F.lit(True)), responses),
+    ]
+    for nodes, landed in batches:
+        P.land_pages(nodes).select("body").write.mode("append").text(f"{base}/landing")
+        query = start_ingest(
+            spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint",
+            available_now=True, max_files=None, force=True, enrichment=landed,
+        )
+        query.awaitTermination()
+    return f"{base}/store"
 
 
 @register(
     "stream_ingest",
     O.with_ctes(
-        """valid AS (SELECT * FROM repos_v WHERE NOT is_archived),
-batch_as_of AS (SELECT max(scraped_at) AS t FROM valid)""",
-        body="""SELECT CAST(id AS VARCHAR) AS id, stars, forks, open_issues, closed_issues,
-  coalesce(topics, []::VARCHAR[]) AS topics, created_at, scraped_at AS updated_at,
-  (SELECT t FROM batch_as_of) AS scraped_at, (SELECT t FROM batch_as_of) AS updated_in_db_at
-FROM valid""",
+        STREAM_CTES,
+        body="""SELECT CAST(id AS VARCHAR) AS id, stars + again::INTEGER AS stars, forks + again::INTEGER AS forks, open_issues,
+  closed_issues, coalesce(topics, []::VARCHAR[]) AS topics, created_at, scraped_at AS updated_at,
+  CAST(body_chars AS INTEGER) AS readme_length_chars,
+  again AND coalesce(readme_has_demo_gif, false) AS readme_has_demo_gif, CAST(releases AS INTEGER) AS releases_count,
+  tag AS latest_release_tag, again AS refreshed, CAST(1 + again::INTEGER AS BIGINT) AS n_snapshots,
+  stars + again::INTEGER AS last_stars
+FROM streamed""",
     ),
 )
 def q_stream_ingest(spark, sf_dir):
-    """Structured Streaming ingest (M1) end to end: land the pages as JSON
-    lines, run the stream to completion, read the committed state."""
-    from cohortlake.schemas import ENTITY_SCHEMA
-    from cohortlake.session import scratch_dir
-    from cohortlake.sources.store import read_state
-    from cohortlake.streaming.ingest import start_ingest
+    """Structured Streaming ingest (M1) over three batches: the committed state and each key's snapshots."""
+    root = run_stream(spark, sf_dir)
+    state = read_state(spark, root, ENTITY_SCHEMA)
+    snaps = read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA).groupBy(F.col("repo_id").alias("id")).agg(
+        F.countDistinct("snapshot_at").alias("n_snapshots"), F.max_by("stars", "snapshot_at").alias("last_stars")
+    )
+    return state.join(snaps, "id", "left").select(
+        "id", "stars", "forks", "open_issues", "closed_issues", "topics", "created_at", "updated_at", "readme_length_chars",
+        "readme_has_demo_gif", "releases_count", "latest_release_tag",
+        (F.col("updated_in_db_at") > F.col("scraped_at")).alias("refreshed"), "n_snapshots", "last_stars",
+    )
 
-    base = scratch_dir(spark, "stream")
-    landed_pages(spark, sf_dir).select("body").write.mode("overwrite").text(f"{base}/landing")
-    query = start_ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint", available_now=True)
-    query.awaitTermination()
-    return read_state(spark, f"{base}/store", ENTITY_SCHEMA).select(*STREAM_COLS)
+
+@register(
+    "stream_ingest_runs",
+    O.with_ctes(
+        body="""SELECT * FROM (
+  SELECT 'batch-000000000000' AS run_id, count() FILTER (WHERE NOT is_archived)::INTEGER AS repos_new, 0 AS repos_refreshed,
+         count() FILTER (WHERE is_archived)::INTEGER AS errors_count FROM repos_v
+  UNION ALL
+  SELECT 'batch-000000000001', 0, count() FILTER (WHERE NOT is_archived)::INTEGER,
+         count() FILTER (WHERE is_archived)::INTEGER FROM repos_v WHERE is_fork
+  UNION ALL
+  SELECT 'batch-000000000002', 0, 0, count()::INTEGER FROM repos_v
+) r CROSS JOIN (VALUES (2::BIGINT, 'completed')) t(n_records, status)""",
+    ),
+)
+def q_stream_runs(spark, sf_dir):
+    """Start and end records of the same ingest; the end record wins."""
+    runs = read_appended(spark, run_stream(spark, sf_dir), "runs", RUN_SCHEMA)
+    n = runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
+    return latest_runs(runs).join(n, "run_id").select("run_id", "repos_new", "repos_refreshed", "errors_count", "n_records", "status")

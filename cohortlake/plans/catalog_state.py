@@ -1,7 +1,8 @@
 """Registered queries for the state operators (FIXTURES.md 2.4).
 
-Old state: the scored entities with a known language. Incoming batch: every
-entity with its four counters raised by one. Classification runs at the
+Old state: the scored entities with a known language. Incoming batch: the
+entities that are not archived, with their four counters raised by one; so there
+are batch rows without a state row and state rows without a batch row. Classification runs at the
 entity as-of with a TTL of 180 days, so NEW, REFRESH and SKIP all occur; the
 snapshot gate runs at the snapshot as-of.
 """
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from cohortlake.operators import state as st
 from cohortlake.plans import oracle as O
 from cohortlake.plans.catalog import _repos, _snaps, register, scored
+from cohortlake.plans.catalog_ingest import landed_pages
 from cohortlake.sources.fixtures import ENTITY_AS_OF, SNAPSHOT_AS_OF
+from cohortlake.sources.pages import parse_pages, split_valid
 
 TTL_H = 24 * 180
 SNAP_TTL_H = 6
@@ -21,7 +24,7 @@ RUN_ID = "run0000000001"
 
 STATE_CTES = f"""state_v AS (SELECT * FROM scored WHERE primary_language IS NOT NULL),
 batch_v AS (SELECT * REPLACE (stars + 1 AS stars, forks + 1 AS forks, open_issues + 1 AS open_issues,
-                              closed_issues + 1 AS closed_issues) FROM repos_v),
+                              closed_issues + 1 AS closed_issues) FROM repos_v WHERE NOT is_archived),
 classified AS (
   SELECT b.*, CASE WHEN s.id IS NULL THEN 'NEW'
                    WHEN s.updated_in_db_at IS NULL
@@ -40,7 +43,7 @@ gated AS (
 
 def state_and_batch(spark, sf_dir):
     state = scored(spark, sf_dir).where(F.col("primary_language").isNotNull())
-    batch = _repos(spark, sf_dir).withColumns(
+    batch = _repos(spark, sf_dir).where(~F.col("is_archived")).withColumns(
         {c: F.col(c) + 1 for c in ("stars", "forks", "open_issues", "closed_issues")}
     )
     return state, batch
@@ -159,7 +162,7 @@ def q_apply_snaps(spark, sf_dir):
   CAST(count(*) FILTER (WHERE refresh_class = 'REFRESH') AS INTEGER) AS repos_refreshed,
   CAST(count(*) FILTER (WHERE refresh_class = 'SKIP') AS INTEGER) AS repos_skipped_fresh,
   CAST(count(*) FILTER (WHERE snapshot_due) AS INTEGER) AS snapshots_taken,
-  CAST((SELECT count(*) FROM repos_v WHERE topics IS NULL) AS INTEGER) AS errors_count,
+  CAST((SELECT count(*) FROM repos_v WHERE is_archived) AS INTEGER) AS errors_count,
   'completed' AS status
 FROM gated"""
     ),
@@ -168,8 +171,7 @@ def q_run_counters(spark, sf_dir):
     from cohortlake.functions.features import ts_lit
 
     _, _, gated = _apply(spark, sf_dir)
-    # Rows without topics stand in for the malformed rows of the ingest split.
-    errors = _repos(spark, sf_dir).where(F.col("topics").isNull())
+    _, errors = split_valid(parse_pages(landed_pages(spark, sf_dir)))
     run = st.run_counters(gated, RUN_ID, ENTITY_AS_OF, "2001-08-02 01:00:00", errors=errors)
     return run.withColumn("finished_at", ts_lit("2001-08-02 01:00:00"))
 
@@ -219,16 +221,7 @@ def q_run_record(spark, sf_dir):
 
     _, _, gated = _apply(spark, sf_dir)
     end = st.run_counters(gated, RUN_ID, ENTITY_AS_OF, "2001-08-02 01:00:00")
-    start = end.select(
-        *[
-            F.lit(None).cast("timestamp").alias(c) if c == "finished_at"
-            else F.lit("running").alias(c) if c == "status"
-            else F.lit(0).alias(c) if c.startswith(("repos_", "snapshots_", "errors_"))
-            else F.col(c)
-            for c in end.columns
-        ]
-    )
-    runs = start.unionByName(end.withColumn("finished_at", ts_lit("2001-08-02 01:00:00")))
+    runs = st.started_run(end).unionByName(end.withColumn("finished_at", ts_lit("2001-08-02 01:00:00")))
     return st.latest_runs(runs).select(
         "run_id", "started_at", "finished_at", "repos_found", "snapshots_taken", "status"
     )

@@ -113,10 +113,6 @@ RUN_DEFAULTS = {
     "errors_count": 0,
 }
 
-# The run status domain.
-RUN_STATUSES = ("running", "completed", "failed")
-
-
 def conform(
     df: DataFrame,
     schema: T.StructType,
@@ -143,8 +139,3 @@ def conform(
         known = {f.name for f in schema.fields}
         cols.extend(F.col(c) for c in df.columns if c not in known)
     return df.select(*cols)
-
-
-def run_status_ok(col: str = "status") -> Column:
-    """Check predicate for the run ``status`` domain."""
-    return F.col(col).isin(*RUN_STATUSES)

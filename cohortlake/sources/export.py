@@ -4,7 +4,7 @@ a range-partitioned sort, so no task holds the whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,5 +31,11 @@ def export(df: DataFrame, path: str, mode: str = "overwrite", score: str = "pote
     if path.lower().endswith(".parquet"):
         ordered.write.mode(mode).parquet(path)
         return "parquet"
-    flatten_lists(ordered).write.mode(mode).option("header", True).csv(path)
+    # a quote inside a field is doubled, as CSV readers expect
+    flatten_lists(ordered).write.mode(mode).options(header=True, escape='"').csv(path)
     return "csv"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What ``export`` wrote as CSV: fields may hold quotes and line breaks."""
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)

@@ -106,13 +106,14 @@ def snapshots_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ev.select(
         (F.col("user_id") * 10 + F.col("event_id") % 10).alias("repo_id"),
         F.col("ts").alias("snapshot_at"),
+        "event_id",
         F.col("value").cast("decimal(18,2)").alias("_value"),
         (F.col("event_type") == "error").cast("long").alias("_error"),
     )
     run = keyed_running_totals(
         ev,
         "repo_id",
-        "snapshot_at",
+        ["snapshot_at", "event_id"],
         {"_stars": F.col("_value"), "_forks": F.lit(1).cast("long"), "_errors": F.col("_error")},
     )
     return run.select(

@@ -8,9 +8,12 @@ tables so every query reads data whose size grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlake.functions.text import README_PATTERNS, TextPatterns, decode_base64_text, text_feature_columns, total_count
 from cohortlake.sources.pages import ISO
 from cohortlake.sources.tables import driver_table
 
@@ -49,3 +52,43 @@ def release_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(F.col("_n") > 0, F.to_json(F.array(item))).otherwise(F.lit("[]"))
     return joined.select("id", link.alias("link"), body.alias("body"))
+
+
+RELEASES = "array<struct<tag_name:string,published_at:string>>"
+
+
+def latest_release(items: Column) -> tuple[Column, Column]:
+    """Tag and publish time of the first release of a parsed list; NULLs for an empty one."""
+    first = F.when(F.size(items) > 0, F.element_at(items, 1))
+    return first["tag_name"], F.try_to_timestamp(first["published_at"])
+
+
+def enrichment(
+    bodies: DataFrame | None = None,
+    contributors: DataFrame | None = None,
+    releases: DataFrame | None = None,
+    patterns: TextPatterns = README_PATTERNS,
+) -> DataFrame:
+    """One row per ``id`` (text) with the enrichment columns of the landed responses given.
+
+    ``bodies``: (id, content_b64); ``contributors`` and ``releases``: (id, link, body).
+    An entity with some responses has NULL for what did not land. Each input has
+    one row per id.
+    """
+    parts = []
+    if bodies is not None:
+        text = bodies.select(F.col("id").cast("string"), decode_base64_text("content_b64").alias("_t"))
+        parts.append(text.select("id", *[c.alias(n) for n, c in text_feature_columns("_t", patterns).items()]))
+    if contributors is not None:
+        n = total_count("link", F.from_json("body", "array<struct<login:string>>"))
+        parts.append(contributors.select(F.col("id").cast("string"), n.alias("contributors_count")))
+    if releases is not None:
+        items = F.from_json("body", RELEASES)
+        tag, at = latest_release(items)
+        parts.append(
+            releases.select(
+                F.col("id").cast("string"), total_count("link", items).alias("releases_count"),
+                tag.alias("latest_release_tag"), at.alias("latest_release_at"),
+            )
+        )
+    return reduce(lambda a, b: a.join(b, "id", "full_outer"), parts)

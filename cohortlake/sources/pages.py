@@ -2,10 +2,10 @@
 
 A page is one JSON document ``{data: {search: {repositoryCount, pageInfo,
 nodes: [...]}}, rateLimit: {...}}``. Pages are parsed with a declared schema
-(no inference); each node is kept as its raw JSON text as well, so a key
-that is absent (take the default) can be told apart from a key that is an
-explicit JSON null (the node is malformed). Malformed nodes are split off
-and counted, never silently dropped.
+(no inference); each node is parsed once as a VARIANT, which keeps the JSON
+type of every member, so an absent key (take the default), an explicit null, a
+number and a string of digits can be told apart at any depth. Malformed nodes
+are split off and counted, never silently dropped.
 """
 
 from __future__ import annotations
@@ -17,26 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S, I, B, L = T.StringType(), T.IntegerType(), T.BooleanType(), T.LongType()
+INT_MAX = 2**31 - 1
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-COUNT = _struct(("totalCount", I))
-NODE_SCHEMA = _struct(
-    ("id", S), ("name", S), ("nameWithOwner", S),
-    ("owner", _struct(("login", S), ("__typename", S))),
-    ("description", S), ("url", S), ("homepageUrl", S),
-    ("primaryLanguage", _struct(("name", S))),
-    ("repositoryTopics", _struct(("nodes", T.ArrayType(_struct(("topic", _struct(("name", S)))))))),
-    ("licenseInfo", _struct(("spdxId", S))),
-    ("isArchived", B), ("isFork", B), ("isTemplate", B),
-    ("stargazerCount", I), ("forkCount", I),
-    ("watchers", COUNT), ("issues", COUNT), ("closedIssues", COUNT),
-    ("createdAt", S), ("updatedAt", S), ("pushedAt", S),
-    ("diskUsage", I),
-)
 # Nodes stay raw JSON strings here; they are parsed per node below.
 PAGE_SCHEMA = _struct(
     ("data", _struct(("search", _struct(
@@ -47,100 +34,148 @@ PAGE_SCHEMA = _struct(
     ("rateLimit", _struct(("remaining", I), ("resetAt", S), ("cost", I))),
 )
 
-# Validation rules of a node.
-REQUIRED_KEYS = ("id", "name", "nameWithOwner")
-NOT_NULL_IF_PRESENT = (
-    "owner", "repositoryTopics", "watchers", "issues", "closedIssues",
-    "isArchived", "isFork", "isTemplate", "stargazerCount", "forkCount",
-)
-COUNTER_KEYS = ("watchers", "issues", "closedIssues")
-TYPED_SCALARS = ("isArchived", "isFork", "isTemplate", "stargazerCount", "forkCount", "diskUsage")
-TIME_KEYS = ("createdAt", "updatedAt", "pushedAt")
+# The members of a node and what they may be.
+REQUIRED_STRINGS = ("id", "name", "nameWithOwner")
+OPTIONAL_STRINGS = ("description", "url", "homepageUrl", "owner.login", "owner.__typename", "licenseInfo.spdxId")
+FLAGS = ("isArchived", "isFork", "isTemplate")
+COUNTERS = ("stargazerCount", "forkCount", "watchers.totalCount", "issues.totalCount", "closedIssues.totalCount")
+OBJECTS = ("owner", "repositoryTopics", "watchers", "issues", "closedIssues")
+TIMES = ("createdAt", "updatedAt", "pushedAt")
+# Texts that count as a flag.
+TRUE_TEXTS = ("1", "on", "t", "true", "y", "yes")
+FALSE_TEXTS = ("0", "off", "f", "false", "n", "no")
+INTEGER_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
+
+
+def _at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
+
+
+def _kind(v: Column) -> Column:
+    """JSON type of a variant: OBJECT..., ARRAY..., STRING, BOOLEAN, BIGINT, DOUBLE, DECIMAL..., VOID (null); NULL if absent."""
+    return F.schema_of_variant(v)
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, [_kind(v).startswith(k) for k in kinds]), F.lit(False))
 
-RAW = "m"
 
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
-def _explicit_null(m: Column, key: str) -> Column:
-    return F.map_contains_key(m, F.lit(key)) & m[key].isNull()
+
+def _flag(v: Column) -> Column:
+    """A flag, or what stands for one (0, 1, usual words); NULL for anything else."""
+    word = F.lower(F.trim(F.regexp_replace(_text(v), r"^([01])\.0+$", "$1")))
+    plain = F.when(word.isin(*TRUE_TEXTS), F.lit(True)).when(word.isin(*FALSE_TEXTS), F.lit(False))
+    number = F.when(word.isin("0", "1"), word == "1")
+    return F.when(_is(v, "STRING", "BOOLEAN"), plain).when(_is(v, "BIGINT", "DOUBLE", "DECIMAL"), number)
+
+
+def _count(v: Column) -> Column:
+    """A whole number of 32 bits, also as text, as 12.0 or as a flag; NULL for anything else."""
+    text = _text(v)
+    exact = F.when(_is(v, "BOOLEAN"), (text == "true").cast("decimal(38,6)")).when(
+        _is(v, "BIGINT", "DOUBLE", "DECIMAL") | (_is(v, "STRING") & text.rlike(INTEGER_TEXT)), F.trim(text).try_cast("decimal(38,6)")
+    )
+    return F.when((exact == F.floor(exact)) & F.abs(exact).between(0, INT_MAX), exact.cast("int"))
+
+
+def _time(v: Column) -> Column:
+    """A time from ISO text, or from seconds (milliseconds if very large) since 1970; NULL for anything else."""
+    seconds = F.try_variant_get(v, "$", "double")
+    seconds = F.when(F.abs(seconds) > 2e10, seconds / 1000).otherwise(seconds)
+    return F.when(_is(v, "STRING"), F.try_to_timestamp(_text(v))).when(
+        _is(v, "BIGINT", "DOUBLE", "DECIMAL") & (F.abs(seconds) < 2e11), F.timestamp_micros((seconds * 1e6).cast("long"))
+    )
 
 
-def _null_member(name: str) -> str:
-    """Regex for a top-level ``"name": null`` member of a JSON object text."""
-    return r'^\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*"' + name + r'"\s*:\s*null'
+def _falsy(v: Column) -> Column:
+    """Absent, null, false, zero, empty text, object or list."""
+    text = _text(v)
+    empty = _is(v, "OBJECT<>") | (_is(v, "ARRAY") & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 0))
+    zero = _is(v, "BOOLEAN", "BIGINT", "DOUBLE", "DECIMAL") & (F.coalesce(text.try_cast("double"), F.lit(0.0)) == 0) & (text != "true")
+    return _kind(v).isNull() | _is(v, "VOID") | empty | (_is(v, "STRING") & (text == "")) | zero
 
 
-def node_valid(n: str | Column = "n", m: str | Column = RAW) -> Column:
-    """True when a parsed node is well-formed (see the fixed rules above)."""
-    nc = F.col(n) if isinstance(n, str) else n
-    mc = F.col(m) if isinstance(m, str) else m
-    checks = [mc[k].isNotNull() for k in REQUIRED_KEYS]
-    checks += [~_explicit_null(mc, k) for k in NOT_NULL_IF_PRESENT]
-    # Inside a present object, an explicit null member (absent -> default 0
-    # or []) is found on the object's raw JSON text, without a second parse.
-    for k in COUNTER_KEYS:
-        checks.append(~F.coalesce(mc[k].rlike(_null_member("totalCount")), F.lit(False)))
-    checks.append(~F.coalesce(mc["repositoryTopics"].rlike(_null_member("nodes")), F.lit(False)))
-    # A value of the wrong type parses to NULL although the raw value is set.
-    checks += [~(mc[k].isNotNull() & nc[k].isNull()) for k in TYPED_SCALARS]
-    checks += [~(nc[k].isNotNull() & F.try_to_timestamp(nc[k]).isNull()) for k in TIME_KEYS]
+def _topics(v: Column) -> Column:
+    return F.try_variant_get(v, "$.repositoryTopics.nodes", "array<variant>")
+
+
+def node_valid(v: str | Column = "v") -> Column:
+    """True when a parsed node is well-formed: every member, at any depth, is absent or what it may be.
+
+    An explicit null is no value for a flag, a counter or an object.
+    """
+    v = F.col(v) if isinstance(v, str) else v
+    absent = lambda p: _kind(_at(v, p)).isNull()
+    null = lambda p: _is(_at(v, p), "VOID")
+    checks = [_is(v, "OBJECT")]
+    checks += [_is(_at(v, p), "STRING") for p in REQUIRED_STRINGS]
+    checks += [absent(p) | null(p) | _is(_at(v, p), "STRING") for p in OPTIONAL_STRINGS]
+    checks += [absent(p) | _is(_at(v, p), "OBJECT") for p in OBJECTS]
+    checks += [absent(p) | _flag(_at(v, p)).isNotNull() for p in FLAGS]
+    checks += [absent(p) | _count(_at(v, p)).isNotNull() for p in COUNTERS]
+    checks += [absent(p) | null(p) | _time(_at(v, p)).isNotNull() for p in TIMES]
+    checks.append(absent("diskUsage") | null("diskUsage") | _count(_at(v, "diskUsage")).isNotNull())
+    language = _at(v, "primaryLanguage")
+    checks.append(_falsy(language) | (_is(language, "OBJECT") & _is(_at(v, "primaryLanguage.name"), "STRING", "VOID")))
+    checks.append(_falsy(_at(v, "licenseInfo")) | _is(_at(v, "licenseInfo"), "OBJECT"))
+    named = F.forall(
+        _topics(v), lambda t: _is(t, "OBJECT") & (_falsy(_at(t, "topic")) | _is(_at(t, "topic.name"), "STRING"))
+    )
+    checks.append(absent("repositoryTopics.nodes") | (_is(_at(v, "repositoryTopics.nodes"), "ARRAY") & named))
     return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
 
 def parse_pages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One row per node: ``raw_node`` text, typed ``n``, raw-value map ``m``.
+    """One row per node: ``raw_node`` text and the node as variant ``v`` (NULL if it does not parse).
 
     Each node is parsed inside its page's array, before the explode, so the
-    parse runs once per node; the columns read later are plain struct
-    accesses on the generator's output (a parse placed after the explode
-    would be inlined into every field that reads it).
+    parse runs once per node.
     """
     pages = raw.select(F.from_json(F.col(body), PAGE_SCHEMA).alias("_p"))
     parsed = _parsed_nodes(F.col("_p.data.search.nodes"))
-    return pages.select(F.explode(parsed).alias("_e")).select("_e.raw_node", "_e.n", f"_e.{RAW}")
+    return pages.select(F.explode(parsed).alias("_e")).select("_e.raw_node", "_e.v")
 
 
 def _parsed_nodes(nodes: Column) -> Column:
-    """Array of ``struct(raw_node, n, m)``: each node parsed once."""
-    return F.transform(
-        nodes,
-        lambda x: F.struct(
-            x.alias("raw_node"),
-            F.from_json(x, NODE_SCHEMA).alias("n"),
-            F.from_json(x, "map<string,string>").alias(RAW),
-        ),
-    )
+    """Array of ``struct(raw_node, v)``: each node parsed once."""
+    return F.transform(nodes, lambda x: F.struct(x.alias("raw_node"), F.try_parse_json(x).alias("v")))
 
 
-def flat_columns(n: str = "n") -> list[Column]:
+def flat_columns(v: str = "v") -> list[Column]:
     """Field mapping node -> entity columns (absent keys take defaults)."""
-    c = lambda path: F.col(f"{n}.{path}")
+    at = lambda path: _at(F.col(v), path)
+    text = lambda path: F.try_variant_get(F.col(v), f"$.{path}", "string")
     topics = F.transform(
-        F.filter(c("repositoryTopics.nodes"), lambda t: t["topic"].isNotNull()), lambda t: t["topic"]["name"]
+        F.filter(_topics(F.col(v)), lambda t: ~_falsy(_at(t, "topic"))),
+        lambda t: F.try_variant_get(t, "$.topic.name", "string"),
     )
     return [
-        c("id").alias("id"),
-        c("name").alias("name"),
-        c("nameWithOwner").alias("full_name"),
-        c("owner.login").alias("owner_login"),
-        c("owner.__typename").alias("owner_type"),
-        c("description").alias("description"),
-        c("url").alias("url"),
-        c("homepageUrl").alias("homepage_url"),
-        c("primaryLanguage.name").alias("primary_language"),
+        text("id").alias("id"),
+        text("name").alias("name"),
+        text("nameWithOwner").alias("full_name"),
+        text("owner.login").alias("owner_login"),
+        text("owner.__typename").alias("owner_type"),
+        text("description").alias("description"),
+        text("url").alias("url"),
+        text("homepageUrl").alias("homepage_url"),
+        text("primaryLanguage.name").alias("primary_language"),
         F.coalesce(topics, F.array().cast("array<string>")).alias("topics"),
-        c("licenseInfo.spdxId").alias("license_spdx"),
-        F.coalesce(c("isArchived"), F.lit(False)).alias("is_archived"),
-        F.coalesce(c("isFork"), F.lit(False)).alias("is_fork"),
-        F.coalesce(c("isTemplate"), F.lit(False)).alias("is_template"),
-        F.coalesce(c("stargazerCount"), F.lit(0)).alias("stars"),
-        F.coalesce(c("forkCount"), F.lit(0)).alias("forks"),
-        F.coalesce(c("watchers.totalCount"), F.lit(0)).alias("watchers"),
-        F.coalesce(c("issues.totalCount"), F.lit(0)).alias("open_issues"),
-        F.coalesce(c("closedIssues.totalCount"), F.lit(0)).alias("closed_issues"),
-        F.try_to_timestamp(c("createdAt")).alias("created_at"),
-        F.try_to_timestamp(c("updatedAt")).alias("updated_at"),
-        F.try_to_timestamp(c("pushedAt")).alias("pushed_at"),
-        c("diskUsage").alias("disk_usage_kb"),
+        text("licenseInfo.spdxId").alias("license_spdx"),
+        F.coalesce(_flag(at("isArchived")), F.lit(False)).alias("is_archived"),
+        F.coalesce(_flag(at("isFork")), F.lit(False)).alias("is_fork"),
+        F.coalesce(_flag(at("isTemplate")), F.lit(False)).alias("is_template"),
+        F.coalesce(_count(at("stargazerCount")), F.lit(0)).alias("stars"),
+        F.coalesce(_count(at("forkCount")), F.lit(0)).alias("forks"),
+        F.coalesce(_count(at("watchers.totalCount")), F.lit(0)).alias("watchers"),
+        F.coalesce(_count(at("issues.totalCount")), F.lit(0)).alias("open_issues"),
+        F.coalesce(_count(at("closedIssues.totalCount")), F.lit(0)).alias("closed_issues"),
+        _time(at("createdAt")).alias("created_at"),
+        _time(at("updatedAt")).alias("updated_at"),
+        _time(at("pushedAt")).alias("pushed_at"),
+        _count(at("diskUsage")).alias("disk_usage_kb"),
     ]
 
 
@@ -183,7 +218,7 @@ def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
         F.aggregate(
             _parsed_nodes(F.col("_nodes")),
             F.lit(0),
-            lambda acc, e: acc + F.when(node_valid(e["n"], e[RAW]), 1).otherwise(0),
+            lambda acc, e: acc + F.when(node_valid(e["v"]), 1).otherwise(0),
         ).alias("_ok"),
     )
     return per_page.agg(
@@ -201,27 +236,39 @@ def quarantine_counts(raw: DataFrame, body: str = "body") -> DataFrame:
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+# Ways in which a landed node can be malformed (an id digit picks one): a
+# pattern on its JSON text and what takes its place.
+BREAKAGES = (
+    (r'"id":"[^"]*",', ""),
+    (r'"stargazerCount":\d+', '"stargazerCount":"many"'),
+    (r'"issues":\{[^}]*\}', '"issues":5'),
+    (r'"owner":\{[^}]*\}', '"owner":"x"'),
+    (r'"id":"([^"]*)"', '"id":$1'),
+)
+
+
 def entity_nodes(entities: DataFrame, malformed: Column | None = None) -> DataFrame:
-    """Nest entity rows into search-result nodes (the inverse of the flat
-    mapping). Rows where ``malformed`` holds lose their ``id`` key."""
+    """``(_key, node)``: entity rows as search-result nodes in JSON (the inverse
+    of the flat mapping). Rows where ``malformed`` holds are broken in one of the
+    BREAKAGES. What the entities do not have is derived from what they do."""
     topics = F.transform(F.col("topics"), lambda t: F.struct(F.struct(t.alias("name")).alias("topic")))
-    node_id = F.col("id").cast("string")
-    if malformed is not None:
-        node_id = F.when(~F.coalesce(malformed, F.lit(False)), node_id)
     count = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("totalCount")))
-    return entities.select(
-        F.col("id").alias("_key"),
+    node = F.to_json(
         F.struct(
-            node_id.alias("id"),
+            F.col("id").cast("string").alias("id"),
             F.col("name").alias("name"),
             F.col("full_name").alias("nameWithOwner"),
             F.struct(F.col("name").alias("login"), F.lit("Organization").alias("__typename")).alias("owner"),
+            F.concat_ws(" ", "name", "primary_language").alias("description"),
             F.col("url").alias("url"),
+            F.when(F.col("is_fork"), F.concat("url", F.lit("/home"))).alias("homepageUrl"),
             F.when(F.col("primary_language").isNotNull(), F.struct(F.col("primary_language").alias("name")))
             .alias("primaryLanguage"),
             F.when(F.col("topics").isNotNull(), F.struct(topics.alias("nodes"))).alias("repositoryTopics"),
+            F.when(F.col("readme_has_demo_gif"), F.struct(F.lit("MIT").alias("spdxId"))).alias("licenseInfo"),
             F.col("is_archived").alias("isArchived"),
             F.col("is_fork").alias("isFork"),
+            (F.col("stars") > 100).alias("isTemplate"),
             F.col("stars").alias("stargazerCount"),
             F.col("forks").alias("forkCount"),
             count("contributors_count").alias("watchers"),
@@ -229,30 +276,30 @@ def entity_nodes(entities: DataFrame, malformed: Column | None = None) -> DataFr
             count("closed_issues").alias("closedIssues"),
             F.date_format("created_at", ISO).alias("createdAt"),
             F.date_format("scraped_at", ISO).alias("updatedAt"),
+            F.date_format("scraped_at", ISO).alias("pushedAt"),
             F.col("readme_length_chars").alias("diskUsage"),
-        ).alias("node"),
+        )
     )
+    if malformed is not None:
+        way = F.pmod(F.col("id").cast("long"), F.lit(len(BREAKAGES)))
+        for i, (pattern, to) in enumerate(BREAKAGES):
+            broken = F.coalesce(malformed, F.lit(False)) & (way == i)
+            node = F.when(broken, F.regexp_replace(node, pattern, to)).otherwise(node)
+    return entities.select(F.col("id").alias("_key"), node.alias("node"))
 
 
 def land_pages(nodes: DataFrame, page_size: int = 100) -> DataFrame:
     """Group nodes into pages of consecutive keys (``key div page_size``), so
-    a page never holds more than ``page_size`` nodes, and serialise each
-    page as a JSON body."""
+    a page never holds more than ``page_size`` nodes, and write each page as a
+    JSON body."""
     page = F.floor(F.col("_key") / F.lit(page_size))
     grouped = nodes.groupBy(page.alias("page")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_key"), F.col("node")))).alias("_rows"),
     )
-    body = F.to_json(
-        F.struct(
-            F.struct(
-                F.struct(
-                    F.size("_rows").cast("long").alias("repositoryCount"),
-                    F.struct(F.col("page").cast("string").alias("endCursor"), F.lit(True).alias("hasNextPage"))
-                    .alias("pageInfo"),
-                    F.transform("_rows", lambda r: r["node"]).alias("nodes"),
-                ).alias("search")
-            ).alias("data"),
-            F.struct(F.lit(5000).alias("remaining"), F.lit(1).alias("cost")).alias("rateLimit"),
-        )
+    body = F.concat(
+        F.lit('{"data":{"search":{"repositoryCount":'), F.size("_rows").cast("string"),
+        F.lit(',"pageInfo":{"endCursor":"'), F.col("page").cast("string"), F.lit('","hasNextPage":true},"nodes":['),
+        F.array_join(F.transform("_rows", lambda r: r["node"]), ","),
+        F.lit(']}},"rateLimit":{"remaining":5000,"cost":1}}'),
     )
     return grouped.select("page", body.alias("body"))

@@ -4,29 +4,35 @@ Layout under ``root`` (a shared folder on a cluster)::
 
     state/version=<n>/        full entity state as of version n
     snapshots/batch=<b>/      snapshot rows appended by batch b
-    runs/batch=<b>/           run record of batch b
-    _commits/                 append-only log: (version, batch, committed_at)
+    runs/batch=<b>/           run records of batch b
+    _commits/                 append-only log: (version, batch, as_of, base)
 
 A batch writes its new state version and its appended rows first, then one
 commit row; readers take the highest committed version, so a half-written
 batch is never visible. Versions and batch folders are derived from the batch
 id, so replaying a batch rewrites the same folders (idempotent). The folder
-being read is never the folder being written.
+being read is never the folder being written. A batch's snapshots all carry its
+``as_of``, so a time filter prunes whole batch folders by the log; ``base`` is the
+first batch whose appended rows still count (a purge raises it).
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlake.functions.features import ts_lit
+
 COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("version", T.LongType()),
         T.StructField("batch", T.LongType()),
-        T.StructField("committed_at", T.TimestampType()),
+        T.StructField("as_of", T.TimestampType()),
+        T.StructField("base", T.LongType()),
     ]
 )
 
@@ -35,22 +41,47 @@ def _p(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; any failure to look is an error, not an empty store."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+
+
 def _commits(spark: SparkSession, root: str, before_batch: int | None) -> DataFrame | None:
-    try:
-        log = spark.read.schema(COMMIT_SCHEMA).parquet(_p(root, "_commits"))
-    except Exception:  # noqa: BLE001 - no commit log yet
+    path = _p(root, "_commits")
+    if not _exists(spark, path):
         return None
+    log = spark.read.schema(COMMIT_SCHEMA).parquet(path)
     return log if before_batch is None else log.where(F.col("batch") < F.lit(int(before_batch)))
 
 
-def current_version(spark: SparkSession, root: str, before_batch: int | None = None) -> int | None:
-    """Highest committed state version (of batches before ``before_batch``),
-    or None for an empty store."""
+@dataclass(frozen=True)
+class Commit:
+    version: int
+    as_of: datetime  # UTC, without a zone
+    base: int
+
+
+def utc(micros: int) -> datetime:
+    """Microseconds since 1970 as a naive UTC datetime, whatever zone the driver is in."""
+    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
+
+
+def last_commit(spark: SparkSession, root: str, before_batch: int | None = None) -> Commit | None:
+    """The commit of the highest version (of batches before ``before_batch``), or None for an empty store."""
     log = _commits(spark, root, before_batch)
     if log is None:
         return None
-    row = log.agg(F.max("version").alias("v")).head()
-    return None if row is None or row["v"] is None else int(row["v"])
+    top = F.max(F.struct("version", F.unix_micros("as_of").alias("us"), "base"))
+    row = log.agg(top.alias("c")).head()["c"]
+    return None if row is None else Commit(row["version"], utc(row["us"]), row["base"])
+
+
+def current_version(spark: SparkSession, root: str, before_batch: int | None = None) -> int | None:
+    """Highest committed state version, or None for an empty store."""
+    commit = last_commit(spark, root, before_batch)
+    return None if commit is None else commit.version
 
 
 def read_state(
@@ -64,21 +95,32 @@ def read_state(
 
 
 def read_appended(
-    spark: SparkSession, root: str, table: str, schema: T.StructType, before_batch: int | None = None
+    spark: SparkSession,
+    root: str,
+    table: str,
+    schema: T.StructType,
+    before_batch: int | None = None,
+    since: datetime | None = None,
 ) -> DataFrame:
-    """All committed batches (before ``before_batch``) of an append-only table."""
-    log = _commits(spark, root, before_batch)
-    if log is None or current_version(spark, root, before_batch) is None:
-        return spark.createDataFrame([], schema)
-    committed = log.select("batch").distinct()
-    try:
-        data = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(
-            _p(root, table)
-        )
-    except Exception:  # noqa: BLE001 - nothing appended yet
+    """Committed batches (before ``before_batch``) of an append-only table.
+
+    With ``since``, only batches with a later ``as_of`` are read: their folders
+    are pruned by the first such batch.
+    """
+    commit = last_commit(spark, root, before_batch)
+    if commit is None or not _exists(spark, _p(root, table)):
         return spark.createDataFrame([], schema)
+    log = _commits(spark, root, before_batch)
+    first = commit.base
+    if since is not None:
+        row = log.where(F.col("as_of") > ts_lit(since)).agg(F.min("batch").alias("b")).head()
+        if row["b"] is None:
+            return spark.createDataFrame([], schema)
+        first = max(first, int(row["b"]))
+    data = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(_p(root, table))
+    data = data.where(F.col("batch") >= first)
     # Batches without a commit row (a crashed attempt) are not visible.
-    return data.join(F.broadcast(committed), "batch", "left_semi").drop("batch")
+    return data.join(log.select("batch").distinct(), "batch", "left_semi").drop("batch")
 
 
 def write_batch(
@@ -87,16 +129,25 @@ def write_batch(
     batch: int,
     state: DataFrame,
     appended: dict[str, DataFrame],
+    as_of: datetime,
     state_partitions: int | None = None,
+    base: int | None = None,
 ) -> int:
-    """Write state version ``batch + 1`` and the batch's appended rows, then commit."""
+    """Write state version ``batch + 1`` and the batch's appended rows, then commit.
+
+    ``base`` (default: what it was) hides appended rows of earlier batches.
+    """
     version = int(batch) + 1
+    before = last_commit(spark, root, before_batch=batch)
     out = state.repartition(state_partitions, "id") if state_partitions else state
     out.write.mode("overwrite").parquet(_p(root, "state", f"version={version}"))
     for table, df in appended.items():
         df.write.mode("overwrite").parquet(_p(root, table, f"batch={int(batch)}"))
-    commit = spark.createDataFrame(
-        [(version, int(batch), datetime.now(tz=timezone.utc).replace(tzinfo=None))], COMMIT_SCHEMA
-    )
-    commit.write.mode("append").parquet(_p(root, "_commits"))
+    if base is None:
+        base = before.base if before is not None else 0
+    row = spark.range(1).select(
+        F.lit(version).cast("long").alias("version"), F.lit(int(batch)).cast("long").alias("batch"),
+        ts_lit(as_of).alias("as_of"), F.lit(int(base)).cast("long").alias("base"),
+    )
+    row.coalesce(1).write.mode("append").parquet(_p(root, "_commits"))
     return version

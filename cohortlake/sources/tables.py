@@ -11,12 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The driver's table names.
-DRIVER_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
 
 def as_instants(df: DataFrame) -> DataFrame:
     """Timestamps without zone become instants (session zone is UTC)."""

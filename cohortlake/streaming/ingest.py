@@ -1,26 +1,46 @@
 """Continuous ingest of landed search-result pages (Structured Streaming).
 
 ``readStream`` picks up new page files; each micro-batch is parsed and split
-(malformed nodes counted), de-duplicated by key, applied to the stored state
-with :func:`cohortlake.operators.state.apply_batch` and written as a new
-store version (:mod:`cohortlake.sources.store`). ``foreachBatch`` is
-at-least-once; the store folders are keyed by ``batchId``, so a replayed
-batch rewrites exactly what it wrote before. The batch's as-of time is the
-latest ``updated_at`` in its own rows, so a replay computes the same result.
+(malformed nodes counted), de-duplicated by key, enriched from landed responses,
+applied to the stored state with :func:`cohortlake.operators.state.apply_batch`
+and written as a new store version (:mod:`cohortlake.sources.store`) with a start
+and an end record of the run. Every batch is committed, one without a valid node
+too. ``foreachBatch`` is at-least-once; the store folders are keyed by ``batchId``,
+so a replayed batch rewrites exactly what it wrote before.
+
+The batch's as-of time is when its newest file landed, but always later than
+the last committed batch's: a replay computes the same, clocks never run back and
+no two batches write a snapshot of the same key and time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortlake.operators import state as st
-from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA, conform
+from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, RUN_DEFAULTS, RUN_SCHEMA, SNAPSHOT_SCHEMA, conform
+from cohortlake.session import freeze
 from cohortlake.sources import store
-from cohortlake.sources.pages import parse_pages, split_valid, unparsed_pages
+from cohortlake.sources.pages import flat_columns, node_valid, parse_pages, unparsed_pages
+
+PAGE_TEXT, LANDED_AT = "value", "landed_at"
 
-PAGE_TEXT = "value"
+#: Gives the landed enrichment, one row per ``id`` (see sources.landed.enrichment).
+Enrichment = Callable[[SparkSession], DataFrame]
+
+
+def batch_time(pages: DataFrame, last: datetime | None) -> datetime:
+    """When the newest file landed, later than ``last`` in any case."""
+    landed = pages.agg(F.unix_micros(F.max(LANDED_AT)).alias("us")).head()["us"]
+    times = [datetime(1970, 1, 1)]
+    times += [store.utc(landed)] if landed is not None else []
+    times += [last + timedelta(microseconds=1)] if last is not None else []
+    return max(times)
 
 
 def process_batch(
@@ -31,34 +51,48 @@ def process_batch(
     refresh_ttl_hours: float = st.REFRESH_TTL_HOURS,
     snapshot_ttl_hours: float = st.SNAPSHOT_TTL_HOURS,
     force: bool = False,
-) -> int | None:
-    """Apply one batch of raw pages (column ``value``) to the store."""
-    good, bad = split_valid(parse_pages(pages, PAGE_TEXT))
-    # Errors of the run: malformed nodes plus pages that did not parse at all.
-    bad = bad.unionByName(unparsed_pages(pages, PAGE_TEXT))
-    as_of_row = good.agg(F.max("updated_at").alias("t")).head()
-    if as_of_row is None or as_of_row["t"] is None:
-        return None
-    as_of = as_of_row["t"]
-    # Read what the earlier batches committed (never this batch's own output,
-    # which a replay is about to rewrite).
-    state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id)
-    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch_id)
-    batch = conform(good, ENTITY_SCHEMA, ENTITY_DEFAULTS).drop("scraped_at", "updated_in_db_at", *[
-        c for c in ENTITY_SCHEMA.fieldNames() if c not in st.CRAWL_COLUMNS and c != "id"
-    ])
-    # apply_batch keeps one row per key (the latest updated_at wins).
-    new_state, new_snaps, gated = st.apply_batch(
-        state, snaps, batch, as_of, refresh_ttl_hours, snapshot_ttl_hours, force, order_by="updated_at"
-    )
-    run = st.run_counters(gated, f"batch-{batch_id:012d}", as_of, as_of, errors=bad)
-    return store.write_batch(
-        spark,
-        root,
-        batch_id,
-        conform(new_state, ENTITY_SCHEMA),
-        {"snapshots": conform(new_snaps, SNAPSHOT_SCHEMA), "runs": conform(run, RUN_SCHEMA)},
-    )
+    enrichment: Enrichment | None = None,
+) -> int:
+    """Apply one batch of raw pages (columns ``value`` and ``landed_at``) to the store.
+
+    A column that the batch does not carry keeps its stored value, and so do the
+    enrichment columns of entities for which no response has landed. If the work
+    fails, nothing is committed but a failed run record, and the error goes on to
+    the stream, which tries the batch again.
+    """
+    last = store.last_commit(spark, root, before_batch=batch_id)
+    as_of = batch_time(pages, last.as_of if last is not None else None)
+    run_id = f"batch-{batch_id:012d}"
+    try:
+        # each page is parsed once: the flat rows and the bad nodes are a table
+        parsed = parse_pages(pages, PAGE_TEXT).withColumn("ok", node_valid())
+        nodes = freeze(parsed.select("ok", *flat_columns()))
+        good, bad = nodes.where("ok").drop("ok"), nodes.where("NOT ok").select("ok")
+        # errors of the run: malformed nodes and pages that did not parse at all
+        errors = bad.unionByName(unparsed_pages(pages, PAGE_TEXT).select(F.lit(False).alias("ok")))
+        # only what the earlier batches committed, never this batch's own output
+        state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id)
+        young = as_of - timedelta(hours=snapshot_ttl_hours)
+        snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch_id, since=young)
+        only_if = {}
+        if enrichment is not None:
+            landed = enrichment(spark)
+            only_if = {c: "_enriched" for c in landed.columns if c != "id"}
+            good = good.join(landed.withColumn("_enriched", F.lit(True)), "id", "left")
+        # apply_batch keeps one row per key (the latest updated_at wins)
+        new_state, new_snaps, gated = st.apply_batch(
+            state, snaps, good, as_of, refresh_ttl_hours, snapshot_ttl_hours, force, order_by="updated_at", only_if=only_if
+        )
+        run = conform(st.run_counters(gated, run_id, as_of, as_of, errors=errors), RUN_SCHEMA)
+        runs = st.started_run(run).unionByName(run)
+        appended = {"snapshots": conform(new_snaps, SNAPSHOT_SCHEMA), "runs": runs}
+        flags = [c for c, v in ENTITY_DEFAULTS.items() if v is False]
+        state = conform(new_state, ENTITY_SCHEMA).na.fill(False, flags)
+        return store.write_batch(spark, root, batch_id, state, appended, as_of)
+    except Exception:
+        failed = spark.range(1).select(F.lit(run_id).alias("run_id"), st.ts_lit(as_of).alias("started_at"), F.lit("failed").alias("status"))
+        conform(failed, RUN_SCHEMA, RUN_DEFAULTS).write.mode("overwrite").parquet(f"{root.rstrip('/')}/failed_runs/batch={batch_id}")
+        raise
 
 
 def start_ingest(
@@ -69,11 +103,16 @@ def start_ingest(
     available_now: bool = False,
     processing_time: str | None = None,
     one_page_per_file: bool = False,
+    max_files: int | None = 1000,
     **kwargs,
 ) -> StreamingQuery:
     """Start the stream over ``landing_dir``: JSON lines (one page per
-    line, many pages per file) or, with ``one_page_per_file``, whole files."""
-    pages = spark.readStream.format("text").option("wholetext", bool(one_page_per_file)).load(landing_dir)
+    line, many pages per file) or, with ``one_page_per_file``, whole files.
+    A backlog is taken ``max_files`` at a time, oldest first."""
+    reader = spark.readStream.format("text").option("wholetext", bool(one_page_per_file))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    pages = reader.load(landing_dir).select(PAGE_TEXT, F.col("_metadata.file_modification_time").alias(LANDED_AT))
     writer = pages.writeStream.foreachBatch(
         lambda df, batch_id: process_batch(spark, df, batch_id, root, **kwargs)
     ).option("checkpointLocation", checkpoint_location)

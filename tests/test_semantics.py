@@ -49,19 +49,19 @@ def test_global_limit_before_per_tier_cut(spark):
 def test_trending_needs_a_snapshot_in_window(spark):
     scored = score_entities(entities(spark, [repo(1), repo(2)]), no_snapshots(spark), AS_OF)
     snaps = spark.createDataFrame(
-        [("R_1", AS_OF - timedelta(days=2), 10, 0, 0), ("R_1", AS_OF - timedelta(days=1), 15, 0, 0),
-         ("R_2", AS_OF - timedelta(days=30), 10, 0, 0)],
+        [("e-1", AS_OF - timedelta(days=2), 10, 0, 0), ("e-1", AS_OF - timedelta(days=1), 15, 0, 0),
+         ("e-2", AS_OF - timedelta(days=30), 10, 0, 0)],
         "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int")
     rows = trending(scored, snaps, AS_OF).collect()
-    assert [(r["full_name"], r["delta_stars"], r["current_stars"]) for r in rows] == [("owner/repo1", 5, 500)]
+    assert [(r["full_name"], r["delta_stars"], r["current_stars"]) for r in rows] == [("shore/lake1", 5, 240)]
 
 
 def test_write_scores_touches_only_scored_rows(spark):
     state = entities(spark, [repo(1, potential_score=1.0), repo(2, potential_score=2.0)])
     scored = score_entities(entities(spark, [repo(1)]), no_snapshots(spark), AS_OF)
     got = {r["id"]: r for r in write_scores(state, scored, AS_OF).collect()}
-    assert got["R_2"]["potential_score"] == 2.0 and got["R_2"]["updated_in_db_at"] is None
-    assert got["R_1"]["potential_score"] != 1.0 and got["R_1"]["updated_in_db_at"] == AS_OF
+    assert got["e-2"]["potential_score"] == 2.0 and got["e-2"]["updated_in_db_at"] is None
+    assert got["e-1"]["potential_score"] != 1.0 and got["e-1"]["updated_in_db_at"] == AS_OF
 
 
 def test_running_totals_equal_plain_window(spark):
@@ -80,7 +80,7 @@ def test_export_suffix_rule(spark, tmp_dir):
     assert export(df.select("id", "topics", "potential_score"), os.path.join(tmp_dir, "x.parquet")) == "parquet"
     assert export(df.select("id", "topics", "potential_score"), os.path.join(tmp_dir, "x.txt")) == "csv"
     back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "x.txt")).collect()
-    assert back[0]["id"] == "R_2" and back[1]["topics"] == "a, b"  # NULL scores last; list joined
+    assert back[0]["id"] == "e-2" and back[1]["topics"] == "a, b"  # NULL scores last; list joined
     assert spark.read.parquet(os.path.join(tmp_dir, "x.parquet")).count() == 2
 
 
@@ -88,12 +88,12 @@ def test_store_versions_and_uncommitted_batches(spark, tmp_dir):
     root = os.path.join(tmp_dir, "store")
     assert store.current_version(spark, root) is None
     s1 = entities(spark, [repo(1)])
-    snap = spark.createDataFrame([("R_1", AS_OF, 1, 1, 1)], SNAPSHOT_SCHEMA)
-    assert store.write_batch(spark, root, 0, s1, {"snapshots": snap}) == 1
+    snap = spark.createDataFrame([("e-1", AS_OF, 1, 1, 1)], SNAPSHOT_SCHEMA)
+    assert store.write_batch(spark, root, 0, s1, {"snapshots": snap}, AS_OF) == 1
     # a crashed batch: its snapshot folder exists but it never committed
     snap.write.parquet(os.path.join(root, "snapshots", "batch=5"))
     assert store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA).count() == 1
-    store.write_batch(spark, root, 1, entities(spark, [repo(1), repo(2)]), {"snapshots": snap})
+    store.write_batch(spark, root, 1, entities(spark, [repo(1), repo(2)]), {"snapshots": snap}, AS_OF)
     assert store.current_version(spark, root) == 2
     assert store.read_state(spark, root, ENTITY_SCHEMA, before_batch=1).count() == 1
     assert store.read_state(spark, root, ENTITY_SCHEMA).count() == 2

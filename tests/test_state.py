@@ -27,7 +27,7 @@ def test_upsert_keeps_scores_and_replay_is_idempotent(spark):
     b = sorted(map(tuple, twice.collect()))
     assert a == b
     got = {r["id"]: r for r in once.collect()}
-    assert got["R_1"]["potential_score"] == 42.0 and got["R_1"]["stars"] == 7 and got["R_2"]["potential_score"] is None
+    assert got["e-1"]["potential_score"] == 42.0 and got["e-1"]["stars"] == 7 and got["e-2"]["potential_score"] is None
 
 
 def test_closed_issues_saved_and_overwritten(spark):
@@ -44,9 +44,9 @@ def test_classify_refresh(spark):
     ])
     batch = entities(spark, [repo(i) for i in (1, 2, 3, 4)])
     got = {r["id"]: r["refresh_class"] for r in st.classify_refresh(state, batch, AS_OF, 24).collect()}
-    assert got == {"R_1": "SKIP", "R_2": "REFRESH", "R_3": "REFRESH", "R_4": "NEW"}
+    assert got == {"e-1": "SKIP", "e-2": "REFRESH", "e-3": "REFRESH", "e-4": "NEW"}
     forced = {r["id"]: r["refresh_class"] for r in st.classify_refresh(state, batch, AS_OF, 24, force=True).collect()}
-    assert forced["R_1"] == "REFRESH" and forced["R_4"] == "NEW"
+    assert forced["e-1"] == "REFRESH" and forced["e-4"] == "NEW"
 
 
 def test_light_update_changes_volatile_only(spark):
@@ -62,11 +62,11 @@ def test_light_update_changes_volatile_only(spark):
 def test_snapshot_gate(spark):
     classified = entities(spark, [repo(1), repo(2), repo(3)]).withColumn("refresh_class", F.lit("SKIP"))
     snaps = spark.createDataFrame(
-        [("R_2", AS_OF - timedelta(hours=1), 1, 1, 1), ("R_3", AS_OF - timedelta(hours=7), 1, 1, 1)],
+        [("e-2", AS_OF - timedelta(hours=1), 1, 1, 1), ("e-3", AS_OF - timedelta(hours=7), 1, 1, 1)],
         "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int",
     )
     got = {r["id"]: r["snapshot_due"] for r in st.snapshot_due(classified, snaps, AS_OF, 6).collect()}
-    assert got == {"R_1": True, "R_2": False, "R_3": True}
+    assert got == {"e-1": True, "e-2": False, "e-3": True}
 
 
 def test_apply_batch_and_counters(spark):
@@ -91,7 +91,7 @@ def test_thin_snapshots(spark):
 
 
 def test_conform_adds_missing_columns(spark):
-    old = spark.createDataFrame([("R_1", "n", "o/n", 5, 1, 2, "Growing", "Seed", AS_OF, AS_OF)],
+    old = spark.createDataFrame([("e-1", "n", "o/n", 5, 1, 2, "Growing", "Seed", AS_OF, AS_OF)],
                                 "id string, name string, full_name string, stars int, forks int, open_issues int, "
                                 "age_tier string, maturity_tier string, scraped_at timestamp, updated_in_db_at timestamp")
     out = conform(old, ENTITY_SCHEMA, ENTITY_DEFAULTS)
@@ -136,7 +136,7 @@ def test_repeated_key_in_batch_is_applied_once(spark):
     batch = entities(spark, [repo(1, stars=5, updated_at=datetime(2026, 2, 1)),
                              repo(1, stars=9, updated_at=datetime(2026, 2, 2)), repo(2)]).drop("scraped_at", "updated_in_db_at")
     up = {r["id"]: r for r in st.upsert_state(state, batch, AS_OF, order_by="updated_at").collect()}
-    assert len(up) == 2 and up["R_1"]["stars"] == 9
+    assert len(up) == 2 and up["e-1"]["stars"] == 9
     new_state, snaps, gated = st.apply_batch(state, no_snapshots(spark), batch, AS_OF, order_by="updated_at")
     assert new_state.count() == 2 and gated.count() == 2
-    assert {r["id"]: r["stars"] for r in new_state.collect()}["R_1"] == 9
+    assert {r["id"]: r["stars"] for r in new_state.collect()}["e-1"] == 9

@@ -1,42 +1,151 @@
+import base64
 import json
 import os
+from datetime import datetime, timedelta
 
-from cohortlake.sources import store
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlake.operators import maintenance as mt
+from cohortlake.operators.scoring import score_store
 from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.sources import store
+from cohortlake.sources.landed import enrichment
 from cohortlake.streaming.ingest import process_batch, start_ingest
 from test_ingest_text import node
 
+T0 = datetime(2026, 3, 1)
+
+
+def page(nodes):
+    return json.dumps({"data": {"search": {"repositoryCount": len(nodes), "pageInfo": {}, "nodes": nodes}}})
+
+
+def pages(spark, nodes, hours=0):
+    at = F.lit((T0 + timedelta(hours=hours)).isoformat()).cast("timestamp").alias("landed_at")
+    return spark.createDataFrame([(page(nodes),)], "value string").select("value", at)
+
 
-def write_page(path, nodes):
-    with open(path, "w") as f:
-        json.dump({"data": {"search": {"repositoryCount": len(nodes), "pageInfo": {}, "nodes": nodes}}}, f)
+def state_of(spark, root):
+    return {r["id"]: r for r in store.read_state(spark, root, ENTITY_SCHEMA).collect()}
 
 
-def test_stream_ingest_and_replay(spark, tmp_dir):
-    landing = os.path.join(tmp_dir, "landing")
+def runs_of(spark, root):
+    rows = store.read_appended(spark, root, "runs", RUN_SCHEMA).where("status <> 'running'").collect()
+    return {r["run_id"][-1]: (r["repos_new"], r["repos_refreshed"], r["repos_skipped_fresh"], r["snapshots_taken"], r["errors_count"]) for r in rows}
+
+
+def responses(spark):
+    text = "# T\n## a\n## b\n[![x](y)]"
+    bodies = spark.createDataFrame([("a", base64.encodebytes(text.encode()).decode())], "id string, content_b64 string")
+    link = '<https://x?per_page=1&page=9>; rel="last"'
+    listed = spark.createDataFrame([("a", link, "[{}]")], "id string, link string, body string")
+    return enrichment(bodies, listed, listed.withColumn("body", F.lit('[{"tag_name": "v3", "published_at": "2026-01-02T00:00:00Z"}]')))
+
+
+def test_stream_and_replay(spark, tmp_dir):
+    landing, root, ckpt = (os.path.join(tmp_dir, x) for x in ("landing", "store", "ckpt"))
     os.makedirs(landing)
-    root = os.path.join(tmp_dir, "store")
-    write_page(os.path.join(landing, "p1.json"),
-               [node(id="R_1"), node(id="R_2", stargazerCount=20), node(owner=None)])
-    with open(os.path.join(landing, "p0.json"), "w") as f:
-        f.write("{truncated")
-    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True, one_page_per_file=True)
-    q.awaitTermination(300)
-    state = store.read_state(spark, root, ENTITY_SCHEMA)
-    assert sorted(r["id"] for r in state.collect()) == ["R_1", "R_2"]
-    runs = store.read_appended(spark, root, "runs", RUN_SCHEMA).collect()
-    assert len(runs) == 1 and runs[0]["repos_new"] == 2 and runs[0]["errors_count"] == 2
+
+    def land(name, text):
+        with open(os.path.join(landing, name), "w") as f:
+            f.write(text)
+
+    def run(**kw):
+        start_ingest(spark, landing, root, ckpt, available_now=True, one_page_per_file=True, **kw).awaitTermination(300)
+
+    land("p0.json", "{truncated")
+    land("p1.json", page([node(id="a"), node(id="b", stargazerCount=20), node(owner=None)]))
+    run()
+    assert sorted(state_of(spark, root)) == ["a", "b"]
+    assert runs_of(spark, root) == {"0": (2, 0, 0, 2, 2)}
     assert store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA).count() == 2
 
-    # Replaying batch 0 rewrites the same folders: nothing is duplicated.
-    pages = spark.read.format("text").option("wholetext", True).load(landing)
-    process_batch(spark, pages, 0, root)
+    # the same batch again rewrites the same folders: nothing is duplicated
+    again = spark.read.format("text").option("wholetext", True).load(landing).select("value", F.col("_metadata.file_modification_time").alias("landed_at"))
+    process_batch(spark, again, 0, root)
     assert store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA).count() == 2
 
-    # A second landed page: R_2 changes, R_3 is new; R_1/R_2 are fresh (same day).
-    write_page(os.path.join(landing, "p2.json"), [node(id="R_2", stargazerCount=25), node(id="R_3")])
-    q = start_ingest(spark, landing, root, os.path.join(tmp_dir, "ckpt"), available_now=True, one_page_per_file=True)
-    q.awaitTermination(300)
-    state = {r["id"]: r for r in store.read_state(spark, root, ENTITY_SCHEMA).collect()}
-    assert sorted(state) == ["R_1", "R_2", "R_3"] and state["R_2"]["stars"] == 25
-    assert store.current_version(spark, root) == 2
+    land("p2.json", page([node(id="b", stargazerCount=25), node(id="c")]))
+    run(max_files=1)
+    state = state_of(spark, root)
+    assert sorted(state) == ["a", "b", "c"] and state["b"]["stars"] == 25
+    assert store.current_version(spark, root) == 2 and runs_of(spark, root)["1"] == (1, 0, 1, 1, 0)
+
+
+def test_batches_without_times_or_valid_nodes_are_committed(spark, tmp_dir):
+    process_batch(spark, pages(spark, [node(id="a", updatedAt="ABSENT")]), 0, tmp_dir)
+    process_batch(spark, pages(spark, [node(id="ABSENT"), 5], 1), 1, tmp_dir)
+    process_batch(spark, pages(spark, [], 2), 2, tmp_dir)
+    assert list(state_of(spark, tmp_dir)) == ["a"]
+    assert runs_of(spark, tmp_dir) == {"0": (1, 0, 0, 1, 0), "1": (0, 0, 0, 0, 2), "2": (0, 0, 0, 0, 0)}
+    started = store.read_appended(spark, tmp_dir, "runs", RUN_SCHEMA).where("status = 'running'").collect()
+    assert len(started) == 3 and all(r["finished_at"] is None and r["repos_found"] == 0 for r in started)
+
+
+def test_a_refresh_keeps_what_it_does_not_carry(spark, tmp_dir):
+    process_batch(spark, pages(spark, [node(id="a"), node(id="b")]), 0, tmp_dir, enrichment=responses)
+    first = state_of(spark, tmp_dir)
+    assert (first["a"]["readme_length_chars"], first["a"]["readme_h2_sections"], first["a"]["readme_has_badges"]) == (23, 2, True)
+    assert (first["a"]["contributors_count"], first["a"]["releases_count"], first["a"]["latest_release_tag"]) == (9, 9, "v3")
+    assert first["b"]["readme_length_chars"] is None and first["b"]["readme_has_badges"] is False
+    none = lambda s: responses(s).where("false")
+    for batch, landed in ((1, None), (2, none)):
+        process_batch(spark, pages(spark, [node(id="a", stargazerCount=50 + batch)], 30 * batch), batch, tmp_dir, force=True, enrichment=landed)
+        now = state_of(spark, tmp_dir)["a"]
+        assert now["stars"] == 50 + batch
+        same = ("readme_length_chars", "readme_has_badges", "contributors_count", "releases_count", "latest_release_at", "scraped_at")
+        assert all(now[c] == first["a"][c] for c in same)
+
+
+def test_the_clock_never_runs_back(spark, tmp_dir):
+    for batch, hours in enumerate((10, 2, 10)):
+        process_batch(spark, pages(spark, [node(id="a")], hours), batch, tmp_dir, force=True)
+    times = [r["snapshot_at"] for r in store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA).orderBy("snapshot_at").collect()]
+    assert len(times) == len(set(times)) == 3 and times[0] == T0 + timedelta(hours=10)
+    assert state_of(spark, tmp_dir)["a"]["updated_in_db_at"] == times[-1]
+
+
+def test_the_gate_reads_recent_batches_only(spark, tmp_dir):
+    for batch, hours in enumerate((0, 1, 7, 8)):
+        process_batch(spark, pages(spark, [node(id="a")], hours), batch, tmp_dir)
+    assert [runs_of(spark, tmp_dir)[str(b)][3] for b in range(4)] == [1, 0, 1, 0]
+    since = T0 + timedelta(hours=2)
+    assert store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA, since=since).count() == 1
+    assert store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA, since=T0 + timedelta(days=9)).count() == 0
+
+
+def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_dir):
+    process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir)
+    for f in os.listdir(os.path.join(tmp_dir, "_commits")):
+        if f.endswith(".parquet"):
+            with open(os.path.join(tmp_dir, "_commits", f), "wb") as out:
+                out.write(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        process_batch(spark, pages(spark, [node(id="b")], 1), 1, tmp_dir)
+
+
+def test_failed_runs_leave_a_record(spark, tmp_dir):
+    def broken(_):
+        raise OSError("no responses")
+
+    with pytest.raises(OSError):
+        process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir, enrichment=broken)
+    assert store.current_version(spark, tmp_dir) is None
+    assert [r["status"] for r in spark.read.parquet(f"{tmp_dir}/failed_runs").collect()] == ["failed"]
+
+
+def test_scores_and_purges_of_the_stored_tables(spark, tmp_dir):
+    process_batch(spark, pages(spark, [node(id="a", isArchived=True), node(id="b", stargazerCount=900), node(id="c")]), 0, tmp_dir)
+    score_store(spark, tmp_dir, 1, T0)
+    scored = state_of(spark, tmp_dir)
+    assert all(r["potential_score"] is not None and r["age_tier"] for r in scored.values()) and len(scored) == 3
+    assert mt.purge_store(spark, tmp_dir, 2, mt.purge_predicate()) == (0, 0)
+    assert mt.purge_store(spark, tmp_dir, 2, mt.purge_predicate(archived=True)) == (1, 1)
+    assert sorted(state_of(spark, tmp_dir)) == ["b", "c"]
+    assert store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA).count() == 2
+    assert len(runs_of(spark, tmp_dir)) == 1
+    assert mt.purge_store(spark, tmp_dir, 3, all_data=True) == (2, 2)
+    assert not state_of(spark, tmp_dir) and not runs_of(spark, tmp_dir)
+    process_batch(spark, pages(spark, [node(id="z")], 1), 4, tmp_dir)
+    assert list(state_of(spark, tmp_dir)) == ["z"]
