@@ -201,12 +201,12 @@ def learn(stats: DataFrame, stat: dict[str, str]) -> LabelModel:
 
 def posterior(model: LabelModel, stat: dict[str, str]) -> Column:
     """Probability of good: the model's tables as one expression over the statistics."""
-    pattern, against = vote_pattern(stat), F.lit(0.0)
+    columns, against = {name: F.col(stat[name]) for name in STATS}, F.lit(0.0)
     for c in range(1, len(model.priors)):
         log = F.lit(float(np.log(model.priors[c] / model.priors[0])))
-        for k in range(len(RULES)):
-            vote, weights = F.floor(pattern / 3**k) % 3, np.log(model.tables[c, k] / model.tables[0, k])
-            log = log + F.when(vote == 0, float(weights[0])).when(vote == 1, float(weights[1])).otherwise(0.0)
+        for k, rule in enumerate(RULES):
+            weights, value = np.log(model.tables[c, k] / model.tables[0, k]), rule.measure(columns)
+            log = log + F.when(value > rule.bad, float(weights[0])).when(value <= rule.good, float(weights[1])).otherwise(0.0)
         against = against + F.exp(log)
     return 1 / (1 + against)
 
