@@ -12,7 +12,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.features import ts_lit
@@ -326,11 +326,12 @@ def thin_snapshots(
     kept one of its key (the first is always kept) - the history the
     snapshot gate would have produced.
 
-    The rule is a sequential fold per key. Rows are hash-partitioned by key
-    and sorted inside each partition; ``mapInPandas`` then streams the sorted
-    rows batch by batch, carrying only the last kept time per key across
-    batches, so memory stays at one Arrow batch however long a key's
-    history is.
+    The rule is a sequential fold, but a row that comes at least a TTL after its
+    predecessor is always kept, so each key's history falls into chains that
+    have nothing to do with each other. Predecessors and chain starts are found
+    day by day (a day's first row takes what small per-day tables carry over), so
+    a hot key is many tasks. A chain is streamed in time order through
+    ``mapInPandas``, carrying the last kept time only.
     """
     ttl_us = int(round(float(ttl_hours) * 3600 * 1_000_000))
     schema = snaps.schema
@@ -363,5 +364,19 @@ def thin_snapshots(
                 carry_key, carry_kept = keys[s], last
             yield pdf[keep]
 
-    ordered = snaps.repartition(key).sortWithinPartitions(key, ts)
+    gap = F.unix_micros(ts) - F.unix_micros("_prev")
+    daily = snaps.withColumn("_day", F.date_trunc("day", ts))
+    by_day, days = Window.partitionBy(key, "_day").orderBy(ts), Window.partitionBy(key).orderBy("_day")
+    last = daily.groupBy(key, "_day").agg(F.max(ts).alias("_last"))
+    last = last.select(key, "_day", F.lag("_last").over(days).alias("_before"))
+    rows = daily.withColumn("_prev", F.lag(ts).over(by_day)).join(last, [key, "_day"])
+    rows = rows.withColumn("_prev", F.coalesce("_prev", "_before"))
+    rows = rows.withColumn("_start", F.when(F.col("_prev").isNull() | (gap >= ttl_us), F.col(ts))).drop("_prev", "_before")
+    started = rows.groupBy(key, "_day").agg(F.max("_start").alias("_latest"))
+    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
+    started = started.select(key, "_day", F.max("_latest").over(earlier).alias("_before"))
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_own", F.max("_start").over(so_far)).join(started, [key, "_day"])
+    rows = rows.select(*snaps.columns, F.coalesce("_own", "_before").alias("_chain"))
+    ordered = rows.repartition(key, "_chain").sortWithinPartitions(key, "_chain", ts).select(*snaps.columns)
     return ordered.mapInPandas(fold, schema=schema)

@@ -140,3 +140,32 @@ def test_repeated_key_in_batch_is_applied_once(spark):
     new_state, snaps, gated = st.apply_batch(state, no_snapshots(spark), batch, AS_OF, order_by="updated_at")
     assert new_state.count() == 2 and gated.count() == 2
     assert {r["id"]: r["stars"] for r in new_state.collect()}["e-1"] == 9
+
+
+def test_thin_snapshots_splits_a_hot_key_at_its_gaps(spark):
+    """One key holds nine tenths of the rows, with long gaps, dense stretches over midnight and rows a TTL apart."""
+    import random
+
+    rnd = random.Random(8)
+    rows, expect = [], []
+    for k, n in (("hot", 900), ("b", 50), ("c", 50)):
+        t, last = datetime(2026, 1, 1, 20), None
+        for _ in range(n):
+            t = t + timedelta(minutes=rnd.choice([1, 10, 30, 359, 360, 361, 3000]))
+            rows.append((k, t, 1, 1, 1))
+            if last is None or t - last >= timedelta(hours=6):
+                expect.append((k, t))
+                last = t
+    snaps = spark.createDataFrame(rows, "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int")
+    got = sorted((r["repo_id"], r["snapshot_at"]) for r in st.thin_snapshots(snaps, 6).collect())
+    assert got == sorted(expect)
+
+
+def test_recent_gate_agrees_with_the_full_one(spark):
+    classified = entities(spark, [repo(i) for i in range(5)]).withColumn("refresh_class", F.when(F.col("id") == "e-4", "NEW").otherwise("SKIP"))
+    snaps = spark.createDataFrame(
+        [("e-1", AS_OF - timedelta(hours=1)), ("e-2", AS_OF - timedelta(hours=6)), ("e-3", AS_OF - timedelta(hours=9)),
+         ("e-3", AS_OF - timedelta(hours=2)), ("e-4", AS_OF - timedelta(hours=1))], "repo_id string, snapshot_at timestamp")
+    due = lambda df: {r["id"]: r["snapshot_due"] for r in df.collect()}
+    got = due(st.recently_due(classified, snaps, AS_OF, 6))
+    assert got == due(st.snapshot_due(classified, snaps, AS_OF, 6)) == {"e-0": True, "e-1": False, "e-2": True, "e-3": False, "e-4": True}
