@@ -95,9 +95,10 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until the
     edges are stars around each component's least node: a logarithmic number of
-    rounds, each a groupBy with map-side combine and an equi-join that AQE can
-    split. Every round's edges are a table in the shared folder; the driver sees
-    a count and a checksum. Self-loops and null ends are dropped.
+    rounds, each two groupBys with map-side combine and equi-joins. What is joined
+    is written to the shared folder first, so both sides have an exchange of their
+    own and AQE can split a node with very many edges. The driver sees a count and
+    a checksum. Self-loops and null ends are dropped.
     """
     edges = edges.select(F.col(a).alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).alias("y") if isinstance(b, str) else b.alias("y"))
     edges = edges.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -106,10 +107,11 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     while state[0]:
         # large star: every larger neighbour of a node joins the node's least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = freeze(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the smaller neighbours of a node and the node join the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = freeze(large)
+        least = freeze(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = freeze(small.select("e.a", "e.b").where("a <> b").distinct())
         before, state = state, _state(edges)

@@ -241,7 +241,7 @@ def linked_vectors(
     comps = connected_components(links, "node", "root")
     linked = members.join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = freeze(linked.select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"))
-    least = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    least = freeze(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     out = linked.join(least, "component").select("vec_id", "n_links", "component_id")
     alone = rows.where(~_linkable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -316,7 +316,8 @@ def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) ->
 
     ``docs`` has node and text, ``sig`` is the table of ``signatures``.
     """
-    same = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep"))
+    # a table: the join then has an exchange of its own, and AQE splits a digest of very many copies
+    same = freeze(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep")))
     exact = sig.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     reps = sig.join(same.select(F.col("rep").alias("node"), "digest"), ["node", "digest"], "left_semi")
     entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
@@ -371,7 +372,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = connected_components(near_links(docs.withColumn("node", _node()), sig))
     rows = sig.groupBy("doc_id", "node").agg(F.count("*").alias("n_rows")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = freeze(rows)
-    classes = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_members"), F.min("node").alias("first"))
+    classes = freeze(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_members"), F.min("node").alias("first")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("node") == F.col("first")))
     return rows.join(classes, "component").select("doc_id", "component_id", "n_members", kept.alias("kept"), "node", "n_rows")
 
