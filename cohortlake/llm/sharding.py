@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from cohortlake.llm.common import freeze
 
 #: Rows that one window partition holds on average, whatever the table's size.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def _before(counts: DataFrame, key: str, by: list[str]) -> DataFrame:

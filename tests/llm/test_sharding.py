@@ -22,7 +22,7 @@ def brute_force(rows, n_shards):
     return out
 
 
-@pytest.mark.parametrize("bucket", [20_000, 7])
+@pytest.mark.parametrize("bucket", [5_000, 7])
 def test_matches_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket)
     rows = [("hot", i) for i in range(90)] + [("b", i) for i in range(31)] + [(None, i) for i in range(9)] + [("null", 0), ("c", 1)]
