@@ -34,7 +34,7 @@ MAX_EXAMPLES = 4096
 #: Terms at most; all terms with a chi-squared above MIN_CHI2 for the label, and the COMMON most frequent.
 MAX_TERMS, MIN_CHI2, MIN_DF, COMMON = 2048, 15.0, 5, 200
 BEGINNINGS = (5, 6)
-NEIGHBOURS, EVIDENCE, BLOCK = 10, 3, 64
+NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 10, 3, 64, 8
 CUT = 0.7
 
 _LETTER = np.zeros(256, bool)
@@ -99,22 +99,22 @@ class Index:
         """The k examples of the largest cosine above 0 (ties: least example number), best first."""
         bound = weight @ self.block_max[term]
         order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(len(self.examples))
-        seen, kth, step = 0, 0.0, 4
-        while seen < len(order) and bound[order[seen]] > 0 and bound[order[seen]] >= kth - 1e-9:
-            blocks = order[seen : seen + step]
-            blocks = blocks[bound[blocks] >= max(kth - 1e-9, 1e-12)]
-            from_, to = self.at[term][:, blocks].ravel(), self.at[term][:, blocks + 1].ravel()
+        order = order[bound[order] > 0]
+        scores, at = np.zeros(len(self.examples)), self.at[term]
+        # the most promising blocks give a k-th best score; then all that can still reach it
+        first, kth = order[:FIRST_BLOCKS], 0.0
+        while len(first):
+            from_, to = at[:, first].ravel(), at[:, first + 1].ravel()
             size = to - from_
-            pick = np.arange(size.sum()) + np.repeat(from_ - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            found = self.posting[pick]
-            scores += np.bincount(found, self.weight[pick] * np.repeat(np.repeat(weight, len(blocks)), size), len(scores))
+            pick = np.arange(size.sum()) + np.repeat(from_ - (np.cumsum(size) - size), size)
+            scores += np.bincount(self.posting[pick], self.weight[pick] * np.repeat(np.repeat(weight, len(first)), size), len(scores))
             if without >= 0:
                 scores[without] = 0
-            seen += step
-            step *= 2
             if len(scores) > k:
                 kth = np.partition(scores, -k)[-k]
+            order = order[len(first) :]
+            first = order[bound[order] >= kth - 1e-9]
+            order = first
         hit = np.flatnonzero(scores > 0)
         hit = hit[np.lexsort((hit, -scores[hit].round(12)))][:k]
         return hit, scores[hit]
