@@ -117,7 +117,7 @@ RULES = [
     Rule("symbol_words", "symbols", _per("n_symbol_words", "n_words"), 0.05, 0.15),
     Rule("wordless_tokens", "symbols", lambda s: 1 - _per("n_plain_words", "n_words")(s), 0.02, 0.1),
     Rule("repeated_windows", "repeats", _per("n_repeat_words", "n_words"), 0.1, 0.3),
-    Rule("repeated_lines", "repeats", _per("n_dup_lines", "n_lines"), 0.1, 0.3),
+    Rule("repeated_lines", "repeats", _per("n_dup_lines", "n_lines"), 0.15, 0.5),
     Rule("echoes", "repeats", _per("n_echo_words", "n_words"), 0.02, 0.1),
     Rule("capitals", "shouting", _per("n_upper", "n_letters"), 0.15, 0.25),
     Rule("exclamations", "shouting", _per("n_bangs", "n_words"), 0.05, 0.15),
