@@ -42,6 +42,22 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op2_embedding_near_dedup"] = """
+WITH RECURSIVE every AS (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), able AS (
+  SELECT * FROM every WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), links AS (
+  SELECT a.row AS a, b.row AS b FROM able a JOIN able b ON a.label = b.label AND a.row <> b.row AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98
+), reached AS (SELECT row AS a, row AS b FROM every UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+classes AS (SELECT r.a AS row, min(e.vec_id) AS component_id FROM reached r JOIN every e ON e.row = r.b GROUP BY r.a),
+degrees AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM every JOIN classes USING (row) LEFT JOIN degrees USING (row)"""
+
+
 #: A conversation whose texts hold the usual control strings.
 HARD_CONVERSATION, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -53,6 +69,21 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(text_parts(rows.unionByName(hard))))
 
 
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + (length({0}) - length(replace({0}, '<|', ''))) // 2"
+ORACLES["op3_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {HARD_CONVERSATION}, unnest([0, 1]), unnest(['user', 'assistant']), '{HARD_TEXT}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum({len("<|turn|><|body|><|end|>")} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM turns GROUP BY conv_id"""
+
+
 @query
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_encodings(table(spark, sf_dir, "documents"))

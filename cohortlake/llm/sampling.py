@@ -446,6 +446,7 @@ def sample_encodings(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, se
     little-endian unsigned 32-bit. Null and empty texts have one segmentation
     without ids. Repeated rows give the same samples,
     as do equal texts with equal ids; rows with a null id are seeded by their text.
+    The model writes a space as U+2581, so that character itself reads back as a space.
     An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -32,7 +32,7 @@ from cohortlake.llm.text import Texts, mix64, slices
 #: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
 MAX_EXAMPLES = 4096
 #: Terms at most; all terms with a chi-squared above MIN_CHI2 for the label, and the COMMON most frequent.
-MAX_TERMS, MIN_CHI2, MIN_DF, COMMON = 2048, 15.0, 5, 200
+MAX_TERMS, MIN_CHI2, MIN_DF, COMMON = 2048, 30.0, 5, 100
 BEGINNINGS = (5, 6)
 NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 10, 3, 64, 8
 CUT = 0.7
@@ -181,8 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
 
     texts = docs.join(F.broadcast(sample), "doc_id")  # at most MAX_EXAMPLES rows
     chosen = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
-    rows = freeze(map_arrow(chosen.select("doc_id", "toxic", "text"), each, schema))
-    examples = freeze(chosen.select("doc_id", "toxic"))
+    chosen = freeze(chosen.select("doc_id", "toxic", "text"))
+    rows, examples = freeze(map_arrow(chosen, each, schema)), chosen.select("doc_id", "toxic")
     totals = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, n1 = float(totals[0]), float(totals[1])
     n0 = n - n1
