@@ -18,6 +18,7 @@ from cohortlake.functions import features as fx
 from cohortlake.operators.momentum import attach_momentum, momentum_7d
 from cohortlake.operators.rank import percentile_ranks
 from cohortlake.schemas import ENTITY_SCHEMA, SNAPSHOT_SCHEMA, conform
+from cohortlake.session import scratch_scope
 from cohortlake.sources import store
 
 COHORT = ("age_tier", "maturity_tier")
@@ -154,7 +155,7 @@ def score_store(spark: SparkSession, root: str, batch: int, as_of: str | datetim
     last = store.last_commit(spark, root, before_batch=batch)
     state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch)
     snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch)
-    scored = score_entities(state, snaps, as_of, **kw)
-    new_state = conform(write_scores(state, scored, as_of), ENTITY_SCHEMA)
     at = last.as_of if last is not None else datetime(1970, 1, 1)
-    return store.write_batch(spark, root, batch, new_state, {}, at)
+    with scratch_scope(spark):
+        scored = score_entities(state, snaps, as_of, **kw)
+        return store.write_batch(spark, root, batch, conform(write_scores(state, scored, as_of), ENTITY_SCHEMA), {}, at)

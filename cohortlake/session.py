@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,5 +103,29 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "frozen")
+    for paths in getattr(_scopes, "open", []):
+        paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that :func:`freeze` writes within, at the end.
+
+    For jobs whose results are written elsewhere before the end, such as a batch
+    of a stream; a DataFrame that reads such a table must not be used after it.
+    """
+    paths: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), paths]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        sc = spark.sparkContext
+        for path in paths:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

@@ -15,7 +15,8 @@ no two batches write a snapshot of the same key and time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cohortlake.operators import state as st
 from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, RUN_DEFAULTS, RUN_SCHEMA, SNAPSHOT_SCHEMA, conform
-from cohortlake.session import freeze
+from cohortlake.session import freeze, scratch_scope
 from cohortlake.sources import store
 from cohortlake.sources.pages import flat_columns, node_valid, parse_pages, unparsed_pages
 
@@ -63,7 +64,7 @@ def process_batch(
     last = store.last_commit(spark, root, before_batch=batch_id)
     as_of = batch_time(pages, last.as_of if last is not None else None)
     run_id = f"batch-{batch_id:012d}"
-    try:
+    with scratch_scope(spark), _failures(spark, root, batch_id, run_id, as_of):
         # each page is parsed once: the flat rows and the bad nodes are a table
         parsed = parse_pages(pages, PAGE_TEXT).withColumn("ok", node_valid())
         nodes = freeze(parsed.select("ok", *flat_columns()))
@@ -89,6 +90,13 @@ def process_batch(
         flags = [c for c, v in ENTITY_DEFAULTS.items() if v is False]
         state = conform(new_state, ENTITY_SCHEMA).na.fill(False, flags)
         return store.write_batch(spark, root, batch_id, state, appended, as_of)
+
+
+@contextmanager
+def _failures(spark: SparkSession, root: str, batch_id: int, run_id: str, as_of: datetime) -> Iterator[None]:
+    """Leaves a failed run record if the work within fails; the error goes on."""
+    try:
+        yield
     except Exception:
         failed = spark.range(1).select(F.lit(run_id).alias("run_id"), st.ts_lit(as_of).alias("started_at"), F.lit("failed").alias("status"))
         conform(failed, RUN_SCHEMA, RUN_DEFAULTS).write.mode("overwrite").parquet(f"{root.rstrip('/')}/failed_runs/batch={batch_id}")

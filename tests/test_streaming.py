@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlake.operators import maintenance as mt
 from cohortlake.operators.scoring import score_store
 from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.session import scratch_dir
 from cohortlake.sources import store
 from cohortlake.sources.landed import enrichment
 from cohortlake.streaming.ingest import process_batch, start_ingest
@@ -149,3 +150,12 @@ def test_scores_and_purges_of_the_stored_tables(spark, tmp_dir):
     assert not state_of(spark, tmp_dir) and not runs_of(spark, tmp_dir)
     process_batch(spark, pages(spark, [node(id="z")], 1), 4, tmp_dir)
     assert list(state_of(spark, tmp_dir)) == ["z"]
+
+
+def test_scratch_tables_of_a_batch_are_dropped(spark, tmp_dir):
+    scratch = os.path.dirname(scratch_dir(spark, "x")).removeprefix("file:")
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir)
+    score_store(spark, tmp_dir, 1, T0)
+    assert set(os.listdir(scratch)) - before == set()
+    assert state_of(spark, tmp_dir)["a"]["potential_score"] is not None
