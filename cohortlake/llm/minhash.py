@@ -42,7 +42,7 @@ BANDS, ROWS = 32, 5
 #: Buckets up to this size are compared pair by pair, larger ones in blocks of so many rows.
 SMALL_BUCKET, BLOCK_ROWS = 48, 256
 #: Members of a leader that one task compares in a run, and block pairs of an Arrow batch.
-STAR_ROWS, PAIR_ROWS = 2000, 16
+STAR_ROWS, PAIR_ROWS = 256, 16
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
