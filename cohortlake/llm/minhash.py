@@ -320,7 +320,8 @@ def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) ->
     same = freeze(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep")))
     exact = sig.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     reps = sig.join(same.select(F.col("rep").alias("node"), "digest"), ["node", "digest"], "left_semi")
-    entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    # rows that repeat a representative are entries each; only sizes and degrees see them, links do not
+    entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"))
     entries = freeze(entries.join(shared.where("lo < hi").select("key", "size"), "key"))
     nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))  # a table of known size: broadcast if small
