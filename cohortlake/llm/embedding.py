@@ -12,8 +12,8 @@ compares what is left by cosine in double precision.
 Scale: equal vectors count once, with a multiplicity. A block has at most
 BLOCK_ROWS vectors whatever a label's share, so hot labels and cells are many
 blocks; the block pairs of a label meet in an equi-join on (label, cells of the
-first coordinate), and each pair is one row of work. A pair of blocks gives at
-most a row per vector: its number of links and a spanning edge, never the links
+first coordinate). A block is streamed with its partners, one at a time, and a
+pair of blocks gives at most a row per vector: its number of links and a spanning edge, never the links
 themselves. Components come from large-star/small-star.
 """
 
@@ -33,7 +33,7 @@ from cohortlake.llm.text import least_reached
 THRESHOLD = 0.98
 #: Leading principal directions of the grid, vectors of a block, and the join's smallest intervals.
 DIRECTIONS, BLOCK_ROWS, LEAF = 6, 512, 64
-#: Block pairs in an Arrow batch: each carries two blocks.
+#: Blocks in an Arrow batch.
 PAIR_ROWS = 32
 _SLACK = 1e-9
 
@@ -46,23 +46,26 @@ def _linkable() -> Column:
     return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & nonzero, F.lit(False))
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, unit): ``unit`` is the vector over its norm as little-endian doubles."""
-    schema = T.StructType([rows.schema["vec_id"], rows.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("unit", T.BinaryType())])
+def _raws(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, raw): ``raw`` is the vector's components as they are, little-endian."""
+    schema = T.StructType([rows.schema["vec_id"], rows.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("raw", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = []
-            for x in b.column(2):
-                v = x.values.to_numpy(zero_copy_only=False)
-                v = v / np.abs(v).max()  # very small and very large vectors keep their direction
-                units.append((v / np.sqrt((v * v).sum())).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) // 8 for u in units], pa.int32()), pa.array(units, pa.binary())], names=schema.names)
+            vectors = [x.values.to_numpy(zero_copy_only=False) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=schema.names)
 
     return rows.mapInArrow(each, schema)
 
 
-def principal_directions(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
+def unit_rows(raw: bytes, dim: int, kind: str) -> np.ndarray:
+    """Vectors on end (``kind``: <f4 or <f8) as unit vectors in double precision."""
+    x = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # very small and very large vectors keep their direction
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def principal_directions(classes: DataFrame, n: int, kind: str) -> dict[int, np.ndarray]:
     """For each dimension of the vectors, the n leading directions of their second moments.
 
     Tasks send one d x d sum for each dimension that they meet; the driver adds them up.
@@ -71,15 +74,15 @@ def principal_directions(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            units = b.column(0).to_pylist()
-            for d in {len(u) // 8 for u in units}:
-                x = np.frombuffer(b"".join(u for u in units if len(u) == 8 * d), "<f8").reshape(-1, d)
+            dims, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for d in set(dims):
+                x = unit_rows(b"".join(r for r, own in zip(raws, dims, strict=True) if own == d), d, kind)
                 sums[d] = sums.get(d, 0) + x.T @ x
         for d, m in sums.items():
             at = np.arange(d * d)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d), pa.int32()), pa.array(at, pa.int32()), pa.array(m.ravel())], names=["dim", "at", "m"])
 
-    parts = classes.select("unit").mapInArrow(moments, "dim int, at int, m double").groupBy("dim", "at").agg(F.sum("m").alias("m")).toPandas()
+    parts = classes.select("dim", "raw").mapInArrow(moments, "dim int, at int, m double").groupBy("dim", "at").agg(F.sum("m").alias("m")).toPandas()
     out = {}
     for d, cells in parts.groupby("dim"):
         m = np.zeros(d * d)
@@ -89,10 +92,10 @@ def principal_directions(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     return out
 
 
-BLOCK = "block long, label long, dim int, cells array<long>, low array<double>, high array<double>, ids binary, sizes binary, units binary, places binary"
+BLOCK = "block long, label long, dim int, cells array<long>, low array<double>, high array<double>, ids binary, sizes binary, raws binary, places binary"
 
 
-def _placed(classes: DataFrame, directions: dict[int, np.ndarray], n: int, epsilon: float) -> DataFrame:
+def _placed(classes: DataFrame, directions: dict[int, np.ndarray], n: int, epsilon: float, kind: str) -> DataFrame:
     """``classes`` with their grid cells c0.. and their principal coordinates."""
     fields = [T.StructField("place", T.BinaryType()), *(T.StructField(f"c{i}", T.LongType()) for i in range(n))]
     schema = T.StructType([*classes.schema.fields, *fields])
@@ -100,9 +103,10 @@ def _placed(classes: DataFrame, directions: dict[int, np.ndarray], n: int, epsil
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             places = np.zeros((b.num_rows, n))
-            for i, u in enumerate(b.column(b.schema.get_field_index("unit")).to_pylist()):
-                own = directions[len(u) // 8]
-                places[i, : own.shape[1]] = np.frombuffer(u, "<f8") @ own
+            dims, raws = (b.column(b.schema.get_field_index(k)).to_pylist() for k in ("dim", "raw"))
+            for d in set(dims):
+                at = [i for i, own in enumerate(dims) if own == d]
+                places[at, : directions[d].shape[1]] = unit_rows(b"".join(raws[i] for i in at), d, kind) @ directions[d]
             cells = np.floor(places / epsilon).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.tobytes() for p in places], pa.binary()), *(pa.array(cells[:, i]) for i in range(n))], names=schema.names)
 
@@ -119,11 +123,11 @@ def _blocks(n: int, size: int, epsilon: float):
         first = np.floor((np.array([low[0], high[0]])) / epsilon).astype(int)
         return {
             "block": number, "label": rows[0]["label"], "dim": rows[0]["dim"], "cells": list(range(first[0], first[1] + 1)), "low": low, "high": high,
-            "ids": np.array([r["node"] for r in rows], "<i8").tobytes(), "sizes": np.array([r["size"] for r in rows], "<i8").tobytes(), "units": b"".join(r["unit"] for r in rows), "places": places.tobytes(),
+            "ids": np.array([r["node"] for r in rows], "<i8").tobytes(), "sizes": np.array([r["size"] for r in rows], "<i8").tobytes(), "raws": b"".join(r["raw"] for r in rows), "places": places.tobytes(),
         }
 
     floats = pa.list_(pa.float64())
-    schema = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("cells", pa.list_(pa.int64())), ("low", floats), ("high", floats), *((k, pa.binary()) for k in ("ids", "sizes", "units", "places"))])
+    schema = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("cells", pa.list_(pa.int64())), ("low", floats), ("high", floats), *((k, pa.binary()) for k in ("ids", "sizes", "raws", "places"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, done = TaskContext.get().partitionId() << 40, [], []
@@ -175,20 +179,26 @@ def ego_join(a, b, epsilon: float, threshold: float, leaf: int = LEAF) -> tuple[
     return np.concatenate([r for r, _ in found] or [np.zeros(0, int)]), np.concatenate([c for _, c in found] or [np.zeros(0, int)])
 
 
-def _joined(epsilon: float, threshold: float):
-    """Rows (node, weight of its links, a node of its component) from pairs of blocks."""
+def _joined(epsilon: float, threshold: float, kind: str):
+    """Rows (node, weight of its links, a node of its component) from blocks and their partners.
+
+    A block comes first, then those that it is joined with: a block and a partner
+    are held at a time.
+    """
 
-    def read(row: dict, side: str):
-        ids = np.frombuffer(row[f"{side}_ids"], "<i8")
-        units, places = (np.frombuffer(row[f"{side}_{k}"], "<f8").reshape(len(ids), -1) for k in ("units", "places"))
-        return ids, units, places, np.frombuffer(row[f"{side}_sizes"], "<i8")
+    def read(row: dict):
+        ids = np.frombuffer(row["ids"], "<i8")
+        units, places = unit_rows(row["raws"], row["dim"], kind), np.frombuffer(row["places"], "<f8").reshape(len(ids), -1)
+        return ids, units, places, np.frombuffer(row["sizes"], "<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                a = read(row, "a")
-                b = a if row["a_block"] == row["b_block"] else read(row, "b")
+                b = read(row)
+                if row["partner"] is None:
+                    a = b
                 r, c = ego_join(a, b, epsilon, threshold)
                 if not len(r):
                     continue
@@ -219,23 +229,27 @@ def linked_vectors(
     looked at.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    floats = rows.schema[embedding].dataType == T.ArrayType(T.FloatType())
+    vector, kind = (F.col(embedding), "<f4") if floats else (F.col(embedding).cast("array<double>"), "<f8")
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), vector.alias("embedding"))
     epsilon = max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
-    valid = freeze(_units(rows.where(_linkable())))
-    key = ["label", "dim", "unit"]  # equal vectors of a label are one class
+    valid = freeze(_raws(rows.where(_linkable())))
+    key = ["label", "dim", "raw"]  # equal vectors of a label are one class
     classes = freeze(valid.groupBy(*key).agg(F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
     members = freeze(valid.join(classes, key).select("vec_id", "node", "size"))
 
     cells = [f"c{i}" for i in range(directions)]
     order = ["label", "dim", *cells, "node"]
-    placed = freeze(_placed(classes, principal_directions(classes, directions), directions, epsilon))
+    placed = freeze(_placed(classes, principal_directions(classes, directions, kind), directions, epsilon, kind))
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = freeze(ordered.mapInArrow(_blocks(directions, block_rows, epsilon), BLOCK))
     pairs = freeze(_near_blocks(blocks, directions, epsilon))
-    side = lambda x: blocks.select(*(F.col(k).alias(f"{x}_{k}") for k in ("block", "ids", "sizes", "units", "places")))
+    data = ("dim", "ids", "sizes", "raws", "places")
+    alone = blocks.select(F.col("block").alias("a_block"), F.lit(None).cast("long").alias("partner"), *data)
+    partners = pairs.join(blocks.withColumnRenamed("block", "b_block"), "b_block").select("a_block", F.col("b_block").alias("partner"), *data)
     with arrow_rows(spark, PAIR_ROWS):
-        joined = pairs.join(side("a"), "a_block").join(side("b"), "b_block")
-        links = freeze(joined.mapInArrow(_joined(epsilon, threshold), "node long, links long, root long"))
+        joined = alone.unionByName(partners).repartition("a_block").sortWithinPartitions("a_block", F.asc_nulls_first("partner"))
+        links = freeze(joined.mapInArrow(_joined(epsilon, threshold, kind), "node long, links long, root long"))
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(links, "node", "root")
@@ -243,12 +257,12 @@ def linked_vectors(
     linked = freeze(linked.select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"))
     least = freeze(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     out = linked.join(least, "component").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~_linkable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    single = rows.where(~_linkable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(single).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _near_blocks(blocks: DataFrame, n: int, epsilon: float) -> DataFrame:
-    """(a_block, b_block), a <= b, of one label whose boxes come within epsilon of each other.
+    """(a_block, b_block), a < b, of one label whose boxes come within epsilon of each other.
 
     They meet on cells of the first coordinate, one side's widened by one; a pair
     is taken at the first cell that both have, so once.
@@ -258,7 +272,7 @@ def _near_blocks(blocks: DataFrame, n: int, epsilon: float) -> DataFrame:
     wide = F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell")
     b = box.select(*(F.col(c).alias(f"b_{c}") for c in ("block", "low", "high", "first")), "label", "dim", wide)
     both = a.join(b, ["label", "dim", "cell"]).where("cell = greatest(a_first, b_first - 1)")
-    # unordered pairs once: widening one side is symmetric, so a <= b loses none
-    both = both.where("a_block <= b_block")
+    # unordered pairs once: widening one side is symmetric, so a < b loses none
+    both = both.where("a_block < b_block")
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("a_low")[i] - F.col("b_high")[i], F.col("b_low")[i] - F.col("a_high")[i]), F.lit(2.0)) for i in range(n)), F.lit(0.0))
     return both.where(gap <= (epsilon + _SLACK) ** 2).select("a_block", "b_block")

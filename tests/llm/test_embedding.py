@@ -60,7 +60,7 @@ def test_hard_rows(spark):
         (1, 0, x), (2, 0, [2.0, 4.0, 6.0]), (3, None, x), (4, 0, None), (5, 0, [0.0, 0.0, 0.0]), (6, 0, [nan, 1.0, 1.0]), (7, 0, [inf, 1.0, 1.0]),
         (8, 0, [1.0, None, 3.0]), (9, 0, []), (10, 0, [1.0, 2.0]), (11, 0, [2.0, 4.0]), (None, 0, x), (12, 0, [1e-300, 2e-300, 3e-300]), (13, 0, [1e300, 2e300, 3e300]), (14, 1, x),
     ]
-    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").selectExpr("*", "1 AS node", "2 AS size", "3 AS c0", "4 AS unit")
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").selectExpr("*", "1 AS node", "2 AS size", "3 AS c0", "4 AS raw")
     got = {v: (n, c) for v, n, c in got_of(E.linked_vectors(df))}
     linked = {1, 2, 12, 13}
     for v in got:
