@@ -57,7 +57,12 @@ def _kind(v: Column) -> Column:
 
 
 def _is(v: Column, *kinds: str) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, [_kind(v).startswith(k) for k in kinds]), F.lit(False))
+    return F.coalesce(_kind(v).rlike(f"^({'|'.join(kinds)})"), F.lit(False))
+
+
+def _may_be(v: Column, *kinds: str) -> Column:
+    """Absent, or of one of the kinds."""
+    return F.coalesce(_kind(v).rlike(f"^({'|'.join(kinds)})"), F.lit(True))
 
 
 def _text(v: Column) -> Column:
@@ -92,10 +97,9 @@ def _time(v: Column) -> Column:
 
 def _falsy(v: Column) -> Column:
     """Absent, null, false, zero, empty text, object or list."""
-    text = _text(v)
-    empty = _is(v, "OBJECT<>") | (_is(v, "ARRAY") & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 0))
+    text, items = _text(v), F.try_variant_get(v, "$", "array<variant>")
     zero = _is(v, "BOOLEAN", "BIGINT", "DOUBLE", "DECIMAL") & (F.coalesce(text.try_cast("double"), F.lit(0.0)) == 0) & (text != "true")
-    return _kind(v).isNull() | _is(v, "VOID") | empty | (_is(v, "STRING") & (text == "")) | zero
+    return _may_be(v, "VOID", "OBJECT<>") | F.coalesce(F.size(items) == 0, F.lit(False)) | (_is(v, "STRING") & (text == "")) | zero
 
 
 def _topics(v: Column) -> Column:
@@ -109,22 +113,20 @@ def node_valid(v: str | Column = "v") -> Column:
     """
     v = F.col(v) if isinstance(v, str) else v
     absent = lambda p: _kind(_at(v, p)).isNull()
-    null = lambda p: _is(_at(v, p), "VOID")
-    checks = [_is(v, "OBJECT")]
-    checks += [_is(_at(v, p), "STRING") for p in REQUIRED_STRINGS]
-    checks += [absent(p) | null(p) | _is(_at(v, p), "STRING") for p in OPTIONAL_STRINGS]
-    checks += [absent(p) | _is(_at(v, p), "OBJECT") for p in OBJECTS]
-    checks += [absent(p) | _flag(_at(v, p)).isNotNull() for p in FLAGS]
-    checks += [absent(p) | _count(_at(v, p)).isNotNull() for p in COUNTERS]
-    checks += [absent(p) | null(p) | _time(_at(v, p)).isNotNull() for p in TIMES]
-    checks.append(absent("diskUsage") | null("diskUsage") | _count(_at(v, "diskUsage")).isNotNull())
-    language = _at(v, "primaryLanguage")
-    checks.append(_falsy(language) | (_is(language, "OBJECT") & _is(_at(v, "primaryLanguage.name"), "STRING", "VOID")))
-    checks.append(_falsy(_at(v, "licenseInfo")) | _is(_at(v, "licenseInfo"), "OBJECT"))
-    named = F.forall(
-        _topics(v), lambda t: _is(t, "OBJECT") & (_falsy(_at(t, "topic")) | _is(_at(t, "topic.name"), "STRING"))
-    )
-    checks.append(absent("repositoryTopics.nodes") | (_is(_at(v, "repositoryTopics.nodes"), "ARRAY") & named))
+    checks = [_is(_at(v, p), "STRING") for p in REQUIRED_STRINGS]  # so it is an object
+    checks += [_may_be(_at(v, p), "VOID", "STRING") for p in OPTIONAL_STRINGS]
+    checks += [_may_be(_at(v, p), "OBJECT") for p in OBJECTS if p != "repositoryTopics"]
+    checks += [_flag(_at(v, p)).isNotNull() | absent(p) for p in FLAGS]
+    checks += [_count(_at(v, p)).isNotNull() | absent(p) for p in COUNTERS]
+    checks += [_time(_at(v, p)).isNotNull() | _may_be(_at(v, p), "VOID") for p in TIMES]
+    checks.append(_count(_at(v, "diskUsage")).isNotNull() | _may_be(_at(v, "diskUsage"), "VOID"))
+    language, license_ = _at(v, "primaryLanguage"), _at(v, "licenseInfo")
+    checks.append((_is(language, "OBJECT") & _is(_at(v, "primaryLanguage.name"), "STRING", "VOID")) | _falsy(language))
+    checks.append(_is(license_, "OBJECT") | _falsy(license_))
+    # a list of named topics, or no list in an object, or nothing; the type of a whole list is never asked for
+    named = F.forall(_topics(v), lambda t: _is(_at(t, "topic.name"), "STRING") | (_is(t, "OBJECT") & _falsy(_at(t, "topic"))))
+    bare = _may_be(_at(v, "repositoryTopics"), "OBJECT") & absent("repositoryTopics.nodes")
+    checks.append(F.coalesce(named, bare))
     return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
 
@@ -149,7 +151,7 @@ def flat_columns(v: str = "v") -> list[Column]:
     at = lambda path: _at(F.col(v), path)
     text = lambda path: F.try_variant_get(F.col(v), f"$.{path}", "string")
     topics = F.transform(
-        F.filter(_topics(F.col(v)), lambda t: ~_falsy(_at(t, "topic"))),
+        F.filter(_topics(F.col(v)), lambda t: _is(_at(t, "topic.name"), "STRING")),
         lambda t: F.try_variant_get(t, "$.topic.name", "string"),
     )
     return [
