@@ -155,12 +155,14 @@ def _signature_columns(bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, digest, n_shingles, bands) of every (doc_id, text) row; no shuffle.
+    """(doc_id, node, key, digest, n_shingles, bands) of every (doc_id, text) row; no shuffle.
 
-    ``node`` is doc_id, or a hash of the text where doc_id is null. ``digest`` is the
-    text's MD5, null for a null text. ``bands`` is empty for texts without a word.
+    ``node`` is a row number, fixed once the table is written; ``key`` is doc_id and
+    text digest. ``digest`` is the text's MD5, null for a null text. ``bands`` is
+    empty for texts without a word.
     """
-    docs = docs.withColumn("digest", F.unhex(F.md5("text"))).withColumn("node", _node())
+    docs = docs.withColumn("digest", F.unhex(F.md5("text"))).withColumn("key", _key("doc_id", "text"))
+    docs = docs.withColumn("node", F.monotonically_increasing_id())
     out, _ = append_columns(docs, "text", _signature_columns(bands, rows), [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType()))])
     return out.drop("text")
 
@@ -189,7 +191,9 @@ def _bags(docs: DataFrame) -> DataFrame:
 
 
 def similar(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the bags that lie on end in ``many`` reach the threshold with the bag ``one``."""
+    """Which of the bags that lie on end in ``many`` reach the threshold with the bag ``one``; an empty bag is like none."""
+    if not len(one):
+        return np.zeros(len(sizes), bool)
     at = np.searchsorted(one, many)
     at[at == len(one)] = 0
     hits = np.concatenate(([0], np.cumsum(one[at] == many)))
@@ -312,20 +316,23 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
 
 
 def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) that connect every class of nodes: equal texts, equal ids, similar texts that share a band.
+    """Edges (a, b) that connect every class of nodes: equal texts, similar texts that share a band, rows with equal id and null text.
 
-    ``docs`` has node and text, ``sig`` is the table of ``signatures``.
+    ``docs`` has key and text, ``sig`` is the written table of ``signatures``.
     """
     # a table: the join then has an exchange of its own, and AQE splits a digest of very many copies
-    same = freeze(sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep")))
-    exact = sig.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    reps = sig.join(same.select(F.col("rep").alias("node"), "digest"), ["node", "digest"], "left_semi")
-    # rows that repeat a representative are entries each; only sizes and degrees see them, links do not
+    copies = sig.withColumn("digest", F.coalesce("digest", F.col("key").cast("binary")))
+    same = freeze(copies.groupBy("digest").agg(F.min("node").alias("rep")))
+    exact = copies.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    reps = sig.join(same.select(F.col("rep").alias("node")), "node", "left_semi")  # one row of each text
     entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"))
     entries = freeze(entries.join(shared.where("lo < hi").select("key", "size"), "key"))
     nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))  # a table of known size: broadcast if small
-    bags = freeze(_bags(docs.join(nodes.select("node"), "node", "left_semi")))
+    wanted = freeze(reps.select("node", "key").join(nodes.select("node"), "node"))
+    bags = freeze(_bags(docs.join(wanted, "key")))
+    if bags.count() > wanted.count():  # rows that repeat a representative
+        bags = freeze(bags.dropDuplicates(["node"]))
 
     def fits(a: str, b: str) -> Column:  # sizes alone rule most pairs out
         return F.least(a, b) >= threshold * F.greatest(a, b)
@@ -356,43 +363,56 @@ def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id, n_members, kept, node, n_rows): the near-duplicate class of every document.
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of all rows of ``docs`` (doc_id, text) and of all classes.
 
-    One row for each doc_id. component_id is the least doc_id of the class,
-    n_members its number of rows, and kept marks that document. Texts are linked
-    when equal, or at a similarity of 0.8 or more. Empty texts equal one another;
-    null texts link with nothing, and neither do texts without a word unless
-    equal. Rows with the same doc_id are one document (n_rows of them) with all
-    their texts' links. Rows with a null doc_id take part under a hash of their
-    text, their node; a class of such rows only has a null component_id. An empty
-    table gives an empty result. Other columns of ``docs`` are not looked at.
+    Rows: doc_id, node, key, component. Classes: component, n_members, and the
+    doc_id and node of the row that is kept, the least doc_id's (nulls come last).
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig = freeze(signatures(docs))
-    comps = connected_components(near_links(docs.withColumn("node", _node()), sig))
-    rows = sig.groupBy("doc_id", "node").agg(F.count("*").alias("n_rows")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    comps = connected_components(near_links(docs.select(_key("doc_id", "text").alias("key"), "text"), sig))
+    rows = sig.select("doc_id", "node", "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = freeze(rows)
-    classes = freeze(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_members"), F.min("node").alias("first")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("node") == F.col("first")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    classes = rows.groupBy("component").agg(F.count("*").alias("n_members"), first.alias("first"))
+    return rows, freeze(classes.select("component", "n_members", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("first")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id, n_members, kept, node, n_rows): the near-duplicate class of every document.
+
+    One row for each doc_id and class; a doc_id has several classes if its rows have
+    different texts, which are documents of their own. component_id is the least
+    doc_id of the class (null if all are null), n_members its number of rows, kept
+    marks the one document that stays, n_rows counts the document's rows, and node is
+    a number of the first of them. Texts are linked when equal, or at a similarity of
+    0.8 or more. Empty texts equal one another; null texts link with those of the same
+    doc_id only, and texts without a word only when equal. An empty table gives an
+    empty result. Other columns of ``docs`` are not looked at.
+    """
+    rows, classes = _classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    rows = freeze(rows.groupBy("doc_id", "component").agg(F.count("*").alias("n_rows"), F.min("node").alias("node")))
+    kept = F.col("node") == F.col("first")
     return rows.join(classes, "component").select("doc_id", "component_id", "n_members", kept.alias("kept"), "node", "n_rows")
 
 
-def _node() -> Column:
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+def _key(doc_id: str, text: str) -> Column:
+    """A document: its id (empty for null) and its text's digest (empty for null)."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col(text)), F.lit("")))
 
 
 def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate class of ``near_duplicates``, all columns.
 
-    The texts are joined with the ids that go, which are a small side unless most rows are copies.
+    The texts are joined with the documents (id and digest) that go, which are a small side unless most rows are copies.
     """
-    node = fresh(docs.columns, "node")
-    classes = freeze(near_duplicates(docs, doc_id, text))
-    repeated = freeze(classes.where("kept AND n_rows > 1").select(F.col("node").alias(node)))
-    go = freeze(classes.where("NOT kept").select(F.col("node").alias(node)))
-    keyed = docs.withColumn(node, F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))))
-    out = keyed.join(go, node, "left_anti")
+    key = fresh(docs.columns, "key")
+    rows, classes = _classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    own = rows.groupBy(F.col("key").alias(key)).agg(F.min("node").alias("first"), F.count("*").alias("n_rows"))
+    own = freeze(own.join(classes.select("first", F.lit(True).alias("kept")), "first", "left"))
+    repeated, go = own.where("kept AND n_rows > 1").select(key), own.where("kept IS NULL").select(key)
+    keyed = docs.withColumn(key, _key(doc_id, text))
+    out = keyed.join(go, key, "left_anti")
     if not repeated.isEmpty():
-        out = out.join(repeated, node, "left_anti").unionByName(keyed.join(repeated, node, "left_semi").dropDuplicates([node]))
-    return out.drop(node)
+        out = out.join(repeated, key, "left_anti").unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)

@@ -104,6 +104,24 @@ def test_repeated_rows_of_a_kept_document(spark):
     assert sorted(r["doc_id"] for r in M.without_duplicates(df).collect()) == [1, 2]
 
 
+def test_different_texts_under_one_id(spark):
+    """Two sources that both number from 0: every text counts for itself, a null or empty one too."""
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    near = words("a") + " more"
+    rows = [(0, words("a")), (1, words("b")), (2, near), (0, words("c")), (1, None), (2, ""), (0, None), (0, None), (3, words("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(tuple, M.without_duplicates(df).collect()), key=str)
+    assert left == sorted([(0, words("a")), (1, words("b")), (0, words("c")), (1, None), (2, ""), (0, None)], key=str)
+    got = sorted(tuple(r)[:4] for r in M.near_duplicates(df).select("doc_id", "component_id", "n_members", "kept").collect())
+    want = [(0, 0, 2, True)] * 3 + [(1, 1, 1, True)] * 2 + [(2, 0, 2, False), (2, 2, 1, True), (3, 0, 2, False)]
+    assert got == sorted(want)
+
+
+def test_empty_bag_is_like_none():
+    one, many = np.zeros(0, np.uint64), np.array([1, 2], np.uint64)
+    assert not M.similar(one, many, np.array([2, 0]), 0.8).any() and not M.similar(many, one, np.array([0]), 0.8).any()
+
+
 def test_empty_table(no_docs):
     assert M.near_duplicates(no_docs).count() == 0
     assert M.without_duplicates(no_docs).count() == 0
