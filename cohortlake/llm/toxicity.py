@@ -9,9 +9,11 @@ k-th best example. The neighbours vote with the square of their similarity, and
 isotonic regression on the examples' own leave-one-out votes turns the vote into
 a probability. The nearest examples are the evidence.
 
-Scale: learning reads a bounded sample of labelled documents (MAX_EXAMPLES) and
-keeps a bounded vocabulary (MAX_TERMS); the model is at most a few MB and goes
-out with the task. Scoring is one narrow Arrow pass over the texts.
+Scale: learning reads a bounded sample of labelled documents (MAX_EXAMPLES), and
+every term of theirs is in the index, so the examples bound the model, which goes
+out with the task. One Arrow pass counts the terms over all documents, one scores
+them. Terms that no example has would only shorten all cosines of a text alike:
+neither ranks nor votes see them, so the norm leaves them out.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql.window import Window
 from cohortlake.llm.common import append_columns, freeze, map_arrow
 from cohortlake.llm.text import Texts, mix64, slices
 
-#: Labelled documents that are learnt from at most: those with the least hashes of doc_id.
+#: Labelled documents that are learnt from at most: for each label those with the least hashes of doc_id.
 MAX_EXAMPLES = 4096
-#: Terms at most; all terms with a chi-squared above MIN_CHI2 for the label, and the COMMON most frequent.
-MAX_TERMS, MIN_CHI2, MIN_DF, COMMON = 2048, 30.0, 5, 100
+#: The share of the examples that the rarer label gets at least, while it has so many.
+LEAST_SHARE = 0.25
+#: Terms with a chi-squared above MIN_CHI2 for the label, and the COMMON most frequent, weigh in full; all others OTHER times as much.
+MIN_CHI2, MIN_DF, COMMON, OTHER = 30.0, 5, 100, 0.03
 BEGINNINGS = (5, 6)
 NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 10, 3, 64, 8
 CUT = 0.7
@@ -63,12 +67,23 @@ def terms(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(low.hash_spans(starts[long], lead[first[long] + n]))
         owner.append(docs[long])
     h, d = np.concatenate(hashes), np.concatenate(owner)
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
+    h >>= np.uint64(16)
+    if t.n <= 1 << 16:  # text number and 48 bits of hash in one key, which sorts several times faster
+        key = np.sort(h | d.astype(np.uint64) << np.uint64(48))
+        h, d = key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
+    else:
+        order = np.lexsort((h, d))
+        h, d = h[order], d[order]
     at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))[: len(h)])
     return d[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges on end, and the range of each."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + (first - (np.cumsum(size) - size))[owner], owner
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples as a block-max inverted index."""
@@ -77,10 +92,12 @@ class Index:
     idf: np.ndarray
     examples: np.ndarray  # doc_ids
     toxic: np.ndarray
-    at: np.ndarray  # terms x (blocks + 1): where a term's postings of a block begin
     posting: np.ndarray  # example numbers by term
     weight: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    cells: np.ndarray  # where a term's cells begin; a cell has a term's postings of one block
+    block: np.ndarray  # of each cell
+    first: np.ndarray  # where each cell's postings begin
+    block_max: np.ndarray  # largest weight of each cell
     steps: np.ndarray  # calibration: raw votes
     rates: np.ndarray  # and the probability from each on
 
@@ -97,17 +114,23 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0 (ties: least example number), best first."""
-        bound = weight @ self.block_max[term]
+        from_, to = self.cells[term], self.cells[term + 1]
+        cell, owner = _ranges(from_, to - from_)
+        heavy, block = weight[owner], self.block[cell]
+        blocks = -(-len(self.examples) // BLOCK)
+        bound = np.bincount(block, heavy * self.block_max[cell], blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        scores, at = np.zeros(len(self.examples)), self.at[term]
+        scores = np.zeros(len(self.examples))
         # the most promising blocks give a k-th best score; then all that can still reach it
         first, kth = order[:FIRST_BLOCKS], 0.0
         while len(first):
-            from_, to = at[:, first].ravel(), at[:, first + 1].ravel()
-            size = to - from_
-            pick = np.arange(size.sum()) + np.repeat(from_ - (np.cumsum(size) - size), size)
-            scores += np.bincount(self.posting[pick], self.weight[pick] * np.repeat(np.repeat(weight, len(first)), size), len(scores))
+            now = np.zeros(blocks, bool)
+            now[first] = True
+            use = np.flatnonzero(now[block])
+            begin = self.first[cell[use]]
+            pick, of = _ranges(begin, self.first[cell[use] + 1] - begin)
+            scores += np.bincount(self.posting[pick], self.weight[pick] * heavy[use][of], len(scores))
             if without >= 0:
                 scores[without] = 0
             if len(scores) > k:
@@ -127,12 +150,13 @@ class Index:
         return self.rates[np.maximum(np.searchsorted(self.steps, raw, side="right") - 1, 0)]
 
 
-def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: from which raw value on which rate (slightly towards a tenth) holds."""
+    weight = np.ones(len(raw)) if weight is None else weight
     pools: list[list[float]] = []  # first raw value, positives, size
     for x in np.unique(raw):
         at = raw == x
-        pools.append([float(x), float(label[at].sum()), float(at.sum())])
+        pools.append([float(x), float((label * weight)[at].sum()), float(weight[at].sum())])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, pos, n = pools.pop()
             pools[-1][1] += pos
@@ -143,65 +167,115 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, np.maximum.accumulate((pos + 0.1) / (n + 1))
 
 
-def build_index(vocabulary, df, n, examples, toxic, docs, hashes, counts) -> Index:
-    """The index and its calibration from the examples' (number, term, count) triples."""
+def build_index(vocabulary, df, n, examples, toxic, docs, hashes, counts, factor=1.0, standing=None) -> Index:
+    """The index and its calibration from the examples' (number, term, count) triples.
+
+    ``df`` and ``n`` count all documents; a term's IDF is multiplied by its ``factor``
+    (as the vocabulary, which must be sorted if it is not a number); ``standing`` says for how many labelled
+    documents each example stands (on average one).
+    """
     order = np.argsort(vocabulary)
     vocabulary = vocabulary[order]
-    idf = np.log((n + 1) / (df[order] + 1))
+    idf = np.log((n + 1) / (df[order] + 1)) * factor
     size, blocks = len(examples), -(-len(examples) // BLOCK)
-    index = Index(vocabulary, idf, examples, toxic, *[np.zeros(0)] * 6)
+    index = Index(vocabulary, idf, examples, toxic, *[np.zeros(0)] * 8)
     bounds, term, weight = index.vectors(docs, hashes, counts, size)
     owner = np.repeat(np.arange(size), np.diff(bounds))
     by = np.lexsort((owner, term))
-    index.posting, index.weight = owner[by], weight[by]
-    cell = term[by] * (blocks + 1) + owner[by] // BLOCK
-    index.at = np.searchsorted(cell, np.arange(len(vocabulary) * (blocks + 1))).reshape(len(vocabulary), blocks + 1)
-    index.block_max = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(index.block_max, (term[by], owner[by] // BLOCK), weight[by])
+    index.posting, index.weight = owner[by].astype(np.int32), weight[by]
+    cell = term[by] * blocks + owner[by] // BLOCK
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    index.cells = np.searchsorted(cell[first], np.arange(len(vocabulary) + 1) * blocks)
+    index.block, index.first = (cell[first] % max(blocks, 1)).astype(np.int32), np.append(first, len(cell)).astype(np.int32)
+    index.block_max = np.maximum.reduceat(index.weight, first) if len(first) else np.zeros(0)
     raw = np.array([index.vote(*index.nearest(term[a:b], weight[a:b], NEIGHBOURS, i)) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
-    index.steps, index.rates = isotonic(raw, toxic)
+    index.steps, index.rates = isotonic(raw, toxic, standing)
     return index
 
 
+def _sample(one: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """At most MAX_EXAMPLES rows of (doc_id, toxic), and for how many rows one of each label stands, relative to the average.
+
+    Labels share the places in proportion, but none gets fewer than LEAST_SHARE of them while it has rows.
+    """
+    one = freeze(one)
+    sizes = {int(r["toxic"]): r["count"] for r in one.groupBy("toxic").count().collect()}  # 0 and 1
+    n, n1 = sum(sizes.values()), sizes.get(1, 0)
+    places, least = min(n, MAX_EXAMPLES), int(MAX_EXAMPLES * LEAST_SHARE)
+    toxic = min(max(round(places * n1 / max(n, 1)), min(n1, least)), places - min(n - n1, least))
+    take = {1: toxic, 0: places - toxic}
+    parts = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(v) for k, v in take.items()]
+    return freeze(parts[0].unionByName(parts[1])), {k: sizes.get(k, 0) / v * places / n if v else 1.0 for k, v in take.items()}
+
+
+def _factor(term: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """How much each of ``size`` terms weighs, given the examples' (term, example) pairs and labels."""
+    df, with_ = np.bincount(term, minlength=size).astype(float), np.bincount(term, toxic[owner], size)
+    n, n1 = float(len(toxic)), toxic.sum()
+    n0, without = n - n1, df - with_
+    across = with_ * (n0 - without) - without * (n1 - with_)
+    below = n1 * n0 * df * (n - df)
+    chi2 = np.where(below > 0, n * across * across / np.where(below > 0, below, 1), 0)
+    full = (chi2 > MIN_CHI2) & (df >= MIN_DF)
+    full[np.argsort(-df, kind="stable")[:COMMON]] = True
+    return np.where(full, 1.0, OTHER)
+
+
+def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of rows of ``docs`` and, for each sorted term hash, of those whose text has the term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(vocabulary), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, t in slices(batch.column(0)):
+                _, h, _ = terms(t)
+                at = np.searchsorted(vocabulary, np.sort(h))
+                at[at == len(vocabulary)] = 0
+                df += np.bincount(at[vocabulary[at] == np.sort(h)] if len(vocabulary) else at[:0], minlength=len(df))
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(df[has], n))], names=["at", "n"])
+
+    # sums of each partition, so at most a row for each of the examples' terms
+    totals = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    df, seen = np.zeros(len(vocabulary)), totals["at"].to_numpy(np.int64) >= 0
+    df[totals["at"].to_numpy(np.int64)[seen]] = totals["n"].to_numpy(float)[seen]
+    return int(totals["n"][~seen].sum()), df
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Index:
-    """An index of at most MAX_EXAMPLES of the labelled documents.
+    """An index of at most MAX_EXAMPLES of the labelled documents, with all their terms.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null in
     either column of labels are left out, and of several labels for a document the
-    largest holds. Of several texts for a doc_id one is taken, by its hash.
+    largest holds. Of several texts for a doc_id one is taken, by its hash. Term
+    weights count all of ``docs``.
     """
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = freeze(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES))
-    schema = "doc_id long, toxic int, hash long, count long"
+    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    sample, stands = _sample(one)
+    schema = "doc_id long, toxic int, hashes binary, counts binary"
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, t in slices(batch.column(2)):
             d, h, c = terms(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + at)), batch.column(1).take(pa.array(d + at)), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["doc_id", "toxic", "hash", "count"])
+            ends = np.cumsum(np.bincount(d, minlength=t.n))
+            packed = [[x[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)] for x in (h, c.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), batch.column(1).slice(at, t.n), *(pa.array(x, pa.binary()) for x in packed)], names=["doc_id", "toxic", "hashes", "counts"])
 
     texts = docs.join(F.broadcast(sample), "doc_id")  # at most MAX_EXAMPLES rows
     chosen = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
     chosen = freeze(chosen.select("doc_id", "toxic", "text"))
-    rows, examples = freeze(map_arrow(chosen, each, schema)), chosen.select("doc_id", "toxic")
-    totals = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, n1 = float(totals[0]), float(totals[1])
-    n0 = n - n1
-    df = rows.groupBy("hash").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("df1")).where(F.col("df") >= MIN_DF)
-    a, b = F.col("df1"), F.col("df") - F.col("df1")  # with the term: toxic, not
-    across = a * (n0 - b) - b * (n1 - a)
-    chi2 = F.coalesce(n * across * across / F.nullif(n1 * n0 * F.col("df") * (n - F.col("df")), F.lit(0.0)), F.lit(0.0))
-    df = freeze(df.withColumn("chi2", chi2))
-    telling = df.where(F.col("chi2") > MIN_CHI2).orderBy(F.desc("chi2"), "hash").limit(MAX_TERMS - COMMON)
-    vocabulary = freeze(telling.unionByName(df.orderBy(F.desc("df"), "hash").limit(COMMON)).select("hash", "df").distinct())
-    terms_ = vocabulary.toPandas().sort_values("hash")  # at most MAX_TERMS rows
-    used = rows.join(F.broadcast(vocabulary.select("hash")), "hash").select("doc_id", "hash", "count").toPandas()  # at most MAX_EXAMPLES x MAX_TERMS
-    who = examples.toPandas().sort_values(["toxic", "doc_id"])  # blocks of one label prune better
-    used["at"] = used.doc_id.map({d: i for i, d in enumerate(who.doc_id)})
-    used = used.sort_values(["at", "hash"])
-    return build_index(
-        terms_.hash.to_numpy(np.int64).view(np.uint64), terms_.df.to_numpy(float), n, who.doc_id.to_numpy(np.int64), who.toxic.to_numpy(float),
-        used["at"].to_numpy(np.int64), used.hash.to_numpy(np.int64).view(np.uint64), used["count"].to_numpy(float),
-    )
+    # the terms of MAX_EXAMPLES texts, 12 bytes each; blocks of one label prune better
+    who = map_arrow(chosen, each, schema).toPandas().sort_values(["toxic", "doc_id"])
+    examples, toxic = who.doc_id.to_numpy(np.int64), who.toxic.to_numpy(float)
+    hashes, counts = np.frombuffer(b"".join(who.hashes), np.uint64), np.frombuffer(b"".join(who.counts), np.int32)
+    at = np.repeat(np.arange(len(who)), [len(x) // 8 for x in who.hashes])
+    del who
+    vocabulary, term = np.unique(hashes, return_inverse=True)
+    factor = _factor(term, at, toxic, len(vocabulary))
+    del term
+    n, df = _document_counts(docs, vocabulary)
+    return build_index(vocabulary, df, n, examples, toxic, at, hashes, counts, factor, np.where(toxic > 0, stands[1], stands[0]))
 
 
 def _scores(index: Index):

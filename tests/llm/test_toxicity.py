@@ -97,6 +97,35 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert found[0] == found[1] and all(0 <= s <= 1 for _, s in found[0])
 
 
+def test_terms_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(X, "OTHER", 1.0)
+    docs = spark.createDataFrame([(i, f"common word{i} " + "often" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    index = X.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    for text, df in (("common", 40), ("often", 20)):  # a word and its beginnings, as far as it has them
+        _, h, _ = X.terms(Texts.of([text]))
+        assert set(h) <= set(index.vocabulary)
+        assert np.allclose(index.idf[np.searchsorted(index.vocabulary, h)], math.log(41 / (df + 1)))
+
+
+def test_rare_words_find_a_twin(spark):
+    """Words of one example only are terms too: the twin of an example has it as its first evidence."""
+    rng = random.Random(1)
+    texts = ["the same common words " + " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(5)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(60)], "doc_id long, toxic int")
+    for r in X.score(docs, X.learn(docs, labels))[0].collect():
+        assert r["evidence"][0] == r["doc_id"] % 100 and math.isclose(r["similarity"][0], 1)
+
+
+def test_rare_label_is_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_EXAMPLES", 40)
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    index = X.learn(docs, docs.selectExpr("doc_id", "int(doc_id IN (7, 400)) AS toxic"))
+    assert len(index.examples) == 40 and {7, 400} <= set(index.examples.tolist()) and index.toxic.sum() == 2
+    index = X.learn(docs, docs.selectExpr("doc_id", "int(doc_id < 30) AS toxic"))
+    assert len(index.examples) == 40 and index.toxic.sum() == 10
+
+
 def test_hard_rows(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (9, 0), (None, 1), (7, None), (10, 1), (77, 1)], "doc_id long, toxic int")
     index = X.learn(hard_docs.select("doc_id", "text"), labels)
