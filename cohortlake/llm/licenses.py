@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import freeze
-from cohortlake.llm.licenses_known import NOTICES, TEXTS
+from cohortlake.llm.licenses_known import NOTICES, VARIANTS
 
 #: Known texts beyond this number are joined without a broadcast.
 BROADCAST_ROWS = 100_000
@@ -56,13 +56,19 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def digest(text: Column, longest: int) -> Column:
-    """MD5 of the canonical form; null if that is empty, or sure to be longer than ``longest``.
+def head(short: Column) -> Column:
+    """The first three words of the canonical form; each comes from two words of the plain form at most."""
+    return F.substring_index(canonical(F.substring_index(short, " ", 8)), " ", 3)
+
+
+def digest(text: Column, longest: int, heads: list[str] | None = None) -> Column:
+    """MD5 of the canonical form; null if that is empty, or sure to be longer than ``longest`` or to begin otherwise than ``heads``.
 
     A spelling's replacement is at least half as long as what it replaces.
     """
     short = plain(text)
-    return F.when((short != "") & (F.length(short) <= 2 * longest), F.md5(canonical(text)))
+    able = (short != "") & (F.length(short) <= 2 * longest)
+    return F.when(able if heads is None else able & head(short).isin(heads), F.md5(canonical(text)))
 
 
 def _known(spark: SparkSession, texts: dict[str, list[str]]) -> tuple[DataFrame, int]:
@@ -73,7 +79,7 @@ def _known(spark: SparkSession, texts: dict[str, list[str]]) -> tuple[DataFrame,
     return (F.broadcast(known) if len(rows) <= BROADCAST_ROWS else known), max((2 * len(text) for _, text in rows), default=0)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: dict[str, str | list[str]] = VARIANTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """(doc_id, license_id, notices) of every row.
 
     license_id is the licence that the whole text is, else null; notices are the
@@ -82,11 +88,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: dic
     empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    licences, longest = _known(spark, {k: [v] for k, v in texts.items()})
+    texts = {k: [v] if isinstance(v, str) else v for k, v in texts.items()}
+    licences, longest = _known(spark, texts)
+    forms = spark.createDataFrame([(t,) for own in texts.values() for t in own], "text string")
+    heads = [r[0] for r in forms.select(head(plain(F.col("text")))).distinct().collect()]  # one for each known text at most
     lines, longest_line = _known(spark, notices)
     body = F.col(text)
     own = F.filter(F.transform(F.split(body, "\n"), lambda line: digest(line, longest_line)), lambda d: d.isNotNull())
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(body, longest).alias("whole"), F.array_distinct(own).alias("lines"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(body, longest, heads).alias("whole"), F.array_distinct(own).alias("lines"))
     rows = freeze(rows.withColumn("row", F.monotonically_increasing_id()))
     named = rows.select("row", F.explode("lines").alias("digest")).join(lines, "digest")
     named = named.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))  # at most the known identifiers

@@ -1,4 +1,9 @@
-"""Licence texts and notices that the licence scan knows (fixed values, by SPDX identifier)."""
+"""Licence texts and notices that the licence scan knows (fixed values, by SPDX identifier).
+
+Long texts lie in license_texts, without their copyright lines.
+"""
+
+from pathlib import Path
 
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -45,10 +50,52 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+TEXTS |= {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: Headings that the texts above lack and files often have.
+_TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "The 3-Clause BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+#: What may follow the terms, or is left out.
+_APPENDICES = {"Apache-2.0": ["APPENDIX: How to apply", "END OF TERMS AND CONDITIONS"], "GPL-2.0": ["How to Apply These Terms", "END OF TERMS AND CONDITIONS"], "GPL-3.0": ["How to Apply These Terms", "END OF TERMS AND CONDITIONS"], "LGPL-2.1": ["How to Apply These Terms", "END OF TERMS AND CONDITIONS"]}
+
+#: All forms of the whole texts.
+VARIANTS = {
+    name: [text, *(f"{title}\n\n{text}" for title in _TITLES.get(name, [])), *(text[: text.index(mark)] for mark in _APPENDICES.get(name, []))]
+    for name, text in TEXTS.items()
+}
+
+#: Names by which lines call a licence, besides its identifiers.
+_NAMES = {
+    "AGPL-3.0": (["AGPL-3.0-only", "AGPL-3.0-or-later"], ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3 license"]),
+    "Apache-2.0": (["Apache-2.0"], ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"]),
+    "BSD-2-Clause": (["BSD-2-Clause"], ["BSD 2-Clause License", "Simplified BSD License"]),
+    "BSD-3-Clause": (["BSD-3-Clause"], ["BSD 3-Clause License", "New BSD License"]),
+    "CC-BY-4.0": (["CC-BY-4.0"], ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"]),
+    "CC-BY-NC-4.0": (["CC-BY-NC-4.0"], ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"]),
+    "CC-BY-SA-4.0": (["CC-BY-SA-4.0"], ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"]),
+    "CC0-1.0": (["CC0-1.0"], ["CC0 1.0", "CC0 1.0 Universal License"]),
+    "GPL-2.0": (["GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"], ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2 license"]),
+    "GPL-3.0": (["GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"], ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3 license"]),
+    "ISC": (["ISC"], ["ISC License"]),
+    "LGPL-2.1": (["LGPL-2.1-only", "LGPL-2.1-or-later"], ["GNU Lesser General Public License, version 2.1"]),
+    "LGPL-3.0": (["LGPL-3.0-only", "LGPL-3.0-or-later"], ["GNU Lesser General Public License, version 3"]),
+    "MIT": (["MIT"], ["MIT License"]),
+    "MPL-2.0": (["MPL-2.0"], ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"]),
+    "Unlicense": (["Unlicense"], ["Unlicense"]),
+    "Zlib": (["Zlib"], ["zlib License"]),
+}
+_WORDINGS = ["Licensed under {}.", "Released under {}.", "Distributed under {}.", *(f"This {x} is {y} under {{}}." for x in ("work", "project", "software", "program", "file") for y in ("licensed", "released"))]
+
 #: Lines that name a licence.
 NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
+    name: [f"SPDX-License-Identifier: {x}" for x in ids]
+    + [w.format(article + x) for w in _WORDINGS for x in names for article in ("the ", "") if "licen" in w.format(x).lower()]
+    for name, (ids, names) in _NAMES.items()
 }

@@ -24,6 +24,19 @@ def test_other_texts_match_nothing(spark):
     assert scan(spark, [mit + " More.", mit[:-10], "", None, "...", "\n", "Permission", mit + mit]) == [(None, "")] * 8
 
 
+def test_usual_licence_files(spark):
+    mit, bsd, apache, gpl = (TEXTS[k] for k in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"))
+    texts = ["MIT License\n\nCopyright (c) 2020 A\n\n" + mit, "The MIT License (MIT)\n\n" + mit, "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + bsd]
+    texts += ["ISC License\n\n" + TEXTS["ISC"], "zlib License\n\n(C) 2001 B\n" + TEXTS["Zlib"], apache[: apache.index("APPENDIX")], gpl, TEXTS["MPL-2.0"], TEXTS["Unlicense"]]
+    want = ["MIT", "MIT", "BSD-3-Clause", "ISC", "Zlib", "Apache-2.0", "GPL-3.0", "MPL-2.0", "Unlicense"]
+    assert [i for i, _ in scan(spark, texts)] == want
+
+
+def test_other_wordings_and_versions(spark):
+    lines = ["This project is licensed under the Apache License 2.0.", "SPDX-License-Identifier: GPL-2.0-or-later", "Distributed under the Mozilla Public License 2.0."]
+    assert [n for _, n in scan(spark, lines)] == ["Apache-2.0", "GPL-2.0", "MPL-2.0"]
+
+
 def test_notices_of_lines(spark):
     lines = [t for own in NOTICES.values() for t in own]
     texts = [*lines, "Some text.\n# " + lines[0].upper() + "\n\nmore", "\n".join(lines), "x " + lines[0]]
