@@ -252,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     weights count all of ``docs``.
     """
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample, stands = _sample(one)
+    sample, stands = _sample(one.join(docs.select("doc_id"), "doc_id", "left_semi"))  # labels of absent documents take no places
     schema = "doc_id long, toxic int, hashes binary, counts binary"
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -126,6 +126,13 @@ def test_rare_label_is_in_the_sample(spark, monkeypatch):
     assert len(index.examples) == 40 and index.toxic.sum() == 10
 
 
+def test_labels_of_absent_documents_take_no_places(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_EXAMPLES", 40)
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    index = X.learn(docs, spark.range(5000).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic"))
+    assert len(index.examples) == 40 and index.examples.max() < 50
+
+
 def test_hard_rows(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (9, 0), (None, 1), (7, None), (10, 1), (77, 1)], "doc_id long, toxic int")
     index = X.learn(hard_docs.select("doc_id", "text"), labels)
