@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cohortlake.session import configure, freeze
 
-__all__ = ["append_columns", "arrow_rows", "connected_components", "fresh", "freeze", "map_arrow", "setup", "table", "union_all"]
+__all__ = ["append_columns", "arrow_rows", "connected_components", "fresh", "freeze", "map_arrow", "null_safe", "ranked", "setup", "table", "union_all"]
 
 #: Rows of an Arrow batch; texts are long, so a batch stays at a few MB.
 ARROW_ROWS = 1000
@@ -78,6 +80,54 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def null_safe(left: list[str], right: list[str]) -> Column:
+    """Equality of two lists of columns, null equal to null; an equi-join condition."""
+    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)))
+
+
+#: Dealt partitions whose totals one window adds up at a time.
+PARTS_IN_WINDOW = 1024
+
+
+def ranked(df: DataFrame, within: list[str], order: list[str], sums: dict[str, str], count: str | None = None) -> DataFrame:
+    """``df`` written in the order (``within``, ``order``), with exact running sums.
+
+    ``sums`` maps a new column to a numeric one: its sum over the rows before in the
+    same ``within`` group (nulls are a group); ``count`` names a column for the
+    number of rows before. Rows that are equal in all of ``order`` stand in any order.
+
+    The rows are dealt by a range exchange and written once; windows run inside a
+    written partition, over the totals of PARTS_IN_WINDOW partitions, and over the
+    totals of those, so no group is ever in one task.
+    """
+    part, at, top = (fresh([*df.columns, *sums], n) for n in ("part", "at", "top"))
+    one = fresh([*df.columns, *sums, part, at, top], "one")
+    values = {**sums, **({count: one} if count else {})}
+    inner = {n: fresh(df.columns, f"{n}_in") for n in values}
+    outer = {n: fresh(df.columns, f"{n}_o") for n in [*within, part, *values]}
+    dealt = df.withColumn(one, F.lit(1).cast("long")).repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+    placed = freeze(dealt.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)).withColumn(top, F.expr(f"div({part}, {PARTS_IN_WINDOW})")))
+
+    def before(rows: DataFrame, by: list[str], by_order: str, names: list[str]) -> list[Column]:
+        window = Window.partitionBy(*by).orderBy(by_order).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(n).over(window), F.lit(0)).alias(f"{n}_before") for n in names]
+
+    totals = placed.groupBy(*within, top, part).agg(*(F.sum(v).alias(f"{n}_all") for n, v in values.items()))
+    tops = totals.groupBy(*within, top).agg(*(F.sum(f"{n}_all").alias(f"{n}_top") for n in values))
+    tops = tops.select(*(F.col(c).alias(f"{c}_t") for c in [*within, top]), *before(tops, within, top, [f"{n}_top" for n in values]))
+    offsets = totals.select(*within, top, part, *before(totals, [*within, top], part, [f"{n}_all" for n in values]))
+    key = [*within, top]
+    offsets = offsets.join(tops, null_safe(key, [f"{c}_t" for c in key]))
+    offsets = offsets.select(*(F.col(c).alias(outer[c]) for c in [*within, part]), *((F.col(f"{n}_all_before") + F.col(f"{n}_top_before")).alias(outer[n]) for n in values))
+    offsets = freeze(offsets)
+
+    window = Window.partitionBy(*within, part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("*", *(F.coalesce(F.sum(v).over(window), F.lit(0)).alias(inner[n]) for n, v in values.items()))
+    key = [*within, part]
+    out = inside.join(offsets, null_safe(key, [outer[c] for c in key]))
+    return out.select(*df.columns, *((F.col(inner[n]) + F.col(outer[n])).alias(n) for n in values))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:

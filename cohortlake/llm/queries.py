@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.chat import digests, format_conversations, text_parts
-from cohortlake.llm.common import table
+from cohortlake.llm.common import freeze, table
 from cohortlake.llm.embedding import linked_vectors
+from cohortlake.llm.hardneg import hard_negatives
 from cohortlake.llm.licenses import COPYRIGHT_LINE, PUNCTUATION, SPELLINGS, scan
 from cohortlake.llm.licenses_known import NOTICES, TEXTS
+from cohortlake.llm.merkle import FAN, build, leaf, prove
 from cohortlake.llm.minhash import near_duplicates
+from cohortlake.llm.mixing import BUDGET, MOST, SEED, WEIGHTS, measured, mixture
 from cohortlake.llm.packing import pack
 from cohortlake.llm.quality import quality_table
 from cohortlake.llm.sampling import sample_encodings
@@ -180,3 +183,118 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality")
     )
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", *_CASES)).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "lang", leaf([*fields, F.col("text")]).alias("leaf"), leaf([*fields, tampered]).alias("claim"))
+    proved, _ = prove(build(leaves, "lang", "doc_id", "leaf"), claim="claim")
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_CASES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: DuckDB has no CRC-32: its bytes, each followed by eight shifts, folded over the bits.
+_CRC32 = """list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295::BIGINT)"""
+#: Levels that the oracle builds in every tree: enough for FAN ** 8 rows.
+_LEVELS = 8
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, ground: str) -> list[str]:
+    """CTEs name0.. with the levels (g, i, h, n) over ``ground`` (g, i, h); a level of one node stays as it is."""
+    levels = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {ground})"]
+    for k in range(_LEVELS):
+        up = f"SELECT g, i // {FAN} AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE n > 1 GROUP BY g, i // {FAN} UNION ALL SELECT g, i, h FROM {name}{k} WHERE n = 1"
+        levels.append(f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM ({up}))")
+    return levels
+
+
+def _walk_sql(name: str, tree: str, start: str) -> list[str]:
+    """CTEs name0.. that carry (row, g, i, fold, proof) from ``start`` to the top of the tree."""
+    steps = [f"{name}0 AS ({start})"]
+    for k in range(_LEVELS):
+        at = f"row, w.g, w.i // {FAN} AS i, any_value(n) AS n"
+        fold = "sha256(string_agg(CASE WHEN t.i = w.i THEN fold ELSE h END, '' ORDER BY t.i)) AS fold"
+        proof = "any_value(proof) || coalesce(string_agg(h, '' ORDER BY t.i) FILTER (WHERE t.i <> w.i), '') AS proof"
+        run = f"SELECT {at}, {fold}, {proof} FROM {name}{k} w JOIN {tree}{k} t ON t.g = w.g AND t.i // {FAN} = w.i // {FAN} WHERE n > 1 GROUP BY row, w.g, w.i"
+        rest = f"SELECT row, w.g, w.i, n, fold, proof FROM {name}{k} w JOIN {tree}{k} t ON t.g = w.g AND t.i = w.i WHERE n = 1"
+        steps.append(f"{name}{k + 1} AS (SELECT row, g, i, fold, proof FROM ({run} UNION ALL {rest}))")
+    return steps
+
+
+ORACLES["op11_merkle_manifest"] = "WITH " + ",\n".join([
+    f"""hashed AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql(f"CASE WHEN xor({_CRC32.format('doc_id::VARCHAR')}, 4294967295) % 3 = 0 THEN translate(text, '{_CASES[0]}', '{_CASES[1]}') ELSE text END")} AS claim
+  FROM documents
+), rows AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM hashed
+)""",
+    *_tree_sql("t", "(SELECT g, i, leaf AS h FROM rows)"),
+    *_tree_sql("u", f"(SELECT 0 AS g, g AS i, h FROM t{_LEVELS})"),
+    *_walk_sql("w", "t", "SELECT row, g, i, claim AS fold, '' AS proof FROM rows"),
+    *_walk_sql("v", "u", f"SELECT row, 0 AS g, g AS i, fold, proof FROM w{_LEVELS}"),
+]) + f"""
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(v.proof) AS proof_sha256, v.fold AS folded_root, v.fold = u.h AS verified
+FROM rows r JOIN v{_LEVELS} v USING (row) JOIN t{_LEVELS} t ON t.g = r.g CROSS JOIN u{_LEVELS} u"""
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, size, number = measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed, names = mixture(freeze(docs.drop("text")), "source", size, number)
+    taken = (F.col(size) * F.col(names["copies"])).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
+ORACLES["op12_source_mixing"] = f"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    CAST('0x' || substr(md5('{SEED}:' || coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(text) || ':' || text, '-')), 1, 13) AS BIGINT)::DOUBLE / 2.0 ** 52 AS number
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS size, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM docs GROUP BY source
+), filled AS (
+  SELECT *, sum(size) OVER () * {BUDGET}::DOUBLE - {MOST} * coalesce(sum(size) OVER before, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS left_,
+    row_number() OVER filling AS k
+  FROM sources WINDOW filling AS (ORDER BY size / weight, size, source), before AS (ORDER BY size / weight, size, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (SELECT min(k) AS k FROM filled WHERE weight * rest <= {MOST} * size * left_),
+dealt AS (
+  SELECT source, size AS source_size, CASE WHEN filled.k < level.k THEN {MOST}::DOUBLE * size
+    ELSE least({MOST}::DOUBLE * size, weight * (SELECT rest FROM filled f WHERE f.k = level.k) / (SELECT left_ FROM filled f WHERE f.k = level.k)::DOUBLE) END AS target
+  FROM filled, level
+), rated AS (SELECT source, source_size, target, target / nullif(source_size, 0) AS rate FROM dealt)
+SELECT doc_id, size, source_size, target, coalesce(floor(rate) + (number < rate - floor(rate))::INT, 0)::BIGINT AS copies, size * copies AS taken, docs.source
+FROM docs JOIN rated ON docs.source IS NOT DISTINCT FROM rated.source"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS own, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM rows a JOIN rows b ON a.row <> b.row AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scored WHERE own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row))::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10"""
