@@ -2,10 +2,10 @@
 
 Texts become TF-IDF vectors over words and word beginnings (five and six
 characters, which also see compounds). Each is compared, by exact cosine, with a
-bounded set of labelled examples held in a block-max inverted index: postings
-lie by term and block of examples, every term knows its largest weight in each
-block, and a block is opened only while the sum of these could still reach the
-k-th best example. The neighbours vote with the square of their similarity, and
+bounded set of labelled examples held in a block-max inverted index: the lists of
+telling and of very frequent terms, and the short ones, are added up for all examples; of the many
+middling lists every block's largest weight is known, and only the examples that these
+bounds still let reach the k-th best are scored to the end, exactly; blocks without such are never opened. The neighbours vote with the square of their similarity, and
 isotonic regression on the examples' own leave-one-out votes turns the vote into
 a probability. The nearest examples are the evidence.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortlake.llm.common import append_columns, freeze, map_arrow
-from cohortlake.llm.text import Texts, mix64, slices
+from cohortlake.llm.text import Texts, mix64, per_process, slices
 
 #: Labelled documents that are learnt from at most: for each label those with the least hashes of doc_id.
 MAX_EXAMPLES = 4096
@@ -38,7 +39,13 @@ LEAST_SHARE = 0.25
 #: Terms with a chi-squared above MIN_CHI2 for the label, and the COMMON most frequent, weigh in full; all others OTHER times as much.
 MIN_CHI2, MIN_DF, COMMON, OTHER = 30.0, 5, 100, 0.03
 BEGINNINGS = (5, 6)
-NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 10, 3, 64, 8
+NEIGHBOURS, EVIDENCE, BLOCK = 10, 3, 64
+#: A list of one example in DENSE is a dense row; lists of light terms of more than RARE examples are bounded.
+DENSE, RARE = 16, 16
+#: Where a bound leaves more examples than this, the next and dearer one is taken before they are scored from their own terms.
+MANY = 64
+#: Texts whose dense parts are added up at once; what single precision may lose of a cosine.
+TEXTS, SLACK = 256, 1e-4
 CUT = 0.7
 
 _LETTER = np.zeros(256, bool)
@@ -86,61 +93,34 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples as a block-max inverted index."""
+    """Unit TF-IDF vectors of the examples, by example; :class:`Lists` inverts them where they are searched."""
 
     vocabulary: np.ndarray  # sorted term hashes
+    number: np.ndarray  # of each: terms are numbered from the most frequent on, so what is read often lies together
     idf: np.ndarray
+    light: np.ndarray  # of each term: whether it weighs OTHER times as much
     examples: np.ndarray  # doc_ids
     toxic: np.ndarray
-    posting: np.ndarray  # example numbers by term
+    bounds: np.ndarray  # where each example's terms begin
+    term: np.ndarray
     weight: np.ndarray
-    cells: np.ndarray  # where a term's cells begin; a cell has a term's postings of one block
-    block: np.ndarray  # of each cell
-    first: np.ndarray  # where each cell's postings begin
-    block_max: np.ndarray  # largest weight of each cell
     steps: np.ndarray  # calibration: raw votes
     rates: np.ndarray  # and the probability from each on
+    name: str  # of its own, so that a process inverts it once
 
     def vectors(self, docs: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bounds of each text, term numbers, unit weights) for the vocabulary's terms."""
         term = np.searchsorted(self.vocabulary, hashes)
         term[term == len(self.vocabulary)] = 0
         known = self.vocabulary[term] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-        docs, term = docs[known], term[known]
+        docs, term = docs[known], self.number[term[known]]
         weight = (1 + np.log(counts[known])) * self.idf[term]
         norm = np.sqrt(np.bincount(docs, weight * weight, n))
         bounds = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=n))))
         return bounds, term, weight / np.where(norm > 0, norm, 1)[docs]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0 (ties: least example number), best first."""
-        from_, to = self.cells[term], self.cells[term + 1]
-        cell, owner = _ranges(from_, to - from_)
-        heavy, block = weight[owner], self.block[cell]
-        blocks = -(-len(self.examples) // BLOCK)
-        bound = np.bincount(block, heavy * self.block_max[cell], blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.zeros(len(self.examples))
-        # the most promising blocks give a k-th best score; then all that can still reach it
-        first, kth = order[:FIRST_BLOCKS], 0.0
-        while len(first):
-            now = np.zeros(blocks, bool)
-            now[first] = True
-            use = np.flatnonzero(now[block])
-            begin = self.first[cell[use]]
-            pick, of = _ranges(begin, self.first[cell[use] + 1] - begin)
-            scores += np.bincount(self.posting[pick], self.weight[pick] * heavy[use][of], len(scores))
-            if without >= 0:
-                scores[without] = 0
-            if len(scores) > k:
-                kth = np.partition(scores, -k)[-k]
-            order = order[len(first) :]
-            first = order[bound[order] >= kth - 1e-9]
-            order = first
-        hit = np.flatnonzero(scores > 0)
-        hit = hit[np.lexsort((hit, -scores[hit].round(12)))][:k]
-        return hit, scores[hit]
+    def lists(self) -> Lists:
+        return per_process(f"toxicity {self.name}", lambda: Lists(self))
 
     def vote(self, hit: np.ndarray, cosine: np.ndarray) -> float:
         mass = cosine * cosine
@@ -150,6 +130,105 @@ class Index:
         return self.rates[np.maximum(np.searchsorted(self.steps, raw, side="right") - 1, 0)]
 
 
+class Lists:
+    """The inverted index: what the search adds up for all examples, and what it only bounds.
+
+    The lists of very frequent terms are dense rows. Other lists hold postings by
+    term. Those of light terms in more than RARE examples, which are most of all
+    postings and say little, lie by blocks of examples: with each block's largest weight, and with
+    the norms of the light terms, the search bounds what they can add to an example.
+    """
+
+    def __init__(self, index: Index):
+        self.index, size, terms_ = index, len(index.examples), len(index.vocabulary)
+        owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(index.bounds))
+        df = np.bincount(index.term, minlength=terms_)
+        dense = df * DENSE >= size
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1).astype(np.int32)
+        self.bounded = index.light & (df > RARE) & ~dense
+        self.dense = np.zeros((int(dense.sum()), size), np.float32)
+        here = dense[index.term]
+        self.dense[self.row[index.term[here]], owner[here]] = index.weight[here]
+
+        here = ~here & ~self.bounded[index.term]
+        by = np.flatnonzero(here)[np.argsort(index.term[here], kind="stable")]
+        self.posting, self.weight = owner[by], index.weight[by]
+        self.start = np.searchsorted(index.term[by], np.arange(terms_ + 1))
+
+        self.blocks = -(-size // BLOCK)
+        here = self.bounded[index.term]
+        self.rest = np.sqrt(np.bincount(owner[here], index.weight[here].astype(np.float64) ** 2, size))
+        by = np.flatnonzero(here)[np.argsort(index.term[here], kind="stable")]  # and by example, as they come
+        cell = index.term[by].astype(np.int64) * self.blocks + owner[by] // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cells = np.searchsorted(cell[first], np.arange(terms_ + 1) * self.blocks)
+        self.block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
+        self.first, self.low_posting, self.low_weight = np.append(first, len(cell)), owner[by], index.weight[by]
+        self.block_max = np.maximum.reduceat(self.low_weight, first) if len(first) else np.zeros(0, np.float32)
+        self.query = np.zeros(terms_, np.float32)
+
+    def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the k examples of the largest cosine above 0 (ties: least example number), best first.
+
+        ``without``: an example of each text that does not count (-1: none).
+        """
+        for at in range(0, len(bounds) - 1, TEXTS):
+            ends = bounds[at : at + TEXTS + 1]
+            mine = slice(ends[0], ends[-1])
+            text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            row = self.row[term[mine]]
+            heavy = np.zeros((len(ends) - 1, len(self.dense)), np.float32)
+            heavy[text[row >= 0], row[row >= 0]] = weight[mine][row >= 0]
+            sums = heavy @ self.dense
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                yield self._settled(sums[i], term[a:b], weight[a:b], k, -1 if without is None else int(without[at + i]))
+
+    def _settled(self, sums: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        index = self.index
+        pick, of = _ranges(self.start[term], self.start[term + 1] - self.start[term])
+        if len(pick):
+            sums += np.bincount(self.posting[pick], self.weight[pick] * weight[of], len(sums)).astype(np.float32)
+        if without >= 0:
+            sums[without] = -1
+        kth = lambda scores: np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        low = self.bounded[term]
+        light = weight[low]
+        bound = sums + self.rest * np.sqrt((light * light).sum())
+        may = np.flatnonzero(bound >= kth(sums) - SLACK)
+        if len(may) > MANY:  # look at the blocks' maxima
+            cell, of = _ranges(self.cells[term[low]], self.cells[term[low] + 1] - self.cells[term[low]])
+            by_block = np.bincount(self.block[cell], light[of] * self.block_max[cell], self.blocks)
+            bound = np.minimum(bound, sums + np.repeat(by_block, BLOCK)[: len(sums)])
+            may = np.flatnonzero(bound >= kth(sums) - SLACK)
+            if len(may) > MANY:  # open the light lists, in the blocks that are left
+                hot = np.zeros(self.blocks, bool)
+                hot[may // BLOCK] = True
+                use = np.flatnonzero(hot[self.block[cell]])
+                pick, at = _ranges(self.first[cell[use]], self.first[cell[use] + 1] - self.first[cell[use]])
+                sums += np.bincount(self.low_posting[pick], self.low_weight[pick] * light[of[use]][at], len(sums)).astype(np.float32)
+                bound = sums
+                if without >= 0:
+                    sums[without] = -1
+                may = may[sums[may] >= kth(sums) - SLACK]
+        may = may[may != without]
+        may = may[np.argsort(-bound[may], kind="stable")]
+        # what can be among the k best is scored exactly, from its own terms; the most promising first
+        self.query[term] = weight
+        scores = np.zeros(0)
+        while len(scores) < len(may):
+            now = may[len(scores) : len(scores) + k + 2]
+            scores = np.append(scores, self._cosines(now))
+            may = may[: max(len(scores), int(np.searchsorted(-bound[may], SLACK - kth(scores), side="right")))]
+        self.query[term] = 0
+        order = np.lexsort((may, -scores.round(12)))[:k]
+        order = order[scores[order] > 0]
+        return may[order], scores[order]
+
+    def _cosines(self, examples: np.ndarray) -> np.ndarray:
+        index, spans = self.index, [slice(a, b) for a, b in zip(self.index.bounds[examples], self.index.bounds[examples + 1], strict=True)]
+        return np.array([np.dot(self.query[index.term[s]], index.weight[s]) for s in spans])
+
+
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: from which raw value on which rate (slightly towards a tenth) holds."""
     weight = np.ones(len(raw)) if weight is None else weight
@@ -167,30 +246,21 @@ def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = Non
     return x, np.maximum.accumulate((pos + 0.1) / (n + 1))
 
 
-def build_index(vocabulary, df, n, examples, toxic, docs, hashes, counts, factor=1.0, standing=None) -> Index:
-    """The index and its calibration from the examples' (number, term, count) triples.
+def build_index(vocabulary, df, n, examples, toxic, bounds, term, counts, factor=None) -> Index:
+    """The index, not yet calibrated, of examples with these terms (numbers in the sorted vocabulary) and counts.
 
-    ``df`` and ``n`` count all documents; a term's IDF is multiplied by its ``factor``
-    (as the vocabulary, which must be sorted if it is not a number); ``standing`` says for how many labelled
-    documents each example stands (on average one).
+    ``df`` and ``n`` count all documents; a term's IDF is multiplied by its ``factor``.
     """
-    order = np.argsort(vocabulary)
-    vocabulary = vocabulary[order]
-    idf = np.log((n + 1) / (df[order] + 1)) * factor
-    size, blocks = len(examples), -(-len(examples) // BLOCK)
-    index = Index(vocabulary, idf, examples, toxic, *[np.zeros(0)] * 8)
-    bounds, term, weight = index.vectors(docs, hashes, counts, size)
-    owner = np.repeat(np.arange(size), np.diff(bounds))
-    by = np.lexsort((owner, term))
-    index.posting, index.weight = owner[by].astype(np.int32), weight[by]
-    cell = term[by] * blocks + owner[by] // BLOCK
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    index.cells = np.searchsorted(cell[first], np.arange(len(vocabulary) + 1) * blocks)
-    index.block, index.first = (cell[first] % max(blocks, 1)).astype(np.int32), np.append(first, len(cell)).astype(np.int32)
-    index.block_max = np.maximum.reduceat(index.weight, first) if len(first) else np.zeros(0)
-    raw = np.array([index.vote(*index.nearest(term[a:b], weight[a:b], NEIGHBOURS, i)) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
-    index.steps, index.rates = isotonic(raw, toxic, standing)
-    return index
+    factor = np.ones(len(vocabulary)) if factor is None else factor
+    order = np.argsort(-np.bincount(term, minlength=len(vocabulary)), kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order))
+    term, idf, light = number[term], (np.log((n + 1) / (df + 1)) * factor)[order], factor[order] < 1
+    weight = ((1 + np.log(counts)) * idf[term]).astype(np.float32)
+    owner = np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(bounds))
+    norm = np.sqrt(np.bincount(owner, weight.astype(np.float64) ** 2, len(examples)))
+    weight /= np.where(norm > 0, norm, 1)[owner].astype(np.float32)
+    return Index(vocabulary, number, idf, light, examples, toxic, bounds, term, weight, *isotonic(np.zeros(0), np.zeros(0)), uuid4().hex)
 
 
 def _sample(one: DataFrame) -> tuple[DataFrame, dict[int, float]]:
@@ -266,25 +336,43 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     chosen = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
     chosen = freeze(chosen.select("doc_id", "toxic", "text"))
     # the terms of MAX_EXAMPLES texts, 12 bytes each; blocks of one label prune better
-    who = map_arrow(chosen, each, schema).toPandas().sort_values(["toxic", "doc_id"])
-    examples, toxic = who.doc_id.to_numpy(np.int64), who.toxic.to_numpy(float)
-    hashes, counts = np.frombuffer(b"".join(who.hashes), np.uint64), np.frombuffer(b"".join(who.counts), np.int32)
-    at = np.repeat(np.arange(len(who)), [len(x) // 8 for x in who.hashes])
+    who = map_arrow(chosen, each, schema).toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    examples, toxic = who["doc_id"].to_numpy().copy(), who["toxic"].to_numpy().astype(float)
+    hashes, counts = (np.frombuffer(b"".join(who[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("counts", np.int32)))
+    bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in who["counts"].to_pylist()], dtype=np.int64)))
     del who
-    vocabulary, term = np.unique(hashes, return_inverse=True)
-    factor = _factor(term, at, toxic, len(vocabulary))
-    del term
+    vocabulary = np.unique(hashes)
+    term = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    del hashes
+    factor = _factor(term, np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(bounds)), toxic, len(vocabulary))
     n, df = _document_counts(docs, vocabulary)
-    return build_index(vocabulary, df, n, examples, toxic, at, hashes, counts, factor, np.where(toxic > 0, stands[1], stands[0]))
+    index = build_index(vocabulary, df, n, examples, toxic, bounds, term, counts, factor)
+    del term, counts
+    raw = _own_votes(chosen, index)
+    index.steps, index.rates = isotonic(raw, toxic, np.where(toxic > 0, stands[1], stands[0]))
+    return index
+
+
+def _own_votes(chosen: DataFrame, index: Index) -> np.ndarray:
+    """The vote on each example by the others: at most MAX_EXAMPLES rows, scored in tasks."""
+    places = {d: i for i, d in enumerate(index.examples.tolist())}
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = np.array([places[d] for d in batch.column(0).to_pylist()], np.int64)
+        votes = [index.vote(*found) for at, t in slices(batch.column(1)) for found in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS, own[at : at + t.n])]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes, pa.float64())], names=["place", "vote"])
+
+    found = map_arrow(chosen.select("doc_id", "text"), each, "place long, vote double").toArrow()
+    raw = np.zeros(len(index.examples))
+    raw[found["place"].to_numpy()] = found["vote"].to_numpy()
+    return raw
 
 
 def _scores(index: Index):
     def columns(texts: pa.Array) -> list[pa.Array]:
         raw, ids, cosines = [], [], []
         for _, t in slices(texts):
-            bounds, term, weight = index.vectors(*terms(t), t.n)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                hit, cosine = index.nearest(term[a:b], weight[a:b], NEIGHBOURS)
+            for hit, cosine in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS):
                 raw.append(index.vote(hit, cosine))
                 ids.append(index.examples[hit[:EVIDENCE]])
                 cosines.append(cosine[:EVIDENCE])
