@@ -43,7 +43,7 @@ NEIGHBOURS, EVIDENCE, BLOCK = 10, 3, 64
 #: A list of one example in DENSE is a dense row; lists of light terms of more than RARE examples are bounded.
 DENSE, RARE = 16, 16
 #: Where a bound leaves more examples than this, the next and dearer one is taken before they are scored from their own terms.
-MANY = 64
+MANY = 32
 #: Texts whose dense parts are added up at once; what single precision may lose of a cosine.
 TEXTS, SLACK = 256, 1e-4
 CUT = 0.7
@@ -165,7 +165,7 @@ class Lists:
         self.block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
         self.first, self.low_posting, self.low_weight = np.append(first, len(cell)), owner[by], index.weight[by]
         self.block_max = np.maximum.reduceat(self.low_weight, first) if len(first) else np.zeros(0, np.float32)
-        self.query = np.zeros(terms_, np.float32)
+        self.query, self.term, self.ends = np.zeros(terms_, np.float32), index.term.astype(np.int64), index.bounds.tolist()
 
     def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the k examples of the largest cosine above 0 (ties: least example number), best first.
@@ -184,49 +184,50 @@ class Lists:
                 yield self._settled(sums[i], term[a:b], weight[a:b], k, -1 if without is None else int(without[at + i]))
 
     def _settled(self, sums: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        index = self.index
         pick, of = _ranges(self.start[term], self.start[term + 1] - self.start[term])
         if len(pick):
             sums += np.bincount(self.posting[pick], self.weight[pick] * weight[of], len(sums)).astype(np.float32)
         if without >= 0:
             sums[without] = -1
-        kth = lambda scores: np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        # the most promising are scored from their own terms, which gives a k-th best to reach
+        self.query[term] = weight
+        size = min(k + 2, len(sums))
+        done = np.argpartition(sums, len(sums) - size)[len(sums) - size :] if size else np.zeros(0, np.int64)
+        done = done[done != without]
+        scores = self._cosines(done)
+        kth = lambda: np.partition(scores, -k)[-k] - SLACK if len(scores) > k else 0.0
         low = self.bounded[term]
         light = weight[low]
         bound = sums + self.rest * np.sqrt((light * light).sum())
-        may = np.flatnonzero(bound >= kth(sums) - SLACK)
+        sums[done] = bound[done] = -1
+        may = np.flatnonzero(bound >= kth())
         if len(may) > MANY:  # look at the blocks' maxima
             cell, of = _ranges(self.cells[term[low]], self.cells[term[low] + 1] - self.cells[term[low]])
             by_block = np.bincount(self.block[cell], light[of] * self.block_max[cell], self.blocks)
             bound = np.minimum(bound, sums + np.repeat(by_block, BLOCK)[: len(sums)])
-            may = np.flatnonzero(bound >= kth(sums) - SLACK)
+            may = np.flatnonzero(bound >= kth())
             if len(may) > MANY:  # open the light lists, in the blocks that are left
                 hot = np.zeros(self.blocks, bool)
                 hot[may // BLOCK] = True
                 use = np.flatnonzero(hot[self.block[cell]])
                 pick, at = _ranges(self.first[cell[use]], self.first[cell[use] + 1] - self.first[cell[use]])
-                sums += np.bincount(self.low_posting[pick], self.low_weight[pick] * light[of[use]][at], len(sums)).astype(np.float32)
-                bound = sums
-                if without >= 0:
-                    sums[without] = -1
-                may = may[sums[may] >= kth(sums) - SLACK]
+                bound = sums + np.bincount(self.low_posting[pick], self.low_weight[pick] * light[of[use]][at], len(sums))
+                may = may[bound[may] >= kth()]
         may = may[may != without]
         may = may[np.argsort(-bound[may], kind="stable")]
-        # what can be among the k best is scored exactly, from its own terms; the most promising first
-        self.query[term] = weight
-        scores = np.zeros(0)
-        while len(scores) < len(may):
-            now = may[len(scores) : len(scores) + k + 2]
-            scores = np.append(scores, self._cosines(now))
-            may = may[: max(len(scores), int(np.searchsorted(-bound[may], SLACK - kth(scores), side="right")))]
+        at = 0
+        while at < len(may):
+            now = may[at : at + k]
+            done, scores, at = np.append(done, now), np.append(scores, self._cosines(now)), at + k
+            may = may[: max(at, int(np.searchsorted(-bound[may], -kth(), side="right")))]
         self.query[term] = 0
-        order = np.lexsort((may, -scores.round(12)))[:k]
+        order = np.lexsort((done, -scores.round(12)))[:k]
         order = order[scores[order] > 0]
-        return may[order], scores[order]
+        return done[order], scores[order]
 
     def _cosines(self, examples: np.ndarray) -> np.ndarray:
-        index, spans = self.index, [slice(a, b) for a, b in zip(self.index.bounds[examples], self.index.bounds[examples + 1], strict=True)]
-        return np.array([np.dot(self.query[index.term[s]], index.weight[s]) for s in spans])
+        spans = [slice(self.ends[i], self.ends[i + 1]) for i in examples.tolist()]
+        return np.array([self.query.take(self.term[s]).dot(self.index.weight[s]) for s in spans])
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
