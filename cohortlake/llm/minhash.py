@@ -9,8 +9,8 @@ Each dart names a coordinate, and the earliest dart that a text's weights admit
 is its signature there; two texts agree on a coordinate with a probability
 equal to their similarity.
 
-Plan: one Arrow pass over the texts gives digests and band keys (a narrow table
-in the shared folder). Equal texts collapse to one representative by a hash
+Plan: one Arrow pass over the texts gives digests, band keys and shingle bags (a table
+in the shared folder, by columns). Equal texts collapse to one representative by a hash
 aggregate. Every bucket of representatives with the same band key has a leader,
 the one that shares buckets with most others, and its members are compared with
 it by exact similarity of their shingle bags: a group of n near copies costs
@@ -139,23 +139,40 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(keys + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
 
 
+def packed_bags(hashes: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Each text's shingles, sorted by 64-bit hash, as sorted 32-bit ones.
+
+    The i-th repeat of a shingle has a hash of its own, so that the bag is a set and
+    its Jaccard similarity is the weighted one. Of two bags of 1,000 shingles one in
+    4,000 pairs has a chance agreement, which moves their similarity by a thousandth.
+    """
+    run = np.arange(len(hashes))
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))[: len(run)]
+    repeat = (run - np.maximum.accumulate(np.where(new, run, 0))).astype(np.uint64)
+    key = np.sort(mix64(hashes + repeat * _SEED) >> np.uint64(32) | owner.astype(np.uint64) << np.uint64(32))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))) * 4
+    data = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(key.astype(np.uint32).tobytes())]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, data).cast(pa.binary())
+
+
 def _signature_columns(bands: int, rows: int):
     def columns(texts: pa.Array) -> list[pa.Array]:
-        keys, sizes = [], []
+        keys, sizes, bags = [], [], []
         for _, t in slices(texts, SLICE_BYTES):
             hashes, owner = shingles(t)
             sizes.append(np.bincount(owner, minlength=t.n))
+            bags.append(packed_bags(hashes, owner, t.n))
             keys.append(band_keys(dart_signatures(*bag(hashes, owner), t.n, bands * rows), bands, rows))
         size = np.concatenate(sizes)
         flat = np.concatenate(keys).view(np.int64)
         offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)
-        return [pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[size > 0].reshape(-1)))]
+        return [pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[size > 0].reshape(-1))), pa.concat_arrays(bags)]
 
     return columns
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, key, digest, n_shingles, bands) of every (doc_id, text) row; no shuffle.
+    """(doc_id, node, key, digest, n_shingles, bands, bag) of every (doc_id, text) row; no shuffle.
 
     ``node`` is a row number, fixed once the table is written; ``key`` is doc_id and
     text digest. ``digest`` is the text's MD5, null for a null text. ``bands`` is
@@ -163,33 +180,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """
     docs = docs.withColumn("digest", F.unhex(F.md5("text"))).withColumn("key", _key("doc_id", "text"))
     docs = docs.withColumn("node", F.monotonically_increasing_id())
-    out, _ = append_columns(docs, "text", _signature_columns(bands, rows), [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType()))])
+    out, _ = append_columns(docs, "text", _signature_columns(bands, rows), [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("bag", T.BinaryType())])
     return out.drop("text")
 
 
-def _bags(docs: DataFrame) -> DataFrame:
-    """(node, bag): a text's shingles as sorted 64-bit hashes.
-
-    The i-th repeat of a shingle has a hash of its own, so that the bag is a set and
-    its Jaccard similarity is the weighted one.
-    """
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("bag", T.BinaryType())])
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at, t in slices(batch.column(1)):
-            hashes, owner = shingles(t)
-            run = np.arange(len(hashes))
-            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))[: len(run)]
-            repeat = (run - np.maximum.accumulate(np.where(new, run, 0))).astype(np.uint64)
-            hashes = mix64(hashes + repeat * _SEED)
-            hashes = hashes[np.lexsort((hashes, owner))]
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=t.n)))) * 8
-            bags = pa.LargeBinaryArray.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(hashes.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), bags.cast(pa.binary())], names=schema.names)
-
-    return map_arrow(docs.select("node", "text"), each, schema)
-
-
 def similar(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the bags that lie on end in ``many`` reach the threshold with the bag ``one``; an empty bag is like none."""
     if not len(one):
@@ -207,8 +201,8 @@ _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A column of bags: all hashes on end, and the bags' sizes."""
-    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), sizes
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32), sizes
 
 
 def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -236,7 +230,7 @@ def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataF
                 if lead:  # of rows with the same id, each text counts
                     if b[i] not in bag or bag[b[i]][0] is not None:
                         bag = {b[i]: [None, []]}
-                    bag[b[i]][1] += [np.frombuffer(batch.column(3)[k].as_py(), np.uint64) for k in lead]
+                    bag[b[i]][1] += [np.frombuffer(batch.column(3)[k].as_py(), np.uint32) for k in lead]
                 keep = pa.array([k for k in range(i, j) if k not in set(lead)], pa.int64())
                 if not len(keep):
                     continue
@@ -270,7 +264,7 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
         number, key, held = TaskContext.get().partitionId() << 40, None, []
 
         def block() -> pa.RecordBatch:
-            data = [np.array(x, np.int64).tobytes() for x in ([h[0] for h in held], [h[1] for h in held], [len(h[2]) // 8 for h in held])]
+            data = [np.array(x, np.int64).tobytes() for x in ([h[0] for h in held], [h[1] for h in held], [len(h[2]) // 4 for h in held])]
             values = [number, key[0], key[2], *data, b"".join(h[2] for h in held)]
             types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["block", "grp", "stray", "nodes", "components", "sizes", "bags"])
@@ -295,7 +289,7 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 (nodes, comps, sizes, bags_a), (others, comps_b, sizes_b, bags_b) = (
-                    [np.frombuffer(row[f"{x}_{k}"], np.uint64 if k == "bags" else np.int64) for k in ("nodes", "components", "sizes", "bags")] for x in "ab"
+                    [np.frombuffer(row[f"{x}_{k}"], np.uint32 if k == "bags" else np.int64) for k in ("nodes", "components", "sizes", "bags")] for x in "ab"
                 )
                 ends, r, c = np.cumsum(sizes), [], []
                 owner = np.repeat(np.arange(len(others)), sizes_b)
@@ -315,10 +309,11 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
         return freeze(pairs.join(side("a"), "a_block").join(side("b"), "b_block").mapInArrow(join, _EDGE))
 
 
-def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_links(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect every class of nodes: equal texts, similar texts that share a band, rows with equal id and null text.
 
-    ``docs`` has key and text, ``sig`` is the written table of ``signatures``.
+    ``sig`` is the written table of ``signatures``. No text is shuffled; of the bags
+    go those of texts that share a bucket, found by a join that Spark may broadcast.
     """
     # a table: the join then has an exchange of its own, and AQE splits a digest of very many copies
     copies = sig.withColumn("digest", F.coalesce("digest", F.col("key").cast("binary")))
@@ -326,13 +321,11 @@ def near_links(docs: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) ->
     exact = copies.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = sig.join(same.select(F.col("rep").alias("node")), "node", "left_semi")  # one row of each text
     entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"))
-    entries = freeze(entries.join(shared.where("lo < hi").select("key", "size"), "key"))
-    nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))  # a table of known size: broadcast if small
-    wanted = freeze(reps.select("node", "key").join(nodes.select("node"), "node"))
-    bags = freeze(_bags(docs.join(wanted, "key")))
-    if bags.count() > wanted.count():  # rows that repeat a representative
-        bags = freeze(bags.dropDuplicates(["node"]))
+    # only keys travel to be counted (a node has a key once); the join is a shuffle at any size, and AQE splits hot keys
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    entries = freeze(entries.join(shared.hint("merge"), "key"))
+    nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))
+    bags = freeze(sig.select("node", "bag").join(nodes.select("node"), "node"))
 
     def fits(a: str, b: str) -> Column:  # sizes alone rule most pairs out
         return F.least(a, b) >= threshold * F.greatest(a, b)
@@ -370,7 +363,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc_id and node of the row that is kept, the least doc_id's (nulls come last).
     """
     sig = freeze(signatures(docs))
-    comps = connected_components(near_links(docs.select(_key("doc_id", "text").alias("key"), "text"), sig))
+    comps = connected_components(near_links(sig))
     rows = sig.select("doc_id", "node", "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = freeze(rows)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
