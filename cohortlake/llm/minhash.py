@@ -213,11 +213,10 @@ def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataF
     memory. A leader with many members has several runs, by a salt.
     """
     runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("runs"))
-    member = pairs.join(runs, "b").join(bags.withColumnRenamed("node", "a"), "a")
-    member = member.select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a", "bag")
-    leader = runs.join(bags.withColumnRenamed("node", "b"), "b")
-    leader = leader.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), "bag")
-    rows = member.unionByName(leader).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
+    member = pairs.join(runs, "b").select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a", F.col("a").alias("node"))
+    leader = runs.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), F.col("b").alias("node"))
+    rows = member.unionByName(leader).join(bags, "node").select("b", "run", "a", "bag")  # each bag is shuffled once to meet its pairs
+    rows = rows.repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag: dict[int, list] = {}
@@ -320,7 +319,8 @@ def near_links(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = freeze(copies.groupBy("digest").agg(F.min("node").alias("rep")))
     exact = copies.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = sig.join(same.select(F.col("rep").alias("node")), "node", "left_semi")  # one row of each text
-    entries = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    reps = freeze(reps.select("node", F.col("n_shingles").alias("n"), "bands"))
+    entries = reps.select("node", "n", F.explode("bands").alias("key"))
     # only keys travel to be counted (a node has a key once); the join is a shuffle at any size, and AQE splits hot keys
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     entries = freeze(entries.join(shared.hint("merge"), "key"))
