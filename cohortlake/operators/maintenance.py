@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.features import ts_lit
-from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.schemas import ENTITY_SCHEMA, SNAPSHOT_SCHEMA
+from cohortlake.session import freeze, scratch_scope
 from cohortlake.sources import store
 
 
@@ -102,25 +103,37 @@ def purge_tables(
     return survivors, kept, runs.where(F.lit(False)) if all_data else runs
 
 
-def purge_store(
-    spark: SparkSession, root: str, batch: int, pred: Column | None = None, all_data: bool = False
-) -> tuple[int, int]:
-    """Purge the stored tables and commit the result as ``batch``: (deleted entities, deleted snapshots).
+def purge_store(spark: SparkSession, root: str, pred: Column | None = None, all_data: bool = False) -> tuple[int, int]:
+    """Purge the stored tables in place: (deleted entities, deleted snapshots).
 
-    The surviving rows become the commit's own, and its base hides those of
-    earlier batches; their files stay until they are cleaned up. No active filter
-    deletes nothing and commits nothing.
+    An entity goes with its rows of all batches, and so do its snapshots and those
+    without an entity. Only partitions that hold such rows are rewritten; no active
+    filter deletes nothing. With ``all_data`` the tables' folders go.
     """
-    last = store.last_commit(spark, root, before_batch=batch)
-    if last is None or (pred is None and not all_data):
+    if pred is None and not all_data:
         return 0, 0
-    state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch)
-    snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch)
-    runs = store.read_appended(spark, root, "runs", RUN_SCHEMA, before_batch=batch)
-    left = purge_tables(state, snaps, runs, pred, all_data)
-    counts = purge_counts(state, snaps, runs, left).head()
-    store.write_batch(spark, root, batch, left[0], {"snapshots": left[1], "runs": left[2]}, last.as_of, base=batch)
-    return counts["entities_deleted"], counts["snapshots_deleted"]
+    with scratch_scope(spark):
+        state = store.read_state(spark, root, ENTITY_SCHEMA)
+        snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA)
+        if all_data:
+            counts = state.count(), snaps.count()
+            for table in store.PARTITIONED:
+                store.drop(spark, store.path_of(root, table))
+            return counts
+        hit = matches(pred)
+        gone = freeze(state.where(hit).select("id"))
+        kept = freeze(state.where(~hit).select(F.col("id").alias("repo_id")))
+        n_snaps = 0
+        for table, schema, stays in (("state", ENTITY_SCHEMA, lambda r: r.join(gone, "id", "left_anti")), ("snapshots", SNAPSHOT_SCHEMA, lambda r: r.join(kept, "repo_id", "left_semi"))):
+            rows = store.read_rows(spark, root, table, schema)
+            names = [f.name for f in store.PARTITIONED[table]]
+            before, after = (x.groupBy(*names).count() for x in (rows, stays(rows)))
+            sizes = before.withColumnRenamed("count", "n").join(after, names, "left").where("count IS NULL OR count < n")
+            touched = freeze(sizes.select(*names, (F.col("n") - F.coalesce("count", F.lit(0))).alias("n")))
+            n_snaps = touched.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+            left = freeze(stays(rows.join(touched.select(*names), names, "left_semi")))
+            store.replace_rows(spark, root, table, touched.select(*names), left.select(*rows.columns))
+        return gone.count(), n_snaps
 
 
 def purge_preview(

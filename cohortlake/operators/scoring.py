@@ -150,12 +150,10 @@ def write_scores(
     return out.drop(*[f"_new_{c}" for c in SCORE_COLUMNS], "_hit")
 
 
-def score_store(spark: SparkSession, root: str, batch: int, as_of: str | datetime, **kw) -> int:
-    """Score the stored entities from the stored history and commit the scores as ``batch``."""
-    last = store.last_commit(spark, root, before_batch=batch)
+def score_store(spark: SparkSession, root: str, batch: int, as_of: str | datetime, **kw) -> None:
+    """Score the stored entities from the stored history and write the scored rows as those of ``batch``."""
     state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch)
     snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch)
-    at = last.as_of if last is not None else datetime(1970, 1, 1)
     with scratch_scope(spark):
         scored = score_entities(state, snaps, as_of, **kw)
-        return store.write_batch(spark, root, batch, conform(write_scores(state, scored, as_of), ENTITY_SCHEMA), {}, at)
+        store.write_batch(root, batch, conform(write_scores(state, scored, as_of), ENTITY_SCHEMA))

@@ -3,7 +3,7 @@ snapshot gate, whole-batch apply, run counters and history thinning.
 
 All operators are pure: ``(old state, batch) -> new DataFrames``. Nothing is
 looked up per row; each step is one set-based join of the whole batch
-against the state. Writing a new state version is the store's job
+against the state. Writing what a batch changed is the store's job
 (:mod:`cohortlake.sources.store`).
 """
 
@@ -308,8 +308,12 @@ def started_run(run: DataFrame) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Run records are appended (start, then end); the last one per run wins."""
-    order = F.coalesce(F.col("finished_at"), F.col("started_at"))
+    """Run records are appended (start, then end or failed); the last one per run wins.
+
+    At the same time an end record comes after a failed one, and that after the start.
+    """
+    stage = F.when(F.col("status") == "running", 0).when(F.col("status") == "failed", 1).otherwise(2)
+    order = F.struct(F.coalesce(F.col("finished_at"), F.col("started_at")).alias("at"), stage.alias("stage"))
     return dedupe_batch(runs.withColumn("_order", order), "run_id", "_order").drop("_order")
 
 

@@ -1,66 +1,44 @@
-"""Versioned Parquet store for the three tables (no lakehouse format needed).
-
-Layout under ``root`` (a shared folder on a cluster)::
-
-    state/version=<n>/        full entity state as of version n
-    snapshots/batch=<b>/      snapshot rows appended by batch b
-    runs/batch=<b>/           run records of batch b
-    _commits/                 append-only log: (version, batch, as_of, base)
-
-A batch writes its new state version and its appended rows first, then one
-commit row; readers take the highest committed version, so a half-written
-batch is never visible. Versions and batch folders are derived from the batch
-id, so replaying a batch rewrites the same folders (idempotent). The folder
-being read is never the folder being written. A batch's snapshots all carry its
-``as_of``, so a time filter prunes whole batch folders by the log; ``base`` is the
-first batch whose appended rows still count (a purge raises it).
+"""The three stored tables as plain partitioned Parquet under one root folder::
+
+    state/part=<p>/batch=<b>/          rows that batch b inserted or changed, whole
+    snapshots/day=<d>/batch=<b>/       snapshot rows of batch b, by their day
+    runs/batch=<b>/record=<r>/         run records: started, ended or failed
+
+Batches are written with dynamic partition overwrite, so a replay replaces what it
+wrote before and nothing else. The current state is the row of the latest batch for
+each id. ``part`` is a hash of the id: a batch reads the partitions that its ids fall
+in and appends its own rows, whatever the size of the state. A time bound prunes days.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.functions.features import ts_lit
+#: Hash partitions of the state; fixed for a store.
+PARTS = 64
+PARTITIONED = {
+    "state": [T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType())],
+    "snapshots": [T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())],
+    "runs": [T.StructField("batch", T.LongType()), T.StructField("record", T.StringType())],
+}
 
-COMMIT_SCHEMA = T.StructType(
-    [
-        T.StructField("version", T.LongType()),
-        T.StructField("batch", T.LongType()),
-        T.StructField("as_of", T.TimestampType()),
-        T.StructField("base", T.LongType()),
-    ]
-)
 
+def path_of(root: str, table: str) -> str:
+    return f"{root.rstrip('/')}/{table}"
 
-def _p(root: str, *parts: str) -> str:
-    return "/".join([root.rstrip("/"), *parts])
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there; any failure to look is an error, not an empty store."""
+def _there(spark: SparkSession, path: str):
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
-
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
 
-def _commits(spark: SparkSession, root: str, before_batch: int | None) -> DataFrame | None:
-    path = _p(root, "_commits")
-    if not _exists(spark, path):
-        return None
-    log = spark.read.schema(COMMIT_SCHEMA).parquet(path)
-    return log if before_batch is None else log.where(F.col("batch") < F.lit(int(before_batch)))
 
-
-@dataclass(frozen=True)
-class Commit:
-    version: int
-    as_of: datetime  # UTC, without a zone
-    base: int
+def part_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(PARTS)).cast("int")
 
 
 def utc(micros: int) -> datetime:
@@ -68,86 +46,62 @@ def utc(micros: int) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=micros)
 
 
-def last_commit(spark: SparkSession, root: str, before_batch: int | None = None) -> Commit | None:
-    """The commit of the highest version (of batches before ``before_batch``), or None for an empty store."""
-    log = _commits(spark, root, before_batch)
-    if log is None:
-        return None
-    top = F.max(F.struct("version", F.unix_micros("as_of").alias("us"), "base"))
-    row = log.agg(top.alias("c")).head()["c"]
-    return None if row is None else Commit(row["version"], utc(row["us"]), row["base"])
-
-
-def current_version(spark: SparkSession, root: str, before_batch: int | None = None) -> int | None:
-    """Highest committed state version, or None for an empty store."""
-    commit = last_commit(spark, root, before_batch)
-    return None if commit is None else commit.version
-
-
-def read_state(
-    spark: SparkSession, root: str, schema: T.StructType, before_batch: int | None = None
-) -> DataFrame:
-    """The committed state (as left by the batches before ``before_batch``)."""
-    v = current_version(spark, root, before_batch)
-    if v is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_p(root, "state", f"version={v}"))
-
-
-def read_appended(
-    spark: SparkSession,
-    root: str,
-    table: str,
-    schema: T.StructType,
-    before_batch: int | None = None,
-    since: datetime | None = None,
-) -> DataFrame:
-    """Committed batches (before ``before_batch``) of an append-only table.
-
-    With ``since``, only batches with a later ``as_of`` are read: their folders
-    are pruned by the first such batch.
-    """
-    commit = last_commit(spark, root, before_batch)
-    if commit is None or not _exists(spark, _p(root, table)):
-        return spark.createDataFrame([], schema)
-    log = _commits(spark, root, before_batch)
-    first = commit.base
-    if since is not None:
-        row = log.where(F.col("as_of") > ts_lit(since)).agg(F.min("batch").alias("b")).head()
-        if row["b"] is None:
-            return spark.createDataFrame([], schema)
-        first = max(first, int(row["b"]))
-    data = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(_p(root, table))
-    data = data.where(F.col("batch") >= first)
-    # Batches without a commit row (a crashed attempt) are not visible.
-    return data.join(log.select("batch").distinct(), "batch", "left_semi").drop("batch")
-
-
-def write_batch(
-    spark: SparkSession,
-    root: str,
-    batch: int,
-    state: DataFrame,
-    appended: dict[str, DataFrame],
-    as_of: datetime,
-    state_partitions: int | None = None,
-    base: int | None = None,
-) -> int:
-    """Write state version ``batch + 1`` and the batch's appended rows, then commit.
-
-    ``base`` (default: what it was) hides appended rows of earlier batches.
+def write(df: DataFrame, root: str, table: str) -> None:
+    """Replaces the partitions that ``df`` (with the table's partition columns) has rows in."""
+    names = [f.name for f in PARTITIONED[table]]
+    df.write.partitionBy(*names).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path_of(root, table))
+
+
+def write_batch(root: str, batch: int, state: DataFrame | None = None, snapshots: DataFrame | None = None) -> None:
+    """The rows that a batch changed in the state, and its new snapshots."""
+    if state is not None:
+        state = state.withColumn("part", part_of("id")).withColumn("batch", F.lit(int(batch)))
+        write(state.repartition("part"), root, "state")
+    if snapshots is not None:
+        write(snapshots.withColumn("day", F.to_date("snapshot_at")).withColumn("batch", F.lit(int(batch))), root, "snapshots")
+
+
+def read_rows(spark: SparkSession, root: str, table: str, schema: T.StructType, before_batch: int | None = None, since: date | None = None) -> DataFrame:
+    """All stored rows with their partition columns; of batches before ``before_batch``, of ``since`` and later days."""
+    full = T.StructType([*schema.fields, *PARTITIONED[table]])
+    fs, target = _there(spark, path_of(root, table))
+    if not fs.exists(target):
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(full).parquet(path_of(root, table))
+    rows = rows if before_batch is None else rows.where(F.col("batch") < int(before_batch))
+    return rows if since is None else rows.where(F.col("day") >= F.lit(since))
+
+
+def read_appended(spark: SparkSession, root: str, table: str, schema: T.StructType, before_batch: int | None = None, since: datetime | None = None) -> DataFrame:
+    """Rows of an appended table (later than ``since``) without the partition columns."""
+    rows = read_rows(spark, root, table, schema, before_batch, since.date() if since is not None else None)
+    rows = rows if since is None else rows.where(F.unix_micros("snapshot_at") > int((since - datetime(1970, 1, 1)) / timedelta(microseconds=1)))
+    return rows.select(*schema.names)
+
+
+def read_state(spark: SparkSession, root: str, schema: T.StructType, before_batch: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The latest row of each id (of batches before ``before_batch``).
+
+    With ``keys`` (column ``id``) only theirs: the partitions that they fall in are
+    read, by their numbers, PARTS at most.
     """
-    version = int(batch) + 1
-    before = last_commit(spark, root, before_batch=batch)
-    out = state.repartition(state_partitions, "id") if state_partitions else state
-    out.write.mode("overwrite").parquet(_p(root, "state", f"version={version}"))
-    for table, df in appended.items():
-        df.write.mode("overwrite").parquet(_p(root, table, f"batch={int(batch)}"))
-    if base is None:
-        base = before.base if before is not None else 0
-    row = spark.range(1).select(
-        F.lit(version).cast("long").alias("version"), F.lit(int(batch)).cast("long").alias("batch"),
-        ts_lit(as_of).alias("as_of"), F.lit(int(base)).cast("long").alias("base"),
-    )
-    row.coalesce(1).write.mode("append").parquet(_p(root, "_commits"))
-    return version
+    rows = read_rows(spark, root, "state", schema, before_batch)
+    if keys is not None:
+        keys = keys.select("id").distinct()
+        parts = [r[0] for r in keys.select(part_of("id")).distinct().collect()]
+        rows = rows.where(F.col("part").isin(parts) if parts else F.lit(False)).join(keys, "id", "left_semi")
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*schema.names), "batch").alias("row"))
+    return latest.select("row.*")
+
+
+def replace_rows(spark: SparkSession, root: str, table: str, touched: DataFrame, left: DataFrame) -> None:
+    """Rewrites the partitions in ``touched`` with their rows in ``left`` (both written elsewhere); others stay as they are."""
+    names = [f.name for f in PARTITIONED[table]]
+    write(left.join(touched, names, "left_semi"), root, table)
+    for row in touched.join(left.select(*names).distinct(), names, "left_anti").collect():  # partitions, not rows
+        drop(spark, f"{path_of(root, table)}/" + "/".join(f"{n}={row[n]}" for n in names))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    fs, target = _there(spark, path)
+    fs.delete(target, True)

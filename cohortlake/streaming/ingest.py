@@ -2,14 +2,14 @@
 
 ``readStream`` picks up new page files; each micro-batch is parsed and split
 (malformed nodes counted), de-duplicated by key, enriched from landed responses,
-applied to the stored state with :func:`cohortlake.operators.state.apply_batch`
-and written as a new store version (:mod:`cohortlake.sources.store`) with a start
-and an end record of the run. Every batch is committed, one without a valid node
-too. ``foreachBatch`` is at-least-once; the store folders are keyed by ``batchId``,
-so a replayed batch rewrites exactly what it wrote before.
+applied to the stored rows of its keys with :func:`cohortlake.operators.state.apply_batch`
+and appended to the stored tables (:mod:`cohortlake.sources.store`). The run's start
+record is written before the work, its end or failed record after. ``foreachBatch``
+is at-least-once; everything is partitioned by batch id and a batch reads earlier
+batches only, so a replayed batch replaces exactly what it wrote before.
 
 The batch's as-of time is when its newest file landed, but always later than
-the last committed batch's: a replay computes the same, clocks never run back and
+the last batch's: a replay computes the same, clocks never run back and
 no two batches write a snapshot of the same key and time.
 """
 
@@ -53,26 +53,26 @@ def process_batch(
     snapshot_ttl_hours: float = st.SNAPSHOT_TTL_HOURS,
     force: bool = False,
     enrichment: Enrichment | None = None,
-) -> int:
+) -> None:
     """Apply one batch of raw pages (columns ``value`` and ``landed_at``) to the store.
 
     A column that the batch does not carry keeps its stored value, and so do the
     enrichment columns of entities for which no response has landed. If the work
-    fails, nothing is committed but a failed run record, and the error goes on to
-    the stream, which tries the batch again.
+    fails, a failed run record is left, and the error goes on to the stream, which
+    tries the batch again.
     """
-    last = store.last_commit(spark, root, before_batch=batch_id)
-    as_of = batch_time(pages, last.as_of if last is not None else None)
+    last = store.read_rows(spark, root, "runs", RUN_SCHEMA, before_batch=batch_id).agg(F.unix_micros(F.max("started_at"))).head()[0]
+    as_of = batch_time(pages, store.utc(last) if last is not None else None)
     run_id = f"batch-{batch_id:012d}"
-    with scratch_scope(spark), _failures(spark, root, batch_id, run_id, as_of):
+    with scratch_scope(spark), _recorded(spark, root, batch_id, run_id, as_of):
         # each page is parsed once: the flat rows and the bad nodes are a table
         parsed = parse_pages(pages, PAGE_TEXT).withColumn("ok", node_valid())
         nodes = freeze(parsed.select("ok", *flat_columns()))
         good, bad = nodes.where("ok").drop("ok"), nodes.where("NOT ok").select("ok")
         # errors of the run: malformed nodes and pages that did not parse at all
         errors = bad.unionByName(unparsed_pages(pages, PAGE_TEXT).select(F.lit(False).alias("ok")))
-        # only what the earlier batches committed, never this batch's own output
-        state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id)
+        # only what earlier batches wrote, never this batch's own output, and only of this batch's keys
+        state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id, keys=good)
         young = as_of - timedelta(hours=snapshot_ttl_hours)
         snaps = store.read_appended(spark, root, "snapshots", SNAPSHOT_SCHEMA, before_batch=batch_id, since=young)
         only_if = {}
@@ -84,22 +84,30 @@ def process_batch(
         new_state, new_snaps, gated = st.apply_batch(
             state, snaps, good, as_of, refresh_ttl_hours, snapshot_ttl_hours, force, order_by="updated_at", only_if=only_if
         )
-        run = conform(st.run_counters(gated, run_id, as_of, as_of, errors=errors), RUN_SCHEMA)
-        runs = st.started_run(run).unionByName(run)
-        appended = {"snapshots": conform(new_snaps, SNAPSHOT_SCHEMA), "runs": runs}
         flags = [c for c, v in ENTITY_DEFAULTS.items() if v is False]
-        state = conform(new_state, ENTITY_SCHEMA).na.fill(False, flags)
-        return store.write_batch(spark, root, batch_id, state, appended, as_of)
+        changed = conform(new_state, ENTITY_SCHEMA).na.fill(False, flags)
+        store.write_batch(root, batch_id, changed, conform(new_snaps, SNAPSHOT_SCHEMA))
+        run = conform(st.run_counters(gated, run_id, as_of, as_of, errors=errors), RUN_SCHEMA)
+        _record(run, root, batch_id, "ended")
+
+
+def _record(run: DataFrame, root: str, batch_id: int, record: str) -> None:
+    store.write(run.withColumn("batch", F.lit(int(batch_id))).withColumn("record", F.lit(record)), root, "runs")
 
 
 @contextmanager
-def _failures(spark: SparkSession, root: str, batch_id: int, run_id: str, as_of: datetime) -> Iterator[None]:
-    """Leaves a failed run record if the work within fails; the error goes on."""
+def _recorded(spark: SparkSession, root: str, batch_id: int, run_id: str, as_of: datetime) -> Iterator[None]:
+    """Writes the start record, and a failed one if the work within fails; the error goes on."""
+
+    def bare(status: str) -> DataFrame:
+        row = spark.range(1).select(F.lit(run_id).alias("run_id"), st.ts_lit(as_of).alias("started_at"), F.lit(status).alias("status"))
+        return conform(row, RUN_SCHEMA, RUN_DEFAULTS)
+
+    _record(bare("running"), root, batch_id, "started")
     try:
         yield
     except Exception:
-        failed = spark.range(1).select(F.lit(run_id).alias("run_id"), st.ts_lit(as_of).alias("started_at"), F.lit("failed").alias("status"))
-        conform(failed, RUN_SCHEMA, RUN_DEFAULTS).write.mode("overwrite").parquet(f"{root.rstrip('/')}/failed_runs/batch={batch_id}")
+        _record(bare("failed"), root, batch_id, "failed")
         raise
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import maintenance as mt
 from cohortlake.operators.scoring import score_store
+from cohortlake.operators.state import latest_runs
 from cohortlake.schemas import ENTITY_SCHEMA, RUN_SCHEMA, SNAPSHOT_SCHEMA
 from cohortlake.session import scratch_dir
 from cohortlake.sources import store
@@ -71,7 +72,7 @@ def test_stream_and_replay(spark, tmp_dir):
     run(max_files=1)
     state = state_of(spark, root)
     assert sorted(state) == ["a", "b", "c"] and state["b"]["stars"] == 25
-    assert store.current_version(spark, root) == 2 and runs_of(spark, root)["1"] == (1, 0, 1, 1, 0)
+    assert runs_of(spark, root)["1"] == (1, 0, 1, 1, 0)
 
 
 def test_batches_without_times_or_valid_nodes_are_committed(spark, tmp_dir):
@@ -118,12 +119,13 @@ def test_the_gate_reads_recent_batches_only(spark, tmp_dir):
 
 def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_dir):
     process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir)
-    for f in os.listdir(os.path.join(tmp_dir, "_commits")):
-        if f.endswith(".parquet"):
-            with open(os.path.join(tmp_dir, "_commits", f), "wb") as out:
-                out.write(b"broken")
+    for folder, _, files in os.walk(os.path.join(tmp_dir, "state")):
+        for f in files:
+            if f.endswith(".parquet"):
+                with open(os.path.join(folder, f), "wb") as out:
+                    out.write(b"broken")
     with pytest.raises(Exception):  # noqa: B017
-        process_batch(spark, pages(spark, [node(id="b")], 1), 1, tmp_dir)
+        process_batch(spark, pages(spark, [node(id="a")], 1), 1, tmp_dir)
 
 
 def test_failed_runs_leave_a_record(spark, tmp_dir):
@@ -132,8 +134,37 @@ def test_failed_runs_leave_a_record(spark, tmp_dir):
 
     with pytest.raises(OSError):
         process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir, enrichment=broken)
-    assert store.current_version(spark, tmp_dir) is None
-    assert [r["status"] for r in spark.read.parquet(f"{tmp_dir}/failed_runs").collect()] == ["failed"]
+    records = lambda: store.read_appended(spark, tmp_dir, "runs", RUN_SCHEMA)
+    assert not state_of(spark, tmp_dir) and sorted(r["status"] for r in records().collect()) == ["failed", "running"]
+    assert [r["status"] for r in latest_runs(records()).collect()] == ["failed"]
+    process_batch(spark, pages(spark, [node(id="a")]), 0, tmp_dir)
+    assert [(r["status"], r["repos_new"]) for r in latest_runs(records()).collect()] == [("completed", 1)] and records().count() == 3
+
+
+def test_a_batch_reads_the_partitions_of_its_keys(spark, tmp_dir, capsys):
+    process_batch(spark, pages(spark, [node(id=f"n{i}") for i in range(300)]), 0, tmp_dir)
+    rows = store.read_rows(spark, tmp_dir, "state", ENTITY_SCHEMA)
+    assert rows.select("part").distinct().count() > store.PARTS // 2 and rows.where(F.col("part") != store.part_of("id")).count() == 0
+    files = {f: os.stat(f).st_mtime_ns for f in rows.inputFiles() for f in [f.removeprefix("file://")]}
+    one = spark.createDataFrame([("n7",)], "id string")
+    store.read_state(spark, tmp_dir, ENTITY_SCHEMA, keys=one).explain("formatted")
+    assert "part#" in capsys.readouterr().out.split("PartitionFilters")[1][:100]
+    store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA, since=T0).explain("formatted")
+    assert "day#" in capsys.readouterr().out.split("PartitionFilters")[1][:100]
+    process_batch(spark, pages(spark, [node(id="n7", stargazerCount=77)], 30), 1, tmp_dir, force=True)
+    assert store.read_rows(spark, tmp_dir, "state", ENTITY_SCHEMA).where("batch = 1").count() == 1
+    assert all(os.stat(f).st_mtime_ns == t for f, t in files.items())  # what was stored is not touched
+    assert state_of(spark, tmp_dir)["n7"]["stars"] == 77 and len(state_of(spark, tmp_dir)) == 300
+
+
+def test_a_purge_rewrites_what_it_touches(spark, tmp_dir):
+    nodes = [node(id=f"n{i}", isArchived=i == 7) for i in range(300)]
+    process_batch(spark, pages(spark, nodes), 0, tmp_dir)
+    process_batch(spark, pages(spark, nodes[5:9], 30), 1, tmp_dir, force=True)
+    files = {f: os.stat(f).st_mtime_ns for f in (f.removeprefix("file://") for f in store.read_rows(spark, tmp_dir, "state", ENTITY_SCHEMA).inputFiles())}
+    assert mt.purge_store(spark, tmp_dir, mt.purge_predicate(archived=True)) == (1, 2)
+    assert "n7" not in state_of(spark, tmp_dir) and len(state_of(spark, tmp_dir)) == 299
+    assert sum(os.path.exists(f) and os.stat(f).st_mtime_ns == t for f, t in files.items()) >= len(files) - 2
 
 
 def test_scores_and_purges_of_the_stored_tables(spark, tmp_dir):
@@ -141,12 +172,12 @@ def test_scores_and_purges_of_the_stored_tables(spark, tmp_dir):
     score_store(spark, tmp_dir, 1, T0)
     scored = state_of(spark, tmp_dir)
     assert all(r["potential_score"] is not None and r["age_tier"] for r in scored.values()) and len(scored) == 3
-    assert mt.purge_store(spark, tmp_dir, 2, mt.purge_predicate()) == (0, 0)
-    assert mt.purge_store(spark, tmp_dir, 2, mt.purge_predicate(archived=True)) == (1, 1)
+    assert mt.purge_store(spark, tmp_dir, mt.purge_predicate()) == (0, 0)
+    assert mt.purge_store(spark, tmp_dir, mt.purge_predicate(archived=True)) == (1, 1)
     assert sorted(state_of(spark, tmp_dir)) == ["b", "c"]
     assert store.read_appended(spark, tmp_dir, "snapshots", SNAPSHOT_SCHEMA).count() == 2
     assert len(runs_of(spark, tmp_dir)) == 1
-    assert mt.purge_store(spark, tmp_dir, 3, all_data=True) == (2, 2)
+    assert mt.purge_store(spark, tmp_dir, all_data=True) == (2, 2)
     assert not state_of(spark, tmp_dir) and not runs_of(spark, tmp_dir)
     process_batch(spark, pages(spark, [node(id="z")], 1), 4, tmp_dir)
     assert list(state_of(spark, tmp_dir)) == ["z"]
