@@ -171,9 +171,11 @@ def hidden_gems_pivot(gems: DataFrame, months: list[str]) -> DataFrame:
     """Languages as rows, the given months as columns, median score as values.
 
     The months are an argument, so no job has to find them; ``months_until``
-    gives all that the cohort can have.
+    gives all that the cohort can have up to as-of. Entities dated ahead have the
+    column ``later``: the best median of the months after the last one given.
     """
-    return gems.groupBy("primary_language").pivot("created_month", months).agg(F.max("median_score"))
+    month = F.when(F.col("created_month") > max(months), "later").otherwise(F.col("created_month"))
+    return gems.withColumn("created_month", month).groupBy("primary_language").pivot("created_month", [*months, "later"]).agg(F.max("median_score"))
 
 
 def cohort_histogram(scored: DataFrame, width: float = 5.0, score: str = "potential_score") -> DataFrame:

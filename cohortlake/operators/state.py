@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,57 +329,52 @@ def thin_snapshots(
     kept one of its key (the first is always kept) - the history the
     snapshot gate would have produced.
 
-    The rule is a sequential fold, but a row that comes at least a TTL after its
-    predecessor is always kept, so each key's history falls into chains that
-    have nothing to do with each other. Predecessors and chain starts are found
-    day by day (a day's first row takes what small per-day tables carry over), so
-    a hot key is many tasks. A chain is streamed in time order through
-    ``mapInPandas``, carrying the last kept time only.
+    The rule looks sequential, but every time has one successor whatever came
+    before: the first time of its key at least a TTL later. Successors come from
+    one sorted merge of times and times-plus-TTL, day by day, with a small table
+    of each day's first time for what lies beyond the day. What the first time of a
+    key reaches is then marked by pointer doubling: in round k the marked times mark
+    those 2**k successors on, and links are joined with themselves, so a chain
+    of n kept rows takes log2(n) rounds of equi-joins on (key, time), however long a
+    history goes on without a pause. Links are written between rounds.
+
+    Null keys are a key. A row without a time has no place in the history and is
+    kept. Of rows equal in key and time one is kept, the least in the other columns.
     """
     ttl_us = int(round(float(ttl_hours) * 3600 * 1_000_000))
-    schema = snaps.schema
-
-    def fold(batches):
-        import numpy as np
-
-        carry_key, carry_kept = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy()
-            times = pd.to_datetime(pdf[ts]).astype("datetime64[us]").astype("int64").to_numpy()
-            keep = np.zeros(len(pdf), dtype=bool)
-            # Segments of equal keys (rows arrive sorted by key, then time).
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[starts[1:], len(pdf)]
-            for s, e in zip(starts, ends):
-                seg = times[s:e]
-                if keys[s] == carry_key and carry_kept is not None:
-                    i = int(np.searchsorted(seg, carry_kept + ttl_us, "left"))
-                else:
-                    i = 0
-                last = carry_kept if keys[s] == carry_key else None
-                # Jump from kept row to kept row: one binary search each.
-                while i < len(seg):
-                    keep[s + i] = True
-                    last = seg[i]
-                    i = int(np.searchsorted(seg, last + ttl_us, "left"))
-                carry_key, carry_kept = keys[s], last
-            yield pdf[keep]
-
-    gap = F.unix_micros(ts) - F.unix_micros("_prev")
-    daily = snaps.withColumn("_day", F.date_trunc("day", ts))
-    by_day, days = Window.partitionBy(key, "_day").orderBy(ts), Window.partitionBy(key).orderBy("_day")
-    last = daily.groupBy(key, "_day").agg(F.max(ts).alias("_last"))
-    last = last.select(key, "_day", F.lag("_last").over(days).alias("_before"))
-    rows = daily.withColumn("_prev", F.lag(ts).over(by_day)).join(last, [key, "_day"])
-    rows = rows.withColumn("_prev", F.coalesce("_prev", "_before"))
-    rows = rows.withColumn("_start", F.when(F.col("_prev").isNull() | (gap >= ttl_us), F.col(ts))).drop("_prev", "_before")
-    started = rows.groupBy(key, "_day").agg(F.max("_start").alias("_latest"))
-    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
-    started = started.select(key, "_day", F.max("_latest").over(earlier).alias("_before"))
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_own", F.max("_start").over(so_far)).join(started, [key, "_day"])
-    rows = rows.select(*snaps.columns, F.coalesce("_own", "_before").alias("_chain"))
-    ordered = rows.repartition(key, "_chain").sortWithinPartitions(key, "_chain", ts).select(*snaps.columns)
-    return ordered.mapInPandas(fold, schema=schema)
+    if ttl_us <= 0:
+        return snaps
+    others = [c for c in snaps.columns if c not in (key, ts)]
+    timed = snaps.where(F.col(ts).isNotNull())
+    one = timed.groupBy(key, ts).agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_row"))
+    one = freeze(one.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
+
+    links = freeze(_successors(one.select(F.col(key).alias("k"), F.col("_t").alias("t")), ttl_us))
+    marked = one.groupBy(F.col(key).alias("k")).agg(F.min("_t").alias("t"))
+    while not links.isEmpty():
+        marked = freeze(marked)
+        ahead = marked.join(links.toDF("k2", "t2", "to"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")))
+        marked = marked.unionByName(ahead.select("k", F.col("to").alias("t"))).distinct()
+        twice = links.alias("a").join(links.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.to") == F.col("b.t")))
+        links = freeze(twice.select("a.k", "a.t", F.col("b.to").alias("to")))
+    kept = one.join(marked, F.col(key).eqNullSafe(F.col("k")) & (F.col("_t") == F.col("t")))
+    kept = kept.select(*[F.col(c) if c in (key, ts) else F.col(f"_row.{c}").alias(c) for c in snaps.columns])
+    return kept.unionByName(snaps.where(F.col(ts).isNull()))
+
+
+_DAY_US = 86_400_000_000
+
+
+def _successors(times: DataFrame, ttl_us: int) -> DataFrame:
+    """(k, t, to): for each distinct (k, t) the least time of the same key from t + ttl_us on; rows without one go."""
+    row = times.select("k", F.col("t").alias("at"), F.lit(1).alias("is_row"), F.col("t").alias("found"), F.lit(None).cast("long").alias("t"))
+    ask = times.select("k", (F.col("t") + ttl_us).alias("at"), F.lit(0).alias("is_row"), F.lit(None).cast("long").alias("found"), "t")
+    both = row.unionByName(ask).withColumn("day", F.expr(f"floor(at / {_DAY_US})"))
+    # a question stands before a row of the same time, so the rows from it on answer it
+    rest = Window.partitionBy("k", "day").orderBy("at", "is_row").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy("k").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    days = both.groupBy("k", "day").agg(F.min("found").alias("first"))
+    days = days.select(F.col("k").alias("k2"), F.col("day").alias("day2"), F.min("first").over(later).alias("next"))
+    asked = both.withColumn("found", F.min("found").over(rest)).where("is_row = 0")
+    asked = asked.join(days, F.col("k").eqNullSafe(F.col("k2")) & (F.col("day") == F.col("day2")))
+    return asked.select("k", "t", F.coalesce("found", "next").alias("to")).where("to IS NOT NULL")

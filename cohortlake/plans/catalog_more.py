@@ -169,7 +169,7 @@ MONTHS = R.months_until(ENTITY_AS_OF, R.EMERGING_MONTHS)
     O.scored_sql(
         "SELECT primary_language, "
         + ", ".join(f"max(median_score) FILTER (WHERE created_month = '{m}') AS \"{m}\"" for m in MONTHS)
-        + " FROM hg GROUP BY primary_language",
+        + f", max(median_score) FILTER (WHERE created_month > '{max(MONTHS)}') AS later FROM hg GROUP BY primary_language",
         HG_CTES,
     ),
 )

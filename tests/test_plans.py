@@ -36,7 +36,7 @@ def plans(monkeypatch, capsys):
 @pytest.mark.parametrize("name", NAMES)
 def test_no_cross_products_or_row_udfs(spark, plans, name):
     plan = plans(lambda: E.queries()[name](spark, SF))
-    for op in FORBIDDEN if name == "thin_snapshots" else FORBIDDEN + PYTHON:
+    for op in FORBIDDEN + PYTHON:
         assert op not in plan, f"{name}: {op} in plan"
 
 

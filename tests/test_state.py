@@ -161,6 +161,36 @@ def test_thin_snapshots_splits_a_hot_key_at_its_gaps(spark):
     assert got == sorted(expect)
 
 
+def test_thin_snapshots_of_one_endless_history(spark):
+    """Nine tenths of the rows are one key's, never a TTL apart; null keys are a key, rows without a time stay."""
+    import random
+
+    rnd = random.Random(4)
+    rows, expect = [], []
+    for k, n in (("hot", 1800), (None, 150), ("b", 50)):
+        t, last = datetime(2026, 1, 1), None
+        for i in range(n):
+            t = t + timedelta(minutes=rnd.randint(1, 200), microseconds=i)
+            rows += [(k, t, 5, 1, 1), (k, t, 4, 1, 1)][: 1 + (i % 9 == 0)]
+            if last is None or t - last >= timedelta(hours=6):
+                expect.append((k, t, 4 if i % 9 == 0 else 5))
+                last = t
+    rows += [("hot", None, 1, 1, 1), (None, None, 2, 1, 1), (None, None, 2, 1, 1)]
+    expect += [("hot", None, 1), (None, None, 2), (None, None, 2)]
+    snaps = spark.createDataFrame(rows, "repo_id string, snapshot_at timestamp, stars int, forks int, open_issues int")
+    got = [(r["repo_id"], r["snapshot_at"], r["stars"]) for r in st.thin_snapshots(snaps.repartition(5), 6).collect()]
+    assert sorted(got, key=repr) == sorted(expect, key=repr)
+    assert st.thin_snapshots(snaps.where("false"), 6).count() == 0 and st.thin_snapshots(snaps, 0).count() == len(rows)
+
+
+def test_pivot_has_a_column_for_later_months(spark):
+    from cohortlake.operators.reports import hidden_gems_pivot
+
+    gems = spark.createDataFrame([("x", "2001-08", 1.0), ("x", "2001-09", 2.0), ("x", "2001-11", 3.0), ("y", "2001-09", 4.0)], "primary_language string, created_month string, median_score double")
+    got = {r["primary_language"]: (r["2001-08"], r["later"]) for r in hidden_gems_pivot(gems, ["2001-07", "2001-08"]).collect()}
+    assert got == {"x": (1.0, 3.0), "y": (None, 4.0)}
+
+
 def test_recent_gate_agrees_with_the_full_one(spark):
     classified = entities(spark, [repo(i) for i in range(5)]).withColumn("refresh_class", F.when(F.col("id") == "e-4", "NEW").otherwise("SKIP"))
     snaps = spark.createDataFrame(
