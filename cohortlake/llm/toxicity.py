@@ -24,6 +24,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +42,9 @@ MIN_CHI2, MIN_DF, COMMON, OTHER = 30.0, 5, 100, 0.03
 BEGINNINGS = (5, 6)
 NEIGHBOURS, EVIDENCE, BLOCK = 10, 3, 64
 #: A list of one example in DENSE is a dense row; lists of light terms of more than RARE examples are bounded.
-DENSE, RARE = 16, 16
+DENSE, RARE = 32, 64
 #: Where a bound leaves more examples than this, the next and dearer one is taken before they are scored from their own terms.
-MANY = 32
+MANY = 16
 #: Texts whose dense parts are added up at once; what single precision may lose of a cosine.
 TEXTS, SLACK = 256, 1e-4
 CUT = 0.7
@@ -108,6 +109,13 @@ class Index:
     rates: np.ndarray  # and the probability from each on
     name: str  # of its own, so that a process inverts it once
 
+    def shared(self, df: DataFrame) -> Broadcast:
+        """The arrays as a broadcast, made once for all jobs; ``Index(**held.value)`` in a task, without the calibration."""
+        kept = self.__dict__
+        if "_shared" not in kept:
+            kept["_shared"] = df.sparkSession.sparkContext.broadcast(dict(kept))
+        return kept["_shared"]
+
     def vectors(self, docs: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bounds of each text, term numbers, unit weights) for the vocabulary's terms."""
         term = np.searchsorted(self.vocabulary, hashes)
@@ -126,9 +134,6 @@ class Index:
         mass = cosine * cosine
         return float((mass * self.toxic[hit]).sum() / mass.sum()) if len(hit) else 0.0
 
-    def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return self.rates[np.maximum(np.searchsorted(self.steps, raw, side="right") - 1, 0)]
-
 
 class Lists:
     """The inverted index: what the search adds up for all examples, and what it only bounds.
@@ -230,6 +235,10 @@ class Lists:
         return np.array([self.query.take(self.term[s]).dot(self.index.weight[s]) for s in spans])
 
 
+def calibrated(raw: np.ndarray, steps: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    return rates[np.maximum(np.searchsorted(steps, raw, side="right") - 1, 0)]
+
+
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: from which raw value on which rate (slightly towards a tenth) holds."""
     weight = np.ones(len(raw)) if weight is None else weight
@@ -257,7 +266,7 @@ def build_index(vocabulary, df, n, examples, toxic, bounds, term, counts, factor
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
     term, idf, light = number[term], (np.log((n + 1) / (df + 1)) * factor)[order], factor[order] < 1
-    weight = ((1 + np.log(counts)) * idf[term]).astype(np.float32)
+    weight = (1 + np.log(counts, dtype=np.float32)) * idf[term].astype(np.float32)
     owner = np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(bounds))
     norm = np.sqrt(np.bincount(owner, weight.astype(np.float64) ** 2, len(examples)))
     weight /= np.where(norm > 0, norm, 1)[owner].astype(np.float32)
@@ -337,10 +346,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     chosen = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
     chosen = freeze(chosen.select("doc_id", "toxic", "text"))
     # the terms of MAX_EXAMPLES texts, 12 bytes each; blocks of one label prune better
-    who = map_arrow(chosen, each, schema).toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    examples, toxic = who["doc_id"].to_numpy().copy(), who["toxic"].to_numpy().astype(float)
-    hashes, counts = (np.frombuffer(b"".join(who[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("counts", np.int32)))
-    bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in who["counts"].to_pylist()], dtype=np.int64)))
+    who = map_arrow(chosen, each, schema).toArrow()
+    order = np.lexsort((who["doc_id"].to_numpy(), who["toxic"].to_numpy()))
+    examples, toxic = who["doc_id"].to_numpy()[order], who["toxic"].to_numpy()[order].astype(float)
+
+    def joined(column: str, kind: type) -> list[np.ndarray]:
+        return [np.frombuffer(who[column][int(i)].as_buffer(), kind) for i in order]
+
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in joined("counts", np.int32)], dtype=np.int64)))
+    hashes, counts = (np.concatenate([*joined(c, kind), np.zeros(0, kind)]) for c, kind in (("hashes", np.uint64), ("counts", np.int32)))
     del who
     vocabulary = np.unique(hashes)
     term = np.searchsorted(vocabulary, hashes).astype(np.int32)
@@ -356,28 +370,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
 
 def _own_votes(chosen: DataFrame, index: Index) -> np.ndarray:
     """The vote on each example by the others: at most MAX_EXAMPLES rows, scored in tasks."""
-    places = {d: i for i, d in enumerate(index.examples.tolist())}
+    places, held = {d: i for i, d in enumerate(index.examples.tolist())}, index.shared(chosen)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        index = Index(**held.value)
         own = np.array([places[d] for d in batch.column(0).to_pylist()], np.int64)
         votes = [index.vote(*found) for at, t in slices(batch.column(1)) for found in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS, own[at : at + t.n])]
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes, pa.float64())], names=["place", "vote"])
 
     found = map_arrow(chosen.select("doc_id", "text"), each, "place long, vote double").toArrow()
-    raw = np.zeros(len(index.examples))
+    raw = np.zeros(len(places))
     raw[found["place"].to_numpy()] = found["vote"].to_numpy()
     return raw
 
 
-def _scores(index: Index):
+def _scores(held: Broadcast, steps: np.ndarray, rates: np.ndarray):
     def columns(texts: pa.Array) -> list[pa.Array]:
-        raw, ids, cosines = [], [], []
+        index, raw, ids, cosines = Index(**held.value), [], [], []
         for _, t in slices(texts):
             for hit, cosine in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS):
                 raw.append(index.vote(hit, cosine))
                 ids.append(index.examples[hit[:EVIDENCE]])
                 cosines.append(cosine[:EVIDENCE])
-        return [pa.array(index.calibrated(np.array(raw))), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))]
+        return [pa.array(calibrated(np.array(raw), steps, rates)), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))]
 
     return columns
 
@@ -391,7 +406,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> tuple[DataFrame,
     """
     numbers = T.ArrayType(T.DoubleType())
     fields = [("score", T.DoubleType()), ("evidence", T.ArrayType(T.LongType())), ("similarity", numbers)]
-    out, names = append_columns(docs, text, _scores(index), fields)
+    out, names = append_columns(docs, text, _scores(index.shared(docs), index.steps, index.rates), fields)
     return out, dict(zip([n for n, _ in fields], names, strict=True))
 
 
