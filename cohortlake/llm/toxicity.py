@@ -42,7 +42,7 @@ MIN_CHI2, MIN_DF, COMMON, OTHER = 30.0, 5, 100, 0.03
 BEGINNINGS = (5, 6)
 NEIGHBOURS, EVIDENCE, BLOCK = 10, 3, 64
 #: A list of one example in DENSE is a dense row; lists of light terms of more than RARE examples are bounded.
-DENSE, RARE = 32, 64
+DENSE, RARE = 24, 64
 #: Where a bound leaves more examples than this, the next and dearer one is taken before they are scored from their own terms.
 MANY = 16
 #: Texts whose dense parts are added up at once; what single precision may lose of a cosine.
@@ -128,7 +128,11 @@ class Index:
         return bounds, term, weight / np.where(norm > 0, norm, 1)[docs]
 
     def lists(self) -> Lists:
-        return per_process(f"toxicity {self.name}", lambda: Lists(self))
+        kept = per_process("toxicity", dict)  # of the last index only: a process outlives its jobs
+        if self.name not in kept:
+            kept.clear()
+            kept[self.name] = Lists(self)
+        return kept[self.name]
 
     def vote(self, hit: np.ndarray, cosine: np.ndarray) -> float:
         mass = cosine * cosine
