@@ -168,6 +168,49 @@ def exact_percentiles(
     )
 
 
+def approx_percentiles(
+    df: DataFrame,
+    value: str,
+    percentiles: dict[str, float],
+    group_by: list[str] | tuple[str, ...] = (),
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Percentiles per group from a mergeable sketch, as an explicit choice over :func:`exact_percentiles`.
+
+    One aggregate with map-side sketches of about ``accuracy`` entries: what is
+    shuffled does not grow with the rows. Each result is a value of the column whose
+    rank is at most ``n / accuracy`` away from ``ceil(p * n)``, for the group's ``n``
+    non-NULL values. NULLs are ignored; a group without values has NULL percentiles.
+    """
+    names = list(percentiles)
+    cuts = F.percentile_approx(F.col(value).cast("double"), [float(percentiles[n]) for n in names], accuracy)
+    out = df.groupBy(*group_by).agg(cuts.alias("_cuts"))
+    return out.select(*group_by, *[F.col("_cuts")[i].alias(n) for i, n in enumerate(names)])
+
+
+def percentile_bounds(
+    df: DataFrame,
+    value: str,
+    percentiles: dict[str, float],
+    group_by: list[str],
+    accuracy: int,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Per group ``n`` and, for each percentile, the exact values ``<name>_lo`` and ``<name>_hi`` at the
+    ranks between which :func:`approx_percentiles` may answer (same positions as the exact form)."""
+    g = list(group_by)
+    long = df.select(*g, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull())
+    pos = value_positions(long, g, "_v", partitions)
+    through, n = F.col("_below") + F.col("_c"), F.col("_n")
+    slack = F.ceil(n / F.lit(float(accuracy)))
+    aggs = [F.max("_n").alias("n")]
+    for name, p in percentiles.items():
+        rank = F.ceil(F.lit(float(p)) * n.cast("double"))
+        aggs.append(F.min(F.when(through >= F.greatest(rank - slack, F.lit(1)), F.col("_v"))).alias(f"{name}_lo"))
+        aggs.append(F.min(F.when(through >= F.least(rank + slack, n), F.col("_v"))).alias(f"{name}_hi"))
+    return pos.groupBy(*g).agg(*aggs)
+
+
 def percentile_ranks(
     df: DataFrame,
     metrics: dict[str, str],

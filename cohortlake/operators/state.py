@@ -265,14 +265,14 @@ def run_counters(
     run_id: str,
     started_at: str | datetime,
     finished_at: str | datetime,
-    errors: DataFrame | None = None,
+    errors: DataFrame | int | None = None,
     query_string: str | None = None,
     status: str = "completed",
 ) -> DataFrame:
     """The run record as a one-row DataFrame (one aggregation over the batch).
 
-    ``errors`` is the malformed-row DataFrame from the ingest split; its
-    row count becomes ``errors_count``. ``repos_updated`` is kept and is 0.
+    ``errors`` are the malformed rows of the ingest split, or their number
+    where the write that kept them has counted them; it becomes ``errors_count``. ``repos_updated`` is kept and is 0.
     """
     counts = gated.agg(
         F.count(F.lit(1)).cast("int").alias("repos_found"),
@@ -281,7 +281,7 @@ def run_counters(
         F.count_if(F.col("refresh_class") == SKIP).cast("int").alias("repos_skipped_fresh"),
         F.count_if(F.col("snapshot_due")).cast("int").alias("snapshots_taken"),
     )
-    n_err = errors.agg(F.count(F.lit(1)).cast("int")).scalar() if errors is not None else F.lit(0)
+    n_err = errors.agg(F.count(F.lit(1)).cast("int")).scalar() if isinstance(errors, DataFrame) else F.lit(errors or 0).cast("int")
     return counts.select(
         F.lit(run_id).alias("run_id"),
         F.lit(query_string).cast("string").alias("query_string"),

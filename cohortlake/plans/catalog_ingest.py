@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.functions.text import DOCUMENT_PATTERNS, decode_base64_text, text_feature_columns, total_count
-from cohortlake.operators.slices import slice_counts
+from cohortlake.operators.slices import slice_counts, slice_plan
 from cohortlake.operators.state import latest_runs
 from cohortlake.plans import oracle as O
 from cohortlake.plans.catalog import _repos, register
@@ -17,7 +18,7 @@ from cohortlake.sources.landed import RELEASES, readme_bodies, release_responses
 from cohortlake.sources.landed import enrichment as landed_enrichment
 from cohortlake.sources.landed import latest_release as latest_release_of
 from cohortlake.sources.store import read_appended, read_state
-from cohortlake.sources.tables import driver_table
+from cohortlake.sources.tables import driver_table, read_evolved
 from cohortlake.streaming.ingest import start_ingest
 
 
@@ -62,6 +63,18 @@ def q_quarantine(spark, sf_dir):
     return P.quarantine_counts(landed_pages(spark, sf_dir))
 
 
+@register(
+    "quarantine_reasons",
+    O.with_ctes(
+        body="""SELECT CASE id % 5 WHEN 1 THEN 'stargazerCount' WHEN 2 THEN 'issues' WHEN 3 THEN 'owner' ELSE 'id' END AS reason,
+  count(*) AS nodes
+FROM repos_v WHERE is_archived GROUP BY reason"""
+    ),
+)
+def q_quarantine_reasons(spark, sf_dir):
+    return P.quarantine_reasons(landed_pages(spark, sf_dir))
+
+
 DOC_FEATURES_SQL = """CAST(length(text) AS INTEGER) AS readme_length_chars,
   CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z]'))) AS INTEGER)
     AS readme_h2_sections,
@@ -147,6 +160,31 @@ def q_slices(spark, sf_dir):
     return slice_counts(orders, "o_orderdate", cap=1000)
 
 
+PLAN_CAP = 1000
+PLAN_SQL = f"""WITH days AS (
+  SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1
+), totals AS (
+  SELECT d, n, sum(n) OVER (ORDER BY d) AS through FROM days
+), steps AS (
+  SELECT d, n, (through - 1) // 700 AS step, (through - n) // 700 < (through - 1) // 700 AND n > {PLAN_CAP} - 700 AS alone FROM totals
+), cuts AS (
+  SELECT d, n, alone OR lag(alone, 1, true) OVER (ORDER BY d) OR step <> lag(step) OVER (ORDER BY d) AS cut FROM steps
+), numbered AS (
+  SELECT d, n, sum(cut::INTEGER) OVER (ORDER BY d) - 1 AS slice FROM cuts
+), slices AS (
+  SELECT slice::INTEGER AS slice_id, min(d) AS first_day, max(d) AS last_day, sum(n)::BIGINT AS row_count FROM numbered GROUP BY slice
+)
+SELECT slice_id, first_day AS slice_start, coalesce(lead(first_day) OVER (ORDER BY slice_id) - 1, last_day) AS slice_end, row_count,
+       row_count > {PLAN_CAP} AS over_cap
+FROM slices"""
+
+
+@register("slice_plan", PLAN_SQL)
+def q_slice_plan(spark, sf_dir):
+    """Slices that fit the cap, from the daily counts of orders."""
+    return slice_plan(driver_table(spark, sf_dir, "orders", ["o_orderdate"]), "o_orderdate", cap=PLAN_CAP)
+
+
 # Three landed batches: every entity (the archived ones malformed), a refresh of
 # the forks with raised counters and landed responses, and a batch without a
 # single well-formed node.
@@ -242,3 +280,43 @@ def q_stream_runs(spark, sf_dir):
     runs = read_appended(spark, run_stream(spark, sf_dir), "runs", RUN_SCHEMA)
     n = runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
     return latest_runs(runs).join(n, "run_id").select("run_id", "repos_new", "repos_refreshed", "errors_count", "n_records", "status")
+
+
+# What the entity table looked like at three times; the declared schema is the last one.
+EVOLVED_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("full_name", T.StringType()),
+        T.StructField("stars", T.LongType()),
+        T.StructField("forks", T.LongType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("is_template", T.BooleanType()),
+        T.StructField("topics", T.ArrayType(T.StringType())),
+    ]
+)
+EVOLVED_DEFAULTS = {"forks": 0, "is_template": False}
+
+
+@register(
+    "evolved_read",
+    O.with_ctes(
+        body="""SELECT id, full_name, stars::BIGINT AS stars, CASE WHEN is_archived THEN 0 ELSE forks END::BIGINT AS forks,
+  CASE WHEN NOT is_archived THEN CASE WHEN is_fork THEN CAST(created_at AS DATE)::TIMESTAMP ELSE created_at END END AS created_at,
+  NOT is_archived AND NOT is_fork AND stars > 100 AS is_template, CASE WHEN NOT is_archived AND NOT is_fork THEN topics END AS topics
+FROM repos_v"""
+    ),
+)
+def q_evolved(spark, sf_dir):
+    """Three Parquet folders of growing schema and widening types, read as the declared table."""
+    repos = freeze(_repos(spark, sf_dir))
+    base = scratch_dir(spark, "evolved")
+    first = repos.where("is_archived").select("id", "full_name", F.col("stars").cast("int"))
+    second = repos.where("NOT is_archived AND is_fork").select("id", "full_name", F.col("stars").cast("int"), F.col("forks").cast("int"), F.to_date("created_at").alias("created_at"))
+    third = repos.where("NOT is_archived AND NOT is_fork").select(
+        "id", "full_name", F.col("stars").cast("long"), F.col("forks").cast("long"), "created_at", (F.col("stars") > 100).alias("is_template"), "topics"
+    )
+    folders = []
+    for i, rows in enumerate((first, second, third)):
+        folders.append(f"{base}/v{i}")
+        rows.write.parquet(folders[-1])
+    return read_evolved(spark, folders, EVOLVED_SCHEMA, EVOLVED_DEFAULTS)

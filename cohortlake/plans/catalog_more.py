@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from cohortlake.operators import reports as R
 from cohortlake.operators import scoring
 from cohortlake.operators.momentum import attach_momentum, momentum_7d, trending
-from cohortlake.operators.rank import minmax_norm, percentile_ranks
+from cohortlake.operators.rank import approx_percentiles, minmax_norm, percentile_bounds, percentile_ranks
 from cohortlake.plans import oracle as O
 from cohortlake.plans.catalog import _repos, _snaps, register, scored
+from cohortlake.session import freeze
 from cohortlake.sources.fixtures import ENTITY_AS_OF, SNAPSHOT_AS_OF
 
 
@@ -122,6 +123,33 @@ def q_percentiles(spark, sf_dir):
     return R.velocity_percentiles(scored(spark, sf_dir), partitions=8)
 
 
+CUTS, CUT_ACCURACY = {"p50": 0.5, "p90": 0.9, "p99": 0.99}, 1000
+
+
+@register(
+    "velocity_percentiles_approx",
+    O.scored_sql(
+        f"""SELECT maturity_tier, percentile, n, min(v) FILTER (WHERE r >= greatest(ceil(q * n) - ceil(n / {CUT_ACCURACY}.0), 1)) AS lo,
+  min(v) FILTER (WHERE r >= least(ceil(q * n) + ceil(n / {CUT_ACCURACY}.0), n)) AS hi, true AS within_bound
+FROM placed CROSS JOIN (VALUES {", ".join(f"('{k}', {p}::DOUBLE)" for k, p in CUTS.items())}) c(percentile, q)
+GROUP BY maturity_tier, percentile, n""",
+        "placed AS (SELECT maturity_tier, star_velocity AS v, row_number() OVER (PARTITION BY maturity_tier ORDER BY star_velocity) AS r, "
+        "count(*) OVER (PARTITION BY maturity_tier) AS n FROM scored WHERE star_velocity IS NOT NULL)",
+    ),
+)
+def q_percentiles_approx(spark, sf_dir):
+    """The sketch's velocity percentiles by tier, each held against the exact values at the ranks that bound it."""
+    rows = freeze(featured(spark, sf_dir).select("maturity_tier", "star_velocity"))
+    approx = approx_percentiles(rows, "star_velocity", CUTS, ["maturity_tier"], CUT_ACCURACY)
+    exact = percentile_bounds(rows, "star_velocity", CUTS, ["maturity_tier"], CUT_ACCURACY)
+    exact = exact.withColumnRenamed("maturity_tier", "_tier")
+    both = exact.join(approx, F.col("_tier").eqNullSafe(F.col("maturity_tier")))
+    each = F.array(*[F.struct(F.lit(c).alias("percentile"), F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi"), F.col(c).alias("v")) for c in CUTS])
+    return both.select("maturity_tier", "n", F.explode(each).alias("e")).select(
+        "maturity_tier", "e.percentile", "n", "e.lo", "e.hi", F.col("e.v").between(F.col("e.lo"), F.col("e.hi")).alias("within_bound")
+    )
+
+
 @register(
     "score_distribution",
     O.scored_sql(

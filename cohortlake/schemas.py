@@ -88,6 +88,8 @@ RUN_SCHEMA = T.StructType(
     ]
 )
 
+QUARANTINE_SCHEMA = T.StructType([T.StructField("raw_node", S), T.StructField("reasons", T.ArrayType(S))])
+
 # Column defaults of the stored tables (a default applies when a
 # column is absent; present NULLs stay NULL).
 ENTITY_DEFAULTS = {

@@ -44,6 +44,8 @@ TIMES = ("createdAt", "updatedAt", "pushedAt")
 # Texts that count as a flag.
 TRUE_TEXTS = ("1", "on", "t", "true", "y", "yes")
 FALSE_TEXTS = ("0", "off", "f", "false", "n", "no")
+# Reasons beside the names of members.
+NOT_JSON, NOT_A_PAGE = "(not JSON)", "(not a page)"
 INTEGER_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 
@@ -106,28 +108,41 @@ def _topics(v: Column) -> Column:
     return F.try_variant_get(v, "$.repositoryTopics.nodes", "array<variant>")
 
 
-def node_valid(v: str | Column = "v") -> Column:
-    """True when a parsed node is well-formed: every member, at any depth, is absent or what it may be.
+def node_checks(v: Column) -> list[tuple[str, Column]]:
+    """(member, whether it is absent or what it may be), for every member at any depth.
 
     An explicit null is no value for a flag, a counter or an object.
     """
-    v = F.col(v) if isinstance(v, str) else v
     absent = lambda p: _kind(_at(v, p)).isNull()
-    checks = [_is(_at(v, p), "STRING") for p in REQUIRED_STRINGS]  # so it is an object
-    checks += [_may_be(_at(v, p), "VOID", "STRING") for p in OPTIONAL_STRINGS]
-    checks += [_may_be(_at(v, p), "OBJECT") for p in OBJECTS if p != "repositoryTopics"]
-    checks += [_flag(_at(v, p)).isNotNull() | absent(p) for p in FLAGS]
-    checks += [_count(_at(v, p)).isNotNull() | absent(p) for p in COUNTERS]
-    checks += [_time(_at(v, p)).isNotNull() | _may_be(_at(v, p), "VOID") for p in TIMES]
-    checks.append(_count(_at(v, "diskUsage")).isNotNull() | _may_be(_at(v, "diskUsage"), "VOID"))
+    checks = [(p, _is(_at(v, p), "STRING")) for p in REQUIRED_STRINGS]  # so it is an object
+    checks += [(p, _may_be(_at(v, p), "VOID", "STRING")) for p in OPTIONAL_STRINGS]
+    checks += [(p, _may_be(_at(v, p), "OBJECT")) for p in OBJECTS if p != "repositoryTopics"]
+    checks += [(p, _flag(_at(v, p)).isNotNull() | absent(p)) for p in FLAGS]
+    checks += [(p, _count(_at(v, p)).isNotNull() | absent(p)) for p in COUNTERS]
+    checks += [(p, _time(_at(v, p)).isNotNull() | _may_be(_at(v, p), "VOID")) for p in TIMES]
+    checks.append(("diskUsage", _count(_at(v, "diskUsage")).isNotNull() | _may_be(_at(v, "diskUsage"), "VOID")))
     language, license_ = _at(v, "primaryLanguage"), _at(v, "licenseInfo")
-    checks.append((_is(language, "OBJECT") & _is(_at(v, "primaryLanguage.name"), "STRING", "VOID")) | _falsy(language))
-    checks.append(_is(license_, "OBJECT") | _falsy(license_))
+    named = _is(language, "OBJECT") & _is(_at(v, "primaryLanguage.name"), "STRING", "VOID")
+    checks.append(("primaryLanguage", named | _falsy(language)))
+    checks.append(("licenseInfo", _is(license_, "OBJECT") | _falsy(license_)))
     # a list of named topics, or no list in an object, or nothing; the type of a whole list is never asked for
     named = F.forall(_topics(v), lambda t: _is(_at(t, "topic.name"), "STRING") | (_is(t, "OBJECT") & _falsy(_at(t, "topic"))))
     bare = _may_be(_at(v, "repositoryTopics"), "OBJECT") & absent("repositoryTopics.nodes")
-    checks.append(F.coalesce(named, bare))
-    return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+    checks.append(("repositoryTopics", F.coalesce(named, bare)))
+    return checks
+
+
+def node_valid(v: str | Column = "v") -> Column:
+    """True when a parsed node is well-formed: all of :func:`node_checks` hold."""
+    v = F.col(v) if isinstance(v, str) else v
+    return F.coalesce(reduce(lambda a, b: a & b, [ok for _, ok in node_checks(v)]), F.lit(False))
+
+
+def failed_checks(v: str | Column = "v") -> Column:
+    """The members of a parsed node that are not what they may be; NOT_JSON for a node that does not parse."""
+    v = F.col(v) if isinstance(v, str) else v
+    failed = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in node_checks(v)]
+    return F.when(v.isNull(), F.array(F.lit(NOT_JSON))).otherwise(F.array_distinct(F.array_compact(F.array(*failed))))
 
 
 def parse_pages(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -146,6 +161,34 @@ def _parsed_nodes(nodes: Column) -> Column:
     return F.transform(nodes, lambda x: F.struct(x.alias("raw_node"), F.try_parse_json(x).alias("v")))
 
 
+def parse_all(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Like :func:`parse_pages`, and a row for each page without a node list: ``page_ok`` false, its body as ``raw_node``."""
+    pages = raw.select(F.col(body).alias("_body"), F.from_json(F.col(body), PAGE_SCHEMA)["data"]["search"]["nodes"].alias("_nodes"))
+    # the body of such a page is no node, whatever it parses as
+    whole = F.array(F.struct(F.col("_body").alias("raw_node"), F.try_parse_json(F.lit(None).cast("string")).alias("v")))
+    entries = F.when(F.col("_nodes").isNull(), whole).otherwise(_parsed_nodes(F.col("_nodes")))
+    return pages.select(F.col("_nodes").isNotNull().alias("page_ok"), F.explode(entries).alias("_e")).select("page_ok", "_e.raw_node", "_e.v")
+
+
+def reasons_of(v: str = "v", page_ok: str = "page_ok") -> Column:
+    """Why a row of :func:`parse_all` is malformed; empty for a well-formed node."""
+    return F.when(F.col(page_ok), failed_checks(v)).otherwise(F.array(F.lit(NOT_A_PAGE)))
+
+
+def quarantine(raw: DataFrame, body: str = "body") -> DataFrame:
+    """``(raw_node, reasons)`` of every malformed node and page, from one pass over the pages.
+
+    ``reasons`` are asked for only where a node fails, so good nodes cost no more.
+    """
+    bad = parse_all(raw, body).where(~(F.col("page_ok") & node_valid()))
+    return bad.select("raw_node", reasons_of().alias("reasons"))
+
+
+def quarantine_reasons(raw: DataFrame, body: str = "body") -> DataFrame:
+    """``(reason, nodes)``: how many malformed nodes fail for each reason (a node can for several)."""
+    return quarantine(raw, body).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 def flat_columns(v: str = "v") -> list[Column]:
     """Field mapping node -> entity columns (absent keys take defaults)."""
     at = lambda path: _at(F.col(v), path)

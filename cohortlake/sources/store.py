@@ -1,8 +1,9 @@
-"""The three stored tables as plain partitioned Parquet under one root folder::
+"""The stored tables as plain partitioned Parquet under one root folder::
 
     state/part=<p>/batch=<b>/          rows that batch b inserted or changed, whole
     snapshots/day=<d>/batch=<b>/       snapshot rows of batch b, by their day
     runs/batch=<b>/record=<r>/         run records: started, ended or failed
+    quarantine/batch=<b>/              malformed nodes and pages of batch b, with the reasons
 
 Batches are written with dynamic partition overwrite, so a replay replaces what it
 wrote before and nothing else. The current state is the row of the latest batch for
@@ -24,6 +25,7 @@ PARTITIONED = {
     "state": [T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType())],
     "snapshots": [T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())],
     "runs": [T.StructField("batch", T.LongType()), T.StructField("record", T.StringType())],
+    "quarantine": [T.StructField("batch", T.LongType())],
 }
 
 

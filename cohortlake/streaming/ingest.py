@@ -1,7 +1,7 @@
 """Continuous ingest of landed search-result pages (Structured Streaming).
 
 ``readStream`` picks up new page files; each micro-batch is parsed and split
-(malformed nodes counted), de-duplicated by key, enriched from landed responses,
+(malformed nodes stored with their reasons and counted), de-duplicated by key, enriched from landed responses,
 applied to the stored rows of its keys with :func:`cohortlake.operators.state.apply_batch`
 and appended to the stored tables (:mod:`cohortlake.sources.store`). The run's start
 record is written before the work, its end or failed record after. ``foreachBatch``
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +27,7 @@ from cohortlake.operators import state as st
 from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, RUN_DEFAULTS, RUN_SCHEMA, SNAPSHOT_SCHEMA, conform
 from cohortlake.session import freeze, scratch_scope
 from cohortlake.sources import store
-from cohortlake.sources.pages import flat_columns, node_valid, parse_pages, unparsed_pages
+from cohortlake.sources.pages import flat_columns, node_valid, parse_all, reasons_of
 
 PAGE_TEXT, LANDED_AT = "value", "landed_at"
 
@@ -65,12 +65,13 @@ def process_batch(
     as_of = batch_time(pages, store.utc(last) if last is not None else None)
     run_id = f"batch-{batch_id:012d}"
     with scratch_scope(spark), _recorded(spark, root, batch_id, run_id, as_of):
-        # each page is parsed once: the flat rows and the bad nodes are a table
-        parsed = parse_pages(pages, PAGE_TEXT).withColumn("ok", node_valid())
-        nodes = freeze(parsed.select("ok", *flat_columns()))
-        good, bad = nodes.where("ok").drop("ok"), nodes.where("NOT ok").select("ok")
-        # errors of the run: malformed nodes and pages that did not parse at all
-        errors = bad.unionByName(unparsed_pages(pages, PAGE_TEXT).select(F.lit(False).alias("ok")))
+        # each page is parsed once: the flat rows and the bad nodes are a table, counted as it is written
+        parsed = parse_all(pages, PAGE_TEXT).withColumn("ok", F.col("page_ok") & node_valid())
+        bad = [F.when(~F.col("ok"), c).alias(n) for n, c in (("raw_node", F.col("raw_node")), ("reasons", reasons_of()))]
+        seen = Observation()
+        nodes = freeze(parsed.select("ok", *bad, *flat_columns()).observe(seen, F.count_if(~F.col("ok")).alias("errors")))
+        errors = seen.get["errors"]
+        good = nodes.where("ok").drop("ok", "raw_node", "reasons")
         # only what earlier batches wrote, never this batch's own output, and only of this batch's keys
         state = store.read_state(spark, root, ENTITY_SCHEMA, before_batch=batch_id, keys=good)
         young = as_of - timedelta(hours=snapshot_ttl_hours)
@@ -87,6 +88,9 @@ def process_batch(
         flags = [c for c, v in ENTITY_DEFAULTS.items() if v is False]
         changed = conform(new_state, ENTITY_SCHEMA).na.fill(False, flags)
         store.write_batch(root, batch_id, changed, conform(new_snaps, SNAPSHOT_SCHEMA))
+        if errors:
+            malformed = nodes.where("NOT ok").select("raw_node", "reasons")
+            store.write(malformed.withColumn("batch", F.lit(int(batch_id))), root, "quarantine")
         run = conform(st.run_counters(gated, run_id, as_of, as_of, errors=errors), RUN_SCHEMA)
         _record(run, root, batch_id, "ended")
 
