@@ -19,16 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlake.llm.common import freeze
+from cohortlake.llm.common import freeze, fresh
 
 #: Rows that one window partition holds on average, whatever the table's size.
 BUCKET_ROWS = 5_000
+#: Buckets whose sizes one window adds up at a time; the totals of such runs follow in a second.
+RUN_KEYS = 1024
 
 
 def _before(counts: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Sizes of the buckets before each bucket of the same key: counts are few, a row for each bucket."""
-    window = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(window), F.lit(0)))
+    """``counts`` (``by``, ``key`` from 0, ``n``) with ``before``: the sum of ``n`` over smaller keys of the same ``by``.
+
+    Windows run inside a run of RUN_KEYS keys and over the totals of the runs.
+    """
+    run = fresh(counts.columns, "run")
+    counts = counts.withColumn(run, F.expr(f"div({key}, {RUN_KEYS}L)"))
+    runs = counts.groupBy(*by, run).agg(F.sum("n").alias("n"))
+    earlier = lambda part, order: F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("offset", earlier(by or [F.lit(0)], run)).drop("n")
+    inside = counts.withColumn("inside", earlier([*by, run], key))
+    return inside.join(runs, [*by, run]).withColumn("before", F.col("inside") + F.col("offset")).drop(run, "inside", "offset")
 
 
 def _spread(h: Column, buckets: int) -> Column:
@@ -41,30 +51,37 @@ def stratified_shards(rows: DataFrame, stratum: str, key: list[str], n_shards: i
 
     ``key`` are the columns that give a row its random place; rows that are equal
     in all of them are interchangeable. Null strata are a stratum, null keys are
-    values. An empty table gives an empty result. The columns _h, _stratum, _bucket,
-    _rank, _fraction, _slot, _position, shard and slot must not be in ``rows``.
+    values. An empty table gives an empty result. All columns of ``rows`` stay as
+    they are; where one is called shard or slot (in any case), the new column gets
+    underscores in front.
     """
-    placed = freeze(rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("null"))).withColumn("_h", F.xxhash64(F.lit(seed), *key)))
+    group, hashed, bucket, rank, fraction, place, position = (
+        fresh(rows.columns, n) for n in ("_stratum", "_h", "_bucket", "_rank", "_fraction", "_slot", "_position")
+    )
+    of_group, of_bucket, of_place, before, of = (fresh(rows.columns, n) for n in ("_s", "_b", "_p", "_before", "_of"))
+    shard, slot = fresh(rows.columns, "shard"), fresh(rows.columns, "slot")
+    named = F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("null"))
+    placed = freeze(rows.withColumns({group: named, hashed: F.xxhash64(F.lit(seed), *key)}))
     total = placed.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
 
-    placed = placed.withColumn("_bucket", _spread(F.col("_h"), buckets))
-    sizes = placed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("n"))
-    offsets = _before(sizes, "_bucket", ["_stratum"]).withColumnRenamed("_stratum", "_s").withColumnRenamed("_bucket", "_b")
-    of_stratum = sizes.groupBy("_stratum").agg(F.sum("n").alias("of")).withColumnRenamed("_stratum", "_s")
-    offsets = freeze(offsets.join(of_stratum, "_s").drop("n"))
-    order = Window.partitionBy("_stratum", "_bucket").orderBy("_h", *key)
-    ranked = placed.withColumn("_rank", F.row_number().over(order)).join(offsets, (F.col("_stratum") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    ranked = ranked.withColumn("_fraction", (F.col("_rank") + F.col("before") - 0.5) / F.col("of"))
-    ranked = freeze(ranked.drop("_rank", "_s", "_b", "_bucket", "before", "of").withColumn("_slot", F.floor(F.col("_fraction") * buckets).cast("long")))
-
-    slots = ranked.groupBy("_slot").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0))
-    before = freeze(_before(slots, "_slot", ["_all"]).select(F.col("_slot").alias("_s"), "before"))
-    order = Window.partitionBy("_slot").orderBy("_fraction", "_stratum", "_h", *key)
-    position = F.row_number().over(order) - 1
-    out = ranked.withColumn("_position", position).join(before, F.col("_slot") == F.col("_s"))
-    out = out.withColumn("_position", F.col("_position") + F.col("before"))
+    placed = placed.withColumn(bucket, _spread(F.col(hashed), buckets))
+    sizes = placed.groupBy(F.col(group).alias("s"), F.col(bucket).alias("b")).agg(F.count("*").alias("n"))
+    of_stratum = sizes.groupBy("s").agg(F.sum("n").alias("of"))
+    offsets = _before(sizes, "b", ["s"]).join(of_stratum, "s")
+    offsets = freeze(offsets.select(F.col("s").alias(of_group), F.col("b").alias(of_bucket), F.col("before").alias(before), F.col("of").alias(of)))
+    order = Window.partitionBy(group, bucket).orderBy(hashed, *key)
+    ranked = placed.withColumn(rank, F.row_number().over(order)).join(offsets, (F.col(group) == F.col(of_group)) & (F.col(bucket) == F.col(of_bucket)))
+    ranked = ranked.withColumn(fraction, (F.col(rank) + F.col(before) - 0.5) / F.col(of))
+    ranked = ranked.withColumn(place, F.floor(F.col(fraction) * buckets).cast("long"))
+    ranked = freeze(ranked.select(*rows.columns, group, hashed, fraction, place))
+
+    places = ranked.groupBy(F.col(place).alias("p")).agg(F.count("*").alias("n"))
+    starts = freeze(_before(places, "p", []).select(F.col("p").alias(of_place), F.col("before").alias(before)))
+    order = Window.partitionBy(place).orderBy(fraction, group, hashed, *key)
+    out = ranked.withColumn(position, F.row_number().over(order) - 1).join(starts, F.col(place) == F.col(of_place))
+    out = out.withColumn(position, F.col(position) + F.col(before))
     # shard s holds positions from floor(s * total / n) on
-    shard = F.expr(f"div((_position + 1) * {n_shards}L - 1, {max(total, 1)}L)")
-    out = out.withColumn("shard", shard.cast("int"))
-    return out.withColumn("slot", F.col("_position") - F.expr(f"div(shard * {total}L, {n_shards}L)")).drop("_h", "_stratum", "_fraction", "_slot", "_position", "_s", "before")
+    out = out.withColumn(shard, F.expr(f"div(({position} + 1) * {n_shards}L - 1, {max(total, 1)}L)").cast("int"))
+    out = out.withColumn(slot, F.col(position) - F.expr(f"div({shard} * {total}L, {n_shards}L)"))
+    return out.select(*rows.columns, shard, slot)

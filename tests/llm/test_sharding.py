@@ -22,9 +22,10 @@ def brute_force(rows, n_shards):
     return out
 
 
-@pytest.mark.parametrize("bucket", [5_000, 7])
-def test_matches_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, run", [(5_000, 1024), (7, 3)])
+def test_matches_brute_force(spark, monkeypatch, bucket, run):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(S, "RUN_KEYS", run)
     rows = [("hot", i) for i in range(90)] + [("b", i) for i in range(31)] + [(None, i) for i in range(9)] + [("null", 0), ("c", 1)]
     df = spark.createDataFrame(rows, "source string, doc_id long")
     hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).collect()}
@@ -58,7 +59,7 @@ def test_digests(spark, sharded):
 
 
 def test_hard_rows(hard_docs):
-    df = hard_docs.drop("shard", "_h").withColumn("source", F.when(F.col("doc_id") > 5, "a"))
+    df = hard_docs.drop("shard").withColumn("source", F.when(F.col("doc_id") > 5, "a"))
     out = S.stratified_shards(df, "source", ["doc_id", "text"], 4, 1).collect()
     sizes = Counter(r["shard"] for r in out)
     assert len(out) == 13 and sorted(sizes.values()) == [3, 3, 3, 4]
@@ -66,6 +67,17 @@ def test_hard_rows(hard_docs):
     assert S.stratified_shards(df.where("false"), "source", ["doc_id"], 4, 1).count() == 0
 
 
+def test_clashing_columns_are_kept(spark):
+    taken = ["Shard", "slot", "_h", "_stratum", "_bucket", "_rank", "_fraction", "_slot", "_position", "_before", "_of", "_s", "_b", "_p", "n", "run", "before"]
+    df = spark.range(40).withColumns({c: F.concat(F.lit(c), F.col("id").cast("string")) for c in taken}).withColumn("source", F.lit("a"))
+    out = S.stratified_shards(df, "source", ["id"], 4, 1)
+    assert out.columns == [*df.columns, "_shard", "__slot"]
+    rows = out.collect()
+    assert len(rows) == 40 and all(r[c] == f"{c}{r['id']}" for r in rows for c in taken)
+    plain = {r["id"]: (r["shard"], r["slot"]) for r in S.stratified_shards(spark.range(40).withColumn("source", F.lit("a")), "source", ["id"], 4, 1).collect()}
+    assert plain == {r["id"]: (r["_shard"], r["__slot"]) for r in rows}
+
+
 def test_native_plan(spark, capsys):
     QUERIES["op6_sharding"](spark, SF).explain("formatted")
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", capsys.readouterr().out)
