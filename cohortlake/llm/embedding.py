@@ -12,9 +12,11 @@ compares what is left by cosine in double precision.
 Scale: equal vectors count once, with a multiplicity. A block has at most
 BLOCK_ROWS vectors whatever a label's share, so hot labels and cells are many
 blocks; the block pairs of a label meet in an equi-join on (label, cells of the
-first coordinate). A block is streamed with its partners, one at a time, and a
-pair of blocks gives at most a row per vector: its number of links and a spanning edge, never the links
-themselves. Components come from large-star/small-star.
+first two coordinates), and the blocks that span many cells on those of the first.
+A block is streamed with a run of its partners, one at a time, so the partners of
+one block are spread over tasks. A pair of blocks gives at most a row per vector:
+its number of links and a spanning edge, never the links themselves.
+Components come from large-star/small-star.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from cohortlake.llm.text import least_reached
 THRESHOLD = 0.98
 #: Leading principal directions of the grid, vectors of a block, and the join's smallest intervals.
 DIRECTIONS, BLOCK_ROWS, LEAF = 6, 512, 64
-#: Blocks in an Arrow batch.
-PAIR_ROWS = 32
+#: Blocks in an Arrow batch, and about so many partners of a block in a run.
+PAIR_ROWS, RUN_BLOCKS = 32, 64
+#: Blocks that span more cells of the first or second coordinate meet others by the first alone.
+SPAN = 4
 _SLACK = 1e-9
 
 
@@ -182,8 +186,8 @@ def ego_join(a, b, epsilon: float, threshold: float, leaf: int = LEAF) -> tuple[
 def _joined(epsilon: float, threshold: float, kind: str):
     """Rows (node, weight of its links, a node of its component) from blocks and their partners.
 
-    A block comes first, then those that it is joined with: a block and a partner
-    are held at a time.
+    In every run a block comes first, then those that it is joined with: a block and
+    a partner are held at a time. Run 0 joins the block with itself.
     """
 
     def read(row: dict):
@@ -199,6 +203,8 @@ def _joined(epsilon: float, threshold: float, kind: str):
                 b = read(row)
                 if row["partner"] is None:
                     a = b
+                    if row["run"]:
+                        continue
                 r, c = ego_join(a, b, epsilon, threshold)
                 if not len(r):
                     continue
@@ -245,10 +251,15 @@ def linked_vectors(
     blocks = freeze(ordered.mapInArrow(_blocks(directions, block_rows, epsilon), BLOCK))
     pairs = freeze(_near_blocks(blocks, directions, epsilon))
     data = ("dim", "ids", "sizes", "raws", "places")
-    alone = blocks.select(F.col("block").alias("a_block"), F.lit(None).cast("long").alias("partner"), *data)
-    partners = pairs.join(blocks.withColumnRenamed("block", "b_block"), "b_block").select("a_block", F.col("b_block").alias("partner"), *data)
+    runs = freeze(pairs.groupBy("a_block").agg(F.ceil(F.count("*") / RUN_BLOCKS).cast("int").alias("runs")))
+    columns = ("a_block", "run", "partner", *data)
+    alone = blocks.withColumnRenamed("block", "a_block").withColumn("partner", F.lit(None).cast("long"))
+    more = runs.where("runs > 1").select("a_block", F.explode(F.sequence(F.lit(1), F.col("runs") - 1)).alias("run"))
+    met = pairs.join(runs, "a_block").withColumn("run", F.pmod(F.xxhash64("b_block"), "runs").cast("int")).drop("runs")
+    partners = met.join(blocks.withColumnRenamed("block", "b_block"), "b_block").withColumnRenamed("b_block", "partner")
     with arrow_rows(spark, PAIR_ROWS):
-        joined = alone.unionByName(partners).repartition("a_block").sortWithinPartitions("a_block", F.asc_nulls_first("partner"))
+        joined = alone.withColumn("run", F.lit(0)).select(*columns).unionByName(alone.join(more, "a_block").select(*columns)).unionByName(partners.select(*columns))
+        joined = joined.repartition("a_block", "run").sortWithinPartitions("a_block", "run", F.asc_nulls_first("partner"))
         links = freeze(joined.mapInArrow(_joined(epsilon, threshold, kind), "node long, links long, root long"))
 
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -264,15 +275,36 @@ def linked_vectors(
 def _near_blocks(blocks: DataFrame, n: int, epsilon: float) -> DataFrame:
     """(a_block, b_block), a < b, of one label whose boxes come within epsilon of each other.
 
-    They meet on cells of the first coordinate, one side's widened by one; a pair
-    is taken at the first cell that both have, so once.
+    Blocks of few cells meet on cells of the first two coordinates, others meet all
+    on cells of the first. One side's cells are widened by one; a pair is taken at
+    the first cells that both have, so once.
     """
-    box = blocks.select("block", "label", "dim", "low", "high", F.element_at("cells", 1).alias("first"), F.element_at("cells", -1).alias("last"))
-    a = box.select(*(F.col(c).alias(f"a_{c}") for c in ("block", "low", "high", "first")), "label", "dim", F.explode(F.sequence("first", "last")).alias("cell"))
-    wide = F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell")
-    b = box.select(*(F.col(c).alias(f"b_{c}") for c in ("block", "low", "high", "first")), "label", "dim", wide)
-    both = a.join(b, ["label", "dim", "cell"]).where("cell = greatest(a_first, b_first - 1)")
-    # unordered pairs once: widening one side is symmetric, so a < b loses none
-    both = both.where("a_block < b_block")
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("a_low")[i] - F.col("b_high")[i], F.col("b_low")[i] - F.col("a_high")[i]), F.lit(2.0)) for i in range(n)), F.lit(0.0))
-    return both.where(gap <= (epsilon + _SLACK) ** 2).select("a_block", "b_block")
+    box = blocks.select("block", "label", "dim", "low", "high", F.element_at("cells", 1).alias("first0"), F.element_at("cells", -1).alias("last0"))
+    if n > 1:
+        cell = lambda x: F.floor(x / epsilon).cast("long")
+        box = box.withColumns({"first1": cell(F.col("low")[1] - _SLACK), "last1": cell(F.col("high")[1] + _SLACK)})
+        wide = (F.col("last0") - F.col("first0") >= SPAN) | (F.col("last1") - F.col("first1") >= SPAN)
+    else:
+        wide = F.lit(True)
+    box = box.withColumn("wide", wide)
+
+    def side(rows: DataFrame, name: str, axes: list[int], more: int) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("label", "dim")]
+        out = rows.select("label", "dim", *(F.col(c).alias(f"{name}_{c}") for c in kept))
+        for i in axes:
+            out = out.withColumn(f"cell{i}", F.explode(F.sequence(F.col(f"{name}_first{i}") - more, F.col(f"{name}_last{i}") + more)))
+        return out
+
+    def near(a: DataFrame, b: DataFrame, axes: list[int]) -> DataFrame:
+        both = side(a, "a", axes, 0).join(side(b, "b", axes, 1), ["label", "dim", *(f"cell{i}" for i in axes)])
+        for i in axes:
+            both = both.where(F.col(f"cell{i}") == F.greatest(f"a_first{i}", F.col(f"b_first{i}") - 1))
+        # unordered pairs once: widening one side is symmetric, so a < b loses none
+        both = both.where((F.col("a_wide") != F.col("b_wide")) | (F.col("a_block") < F.col("b_block")))
+        gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("a_low")[i] - F.col("b_high")[i], F.col("b_low")[i] - F.col("a_high")[i]), F.lit(2.0)) for i in range(n)), F.lit(0.0))
+        return both.where(gap <= (epsilon + _SLACK) ** 2).select(F.least("a_block", "b_block").alias("a_block"), F.greatest("a_block", "b_block").alias("b_block"))
+
+    pairs = near(box.where("wide"), box, [0])
+    if n > 1:
+        pairs = pairs.unionByName(near(box.where("NOT wide"), box.where("NOT wide"), [0, 1]))
+    return pairs

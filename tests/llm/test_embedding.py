@@ -85,3 +85,35 @@ def test_join_skips_only_what_is_apart():
     other = (np.arange(100), x[100:200], x[100:200, :3])
     r, c = E.ego_join(block, other, eps, 0.9, leaf=8)
     assert set(zip(r.tolist(), c.tolist())) == {(i, j) for i in range(300) for j in range(100) if x[i] @ x[100 + j] >= 0.9}
+
+
+@pytest.mark.parametrize("span", [1, 4, 1000])
+def test_block_pairs_match_brute_force(spark, monkeypatch, span):
+    """Blocks of one to many cells, also in one coordinate only."""
+    monkeypatch.setattr(E, "SPAN", span)
+    rng, eps, rows = np.random.default_rng(5), 0.2, []
+    for i in range(120):
+        low = rng.uniform(-1, 1, 2)
+        high = low + rng.choice([0.0, 0.05, 0.3, 1.5], 2)
+        cells = list(range(math.floor(low[0] / eps), math.floor(high[0] / eps) + 1))
+        rows.append((i, i % 2, 2, cells, low.tolist(), high.tolist()))
+    df = spark.createDataFrame(rows, "block long, label long, dim int, cells array<long>, low array<double>, high array<double>")
+    got = [tuple(r) for r in E._near_blocks(df, 2, eps).collect()]
+
+    def gap(a, b):
+        return sum(max(0, a[4][i] - b[5][i], b[4][i] - a[5][i]) ** 2 for i in range(2))
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and gap(a, b) <= eps * eps}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_one_label_without_structure_in_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(E, "RUN_BLOCKS", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 4)).astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in E.linked_vectors(df, block_rows=32).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
