@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlake.operators import scoring
 from cohortlake.operators.momentum import attach_momentum, momentum_7d, trending
 from cohortlake.plans import oracle as O
-from cohortlake.session import configure
+from cohortlake.session import configure, freeze
 from cohortlake.sources.fixtures import ENTITY_AS_OF, SNAPSHOT_AS_OF, repos_view, snapshots_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,10 +45,18 @@ def _snaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots_view(spark, sf_dir)
 
 
-def scored(spark: SparkSession, sf_dir: str, method: str = "ranged", partitions: int | None = None) -> DataFrame:
-    """The scored entity table (flagship run) over the fixture views."""
+def shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entities and snapshots for a query that reads them more than once: each view is computed once and written."""
+    return freeze(_repos(spark, sf_dir)), freeze(_snaps(spark, sf_dir))
+
+
+def scored(
+    spark: SparkSession, sf_dir: str, method: str = "ranged", partitions: int | None = None, views: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """The scored entity table (flagship run) over the fixture views (``views``: those of :func:`shared`)."""
+    repos, snaps = views or (_repos(spark, sf_dir), _snaps(spark, sf_dir))
     return scoring.score_entities(
-        _repos(spark, sf_dir), _snaps(spark, sf_dir), ENTITY_AS_OF,
+        repos, snaps, ENTITY_AS_OF,
         momentum_as_of=SNAPSHOT_AS_OF, method=method, partitions=partitions,
     )
 
@@ -116,7 +124,8 @@ def q_top_potential(spark, sf_dir):
 
 @register("trending_7d", O.scored_sql("SELECT * EXCLUDE (id) FROM gains", O.GAINS))
 def q_trending(spark, sf_dir):
-    return trending(scored(spark, sf_dir), _snaps(spark, sf_dir), SNAPSHOT_AS_OF, limit=50).drop("id")
+    repos, snaps = shared(spark, sf_dir)
+    return trending(scored(spark, sf_dir, views=(repos, snaps)), snaps, SNAPSHOT_AS_OF, limit=50).drop("id")
 
 
 def queries() -> dict[str, Query]:

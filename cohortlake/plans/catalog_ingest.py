@@ -22,9 +22,9 @@ from cohortlake.sources.tables import driver_table, read_evolved
 from cohortlake.streaming.ingest import start_ingest
 
 
-def landed_pages(spark, sf_dir):
+def landed_pages(spark, sf_dir, repos=None):
     # Archived entities are the malformed nodes, in several ways.
-    repos = _repos(spark, sf_dir)
+    repos = _repos(spark, sf_dir) if repos is None else repos
     return P.land_pages(P.entity_nodes(repos, malformed=F.col("is_archived")))
 
 
@@ -206,7 +206,7 @@ def run_stream(spark, sf_dir) -> str:
     base = scratch_dir(spark, "stream")
     repos = freeze(_repos(spark, sf_dir))
     again = repos.where(F.col("is_fork")).withColumns({c: F.col(c) + 1 for c in ("stars", "forks")})
-    bodies, releases = readme_bodies(spark, sf_dir), release_responses(spark, sf_dir)
+    bodies, releases = freeze(readme_bodies(spark, sf_dir)), freeze(release_responses(spark, sf_dir))
     responses = lambda _: landed_enrichment(bodies, None, releases, DOCUMENT_PATTERNS)
     batches = [
         (P.entity_nodes(repos, malformed=F.col("is_archived")), None),

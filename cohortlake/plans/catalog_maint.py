@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlake.operators import maintenance as mt
 from cohortlake.operators.scoring import write_scores
 from cohortlake.plans import oracle as O
-from cohortlake.plans.catalog import _repos, _snaps, register, scored
+from cohortlake.plans.catalog import _repos, _snaps, register, scored, shared
 from cohortlake.schemas import ENTITY_DEFAULTS, ENTITY_SCHEMA, conform
 from cohortlake.session import freeze, scratch_dir
 from cohortlake.sources.export import export, read_csv
@@ -23,8 +23,8 @@ FILTER_SQL = "((potential_score < 40.0 OR potential_score IS NULL) AND is_archiv
 STORE_CTE = "store AS (SELECT * FROM scored WHERE primary_language IS NOT NULL)"
 
 
-def store(spark, sf_dir):
-    return scored(spark, sf_dir).where(F.col("primary_language").isNotNull())
+def store(spark, sf_dir, views=None):
+    return scored(spark, sf_dir, views=views).where(F.col("primary_language").isNotNull())
 
 
 def maint_sql(body: str) -> str:
@@ -45,12 +45,14 @@ def q_purge_match(spark, sf_dir):
     ),
 )
 def q_purge_preview(spark, sf_dir):
-    return mt.purge_preview(store(spark, sf_dir), _snaps(spark, sf_dir), mt.purge_predicate(**FILTERS))
+    views = shared(spark, sf_dir)
+    return mt.purge_preview(store(spark, sf_dir, views), views[1], mt.purge_predicate(**FILTERS))
 
 
 @register("purge_survivors", maint_sql(f"SELECT id, potential_score FROM store WHERE NOT coalesce({FILTER_SQL}, false)"))
 def q_purge_survivors(spark, sf_dir):
-    survivors, _ = mt.purge(store(spark, sf_dir), _snaps(spark, sf_dir), mt.purge_predicate(**FILTERS))
+    views = shared(spark, sf_dir)
+    survivors, _ = mt.purge(store(spark, sf_dir, views), views[1], mt.purge_predicate(**FILTERS))
     return survivors.select("id", "potential_score")
 
 
@@ -61,13 +63,15 @@ def q_purge_survivors(spark, sf_dir):
     ),
 )
 def q_survivor_snaps(spark, sf_dir):
-    _, snaps = mt.purge(store(spark, sf_dir), _snaps(spark, sf_dir), mt.purge_predicate(**FILTERS))
+    views = shared(spark, sf_dir)
+    _, snaps = mt.purge(store(spark, sf_dir, views), views[1], mt.purge_predicate(**FILTERS))
     return snaps
 
 
 @register("orphan_snapshots", maint_sql("SELECT * FROM snaps_v WHERE repo_id NOT IN (SELECT id FROM store)"))
 def q_orphans(spark, sf_dir):
-    return mt.orphan_snapshots(_snaps(spark, sf_dir), store(spark, sf_dir))
+    views = shared(spark, sf_dir)
+    return mt.orphan_snapshots(views[1], store(spark, sf_dir, views))
 
 
 @register(
@@ -96,8 +100,8 @@ def q_conform(spark, sf_dir):
     ),
 )
 def q_writeback(spark, sf_dir):
-    state = _repos(spark, sf_dir)
-    out = write_scores(state, scored(spark, sf_dir), ENTITY_AS_OF)
+    state, snaps = freeze(_repos(spark, sf_dir)), _snaps(spark, sf_dir)
+    out = write_scores(state, scored(spark, sf_dir, views=(state, snaps)), ENTITY_AS_OF)
     return out.select(
         "id", "stars", "potential_score", "HG_score", "activity_score", "age_tier", "maturity_tier", "updated_in_db_at"
     )
@@ -140,7 +144,8 @@ def run_records(spark, sf_dir):
 
 
 def _purged(spark, sf_dir, pred, all_data=False):
-    state, snaps, runs = freeze(store(spark, sf_dir)), _snaps(spark, sf_dir), run_records(spark, sf_dir)
+    views = shared(spark, sf_dir)
+    state, snaps, runs = freeze(store(spark, sf_dir, views)), views[1], run_records(spark, sf_dir)
     return mt.purge_counts(state, snaps, runs, mt.purge_tables(state, snaps, runs, pred, all_data))
 
 
@@ -183,7 +188,8 @@ def q_purge_filtered(spark, sf_dir):
     ),
 )
 def q_preview_all(spark, sf_dir):
-    return mt.purge_preview(store(spark, sf_dir), _snaps(spark, sf_dir), None, all_data=True)
+    views = shared(spark, sf_dir)
+    return mt.purge_preview(store(spark, sf_dir, views), views[1], None, all_data=True)
 
 
 SINGLE_FILTERS = {"before": "2000-06-01", "forks": True, "language": "buIlding"}

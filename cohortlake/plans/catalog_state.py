@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import state as st
 from cohortlake.plans import oracle as O
-from cohortlake.plans.catalog import _repos, _snaps, register, scored
+from cohortlake.plans.catalog import _repos, _snaps, register, scored, shared
 from cohortlake.plans.catalog_ingest import landed_pages
+from cohortlake.session import freeze
 from cohortlake.sources.fixtures import ENTITY_AS_OF, SNAPSHOT_AS_OF
 from cohortlake.sources.pages import parse_pages, split_valid
 
@@ -41,9 +42,10 @@ gated AS (
 )"""
 
 
-def state_and_batch(spark, sf_dir):
-    state = scored(spark, sf_dir).where(F.col("primary_language").isNotNull())
-    batch = _repos(spark, sf_dir).where(~F.col("is_archived")).withColumns(
+def state_and_batch(spark, sf_dir, views=None):
+    repos, snaps = views = views or (freeze(_repos(spark, sf_dir)), _snaps(spark, sf_dir))
+    state = scored(spark, sf_dir, views=views).where(F.col("primary_language").isNotNull())
+    batch = repos.where(~F.col("is_archived")).withColumns(
         {c: F.col(c) + 1 for c in ("stars", "forks", "open_issues", "closed_issues")}
     )
     return state, batch
@@ -64,9 +66,10 @@ def q_classify(spark, sf_dir):
     state_sql("SELECT id, refresh_class, last_snapshot_at, snapshot_due FROM gated"),
 )
 def q_snapshot_due(spark, sf_dir):
-    state, batch = state_and_batch(spark, sf_dir)
+    views = shared(spark, sf_dir)
+    state, batch = state_and_batch(spark, sf_dir, views)
     classified = st.classify_refresh(state, batch, ENTITY_AS_OF, TTL_H)
-    return st.snapshot_due(classified, _snaps(spark, sf_dir), SNAPSHOT_AS_OF, SNAP_TTL_H).select(
+    return st.snapshot_due(classified, views[1], SNAPSHOT_AS_OF, SNAP_TTL_H).select(
         "id", "refresh_class", "last_snapshot_at", "snapshot_due"
     )
 
@@ -125,10 +128,12 @@ APPLY_SQL = f"""SELECT coalesce(s.id, c.id) AS id,
 FROM state_v s FULL OUTER JOIN classified c ON s.id = c.id"""
 
 
-def _apply(spark, sf_dir):
-    state, batch = state_and_batch(spark, sf_dir)
+def _apply(spark, sf_dir, views=None):
+    """The batch step; the state is read twice (to classify, to merge), so it is written once."""
+    views = views or shared(spark, sf_dir)
+    state, batch = state_and_batch(spark, sf_dir, views)
     return st.apply_batch(
-        state, _snaps(spark, sf_dir), batch, ENTITY_AS_OF, TTL_H, SNAP_TTL_H, snapshot_as_of=SNAPSHOT_AS_OF
+        freeze(state), views[1], batch, ENTITY_AS_OF, TTL_H, SNAP_TTL_H, snapshot_as_of=SNAPSHOT_AS_OF
     )
 
 
@@ -170,8 +175,9 @@ FROM gated"""
 def q_run_counters(spark, sf_dir):
     from cohortlake.functions.features import ts_lit
 
-    _, _, gated = _apply(spark, sf_dir)
-    _, errors = split_valid(parse_pages(landed_pages(spark, sf_dir)))
+    views = shared(spark, sf_dir)
+    _, _, gated = _apply(spark, sf_dir, views)
+    _, errors = split_valid(parse_pages(landed_pages(spark, sf_dir, views[0])))
     run = st.run_counters(gated, RUN_ID, ENTITY_AS_OF, "2001-08-02 01:00:00", errors=errors)
     return run.withColumn("finished_at", ts_lit("2001-08-02 01:00:00"))
 
@@ -184,8 +190,9 @@ UNION ALL SELECT id AS repo_id, {O.E_ASOF} AS snapshot_at, stars, forks, open_is
     ),
 )
 def q_append(spark, sf_dir):
-    _, batch = state_and_batch(spark, sf_dir)
-    return _snaps(spark, sf_dir).unionByName(st.make_snapshots(batch, ENTITY_AS_OF))
+    views = shared(spark, sf_dir)
+    _, batch = state_and_batch(spark, sf_dir, views)
+    return views[1].unionByName(st.make_snapshots(batch, ENTITY_AS_OF))
 
 
 @register(
