@@ -10,6 +10,7 @@ are split off and counted, never silently dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,7 @@ TRUE_TEXTS = ("1", "on", "t", "true", "y", "yes")
 FALSE_TEXTS = ("0", "off", "f", "false", "n", "no")
 # Reasons beside the names of members.
 NOT_JSON, NOT_A_PAGE = "(not JSON)", "(not a page)"
+NUMBER_KIND = "^(BIGINT|DOUBLE|DECIMAL)"
 INTEGER_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 
@@ -71,30 +73,56 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it.
+
+    (Spark computes what stands in several branches of a condition again in each.)
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _probed(v: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use`` of a variant, its JSON type and its text, each computed once."""
+    probe = _once(v, lambda x: F.struct(x.alias("v"), _kind(x).alias("kind"), _text(x).alias("text")))
+    return _once(probe, lambda p: use(p["v"], p["kind"], p["text"]))
+
+
 def _flag(v: Column) -> Column:
     """A flag, or what stands for one (0, 1, usual words); NULL for anything else."""
-    word = F.lower(F.trim(F.regexp_replace(_text(v), r"^([01])\.0+$", "$1")))
-    plain = F.when(word.isin(*TRUE_TEXTS), F.lit(True)).when(word.isin(*FALSE_TEXTS), F.lit(False))
-    number = F.when(word.isin("0", "1"), word == "1")
-    return F.when(_is(v, "STRING", "BOOLEAN"), plain).when(_is(v, "BIGINT", "DOUBLE", "DECIMAL"), number)
+
+    def of(_, kind, text):
+        word = F.lower(F.trim(F.regexp_replace(text, r"^([01])\.0+$", "$1")))
+        plain = _once(word, lambda w: F.when(w.isin(*TRUE_TEXTS), F.lit(True)).when(w.isin(*FALSE_TEXTS), F.lit(False)))
+        number = _once(word, lambda w: F.when(w.isin("0", "1"), w == "1"))
+        return F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", plain).when(kind.rlike(NUMBER_KIND), number)
+
+    return _probed(v, of)
 
 
 def _count(v: Column) -> Column:
     """A whole number of 32 bits, also as text, as 12.0 or as a flag; NULL for anything else."""
-    text = _text(v)
-    exact = F.when(_is(v, "BOOLEAN"), (text == "true").cast("decimal(38,6)")).when(
-        _is(v, "BIGINT", "DOUBLE", "DECIMAL") | (_is(v, "STRING") & text.rlike(INTEGER_TEXT)), F.trim(text).try_cast("decimal(38,6)")
-    )
-    return F.when((exact == F.floor(exact)) & F.abs(exact).between(0, INT_MAX), exact.cast("int"))
+
+    def of(x, kind, text):
+        exact = F.when(kind == "BOOLEAN", (text == "true").cast("decimal(38,6)")).when(
+            kind.rlike(NUMBER_KIND) | ((kind == "STRING") & text.rlike(INTEGER_TEXT)), F.trim(text).try_cast("decimal(38,6)")
+        )
+        other = _once(exact, lambda e: F.when((e == F.floor(e)) & F.abs(e).between(0, INT_MAX), e.cast("int")))
+        whole = _once(F.try_variant_get(x, "$", "long"), lambda n: F.when(n.between(-INT_MAX, INT_MAX), n.cast("int")))
+        return F.when(kind == "BIGINT", whole).otherwise(other)
+
+    return _probed(v, of)
 
 
 def _time(v: Column) -> Column:
     """A time from ISO text, or from seconds (milliseconds if very large) since 1970; NULL for anything else."""
-    seconds = F.try_variant_get(v, "$", "double")
-    seconds = F.when(F.abs(seconds) > 2e10, seconds / 1000).otherwise(seconds)
-    return F.when(_is(v, "STRING"), F.try_to_timestamp(_text(v))).when(
-        _is(v, "BIGINT", "DOUBLE", "DECIMAL") & (F.abs(seconds) < 2e11), F.timestamp_micros((seconds * 1e6).cast("long"))
-    )
+
+    def of(x, kind, text):
+        given = F.try_variant_get(x, "$", "double")
+        seconds = _once(given, lambda s: F.when(F.abs(s) > 2e10, s / 1000).otherwise(s))
+        instant = _once(seconds, lambda s: F.when(F.abs(s) < 2e11, F.timestamp_micros((s * 1e6).cast("long"))))
+        return F.when(kind == "STRING", F.try_to_timestamp(text)).when(kind.rlike(NUMBER_KIND), instant)
+
+    return _probed(v, of)
 
 
 def _falsy(v: Column) -> Column:
@@ -117,8 +145,8 @@ def node_checks(v: Column) -> list[tuple[str, Column]]:
     checks = [(p, _is(_at(v, p), "STRING")) for p in REQUIRED_STRINGS]  # so it is an object
     checks += [(p, _may_be(_at(v, p), "VOID", "STRING")) for p in OPTIONAL_STRINGS]
     checks += [(p, _may_be(_at(v, p), "OBJECT")) for p in OBJECTS if p != "repositoryTopics"]
-    checks += [(p, _flag(_at(v, p)).isNotNull() | absent(p)) for p in FLAGS]
-    checks += [(p, _count(_at(v, p)).isNotNull() | absent(p)) for p in COUNTERS]
+    checks += [(p, absent(p) | _flag(_at(v, p)).isNotNull()) for p in FLAGS]
+    checks += [(p, absent(p) | _count(_at(v, p)).isNotNull()) for p in COUNTERS]
     checks += [(p, _time(_at(v, p)).isNotNull() | _may_be(_at(v, p), "VOID")) for p in TIMES]
     checks.append(("diskUsage", _count(_at(v, "diskUsage")).isNotNull() | _may_be(_at(v, "diskUsage"), "VOID")))
     language, license_ = _at(v, "primaryLanguage"), _at(v, "licenseInfo")
