@@ -9,12 +9,14 @@ Each dart names a coordinate, and the earliest dart that a text's weights admit
 is its signature there; two texts agree on a coordinate with a probability
 equal to their similarity.
 
-Plan: one Arrow pass over the texts gives digests, band keys and shingle bags (a table
-in the shared folder, by columns). Equal texts collapse to one representative by a hash
-aggregate. Every bucket of representatives with the same band key has a leader,
-the one that shares buckets with most others, and its members are compared with
-it by exact similarity of their shingle bags: a group of n near copies costs
-about n comparisons, not n * n. What this leaves in different components is
+Plan: one Arrow pass over the texts gives digests, band keys, sketches (a byte of each
+coordinate) and shingle bags (a table in the shared folder, by columns). Equal texts
+collapse to one representative by a hash aggregate. Every bucket of representatives with
+the same band key has a leader, the one that shares buckets with most others, and its
+members are compared with it: first by sketches, which rule out pairs that agree on far
+fewer coordinates than similar ones do, then by exact similarity of their shingle bags.
+A group of n near copies costs about n comparisons, not n * n. Bags stay where they are
+unless a pair that is left needs them. What this leaves in different components is
 compared as well, so no link is lost: pair by pair in buckets of bounded size, and
 in larger groups by blocks, where those outside the largest component meet all
 others and each pair of blocks gives a spanning set of its links. Components come
@@ -24,14 +26,16 @@ from large-star/small-star.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cohortlake.llm.common import append_columns, arrow_rows, connected_components, freeze, fresh, map_arrow
 from cohortlake.llm.text import SLICE_BYTES, Texts, least_reached, mix64, slices, window_hashes
@@ -43,6 +47,8 @@ BANDS, ROWS = 32, 5
 SMALL_BUCKET, BLOCK_ROWS = 48, 256
 #: Members of a leader that one task compares in a run, and block pairs of an Arrow batch.
 STAR_ROWS, PAIR_ROWS = 256, 16
+#: Standard deviations by which a pair may agree on fewer coordinates than expected at the threshold.
+SKETCH_SIGMAS = 8
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -139,6 +145,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(keys + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
 
 
+def least_agreement(k: int, threshold: float = THRESHOLD) -> int:
+    """Coordinates of k, compared by a byte, that a pair at the threshold agrees on but for a chance of about 1e-12 (k = 160)."""
+    p = threshold + (1 - threshold) / 256
+    return max(0, int(k * p - SKETCH_SIGMAS * (k * p * (1 - p)) ** 0.5))
+
+
 def packed_bags(hashes: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     """Each text's shingles, sorted by 64-bit hash, as sorted 32-bit ones.
 
@@ -157,30 +169,35 @@ def packed_bags(hashes: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 def _signature_columns(bands: int, rows: int):
     def columns(texts: pa.Array) -> list[pa.Array]:
-        keys, sizes, bags = [], [], []
+        keys, sizes, bags, bits = [], [], [], []
         for _, t in slices(texts, SLICE_BYTES):
             hashes, owner = shingles(t)
             sizes.append(np.bincount(owner, minlength=t.n))
             bags.append(packed_bags(hashes, owner, t.n))
-            keys.append(band_keys(dart_signatures(*bag(hashes, owner), t.n, bands * rows), bands, rows))
+            sig = dart_signatures(*bag(hashes, owner), t.n, bands * rows)
+            keys.append((band_keys(sig, bands, rows) >> np.uint64(32)).astype(np.uint32))
+            bits.append(sig.astype(np.uint8))
         size = np.concatenate(sizes)
-        flat = np.concatenate(keys).view(np.int64)
+        flat = np.concatenate(keys).view(np.int32)
         offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)
-        return [pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[size > 0].reshape(-1))), pa.concat_arrays(bags)]
+        sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * rows), len(size), [None, pa.py_buffer(np.concatenate(bits).tobytes())])
+        return [pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[size > 0].reshape(-1))), sketch.cast(pa.binary()), pa.concat_arrays(bags)]
 
     return columns
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, key, digest, n_shingles, bands, bag) of every (doc_id, text) row; no shuffle.
+    """(doc_id, node, key, digest, n_shingles, bands, sketch, bag) of every (doc_id, text) row; no shuffle.
 
     ``node`` is a row number, fixed once the table is written; ``key`` is doc_id and
-    text digest. ``digest`` is the text's MD5, null for a null text. ``bands`` is
-    empty for texts without a word.
+    text digest. ``digest`` is the text's MD5, null for a null text. ``bands`` has 32
+    bits of each band's key, and is empty for texts without a word. A chance agreement of
+    different keys costs a comparison, no more.
     """
     docs = docs.withColumn("digest", F.unhex(F.md5("text"))).withColumn("key", _key("doc_id", "text"))
     docs = docs.withColumn("node", F.monotonically_increasing_id())
-    out, _ = append_columns(docs, "text", _signature_columns(bands, rows), [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("bag", T.BinaryType())])
+    fields = [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.IntegerType())), ("sketch", T.BinaryType()), ("bag", T.BinaryType())]
+    out, _ = append_columns(docs, "text", _signature_columns(bands, rows), fields)
     return out.drop("text")
 
 
@@ -205,8 +222,49 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32), sizes
 
 
-def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags are at least ``threshold`` similar.
+@contextmanager
+def _bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that run within are by shuffle at any size, behind Spark's Bloom filter of the side that has a condition."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 50),
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _with(sig: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows``, written, with columns of ``sig`` by node, for use in ``_bloom_joins``: of ``sig`` hardly more than the wanted rows is shuffled.
+
+    Spark makes its filter of a side that has a condition, so ``rows`` get one, on a column that ``sig`` has not.
+    """
+    rows = freeze(rows.withColumn("wanted", F.lit(1)))
+    return rows.where("wanted = 1").drop("wanted").join(sig.select("node", *columns), "node")
+
+
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree as those of similar texts do; ``nodes``: (node, sketch, ...), a row for each."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+
+    def agree(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            keep = (one == two).sum(1) >= least_agreement(one.shape[1], threshold)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b"), agree, _EDGE)
+
+
+def _similar_pairs(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bags are at least ``threshold`` similar, as a written table.
 
     Bags of a travel to their leaders b; a partition streams a leader's bag, then
     those of its members, so a leader of any size needs one bag and one batch of
@@ -215,7 +273,7 @@ def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataF
     runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("runs"))
     member = pairs.join(runs, "b").select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a", F.col("a").alias("node"))
     leader = runs.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), F.col("b").alias("node"))
-    rows = member.unionByName(leader).join(bags, "node").select("b", "run", "a", "bag")  # each bag is shuffled once to meet its pairs
+    rows = _with(sig, member.unionByName(leader), "bag").select("b", "run", "a", "bag")  # each bag is shuffled once to meet its pairs
     rows = rows.repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +301,11 @@ def _similar_pairs(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataF
                 found_b += [int(b[i])] * int(hit.sum())
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(each, _EDGE)
+    with _bloom_joins(pairs.sparkSession):
+        return freeze(rows.mapInArrow(each, _EDGE))
 
 
-def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+def _block_links(members: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     """Spanning links (a, b) between components of each group; members: (node, n, grp, component).
 
     A block is up to BLOCK_ROWS members of a group, either of its largest component
@@ -254,8 +313,8 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
     """
     per = members.groupBy("grp", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.ceil(F.sum("n") / (4 * BLOCK_ROWS)).cast("int").alias("parts"))
-    rows = members.join(main, "grp").withColumn("stray", F.col("component") != F.col("top.component")).join(bags, "node")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).repartition("grp", "part").sortWithinPartitions("grp", "part", "stray", "node")
+    rows = members.join(main, "grp").withColumn("stray", F.col("component") != F.col("top.component"))
+    rows = _with(sig, rows, "bag").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).repartition("grp", "part").sortWithinPartitions("grp", "part", "stray", "node")
     rows = rows.select("grp", "part", "stray", "node", "component", "bag")
     schema = "block long, grp long, stray boolean, nodes binary, components binary, sizes binary, bags binary"
 
@@ -278,7 +337,8 @@ def _block_links(members: DataFrame, bags: DataFrame, threshold: float) -> DataF
         if held:
             yield block()
 
-    blocks = freeze(rows.mapInArrow(cut, schema))
+    with _bloom_joins(members.sparkSession):
+        blocks = freeze(rows.mapInArrow(cut, schema))
     a = blocks.where("stray").select(F.col("block").alias("a_block"), "grp")
     b = blocks.select(F.col("block").alias("b_block"), "grp", F.col("stray").alias("both"))
     pairs = freeze(a.join(b, "grp").where("NOT both OR a_block <= b_block").select("a_block", "b_block"))
@@ -312,32 +372,35 @@ def near_links(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect every class of nodes: equal texts, similar texts that share a band, rows with equal id and null text.
 
     ``sig`` is the written table of ``signatures``. No text is shuffled; of the bags
-    go those of texts that share a bucket, found by a join that Spark may broadcast.
+    go those of pairs that share a bucket and have sketches alike.
     """
     # a table: the join then has an exchange of its own, and AQE splits a digest of very many copies
     copies = sig.withColumn("digest", F.coalesce("digest", F.col("key").cast("binary")))
     same = freeze(copies.groupBy("digest").agg(F.min("node").alias("rep")))
     exact = copies.join(same, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    reps = sig.join(same.select(F.col("rep").alias("node")), "node", "left_semi")  # one row of each text
-    reps = freeze(reps.select("node", F.col("n_shingles").alias("n"), "bands"))
-    entries = reps.select("node", "n", F.explode("bands").alias("key"))
-    # only keys travel to be counted (a node has a key once); the join is a shuffle at any size, and AQE splits hot keys
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    entries = freeze(entries.join(shared.hint("merge"), "key"))
-    nodes = freeze(entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")))
-    bags = freeze(sig.select("node", "bag").join(nodes.select("node"), "node"))
+    # one row of each text; band entries, which are most of the rows, are shuffled once, and a key's are counted as they stream by
+    reps = sig.join(same.select(F.col("rep").alias("node")).hint("merge"), "node", "left_semi")
+    entries = reps.select("node", F.posexplode("bands").alias("band", "key")).select("node", (F.col("band") * F.lit(1 << 32) + F.col("key")).alias("key"))
+    entries = entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    entries = freeze(entries)
+    degrees = entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    with _bloom_joins(sig.sparkSession):
+        nodes = freeze(_with(sig.withColumnRenamed("n_shingles", "n"), degrees, "n", "sketch"))
+    entries = freeze(entries.join(nodes.select("node", "degree", "n"), "node"))
 
     def fits(a: str, b: str) -> Column:  # sizes alone rule most pairs out
         return F.least(a, b) >= threshold * F.greatest(a, b)
 
     # every member with the member that shares buckets with most others
     best = F.max(F.struct("degree", -F.col("node"), "n"))
-    leaders = entries.join(nodes, "node").groupBy("key").agg(best.alias("top")).select("key", (-F.col("top.col2")).alias("b"), F.col("top.n").alias("nb"))
+    leaders = entries.groupBy("key").agg(best.alias("top")).select("key", (-F.col("top.col2")).alias("b"), F.col("top.n").alias("nb"))
     pairs = entries.join(leaders, "key").where((F.col("node") != F.col("b")) & fits("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
-    links = freeze(exact.unionByName(_similar_pairs(freeze(pairs), bags, threshold)))
+    pairs = freeze(_likely_pairs(pairs, nodes, threshold))
+    links = exact.unionByName(_similar_pairs(pairs, sig, threshold))
 
     # the rest: pairs of different components, by pairs in small buckets and by blocks in large groups
-    comps = connected_components(links)
+    comps = freeze(connected_components(links))
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = freeze(placed.join(open_, "key"))
@@ -345,14 +408,15 @@ def near_links(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = small.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")))
     right = small.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")))
     both = left.join(right, "key").where((F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits("n_a", "n_b"))
-    pairs = freeze(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    links = links.unionByName(freeze(_similar_pairs(pairs, bags, threshold)))
+    pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = freeze(_likely_pairs(pairs, nodes, threshold))
+    links = links.unionByName(_similar_pairs(pairs, sig, threshold))
 
-    large = freeze(placed.where(F.col("size") > SMALL_BUCKET))
+    large = placed.where(F.col("size") > SMALL_BUCKET)
     if not large.isEmpty():
         groups = connected_components(large.join(large.groupBy("key").agg(F.min("node").alias("first")), "key"), "node", "first")
         members = large.select("node", "n", "component").distinct().join(groups.withColumnRenamed("component", "grp"), "node")
-        links = links.unionByName(_block_links(freeze(members), bags, threshold))
+        links = links.unionByName(_block_links(freeze(members), sig, threshold))
     return links
 
 

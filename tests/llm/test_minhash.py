@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import pytest
 from brute import SF
+from cohortlake.llm import common as C
 from cohortlake.llm import minhash as M
 from cohortlake.llm.common import connected_components, table
 from cohortlake.llm.text import Texts
@@ -122,6 +123,47 @@ def test_empty_bag_is_like_none():
     assert not M.similar(one, many, np.array([2, 0]), 0.8).any() and not M.similar(many, one, np.array([0]), 0.8).any()
 
 
+def test_sketches_rule_out_pairs_that_are_far_apart(spark):
+    """Pairs around the threshold all stay for the exact comparison, those far below it go."""
+    rng = np.random.default_rng(3)
+    docs, same = [], {}
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        cut = (30, 55, 200)[i % 3]  # similarity about 0.8 or more, 0.69, 0.2
+        docs.append((2 * i + 1, " ".join(words[:-cut] + [f"v{rng.integers(10**9)}" for _ in range(cut)])))
+        same[2 * i] = cut
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sig = M.freeze(M.signatures(df))
+    ids = {r["doc_id"]: r["node"] for r in sig.select("doc_id", "node").collect()}
+    pairs = spark.createDataFrame([(ids[i + 1], ids[i]) for i in same], "a long, b long")
+    left = {r["b"] for r in M._likely_pairs(pairs, sig.select("node", "sketch"), M.THRESHOLD).collect()}
+    assert all(ids[i] in left for i, cut in same.items() if cut == 30)
+    assert not any(ids[i] in left for i, cut in same.items() if cut == 200)
+    exact = {r["b"] for r in M._similar_pairs(pairs, sig, M.THRESHOLD).collect()}
+    assert exact == {ids[i] for i, cut in same.items() if cut == 30}
+
+
+def test_bags_that_no_pair_needs_are_not_shuffled(spark):
+    """The scan of the bags has a filter of the wanted nodes before its exchange, at any size; settings come back."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    sig = M.freeze(spark.range(1000).selectExpr("id AS node", "CAST(id AS string) AS bag"))
+    with M._bloom_joins(spark):
+        out = M._with(sig, spark.range(0, 1000, 100).withColumnRenamed("id", "node"), "bag")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.count() == 10
+    assert spark.conf.get(key) == before
+    made_of = plan[plan.index("bloom_filter_agg") :].split("Relation")[0]
+    assert "might_contain" in plan and "wanted" in made_of  # a filter of the wanted rows, not one of all bags
+
+
+def test_stars_are_told(spark):
+    stars = lambda rows: C._stars(spark.createDataFrame(rows, "a long, b long"))
+    assert stars([]) and stars([(2, 1), (3, 1), (9, 7)])
+    assert not stars([(2, 1), (3, 2)]) and not stars([(3, 1), (3, 2)])
+
+
 def test_empty_table(no_docs):
     assert M.near_duplicates(no_docs).count() == 0
     assert M.without_duplicates(no_docs).count() == 0
