@@ -146,7 +146,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def least_agreement(k: int, threshold: float = THRESHOLD) -> int:
-    """Coordinates of k, compared by a byte, that a pair at the threshold agrees on but for a chance of about 1e-12 (k = 160)."""
+    """Coordinates of k, compared by a byte, that a pair at the threshold agrees on but for a chance below 1e-12 (k = 160)."""
     p = threshold + (1 - threshold) / 256
     return max(0, int(k * p - SKETCH_SIGMAS * (k * p * (1 - p)) ** 0.5))
 
