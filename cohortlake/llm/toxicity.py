@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.compute import binary_length
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortlake.llm.common import append_columns, freeze, map_arrow
-from cohortlake.llm.text import Texts, mix64, per_process, slices
+from cohortlake.llm.text import Texts, mix64, slices
 
 #: Labelled documents that are learnt from at most: for each label those with the least hashes of doc_id.
 MAX_EXAMPLES = 4096
@@ -47,6 +47,8 @@ DENSE, RARE = 24, 64
 MANY = 16
 #: Texts whose dense parts are added up at once; what single precision may lose of a cosine.
 TEXTS, SLACK = 256, 1e-4
+#: Terms of examples that the driver works on at once: it holds their numbers and weights, and temporaries of so many.
+PIECE = 1 << 18
 CUT = 0.7
 
 _LETTER = np.zeros(256, bool)
@@ -107,13 +109,12 @@ class Index:
     weight: np.ndarray
     steps: np.ndarray  # calibration: raw votes
     rates: np.ndarray  # and the probability from each on
-    name: str  # of its own, so that a process inverts it once
 
     def shared(self, df: DataFrame) -> Broadcast:
-        """The arrays as a broadcast, made once for all jobs; ``Index(**held.value)`` in a task, without the calibration."""
+        """The arrays as a broadcast, made once for all jobs; ``_index`` of it in a task, without the calibration."""
         kept = self.__dict__
         if "_shared" not in kept:
-            kept["_shared"] = df.sparkSession.sparkContext.broadcast(dict(kept))
+            kept["_shared"] = df.sparkSession.sparkContext.broadcast({k: v for k, v in kept.items() if k != "_lists"})
         return kept["_shared"]
 
     def vectors(self, docs: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,17 +129,24 @@ class Index:
         return bounds, term, weight / np.where(norm > 0, norm, 1)[docs]
 
     def lists(self) -> Lists:
-        kept = per_process("toxicity", dict)  # of the last index only: a process outlives its jobs
-        if self.name not in kept:
-            kept.clear()
-            kept[self.name] = Lists(self)
-        return kept[self.name]
+        kept = self.__dict__
+        if "_lists" not in kept:
+            kept["_lists"] = Lists(self)
+        return kept["_lists"]
 
     def vote(self, hit: np.ndarray, cosine: np.ndarray) -> float:
         mass = cosine * cosine
         return float((mass * self.toxic[hit]).sum() / mass.sum()) if len(hit) else 0.0
 
 
+def _index(held: Broadcast) -> Index:
+    """The broadcast's index, in a task: one a process, inverted once, which goes with the broadcast when a worker drops that."""
+    kept = held.value
+    if "_index" not in kept:
+        kept["_index"] = Index(**kept)
+    return kept["_index"]
+
+
 class Lists:
     """The inverted index: what the search adds up for all examples, and what it only bounds.
 
@@ -149,7 +157,7 @@ class Lists:
     """
 
     def __init__(self, index: Index):
-        self.index, size, terms_ = index, len(index.examples), len(index.vocabulary)
+        size, terms_ = len(index.examples), len(index.vocabulary)
         owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(index.bounds))
         df = np.bincount(index.term, minlength=terms_)
         dense = df * DENSE >= size
@@ -174,7 +182,7 @@ class Lists:
         self.block = (cell[first] % max(self.blocks, 1)).astype(np.int32)
         self.first, self.low_posting, self.low_weight = np.append(first, len(cell)), owner[by], index.weight[by]
         self.block_max = np.maximum.reduceat(self.low_weight, first) if len(first) else np.zeros(0, np.float32)
-        self.query, self.term, self.ends = np.zeros(terms_, np.float32), index.term.astype(np.int64), index.bounds.tolist()
+        self.query, self.term, self.full, self.ends = np.zeros(terms_, np.float32), index.term, index.weight, index.bounds.tolist()
 
     def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the k examples of the largest cosine above 0 (ties: least example number), best first.
@@ -236,7 +244,7 @@ class Lists:
 
     def _cosines(self, examples: np.ndarray) -> np.ndarray:
         spans = [slice(self.ends[i], self.ends[i + 1]) for i in examples.tolist()]
-        return np.array([self.query.take(self.term[s]).dot(self.index.weight[s]) for s in spans])
+        return np.array([self.query.take(self.term[s]).dot(self.full[s]) for s in spans])
 
 
 def calibrated(raw: np.ndarray, steps: np.ndarray, rates: np.ndarray) -> np.ndarray:
@@ -260,21 +268,39 @@ def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | None = Non
     return x, np.maximum.accumulate((pos + 0.1) / (n + 1))
 
 
+def _pieces(size: int) -> list[slice]:
+    return [slice(at, at + PIECE) for at in range(0, size, PIECE)]
+
+
+def _counted(term: np.ndarray, size: int) -> np.ndarray:
+    """How often each of ``size`` numbers comes."""
+    out = np.zeros(size, np.int64)
+    for at in _pieces(len(term)):
+        np.add.at(out, term[at], 1)
+    return out
+
+
 def build_index(vocabulary, df, n, examples, toxic, bounds, term, counts, factor=None) -> Index:
     """The index, not yet calibrated, of examples with these terms (numbers in the sorted vocabulary) and counts.
 
     ``df`` and ``n`` count all documents; a term's IDF is multiplied by its ``factor``.
     """
     factor = np.ones(len(vocabulary)) if factor is None else factor
-    order = np.argsort(-np.bincount(term, minlength=len(vocabulary)), kind="stable")
+    order = np.argsort(-_counted(term, len(vocabulary)), kind="stable")
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
-    term, idf, light = number[term], (np.log((n + 1) / (df + 1)) * factor)[order], factor[order] < 1
-    weight = (1 + np.log(counts, dtype=np.float32)) * idf[term].astype(np.float32)
-    owner = np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(bounds))
-    norm = np.sqrt(np.bincount(owner, weight.astype(np.float64) ** 2, len(examples)))
-    weight /= np.where(norm > 0, norm, 1)[owner].astype(np.float32)
-    return Index(vocabulary, number, idf, light, examples, toxic, bounds, term, weight, *isotonic(np.zeros(0), np.zeros(0)), uuid4().hex)
+    idf, light = (np.log((n + 1) / (df + 1)) * factor)[order], factor[order] < 1
+    numbers, weight, rarity = np.empty(len(term), np.int32), np.empty(len(term), np.float32), idf.astype(np.float32)
+    at = 0
+    while at < len(examples):  # whole examples with about PIECE terms
+        to = max(int(np.searchsorted(bounds, bounds[at] + PIECE, side="right")) - 1, at + 1)
+        mine, owner = slice(bounds[at], bounds[to]), np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1]))
+        numbers[mine] = number[term[mine]]
+        part = (1 + np.log(counts[mine], dtype=np.float32)) * rarity[numbers[mine]]
+        norm = np.sqrt(np.bincount(owner, part.astype(np.float64) ** 2, to - at))
+        weight[mine] = part / np.where(norm > 0, norm, 1)[owner].astype(np.float32)
+        at = to
+    return Index(vocabulary, number, idf, light, examples, toxic, bounds, numbers, weight, *isotonic(np.zeros(0), np.zeros(0)))
 
 
 def _sample(one: DataFrame) -> tuple[DataFrame, dict[int, float]]:
@@ -294,7 +320,9 @@ def _sample(one: DataFrame) -> tuple[DataFrame, dict[int, float]]:
 
 def _factor(term: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
     """How much each of ``size`` terms weighs, given the examples' (term, example) pairs and labels."""
-    df, with_ = np.bincount(term, minlength=size).astype(float), np.bincount(term, toxic[owner], size)
+    df, with_ = _counted(term, size).astype(float), np.zeros(size)
+    for at in _pieces(len(term)):
+        np.add.at(with_, term[at], toxic[owner[at]])
     n, n1 = float(len(toxic)), toxic.sum()
     n0, without = n - n1, df - with_
     across = with_ * (n0 - without) - without * (n1 - with_)
@@ -321,10 +349,13 @@ def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.n
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(df[has], n))], names=["at", "n"])
 
     # sums of each partition, so at most a row for each of the examples' terms
-    totals = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    df, seen = np.zeros(len(vocabulary)), totals["at"].to_numpy(np.int64) >= 0
-    df[totals["at"].to_numpy(np.int64)[seen]] = totals["n"].to_numpy(float)[seen]
-    return int(totals["n"][~seen].sum()), df
+    totals = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df, n = np.zeros(len(vocabulary)), 0
+    for batch in totals.to_batches():
+        at, count = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        df[at[at >= 0]] = count[at >= 0]
+        n += int(count[at < 0].sum())
+    return n, df
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Index:
@@ -350,18 +381,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     chosen = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("_n = 1")
     chosen = freeze(chosen.select("doc_id", "toxic", "text"))
     # the terms of MAX_EXAMPLES texts, 12 bytes each; blocks of one label prune better
-    who = map_arrow(chosen, each, schema).toArrow()
-    order = np.lexsort((who["doc_id"].to_numpy(), who["toxic"].to_numpy()))
-    examples, toxic = who["doc_id"].to_numpy()[order], who["toxic"].to_numpy()[order].astype(float)
-
-    def joined(column: str, kind: type) -> list[np.ndarray]:
-        return [np.frombuffer(who[column][int(i)].as_buffer(), kind) for i in order]
-
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in joined("counts", np.int32)], dtype=np.int64)))
-    hashes, counts = (np.concatenate([*joined(c, kind), np.zeros(0, kind)]) for c, kind in (("hashes", np.uint64), ("counts", np.int32)))
-    del who
-    vocabulary = np.unique(hashes)
-    term = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    found = map_arrow(chosen, each, schema).toArrow().to_batches()
+    ids = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in found)])
+    label = np.concatenate([np.zeros(0, np.int32), *(b.column(1).to_numpy() for b in found)])
+    sizes = np.concatenate([np.zeros(0, np.int32), *(binary_length(b.column(3)).to_numpy() // 4 for b in found)])
+    order = np.lexsort((ids, label))
+    examples, toxic = ids[order], label[order].astype(float)
+    bounds = np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64)))
+    hashes, counts = np.empty(bounds[-1], np.uint64), np.empty(bounds[-1], np.int32)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    last = len(place)
+    while found:  # each goes as soon as it is copied
+        batch = found.pop()
+        last -= batch.num_rows
+        for i, to in enumerate(place[last : last + batch.num_rows].tolist()):
+            mine = slice(bounds[to], bounds[to + 1])
+            hashes[mine] = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+            counts[mine] = np.frombuffer(batch.column(3)[i].as_buffer(), np.int32)
+        del batch
+    vocabulary = np.zeros(0, np.uint64)
+    for at in _pieces(len(hashes)):
+        vocabulary = np.union1d(vocabulary, hashes[at])
+    term = np.empty(len(hashes), np.int32)
+    for at in _pieces(len(hashes)):
+        term[at] = np.searchsorted(vocabulary, hashes[at])
     del hashes
     factor = _factor(term, np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(bounds)), toxic, len(vocabulary))
     n, df = _document_counts(docs, vocabulary)
@@ -377,7 +421,7 @@ def _own_votes(chosen: DataFrame, index: Index) -> np.ndarray:
     places, held = {d: i for i, d in enumerate(index.examples.tolist())}, index.shared(chosen)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        index = Index(**held.value)
+        index = _index(held)
         own = np.array([places[d] for d in batch.column(0).to_pylist()], np.int64)
         votes = [index.vote(*found) for at, t in slices(batch.column(1)) for found in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS, own[at : at + t.n])]
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes, pa.float64())], names=["place", "vote"])
@@ -390,7 +434,7 @@ def _own_votes(chosen: DataFrame, index: Index) -> np.ndarray:
 
 def _scores(held: Broadcast, steps: np.ndarray, rates: np.ndarray):
     def columns(texts: pa.Array) -> list[pa.Array]:
-        index, raw, ids, cosines = Index(**held.value), [], [], []
+        index, raw, ids, cosines = _index(held), [], [], []
         for _, t in slices(texts):
             for hit, cosine in index.lists().nearest(*index.vectors(*terms(t), t.n), NEIGHBOURS):
                 raw.append(index.vote(hit, cosine))

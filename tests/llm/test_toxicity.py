@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -47,6 +49,44 @@ def index_of(rng, n_examples, n_terms):
     return index, rows, weight, vocabulary
 
 
+def test_index_is_the_same_in_pieces(monkeypatch):
+    whole = index_of(random.Random(5), 300, 60)[0]
+    term, owner = whole.term, np.repeat(np.arange(300), np.diff(whole.bounds))
+    factor = X._factor(term, owner, whole.toxic, 60)
+    monkeypatch.setattr(X, "PIECE", 7)
+    cut = index_of(random.Random(5), 300, 60)[0]
+    for k in ("number", "idf", "light", "term", "weight"):
+        assert np.array_equal(getattr(whole, k), getattr(cut, k))
+    assert np.array_equal(factor, X._factor(term, owner, whole.toxic, 60))
+
+
+def test_driver_holds_little_more_than_the_index():
+    size, per, terms = 4096, 500, 1000
+    rng = np.random.default_rng(1)
+    term, counts = rng.integers(0, terms, size * per).astype(np.int32), rng.integers(1, 9, size * per).astype(np.int32)
+    toxic, bounds, owner = np.arange(size) % 4.0 < 1, np.arange(size + 1) * per, np.repeat(np.arange(size, dtype=np.int32), per)
+    tracemalloc.start()
+    try:
+        factor = X._factor(term, owner, toxic.astype(float), terms)
+        X.build_index(np.arange(terms, dtype=np.uint64), np.ones(terms), size, np.arange(size), toxic, bounds, term, counts, factor)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20 * size * per  # 8 bytes a term stay
+
+
+def test_inverted_index_goes_with_its_broadcast():
+    class Held:
+        value = {k: v for k, v in index_of(random.Random(5), 30, 20)[0].__dict__.items()}
+
+    index = X._index(Held)
+    assert X._index(Held) is index and index.lists() is index.lists()
+    gone = weakref.ref(index.lists())
+    Held.value = None
+    del index
+    assert gone() is None
+
+
 @pytest.mark.parametrize("dense, rare", [(16, 16), (5, 8), (1, 10_000), (10_000, 0)])
 def test_block_max_search_is_exact(monkeypatch, dense, rare):
     monkeypatch.setattr(X, "DENSE", dense)
